@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from basketry.operators.search import DenseScore, top_k_join
+from basketry.session import materialize, scratch_path
 
 
 def _add_int_lists(df: DataFrame, name: str, fn) -> DataFrame:
@@ -33,6 +34,25 @@ def _add_int_lists(df: DataFrame, name: str, fn) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+FILE_ROWS = 1_000_000
+
+
+def write_by_group(rows: DataFrame, group: str, file_rows: int = FILE_ROWS) -> DataFrame:
+    """Write index rows in one folder per group and read them back.
+
+    A group of any size is written by as many tasks as it fills files, so a cell that holds a third
+    of the rows holds up nobody. There is one count per group.
+    """
+    spark = rows.sparkSession
+    counts = rows.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / file_rows).cast("long").alias("_files"))
+    spread = rows.join(materialize(counts, "groups"), group).withColumn(
+        "_file", F.pmod(F.xxhash64("id"), F.col("_files"))
+    )
+    path = scratch_path(spark, "index")
+    spread.repartition(group, "_file").drop("_files", "_file").write.partitionBy(group).parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
 @dataclass
 class CellIndex:
     """Index rows by k-means cell. The centres, ``cells`` x dimensions, are all the driver holds."""
@@ -41,15 +61,27 @@ class CellIndex:
     centres: np.ndarray
 
     @classmethod
-    def build(cls, index: DataFrame, cells: int = 16, seed: int = 7, max_iter: int = 10, sample: float = 1.0):
-        """``sample`` is the share of rows the centres are fitted on; all rows are indexed."""
+    def build(
+        cls,
+        index: DataFrame,
+        cells: int = 16,
+        seed: int = 7,
+        max_iter: int = 10,
+        sample: float = 1.0,
+        keep: bool = True,
+    ) -> CellIndex:
+        """``sample`` is the share of rows the centres are fitted on; all rows are indexed.
+
+        ``keep`` writes the index by cell, so that a search for few queries reads the cells it probes.
+        """
         unit = F.transform("embedding", lambda x: x.cast("double") / F.nullif("norm", F.lit(0.0)))
         train = index.filter("norm > 0").select(array_to_vector(unit).alias("features"))
         if sample < 1.0:
             train = train.sample(False, sample, seed)
         model = KMeans(k=cells, seed=seed, maxIter=max_iter).fit(train)
         centres = np.array(model.clusterCenters())
-        return cls(cls._assign(index, centres, 1), centres)
+        rows = cls._assign(index, centres, 1)
+        return cls(write_by_group(rows, "cell") if keep else rows, centres)
 
     @staticmethod
     def _assign(df: DataFrame, centres: np.ndarray, n: int) -> DataFrame:
@@ -91,9 +123,12 @@ class HashIndex:
     planes: np.ndarray
 
     @classmethod
-    def build(cls, index: DataFrame, dimensions: int, tables: int = 4, bits: int = 4):
+    def build(
+        cls, index: DataFrame, dimensions: int, tables: int = 4, bits: int = 4, keep: bool = True
+    ) -> HashIndex:
         planes = hash_planes(tables, bits, dimensions)
-        return cls(cls._assign(index, planes), planes)
+        rows = cls._assign(index, planes)
+        return cls(write_by_group(rows, "bucket") if keep else rows, planes)
 
     @staticmethod
     def _assign(df: DataFrame, planes: np.ndarray) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basketry.operators.embed import (
@@ -118,40 +118,48 @@ class TextIndex:
         return hits
 
 
-def latest_changes(changes: DataFrame) -> DataFrame:
-    """The change that holds for each id: highest version, at equal versions a delete, then the text.
+def change_order(version: str = "version", op: str = "op", text: str = "text") -> Column:
+    """What decides between two changes of one id: version, at equal versions a delete, then the text.
 
-    ``version`` decides, not the order of arrival, so repeated or late changes do no harm.
+    The order of arrival does not, so repeated or late changes do no harm.
     """
-    is_delete = (F.col("op") == "delete").cast("int")
-    text = F.coalesce("text", F.lit(""))
-    order = F.struct("version", is_delete.alias("is_delete"), text.alias("t"))
-    winner = F.max_by(F.struct("text", "version", "op"), order)
+    return F.struct(
+        F.col(version).alias("version"),
+        (F.col(op) == "delete").alias("is_delete"),
+        F.coalesce(F.col(text), F.lit("")).alias("text"),
+    )
+
+
+def latest_changes(changes: DataFrame) -> DataFrame:
+    """The change that holds for each id, as ``(id, text, version, op, ...)``."""
+    others = [c for c in changes.columns if c != "id"]
+    winner = F.max_by(F.struct(*others), change_order())
     return changes.groupBy("id").agg(winner.alias("c")).select("id", "c.*")
 
 
-def live_rows(changes: DataFrame) -> DataFrame:
-    """The catalogue ``(id, text, version)`` that a change log describes."""
-    return (
-        latest_changes(changes)
-        .filter((F.col("op") != "delete") & F.col("text").isNotNull())
-        .select("id", "text", "version")
-    )
+def live_rows(state: DataFrame) -> DataFrame:
+    """The rows that are not deleted, of changes reduced to one per id."""
+    return state.filter((F.col("op") != "delete") & F.col("text").isNotNull()).drop("op")
+
+
+def embed_changes(changes: DataFrame, model: ModelFactory) -> DataFrame:
+    """Changes with the vectors of their texts; a delete has none."""
+    return with_norm(embed(changes.select("id", "text", "version", "op"), "text", model))
 
 
-def sync_index(index: DataFrame, changes: DataFrame, model: ModelFactory) -> DataFrame:
-    """Apply changes to an index ``(id, text, version, embedding, norm)``; embeds changed texts only.
+def sync_index(state: DataFrame, changes: DataFrame, model: ModelFactory) -> DataFrame:
+    """Apply changes to an index state ``(id, text, version, op, embedding, norm)``.
 
-    A change that is older than the indexed row is ignored.
+    Only changes that win over the indexed row are embedded. Deletes stay in the state, without a
+    vector, so that an older change that arrives later cannot bring the row back; ``live_rows`` is
+    what a search reads.
     """
-    latest = latest_changes(changes)
-    known = index.select("id", F.col("version").alias("known_version"))
-    newer = latest.join(known, "id", "left").filter(
-        F.col("known_version").isNull()
-        | (F.col("version") > F.col("known_version"))
-        | ((F.col("version") == F.col("known_version")) & (F.col("op") == "delete"))
+    latest = latest_changes(changes.select("id", "text", "version", "op"))
+    known = state.select("id", change_order().alias("known"))
+    newer = (
+        latest.join(known, "id", "left")
+        .filter(F.col("known").isNull() | (change_order() > F.col("known")))
+        .drop("known")
     )
-    upserts = newer.filter((F.col("op") != "delete") & F.col("text").isNotNull())
-    embedded = with_norm(embed(upserts.select("id", "text", "version"), "text", model))
-    kept = index.join(newer.select("id"), "id", "left_anti")
-    return kept.unionByName(embedded)
+    kept = state.join(newer.select("id"), "id", "left_anti")
+    return kept.unionByName(embed_changes(newer, model))

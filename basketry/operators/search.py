@@ -7,7 +7,6 @@ index, which then is not shuffled; many queries are cut into blocks on both side
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -52,6 +51,7 @@ class SparseScore:
     """Cosine of two term vectors; pairs without a common term do not match."""
 
     columns = ("terms", "weights", "norm")
+    products_at_once: int = 4_000_000
 
     def scores(self, queries: pa.Table, index: pa.Table) -> np.ndarray:
         q_rows, q_terms, q_weights = self._entries(queries)
@@ -67,7 +67,7 @@ class SparseScore:
         out = np.full((index.num_rows, queries.num_rows), -np.inf)
         # postings are grouped by index row, so each row is one run; some runs at a time
         starts = np.flatnonzero(np.r_[True, d_rows[1:] != d_rows[:-1]]) if len(d_rows) else np.zeros(0, int)
-        step = max(1, 4_000_000 // max(1, queries.num_rows))
+        step = max(1, self.products_at_once // max(1, queries.num_rows))
         first = 0
         while first < len(starts):
             begin = starts[first]
@@ -193,6 +193,9 @@ def top_k_join(
 
 def _against_all(queries: pa.Table, index, k, scorer, query_id, index_id, payload, group, schema) -> DataFrame:
     """Score each partition of the index against the few queries."""
+    if group:
+        # an index written by group is read only where a query looks
+        index = index.filter(F.col(group).isin(pc.unique(queries.column(group)).to_pylist()))
     sent = index.sparkSession.sparkContext.broadcast(queries)
     tile = TILE[1]
 
@@ -241,6 +244,7 @@ def _over_grid(queries, index, k, scorer, query_id, index_id, payload, group, sc
         rows = df.groupBy(group).agg(F.count(F.lit(1)).alias("rows"))
         return rows.select(group, F.ceil(F.col("rows") / block_rows).cast("long").alias(name))
 
+    queries = materialize(queries, "queries")
     # one row per group; written once, as both sides and all retries must see the same numbers
     shape = materialize(blocks(queries, "_nq").join(blocks(index, "_ni"), group), "grid")
 
@@ -267,6 +271,3 @@ def _over_grid(queries, index, k, scorer, query_id, index_id, payload, group, sc
 
     return q.groupBy(*cell).cogroup(d.groupBy(*cell)).applyInArrow(run, schema)
 
-
-def blocks_needed(rows: int, block_rows: int = BLOCK_ROWS) -> int:
-    return max(1, math.ceil(rows / block_rows))

@@ -63,6 +63,12 @@ class OrderedGroups:
                 self.df = self.df.withColumn(f"_chunk{i}", F.when(F.col("_hot"), bucket))
                 self.levels.append(f"_chunk{i}")
             self.df = self.df.drop("_hot")
+        # chunk tables start from here, whatever columns the methods add
+        self.base = self.df
+
+    def _chunks(self):
+        rows = self.base.filter(F.col(self.levels[0]).isNotNull())
+        return rows.groupBy(*self.keys, *self.levels)
 
     def _window(self):
         return Window.partitionBy(*self.keys, *self.levels[:1]).orderBy(*self.order)
@@ -70,11 +76,7 @@ class OrderedGroups:
     def row_number(self, name: str) -> OrderedGroups:
         self.df = self.df.withColumn(name, F.row_number().over(self._window()).cast("long"))
         if self.levels:
-            chunks = (
-                self.df.filter(F.col(self.levels[0]).isNotNull())
-                .groupBy(*self.keys, *self.levels)
-                .agg(F.count(F.lit(1)).alias("_total"))
-            )
+            chunks = self._chunks().agg(F.count(F.lit(1)).alias("_total"))
             before = _totals_before(chunks, self.keys, self.levels)
             on = [*self.keys, self.levels[0]]
             self.df = (
@@ -92,11 +94,8 @@ class OrderedGroups:
         if self.levels:
             # wrapped in a struct so that a null value still counts as a neighbour
             inside = shift(F.struct(value)).over(self._window())
-            chunks = (
-                self.df.filter(F.col(self.levels[0]).isNotNull())
-                .groupBy(*self.keys, *self.levels)
-                .agg(edge(F.struct(F.col(value).alias("v")), F.struct(*self.order)).alias("_edge"))
-            )
+            first = edge(F.struct(F.col(value).alias("v")), F.struct(*self.order))
+            chunks = self._chunks().agg(first.alias("_edge"))
             across = _edge_beyond(chunks, self.keys, self.levels, step)
             on = [*self.keys, self.levels[0]]
             self.df = (

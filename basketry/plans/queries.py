@@ -14,12 +14,11 @@ from pyspark.sql import functions as F
 
 from basketry.functions import metrics, prompts
 from basketry.operators import ann, index, ratings, selections, split, transitions
-from basketry.operators.embed import embed
 from basketry.operators.generate import NeighbourGenerator, TransitionGenerator, generate
 from basketry.operators.keys import dense_id
 from basketry.plans import evaluation
 from basketry.plans.recommend import CatalogueSearch, DirectItem, recommend, recommend_sequence
-from basketry.session import scratch_path, tune
+from basketry.session import materialize, scratch_path, tune
 from basketry.sources import readers, retail, sinks
 from basketry.streaming import index_sync
 
@@ -422,7 +421,7 @@ def cells_recall(spark, base):
 
 @query
 def catalogue_state(spark, base):
-    return index.live_rows(retail.catalogue_changes(spark, base))
+    return index.live_rows(index.latest_changes(retail.catalogue_changes(spark, base)))
 
 
 @query
@@ -430,10 +429,10 @@ def index_synced(spark, base):
     """An index of the changes up to 1998, then brought up to date with the later ones."""
     changes = retail.catalogue_changes(spark, base)
     border = F.datediff(F.lit("1998-01-01").cast("date"), F.lit("1970-01-01").cast("date"))
-    old = index.live_rows(changes.filter(F.col("version") < border))
-    built = index.with_norm(embed(old, "text", _letter_model))
-    synced = index.sync_index(built, changes.filter(F.col("version") >= border), _letter_model)
-    return synced.select("id", "text", "version", F.round("norm", 6).alias("norm"))
+    old = index.latest_changes(changes.filter(F.col("version") < border))
+    state = materialize(index.embed_changes(old, _letter_model), "index-state")
+    synced = index.sync_index(state, changes.filter(F.col("version") >= border), _letter_model)
+    return index.live_rows(synced).select("id", "text", "version", F.round("norm", 6).alias("norm"))
 
 
 @query
@@ -454,7 +453,8 @@ def index_stream_synced(spark, base):
 
 
 def _id_truth(spark, base):
-    return evaluation.id_histories(_held_out(spark, base))
+    # the evaluation set is a table: histories, walks and scores all read it
+    return materialize(evaluation.id_histories(_held_out(spark, base)), "evaluation-ids")
 
 
 def _transition_generator(spark, base):

@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from basketry.operators.embed import ModelFactory, embed
-from basketry.operators.index import latest_changes, with_norm
+from basketry.operators.embed import ModelFactory
+from basketry.operators.index import embed_changes, latest_changes, live_rows
 
 
 def change_stream(spark: SparkSession, path: str, schema, files_per_trigger: int | None = None) -> DataFrame:
@@ -19,11 +18,7 @@ def change_stream(spark: SparkSession, path: str, schema, files_per_trigger: int
 
 
 def start_sync(
-    changes: DataFrame,
-    log_path: str,
-    checkpoint_path: str,
-    model: ModelFactory | None = None,
-    available_now: bool = True,
+    changes: DataFrame, log_path: str, checkpoint_path: str, model: ModelFactory, available_now: bool = True
 ) -> StreamingQuery:
     """Write each micro-batch, reduced to one change per id and embedded, to ``log_path``.
 
@@ -32,10 +27,7 @@ def start_sync(
     """
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        latest = latest_changes(batch)
-        if model is not None:
-            latest = with_norm(embed(latest, "text", model))
-        latest.write.mode("overwrite").parquet(f"{log_path}/batch={batch_id}")
+        embed_changes(latest_changes(batch), model).write.mode("overwrite").parquet(f"{log_path}/batch={batch_id}")
 
     writer = changes.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint_path)
     if available_now:
@@ -43,13 +35,19 @@ def start_sync(
     return writer.start()
 
 
-def synced_index(spark: SparkSession, log_path: str) -> DataFrame:
-    """The index as of the last finished batch: for each id the change that holds, without deletes."""
-    log = spark.read.option("basePath", log_path).parquet(f"{log_path}/batch=*").drop("batch")
-    vectors = [c for c in ("embedding", "norm") if c in log.columns]
-    is_delete = (F.col("op") == "delete").cast("int")
-    order = F.struct("version", is_delete.alias("d"), F.coalesce("text", F.lit("")).alias("t"))
-    held = log.groupBy("id").agg(
-        F.max_by(F.struct("text", "version", "op", *vectors), order).alias("c")
-    ).select("id", "c.*")
-    return held.filter((F.col("op") != "delete") & F.col("text").isNotNull()).drop("op")
+def index_state(spark: SparkSession, *log_paths: str) -> DataFrame:
+    """For each id the change that holds over all batches of the logs, deletes included.
+
+    Written to a path of its own as ``batch=0``, the state is a compacted log to read in place of the
+    batches it was made of.
+    """
+    logs = [spark.read.option("basePath", p).parquet(f"{p}/batch=*").drop("batch") for p in log_paths]
+    log = logs[0]
+    for other in logs[1:]:
+        log = log.unionByName(other)
+    return latest_changes(log)
+
+
+def synced_index(spark: SparkSession, *log_paths: str) -> DataFrame:
+    """The index ``(id, text, version, embedding, norm)`` as of the last finished batch."""
+    return live_rows(index_state(spark, *log_paths))
