@@ -35,18 +35,27 @@ def _add_int_lists(df: DataFrame, name: str, fn) -> DataFrame:
 
 
 FILE_ROWS = 1_000_000
+SIZING_ROWS = 1_000_000  # rows looked at to size the groups of an index
+ROWS_PER_CELL = 1_000  # rows per centre that the centres are fitted on
 
 
-def write_by_group(rows: DataFrame, group: str, file_rows: int = FILE_ROWS) -> DataFrame:
+def sample_share(df: DataFrame, rows: int) -> float:
+    """The share of ``df`` that holds about ``rows`` rows."""
+    return min(1.0, rows / max(1, df.count()))
+
+
+def write_by_group(rows: DataFrame, sample: DataFrame, share: float, group: str) -> DataFrame:
     """Write index rows in one folder per group and read them back.
 
-    A group of any size is written by as many tasks as it fills files, so a cell that holds a third
-    of the rows holds up nobody. There is one count per group.
+    A group is written by as many tasks as it fills files, so a cell that holds a third of the rows
+    holds up nobody. ``sample``, taken with ``share``, gives the sizes: one row per group.
     """
     spark = rows.sparkSession
-    counts = rows.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / file_rows).cast("long").alias("_files"))
-    spread = rows.join(materialize(counts, "groups"), group).withColumn(
-        "_file", F.pmod(F.xxhash64("id"), F.col("_files"))
+    per_file = FILE_ROWS * share
+    files = F.greatest(F.ceil(F.count(F.lit(1)) / per_file), F.lit(1)).cast("long")
+    sizes = materialize(sample.groupBy(group).agg(files.alias("_files")), "group-sizes")
+    spread = rows.join(sizes, group, "left").withColumn(
+        "_file", F.pmod(F.xxhash64("id"), F.coalesce("_files", F.lit(1)))
     )
     path = scratch_path(spark, "index")
     spread.repartition(group, "_file").drop("_files", "_file").write.partitionBy(group).parquet(path)
@@ -67,21 +76,23 @@ class CellIndex:
         cells: int = 16,
         seed: int = 7,
         max_iter: int = 10,
-        sample: float = 1.0,
+        rows_per_cell: int = ROWS_PER_CELL,
         keep: bool = True,
     ) -> CellIndex:
-        """``sample`` is the share of rows the centres are fitted on; all rows are indexed.
+        """Fit the centres on about ``rows_per_cell`` rows for each, then assign all rows.
 
         ``keep`` writes the index by cell, so that a search for few queries reads the cells it probes.
         """
+        share = sample_share(index, cells * rows_per_cell)
+        some = index if share == 1.0 else index.sample(False, share, seed)
         unit = F.transform("embedding", lambda x: x.cast("double") / F.nullif("norm", F.lit(0.0)))
-        train = index.filter("norm > 0").select(array_to_vector(unit).alias("features"))
-        if sample < 1.0:
-            train = train.sample(False, sample, seed)
+        train = some.filter("norm > 0").select(array_to_vector(unit).alias("features"))
         model = KMeans(k=cells, seed=seed, maxIter=max_iter).fit(train)
         centres = np.array(model.clusterCenters())
         rows = cls._assign(index, centres, 1)
-        return cls(write_by_group(rows, "cell") if keep else rows, centres)
+        if keep:
+            rows = write_by_group(rows, cls._assign(some, centres, 1), share, "cell")
+        return cls(rows, centres)
 
     @staticmethod
     def _assign(df: DataFrame, centres: np.ndarray, n: int) -> DataFrame:
@@ -128,7 +139,11 @@ class HashIndex:
     ) -> HashIndex:
         planes = hash_planes(tables, bits, dimensions)
         rows = cls._assign(index, planes)
-        return cls(write_by_group(rows, "bucket") if keep else rows, planes)
+        if keep:
+            share = sample_share(index, SIZING_ROWS)
+            some = index if share == 1.0 else index.sample(False, share, 7)
+            rows = write_by_group(rows, cls._assign(some, planes), share, "bucket")
+        return cls(rows, planes)
 
     @staticmethod
     def _assign(df: DataFrame, planes: np.ndarray) -> DataFrame:

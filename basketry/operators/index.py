@@ -113,7 +113,8 @@ class TextIndex:
         vectors = tfidf_vectors(queries, "query_id", text_col, self.idf)
         hits = top_k_join(vectors, self.vectors, k, SparseScore(), max_broadcast=max_broadcast, **options)
         if columns:
-            hits = hits.join(self.catalogue.select("id", *columns), "id")
+            # k rows per query, written so that the planner knows how few they are
+            hits = materialize(hits, "hits").join(self.catalogue.select("id", *columns), "id")
             hits = hits.select("query_id", "rank", "id", *columns, "score")
         return hits
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basketry.operators.keys import hash_id
+from basketry.operators.skew import splittable
 
 
 def purchase_events(orders: DataFrame) -> DataFrame:
@@ -31,10 +32,11 @@ def ratings(orders: DataFrame, order_products: DataFrame, products: DataFrame |
 
     The number of purchase events is joined to the orders, which are few, before the order lines come
     in; it then travels through the count by user and product. No join by user has to move the
-    ratings, and each join is followed by a shuffle on another key, where Spark can split a hot user
-    or a hot order by itself.
+    ratings, and both sides of each join come from a shuffle and go to one on another key, so that
+    Spark can split a hot user or a hot order by itself.
     """
-    with_events = orders.select("order_id", "user_id").join(purchase_events(orders), "user_id")
+    events = splittable(purchase_events(orders), "user_id", "purchase_events")
+    with_events = orders.select("order_id", "user_id").join(events, "user_id")
     counts = (
         order_products.select("order_id", "product_id")
         .join(with_events, "order_id")

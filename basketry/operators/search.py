@@ -24,7 +24,9 @@ from pyspark.sql.types import (
 from basketry.session import materialize
 
 SCORE_DIGITS = 6
+# Queries are sent to every task up to this many rows and vector entries (some 100 MB at the most).
 MAX_BROADCAST_QUERIES = 4096
+MAX_BROADCAST_ENTRIES = 4_000_000
 BLOCK_ROWS = 20_000  # rows of one side in a grid cell
 TILE = (512, 2048)  # queries x index rows scored at once inside a task
 
@@ -175,10 +177,15 @@ def top_k_join(
         + [StructField("score", DoubleType())]
     )
 
-    # at most max_broadcast + 1 rows reach the driver, whatever the size of the query table
-    head = queries.limit(max_broadcast + 1).toArrow()
-    if head.num_rows <= max_broadcast:
-        hits = _against_all(head, index, k, scorer, query_id, index_id, payload, group, schema)
+    # computed once; the size decides how they meet the index
+    queries = materialize(queries, "queries")
+    size = queries.agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.coalesce(F.sum(F.size(scorer.columns[0])), F.lit(0)).alias("entries"),
+    ).first()
+    if size["rows"] <= max_broadcast and size["entries"] <= MAX_BROADCAST_ENTRIES:
+        few = queries.toArrow()
+        hits = _against_all(few, index, k, scorer, query_id, index_id, payload, group, schema)
     else:
         hits = _over_grid(queries, index, k, scorer, query_id, index_id, payload, group, schema, block_rows)
     if group:
@@ -244,7 +251,6 @@ def _over_grid(queries, index, k, scorer, query_id, index_id, payload, group, sc
         rows = df.groupBy(group).agg(F.count(F.lit(1)).alias("rows"))
         return rows.select(group, F.ceil(F.col("rows") / block_rows).cast("long").alias(name))
 
-    queries = materialize(queries, "queries")
     # one row per group; written once, as both sides and all retries must see the same numbers
     shape = materialize(blocks(queries, "_nq").join(blocks(index, "_ni"), group), "grid")
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # A group up to this size is sorted by one task without trouble.
@@ -18,7 +18,15 @@ HOT_ROWS = 10_000_000
 PROBE_FRACTION = 0.01
 
 
-def hot_keys(probe: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS, fraction: float = 1.0) -> list:
+def hot_rows_setting(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.basketry.hotRows", str(HOT_ROWS)))
+
+
+def probe_fraction_setting(spark: SparkSession) -> float:
+    return float(spark.conf.get("spark.basketry.probeFraction", str(PROBE_FRACTION)))
+
+
+def hot_keys(probe: DataFrame, keys: Sequence[str], hot_rows: int, fraction: float = 1.0) -> list:
     """Keys with more than ``hot_rows`` rows, as a list of tuples.
 
     ``probe`` may be a sample taken with ``fraction``: it only selects the physical strategy, rows are
@@ -30,13 +38,25 @@ def hot_keys(probe: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS, fr
     return [tuple(row) for row in hot.toLocalIterator()]
 
 
+def splittable(grouped: DataFrame, *columns: str) -> DataFrame:
+    """Prepare the result of a grouping (or window) for a join on its key with skewed rows.
+
+    Spark splits a skewed partition of a join at run time only where both sides come straight from a
+    shuffle. A grouped side is already partitioned by the key and would be joined as it is, which
+    leaves a hot key to one task. Spread over ``columns``, the key and any other, it is shuffled for the
+    join like the other side; being grouped, it is the small one.
+    """
+    return grouped.repartition(*columns)
+
+
 class OrderedGroups:
     """Row numbers and neighbours of rows inside ``keys``, ordered by ``order``.
 
     ``order`` must be a total order inside a key and keys must not be null. ``buckets`` are used for
     hot keys only, finest first: each must not decrease along ``order`` and each must be a function of
     the finer one before it. ``probe`` is a sample of the rows taken with ``probe_fraction``, for input
-    that is cheaper to sample before it is joined together.
+    that is cheaper to sample before it is joined together. ``spark.basketry.hotRows`` and
+    ``spark.basketry.probeFraction`` set what is not given.
     """
 
     def __init__(
@@ -45,10 +65,13 @@ class OrderedGroups:
         keys: Sequence[str],
         order: Sequence[str],
         buckets: Sequence[Column],
-        hot_rows: int = HOT_ROWS,
+        hot_rows: int | None = None,
         probe: DataFrame | None = None,
-        probe_fraction: float = PROBE_FRACTION,
+        probe_fraction: float | None = None,
     ):
+        spark = df.sparkSession
+        hot_rows = hot_rows_setting(spark) if hot_rows is None else hot_rows
+        probe_fraction = probe_fraction_setting(spark) if probe_fraction is None else probe_fraction
         self.keys, self.order = list(keys), list(order)
         self.levels: list[str] = []
         self.df = df
@@ -57,7 +80,7 @@ class OrderedGroups:
         hot = hot_keys(probe, keys, hot_rows, probe_fraction)
         if hot:
             schema = df.select(*keys).schema
-            marks = df.sparkSession.createDataFrame(hot, schema).withColumn("_hot", F.lit(True))
+            marks = spark.createDataFrame(hot, schema).withColumn("_hot", F.lit(True))
             self.df = df.join(F.broadcast(marks), self.keys, "left")
             for i, bucket in enumerate(buckets):
                 self.df = self.df.withColumn(f"_chunk{i}", F.when(F.col("_hot"), bucket))

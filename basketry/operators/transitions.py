@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from basketry.operators.skew import HOT_ROWS, PROBE_FRACTION, OrderedGroups
+from basketry.operators.skew import OrderedGroups
 
 CHUNK = 4096  # cart positions per task group in cart_neighbours
 
@@ -17,9 +17,9 @@ def next_purchases(
     order: Sequence[str],
     buckets: Sequence[Column],
     user: str = "user_id",
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = None,
     probe: DataFrame | None = None,
-    probe_fraction: float = PROBE_FRACTION,
+    probe_fraction: float | None = None,
 ) -> DataFrame:
     """``(product_id, next_product)`` for each purchase that a user followed with another."""
     groups = OrderedGroups(

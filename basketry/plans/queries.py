@@ -16,6 +16,7 @@ from basketry.functions import metrics, prompts
 from basketry.operators import ann, index, ratings, selections, split, transitions
 from basketry.operators.generate import NeighbourGenerator, TransitionGenerator, generate
 from basketry.operators.keys import dense_id
+from basketry.operators.skew import probe_fraction_setting
 from basketry.plans import evaluation
 from basketry.plans.recommend import CatalogueSearch, DirectItem, recommend, recommend_sequence
 from basketry.session import materialize, scratch_path, tune
@@ -302,7 +303,7 @@ def scoring_payload(spark, base):
 def _transition_counts(spark, base):
     """Learned from the training part only: no held-out pair of user and product is seen."""
     train = split.in_train()
-    fraction = 0.01
+    fraction = probe_fraction_setting(spark)
     pairs = transitions.next_purchases(
         retail.purchases(spark, base).filter(train),
         retail.PURCHASE_ORDER,

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from basketry.functions.prompts import with_starter
 from basketry.operators.index import TextIndex
+from basketry.operators.skew import splittable
 from basketry.session import cut_lineage
 
 
@@ -49,7 +50,8 @@ class CatalogueSearch:
             texts.withColumn("text", F.col("query_id")), k, columns=("text",) if self.item == "text" else ()
         )
         found = hits.select(F.col("query_id").alias(text), "rank", F.col(self.item).alias("item"), "score")
-        out = generated.join(found, text)
+        # many histories may lead to one text
+        out = generated.join(splittable(found, text, "rank"), text)
         return out.drop("_text", "generated")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basketry.operators.keys import dense_id
-from basketry.operators.skew import HOT_ROWS, PROBE_FRACTION, OrderedGroups
+from basketry.operators.skew import OrderedGroups, splittable
 
 # the order of the lines inside an order; together with the order key it identifies a line, or
 # leaves only lines that agree in every column used here
@@ -36,15 +36,13 @@ def plain_lines(spark: SparkSession, base: str) -> DataFrame:
     )
 
 
-def orders(spark: SparkSession, base: str, hot_rows: int = HOT_ROWS, probe: float = PROBE_FRACTION) -> DataFrame:
+def orders(spark: SparkSession, base: str -> DataFrame:
     """Orders with their number and distance in days inside the user's history."""
     groups = OrderedGroups(
         plain_orders(spark, base),
         keys=["user_id"],
         order=["order_date", "order_id"],
         buckets=[F.to_date("order_date")],
-        hot_rows=hot_rows,
-        probe_fraction=probe,
     )
     placed = (
         groups.row_number("order_number")
@@ -64,29 +62,28 @@ def orders(spark: SparkSession, base: str, hot_rows: int = HOT_ROWS, probe: floa
     )
 
 
-def cart_positions(spark: SparkSession, base: str, hot_rows: int = HOT_ROWS, probe: float = PROBE_FRACTION) -> DataFrame:
+def cart_positions(spark: SparkSession, base: str -> DataFrame:
     """``(order_id, product_id, add_to_cart_order)``, positions 1, 2, 3 ... inside an order."""
     groups = OrderedGroups(
         plain_lines(spark, base),
         keys=["order_id"],
         order=LINE_ORDER,
         buckets=[F.struct("line_number", F.floor(F.col("product_id") / 4096).alias("range"))],
-        hot_rows=hot_rows,
-        probe_fraction=probe,
     )
     placed = groups.row_number("add_to_cart_order").result()
     return placed.select("order_id", "product_id", F.col("add_to_cart_order").cast("int"))
 
 
-def order_products(spark: SparkSession, base: str, hot_rows: int = HOT_ROWS, probe: float = PROBE_FRACTION) -> DataFrame:
+def order_products(spark: SparkSession, base: str -> DataFrame:
     """Order lines with cart position and whether an earlier order of the user holds the product."""
     when = F.struct("order_date", "order_id")
-    lines = cart_positions(spark, base, hot_rows, probe).join(plain_orders(spark, base), "order_id")
+    lines = cart_positions(spark, base).join(plain_orders(spark, base), "order_id")
     bought = (
         plain_lines(spark, base).select("order_id", "product_id").join(plain_orders(spark, base), "order_id")
     )
     # a count by user and product may be long, so no window: the minimum combines before the shuffle
     first = bought.groupBy("user_id", "product_id").agg(F.min(when).alias("first_bought"))
+    first = splittable(first, "user_id", "product_id", "first_bought")
     return lines.join(first, ["user_id", "product_id"]).select(
         "order_id",
         "product_id",

@@ -72,13 +72,42 @@ def test_transitions_of_a_hot_user(spark):
     assert pairs(20) == pairs(10**9)
 
 
-def test_cart_positions_and_order_numbers_of_hot_keys(spark, base):
-    from basketry.sources import retail
+HOT_SETTINGS = {
+    "spark.basketry.hotRows": "3",
+    "spark.basketry.probeFraction": "1.0",
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "2k",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "2k",
+}
+
+
+@pytest.fixture
+def settings(spark):
+    """Set some settings for one test."""
+    before = {}
+
+    def change(values):
+        for key, value in values.items():
+            before.setdefault(key, spark.conf.get(key, None))
+            spark.conf.set(key, value)
+
+    yield change
+    for key, value in before.items():
+        spark.conf.set(key, value) if value is not None else spark.conf.unset(key)
 
-    for make in (retail.orders, retail.cart_positions):
-        split = make(spark, base, hot_rows=3, probe=1.0)
-        whole = make(spark, base)
-        assert sorted(map(str, split.collect())) == sorted(map(str, whole.collect()))
+
+@pytest.mark.parametrize(
+    "name",
+    ["orders_shape", "order_products_shape", "transition_topk", "cooccurrence_topk", "recommend_neighbours", "map_by_name"],
+)
+def test_every_key_hot_and_nothing_broadcast(spark, base, settings, name):
+    import compare
+
+    settings(HOT_SETTINGS)
+    same, note = compare.compare(spark, compare.database(base), name, base)
+    assert same, note
 
 
 def brute_neighbours(orders, window):
@@ -105,3 +134,28 @@ def test_cart_neighbours_against_brute_force(spark, gaps):
         assert got == brute_neighbours(orders, window)
     with pytest.raises(ValueError):
         cart_neighbours(df, 5, 4)
+
+
+def test_skewed_joins_are_split(spark, tmp_path, settings):
+    """A user with a third of the orders and an order with a third of the lines; nothing broadcast."""
+    from basketry.operators import ratings
+
+    folder = str(tmp_path)
+    spark.range(0, 60000, 1, 16).selectExpr(
+        "id as order_id", "if(id % 3 = 0, 0, id % 5000 + 1) as user_id"
+    ).write.parquet(f"{folder}/orders")
+    spark.range(0, 90000, 1, 16).selectExpr(
+        "if(id % 3 = 0, 6, pmod(xxhash64(id), 60000)) as order_id", "pmod(xxhash64(id, 1), 3000) as product_id"
+    ).write.parquet(f"{folder}/lines")
+    orders, lines = spark.read.parquet(f"{folder}/orders"), spark.read.parquet(f"{folder}/lines")
+    expected = sorted(map(tuple, ratings.ratings(orders, lines).collect()))
+    settings(
+        {
+            **HOT_SETTINGS,
+            "spark.sql.files.maxPartitionBytes": "16k",
+            "spark.sql.files.openCostInBytes": "16k",
+        }
+    )
+    df = ratings.ratings(orders, lines)
+    assert sorted(map(tuple, df.collect())) == expected
+    assert df._jdf.queryExecution().executedPlan().toString().count("SortMergeJoin(skew=true)") == 2

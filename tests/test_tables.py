@@ -67,6 +67,24 @@ def test_tables_and_views(spark):
         spark.sql("USE default")
 
 
+def test_bucketed_tables_join_without_a_shuffle(spark, base):
+    from basketry.sources import retail
+
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        sinks.overwrite_table(retail.plain_orders(spark, base), "b_orders", buckets=(4, "order_id"))
+        sinks.overwrite_table(retail.line_pairs(spark, base), "b_lines", buckets=(4, "order_id"))
+        joined = spark.table("b_orders").join(spark.table("b_lines"), "order_id")
+        text = joined._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in text and "Exchange" not in text
+        assert joined.count() == retail.line_pairs(spark, base).count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        for name in ("b_orders", "b_lines"):
+            sinks.drop_table(spark, name)
+
+
 def test_projections(spark):
     df = spark.createDataFrame([(1, "a"), (2, "b")], "product_id int, product_name string")
     assert readers.as_catalogue(df).columns == ["id", "product"]
