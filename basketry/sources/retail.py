@@ -36,7 +36,7 @@ def plain_lines(spark: SparkSession, base: str) -> DataFrame:
     )
 
 
-def orders(spark: SparkSession, base: str -> DataFrame:
+def orders(spark: SparkSession, base: str) -> DataFrame:
     """Orders with their number and distance in days inside the user's history."""
     groups = OrderedGroups(
         plain_orders(spark, base),
@@ -62,7 +62,7 @@ def orders(spark: SparkSession, base: str -> DataFrame:
     )
 
 
-def cart_positions(spark: SparkSession, base: str -> DataFrame:
+def cart_positions(spark: SparkSession, base: str) -> DataFrame:
     """``(order_id, product_id, add_to_cart_order)``, positions 1, 2, 3 ... inside an order."""
     groups = OrderedGroups(
         plain_lines(spark, base),
@@ -74,7 +74,7 @@ def cart_positions(spark: SparkSession, base: str -> DataFrame:
     return placed.select("order_id", "product_id", F.col("add_to_cart_order").cast("int"))
 
 
-def order_products(spark: SparkSession, base: str -> DataFrame:
+def order_products(spark: SparkSession, base: str) -> DataFrame:
     """Order lines with cart position and whether an earlier order of the user holds the product."""
     when = F.struct("order_date", "order_id")
     lines = cart_positions(spark, base).join(plain_orders(spark, base), "order_id")
