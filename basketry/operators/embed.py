@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 
 from basketry.functions.text import tokens
+from basketry.session import materialize
 
 # () -> (list of texts -> list of vectors); the outer call loads the model, once per task
 ModelFactory = Callable[[], Callable[[Sequence[str]], Sequence[Sequence[float]]]]
@@ -58,15 +59,21 @@ def term_counts(docs: DataFrame, key: str, text_col: str) -> DataFrame:
 
 
 def inverse_document_frequency(docs: DataFrame, text_col: str) -> DataFrame:
-    """``(term, idf)`` with ``idf = ln((n + 1) / (df + 1)) + 1`` over the non-null texts."""
+    """``(term, idf)`` with ``idf = ln((n + 1) / (df + 1)) + 1`` over the non-null texts.
+
+    The texts are read once: the empty term, which no text has, is counted in each of them and so
+    gives ``n``. The counts, one row per term, are written, as the index and its queries both read them.
+    """
     texts = docs.filter(F.col(text_col).isNotNull())
-    n = texts.agg(F.count(F.lit(1)).alias("n")).scalar()
-    frequency = (
-        texts.select(F.explode(F.array_distinct(tokens(text_col))).alias("term"))
-        .groupBy("term")
-        .agg(F.count(F.lit(1)).alias("df"))
+    terms = F.array_append(F.array_distinct(tokens(text_col)), F.lit(""))
+    frequency = materialize(
+        texts.select(F.explode(terms).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")),
+        "document-frequency",
     )
-    return frequency.select("term", (F.log((n + 1) / (F.col("df") + 1)) + 1).alias("idf"))
+    everything = frequency.filter("term = ''").first()
+    n = everything["df"] if everything else 0
+    idf = F.log(F.lit(n + 1.0) / (F.col("df") + 1)) + 1
+    return frequency.filter("term <> ''").select("term", idf.alias("idf"))
 
 
 def tfidf_weights(counts: DataFrame, idf: DataFrame, key: str) -> DataFrame:

@@ -93,8 +93,7 @@ class TextIndex:
         catalogue = docs.filter(F.col(text_col).isNotNull()).select(
             F.col(key).alias("id"), F.col(text_col).alias("text")
         )
-        # read by the index and by the queries of every search: one row per term
-        idf = materialize(inverse_document_frequency(catalogue, "text"), "idf")
+        idf = inverse_document_frequency(catalogue, "text")
         vectors = tfidf_vectors(catalogue, "id", "text", idf)
         if keep:
             vectors = materialize(vectors, "vectors")

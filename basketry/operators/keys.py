@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from basketry.session import cut_lineage
+from basketry.session import materialize
 
 _POSITION_BITS = 33  # monotonically_increasing_id keeps the partition number above these bits
 
@@ -14,13 +14,13 @@ def dense_id(df: DataFrame, order: str | list[str], name: str = "id", partitions
     """Number the rows 0, 1, 2 ... along ``order`` without sorting them in one task.
 
     Rows are range-partitioned, numbered inside their partition and shifted by the number of rows in
-    the partitions before. The tagged rows are checkpointed: range bounds come from a sample, and the
+    the partitions before. The tagged rows are written first: range bounds come from a sample, and the
     counts must see the same partitions as the rows. ``order`` must be a unique key.
     """
     cols = [order] if isinstance(order, str) else list(order)
     ranged = df.repartitionByRange(partitions, *cols) if partitions else df.repartitionByRange(*cols)
     tagged = ranged.sortWithinPartitions(*cols).withColumn("_tag", F.monotonically_increasing_id())
-    tagged = cut_lineage(tagged).withColumn("_part", F.shiftright("_tag", _POSITION_BITS))
+    tagged = materialize(tagged, "numbered").withColumn("_part", F.shiftright("_tag", _POSITION_BITS))
     # one row per partition: the frame is as long as the number of partitions
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (

@@ -27,7 +27,7 @@ SCORE_DIGITS = 6
 # Queries are sent to every task up to this many rows and vector entries (some 100 MB at the most).
 MAX_BROADCAST_QUERIES = 4096
 MAX_BROADCAST_ENTRIES = 4_000_000
-BLOCK_ROWS = 20_000  # rows of one side in a grid cell
+BLOCK_ROWS = 4096  # rows of one side in a grid cell
 TILE = (512, 2048)  # queries x index rows scored at once inside a task
 
 

@@ -307,6 +307,10 @@ FROM (SELECT DISTINCT p_brand AS aisle FROM part)""",
         *RATING_CTES,
         select=f"SELECT {ROUNDED} FROM rated WHERE {SAMPLE_BUCKET} < 10",
     ),
+    "rating_counts": _with(
+        *RATING_CTES,
+        select=f"SELECT count(*) AS total, count(*) FILTER ({SAMPLE_BUCKET} < 10) AS sample FROM rated",
+    ),
     "selections_all_users": _with(*CHOSEN_CTES, select=f"SELECT {SELECTIONS} FROM everyone"),
     "selections_ties": _with(*CHOSEN_CTES, select=f"SELECT {SELECTIONS} FROM chosen"),
     "selections_strict": _with(
@@ -413,6 +417,16 @@ ranked AS (
         ),
         select="SELECT user_id, rank, id AS item, score FROM wanted JOIN ranked USING (query_id) WHERE rank <= 3",
     ),
+    "recommend_prompted": _with(
+        *NAMED_CTES, HISTORIES, _started(("red widget", "small ring", "hot plate")),
+        "wanted AS (SELECT user_id, 'Something like: ' || history[len(history)] AS query_id FROM started)",
+        _text_ctes(
+            "SELECT product_id AS id, product_name AS text FROM prod",
+            "SELECT DISTINCT query_id, query_id AS text FROM wanted",
+        ),
+        select="""SELECT user_id, rank, text AS item, score
+FROM wanted JOIN ranked USING (query_id) JOIN docs USING (id) WHERE rank <= 3""",
+    ),
     "recommend_neighbours": _with(
         *CHOSEN_CTES, TRUTH, CART, NEIGHBOURS,
         """offers AS (

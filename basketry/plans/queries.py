@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from basketry.functions import metrics, prompts
 from basketry.operators import ann, index, ratings, selections, split, transitions
-from basketry.operators.generate import NeighbourGenerator, TransitionGenerator, generate
+from basketry.operators.generate import NeighbourGenerator, PromptGenerator, TransitionGenerator, generate
 from basketry.operators.keys import dense_id
 from basketry.operators.skew import probe_fraction_setting
 from basketry.plans import evaluation
@@ -23,6 +23,8 @@ from basketry.session import materialize, scratch_path, tune
 from basketry.sources import readers, retail, sinks
 from basketry.streaming import index_sync
 
+STARTER_PRODUCTS = ("red widget", "small ring", "hot plate")
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
@@ -157,6 +159,14 @@ def ratings_hash_sample(spark, base):
     return _rounded(split.hash_sample(ratings.ratings(*_order_tables(spark, base)), "product_id", "user_id"))
 
 
+@query
+def rating_counts(spark, base):
+    """Number of ratings and of sampled ratings, in one pass."""
+    rated = ratings.ratings(*_order_tables(spark, base))
+    sampled = split.hash_bucket("product_id", "user_id") < 10
+    return rated.agg(F.count(F.lit(1)).alias("total"), F.count_if(sampled).alias("sample"))
+
+
 @query
 def ratings_random_sample(spark, base):
     return _rounded(split.bernoulli_sample(ratings.ratings(*_order_tables(spark, base))))
@@ -475,6 +485,30 @@ def recommend_one(spark, base):
     )
 
 
+def _echoing_responder():
+    """Stands in for a text generation service: asks for something like the last item of the prompt."""
+
+    def answer(prompt: str) -> str:
+        bought = prompt.split("A user bought ", 1)[1].rsplit(" in that order.", 1)[0]
+        return json.dumps({"candidates": [{"text": "Something like: " + bought.split(", and ")[-1]}]})
+
+    return lambda texts: [answer(t) for t in texts]
+
+
+@query
+def recommend_prompted(spark, base):
+    """History of names, or a starter -> prompt -> generated text -> nearest catalogue items, by text."""
+    catalogue = readers.as_catalogue(retail.plain_products(spark, base))
+    built = index.TextIndex.build(catalogue, "id", "product", keep=True)
+    return recommend(
+        materialize(_named_histories(spark, base), "histories"),
+        PromptGenerator(_echoing_responder),
+        CatalogueSearch(built, item="text"),
+        k=3,
+        starters=STARTER_PRODUCTS,
+    )
+
+
 @query
 def recommend_neighbours(spark, base):
     generator = NeighbourGenerator.fit(_neighbour_counts(spark, base))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from basketry.functions.prompts import with_starter
 from basketry.operators.index import TextIndex
 from basketry.operators.skew import splittable
-from basketry.session import cut_lineage
+from basketry.session import materialize
 
 
 @dataclass
@@ -40,7 +40,8 @@ class CatalogueSearch:
     lazy = False
 
     def retrieve(self, generated: DataFrame, k: int) -> DataFrame:
-        text = "generated"
+        # a model is asked once: its texts are both searched and joined to the results
+        generated, text = materialize(generated, "generated"), "generated"
         if self.names is not None:
             names = self.names.select(F.col("product_id").alias("generated"), F.col("product_name").alias("_text"))
             generated, text = generated.join(names, "generated"), "_text"
@@ -93,7 +94,7 @@ def recommend_sequence(
     """``(user, recommendations)``: ``steps`` items, each chosen with the ones before in the history.
 
     The steps run over the distinct start states, not over the users, who are joined at the end. When
-    a step reads the walk more than once, the walk is checkpointed so that the plan does not double.
+    a step reads the walk more than once, the walk is written first, so that the plan does not double.
     """
     placed = _states(histories, generator, user, starters, seed)
     walk = placed.select("start").distinct().withColumn("state", F.col("start"))
@@ -113,7 +114,7 @@ def recommend_sequence(
         # a step that found nothing leaves the history as it is
         walk = walk.withColumn("state", F.when(F.col(taken[-1]).isNull(), F.col("state")).otherwise(moved))
         if not (generator.row_wise and retriever.lazy):
-            walk = cut_lineage(walk)
+            walk = materialize(walk, "walk")
     # without nulls, in step order
     paths = walk.select(
         F.col("start").alias("_start"), F.array_compact(F.array(*taken)).alias("recommendations")

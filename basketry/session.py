@@ -61,27 +61,21 @@ def shared_dir(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         root = tempfile.mkdtemp(prefix="basketry-")
-    if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(root)
     return root
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path for a table of this run inside the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: the rows survive the loss of any executor."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """A fresh path inside the shared folder, under one folder per application."""
+    root = shared_dir(spark).rstrip("/")
+    return f"{root}/basketry-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
-    Against a checkpoint this keeps column pruning and gives the planner the true size, so that it
-    can decide on a broadcast by itself.
+    Cuts the lineage and survives the loss of any executor, like a checkpoint, but keeps column
+    pruning and gives the planner the true size, so that it can decide on a broadcast by itself.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)

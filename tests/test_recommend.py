@@ -123,6 +123,26 @@ def test_prompted_recommendations(spark):
     assert walks["c"] == ["paper clip", "desk lamp", "red pen"]
 
 
+def test_a_model_is_asked_once_per_state(spark):
+    asked = spark.sparkContext.accumulator(0)
+
+    def counting():
+        def answer(texts):
+            asked.add(len(texts))
+            return clerk()(texts)
+
+        return answer
+
+    catalogue = spark.createDataFrame(CATALOGUE, "id long, product string")
+    built = index.TextIndex.build(catalogue, "id", "product", keep=True)
+    people = named(spark, [(str(i), [["red pen", "blue ink", "desk lamp"][i % 3]]) for i in range(60)])
+    search = CatalogueSearch(built, item="text")
+    assert recommend(people, PromptGenerator(counting), search, 2).count() > 60
+    assert asked.value == 3
+    assert recommend_sequence(people, PromptGenerator(counting), search, 2).count() == 60
+    assert asked.value == 3 + 2 * 3
+
+
 def test_a_step_that_finds_nothing_leaves_the_history(spark):
     catalogue = spark.createDataFrame([(1, "unrelated")], "id long, product string")
     built = index.TextIndex.build(catalogue, "id", "product")
