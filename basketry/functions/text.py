@@ -10,4 +10,4 @@ from basketry.functions.arrays import _col
 
 def tokens(text: str | Column) -> Column:
     """Lower-case runs of letters and digits, in order."""
-    return F.filter(F.split(F.lower(_col(text)), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+    return F.array_remove(F.split(F.lower(_col(text)), r"[^\p{L}\p{N}]+"), "")

@@ -48,9 +48,11 @@ def term_counts(docs: DataFrame, key: str, text_col: str) -> DataFrame:
     """``(key, term, tf)``.
 
     The texts are shuffled once by key; the count by key and term, and the grouping by key that
-    follows in ``tfidf_vectors``, then need no shuffle of their own.
+    follows in ``tfidf_vectors``, then need no shuffle of their own. The number of partitions is given,
+    as short texts still mean much work and adaptive execution would join partitions by their bytes.
     """
-    placed = docs.select(key, text_col).repartition(key)
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = docs.select(key, text_col).repartition(partitions, key)
     return (
         placed.select(key, F.explode(tokens(text_col)).alias("term"))
         .groupBy(key, "term")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basketry.operators.embed import (
@@ -15,6 +15,7 @@ from basketry.operators.embed import (
 )
 from basketry.operators.search import MAX_BROADCAST_QUERIES, DenseScore, SparseScore, top_k_join
 from basketry.session import materialize
+from basketry.sources.sinks import create_table, overwrite_table
 
 
 class DuplicateKeyError(ValueError):
@@ -75,6 +76,33 @@ def search_text_with_model(
     return search_vectors(vectors, index, k, columns, **options)
 
 
+def create_index(
+    spark: SparkSession,
+    source_table: str,
+    index_table: str,
+    primary_key: str,
+    index_column: str,
+    model: ModelFactory,
+) -> None:
+    """Embed a column of a table and save the index under a new name."""
+    create_table(build_index(spark.table(source_table), primary_key, index_column, model), index_table)
+
+
+def similarity_search(
+    spark: SparkSession,
+    index_table: str,
+    query_text: str,
+    model: ModelFactory,
+    columns: tuple[str, ...] = ("id", "text"),
+    num_results: int = 5,
+) -> DataFrame:
+    """The rows of a saved index nearest to one text: the requested columns and the score, best first."""
+    query = spark.createDataFrame([(0, query_text)], "query_id int, text string")
+    carried = tuple(c for c in columns if c != "id")
+    hits = search_text_with_model(query, spark.table(index_table), num_results, model, columns=carried)
+    return hits.orderBy("rank").select(*columns, "score")
+
+
 @dataclass
 class TextIndex:
     """TF-IDF index of a catalogue: ``vectors`` (id, terms, weights, norm) and ``idf`` (term, idf)."""
@@ -99,6 +127,16 @@ class TextIndex:
             vectors = materialize(vectors, "vectors")
         return cls(vectors, idf, catalogue)
 
+    def save(self, name: str) -> None:
+        """Save under ``name_vectors``, ``name_terms`` and ``name_catalogue``, replacing what is there."""
+        overwrite_table(self.vectors, f"{name}_vectors")
+        overwrite_table(self.idf, f"{name}_terms")
+        overwrite_table(self.catalogue, f"{name}_catalogue")
+
+    @classmethod
+    def load(cls, spark: SparkSession, name: str) -> TextIndex:
+        return cls(*(spark.table(f"{name}_{part}") for part in ("vectors", "terms", "catalogue")))
+
     def search(
         self,
         queries: DataFrame,

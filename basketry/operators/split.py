@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from basketry.session import materialize
+
 
 def hash_bucket(*cols: str | Column, buckets: int = 100) -> Column:
     """A bucket 0 .. buckets-1 that any engine with md5 can recompute."""
@@ -23,7 +25,9 @@ def hash_split(ratings: DataFrame, train_share: float = 0.8) -> tuple[DataFrame,
 
 
 def random_split(ratings: DataFrame, train_share: float = 0.8, seed: int = 42) -> list[DataFrame]:
-    return ratings.randomSplit([train_share, 1 - train_share], seed)
+    """Split by chance. Each part scans the rows again and draws by their place in a partition, so the
+    rows are written first: computed twice, they might be placed differently and fall in both parts."""
+    return materialize(ratings, "to-split").randomSplit([train_share, 1 - train_share], seed)
 
 
 def bernoulli_sample(df: DataFrame, fraction: float = 0.1, seed: int = 42) -> DataFrame:

@@ -214,3 +214,26 @@ def test_embed_keeps_rows_and_null_texts(spark):
     rows = embed(df, "t", model, batch_size=7).collect()
     assert len(rows) == 1000
     assert all((r.embedding is None) if r.id % 3 == 0 else r.embedding == [5.0] for r in rows)
+
+
+def test_named_index(spark):
+    def model():
+        return lambda texts: [[float(t.count(c)) for c in "abcdefghijklmnopqrstuvwxyz"] for t in texts]
+
+    from basketry.sources import sinks
+
+    names = ("descriptions", "descriptions_index", "shop_vectors", "shop_terms", "shop_catalogue")
+    rows = [(0, "a toaster for bread"), (1, "vacuum cleaner"), (2, "coffee mill")]
+    try:
+        sinks.create_table(spark.createDataFrame(rows, "id long, text string"), names[0])
+        index.create_index(spark, "descriptions", "descriptions_index", "id", "text", model)
+        best = index.similarity_search(spark, "descriptions_index", "vacuum cleaner", model, num_results=2).collect()
+        assert best[0].text == "vacuum cleaner" and best[0].score == 1.0 and len(best) == 2
+        assert best[0].asDict().keys() == {"id", "text", "score"}
+        index.TextIndex.build(spark.table("descriptions"), "id", "text").save("shop")
+        loaded = index.TextIndex.load(spark, "shop")
+        asked = spark.createDataFrame([(1, "I want to buy a toaster")], "query_id int, text string")
+        assert loaded.search(asked, 1, columns=("text",)).first().text == "a toaster for bread"
+    finally:
+        for name in names:
+            sinks.drop_table(spark, name)
