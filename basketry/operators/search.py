@@ -13,7 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import (
     DoubleType,
@@ -24,10 +24,14 @@ from pyspark.sql.types import (
 from basketry.session import materialize
 
 SCORE_DIGITS = 6
-# Queries are sent to every task up to this many rows and vector entries (some 100 MB at the most).
+# Queries are sent to every task up to this many rows and bytes, which are counted before.
 MAX_BROADCAST_QUERIES = 4096
-MAX_BROADCAST_ENTRIES = 4_000_000
-BLOCK_ROWS = 4096  # rows of one side in a grid cell
+MAX_BROADCAST_BYTES = 64 << 20
+# A grid cell holds up to so many rows of each side. The index block is large, as each cell sends on its
+# best k per query, and smaller only where there would be fewer cells than cores.
+QUERY_BLOCK = 4096
+INDEX_BLOCK = 50_000
+SMALL_INDEX_BLOCK = 2048
 TILE = (512, 2048)  # queries x index rows scored at once inside a task
 
 
@@ -37,6 +41,10 @@ class DenseScore:
 
     columns = ("embedding", "norm")
 
+    def size(self) -> Column:
+        """Bytes of a vector."""
+        return F.size("embedding") * F.lit(8)
+
     def scores(self, queries: pa.Table, index: pa.Table) -> np.ndarray:
         return self._matrix(queries) @ self._matrix(index).T
 
@@ -55,6 +63,9 @@ class SparseScore:
     columns = ("terms", "weights", "norm")
     products_at_once: int = 4_000_000
 
+    def size(self) -> Column:
+        return F.size("terms") * F.lit(12) + F.octet_length(F.array_join("terms", ""))
+
     def scores(self, queries: pa.Table, index: pa.Table) -> np.ndarray:
         q_rows, q_terms, q_weights = self._entries(queries)
         vocabulary = pc.unique(q_terms)
@@ -157,7 +168,8 @@ def top_k_join(
     payload: tuple[str, ...] = (),
     group: str | None = None,
     max_broadcast: int = MAX_BROADCAST_QUERIES,
-    block_rows: int = BLOCK_ROWS,
+    query_block: int = QUERY_BLOCK,
+    index_block: int = INDEX_BLOCK,
 ) -> DataFrame:
     """``(query_id, rank, id, *payload, score)``: the ``k`` best index rows of each query.
 
@@ -168,7 +180,8 @@ def top_k_join(
     groups = [group] if group else []
     q_cols = [query_id, *groups, *scorer.columns]
     i_cols = [index_id, *groups, *payload, *scorer.columns]
-    queries, index = queries.select(*q_cols), index.select(*i_cols)
+    has_vector = F.col(scorer.columns[0]).isNotNull()
+    queries, index = queries.filter(has_vector).select(*q_cols), index.filter(has_vector).select(*i_cols)
     if query_id in i_cols:
         raise ValueError(f"rename the query key: {query_id!r} is a column of the index too")
     schema = StructType(
@@ -179,15 +192,16 @@ def top_k_join(
 
     # computed once; the size decides how they meet the index
     queries = materialize(queries, "queries")
+    row_bytes = scorer.size() + F.octet_length(F.col(query_id).cast("string")) + 16
     size = queries.agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.coalesce(F.sum(F.size(scorer.columns[0])), F.lit(0)).alias("entries"),
+        F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(row_bytes), F.lit(0)).alias("bytes")
     ).first()
-    if size["rows"] <= max_broadcast and size["entries"] <= MAX_BROADCAST_ENTRIES:
+    if size["rows"] <= max_broadcast and size["bytes"] <= MAX_BROADCAST_BYTES:
         few = queries.toArrow()
         hits = _against_all(few, index, k, scorer, query_id, index_id, payload, group, schema)
     else:
-        hits = _over_grid(queries, index, k, scorer, query_id, index_id, payload, group, schema, block_rows)
+        blocks = query_block, index_block
+        hits = _over_grid(queries, index, k, scorer, query_id, index_id, payload, group, schema, blocks)
     if group:
         hits = hits.groupBy(query_id, index_id, *payload).agg(F.max("score").alias("score"))
     best_first = Window.partitionBy(query_id).orderBy(F.desc("score"), index_id)
@@ -237,8 +251,8 @@ def _by_group(queries: pa.Table, index: pa.Table, group: str | None):
             yield q, index.filter(pc.equal(index.column(group), value))
 
 
-def _over_grid(queries, index, k, scorer, query_id, index_id, payload, group, schema, block_rows) -> DataFrame:
-    """Cut both sides of each group into blocks of about ``block_rows`` and pair the blocks.
+def _over_grid(queries, index, k, scorer, query_id, index_id, payload, group, schema, blocks) -> DataFrame:
+    """Cut both sides of each group into blocks and pair the blocks.
 
     Ids are unique, so hashing them fills the blocks evenly, and a group of any size is spread over
     as many cells as its rows need.
@@ -247,12 +261,20 @@ def _over_grid(queries, index, k, scorer, query_id, index_id, payload, group, sc
     if group == "_group":
         queries, index = queries.withColumn(group, F.lit(0)), index.withColumn(group, F.lit(0))
 
-    def blocks(df, name):
-        rows = df.groupBy(group).agg(F.count(F.lit(1)).alias("rows"))
-        return rows.select(group, F.ceil(F.col("rows") / block_rows).cast("long").alias(name))
+    query_block, index_block = blocks
+    cores = index.sparkSession.sparkContext.defaultParallelism
 
+    def rows(df, name):
+        return df.groupBy(group).agg(F.count(F.lit(1)).alias(name))
+
+    n_q = F.ceil(F.col("q") / query_block)
+    n_i = F.greatest(
+        F.ceil(F.col("i") / index_block),
+        F.least(F.ceil(F.col("i") / SMALL_INDEX_BLOCK), F.ceil(cores / n_q)),
+    )
     # one row per group; written once, as both sides and all retries must see the same numbers
-    shape = materialize(blocks(queries, "_nq").join(blocks(index, "_ni"), group), "grid")
+    shape = rows(queries, "q").join(rows(index, "i"), group)
+    shape = materialize(shape.select(group, n_q.cast("long").alias("_nq"), n_i.cast("long").alias("_ni")), "grid")
 
     def place(df, key, own, n_own, other, n_other):
         return (

@@ -56,7 +56,7 @@ def close(a, b):
 def test_dense_exact(spark, copies, max_broadcast):
     q, d = vectors(25, 1), vectors(180, 2, copies=copies)
     hits = index.search_vectors(
-        frame(spark, q, "query_id"), frame(spark, d), 5, max_broadcast=max_broadcast, block_rows=40
+        frame(spark, q, "query_id"), frame(spark, d), 5, max_broadcast=max_broadcast, query_block=10, index_block=40
     )
     close(collected(hits), brute(q, d, 5))
 
@@ -68,6 +68,29 @@ def test_fewer_rows_than_k_and_no_queries(spark):
     assert index.search_vectors(none, frame(spark, d), 5).count() == 0
 
 
+def test_rows_without_a_vector_are_left_out(spark):
+    rows = [(1, [1.0, 0.0]), (2, None)]
+    d = index.with_norm(spark.createDataFrame(rows, "id long, embedding array<float>"))
+    q = d.withColumnRenamed("id", "query_id")
+    for limit in (10, 0):
+        hits = index.search_vectors(q, d, 5, max_broadcast=limit).collect()
+        assert [(r.query_id, r.id) for r in hits] == [(1, 1)]
+
+
+def test_many_bytes_of_queries_are_not_broadcast(spark, monkeypatch):
+    from basketry.operators import search
+
+    docs, queries = corpus(5, 60), corpus(6, 10)
+    built = index.TextIndex.build(spark.createDataFrame(list(docs.items()), "id long, text string"), "id", "text", keep=True)
+    asked = spark.createDataFrame(list(queries.items()), "query_id long, text string")
+    few = built.search(asked, 3)
+    monkeypatch.setattr(search, "MAX_BROADCAST_BYTES", 100)
+    many = built.search(asked, 3)
+    plans = [df._jdf.queryExecution().executedPlan().toString() for df in (few, many)]
+    assert "MapInArrow" in plans[0] and "MapInArrow" not in plans[1] and "CoGroup" in plans[1]
+    close(collected(few), collected(many))
+
+
 def test_payload_and_string_ids(spark):
     rows = [("b", "text b", [1.0, 0.0]), ("a", "text a", [1.0, 0.0]), ("c", "text c", [0.0, 1.0])]
     d = index.with_norm(spark.createDataFrame(rows, "id string, text string, embedding array<float>"))
@@ -130,7 +153,7 @@ def test_text_search(spark, max_broadcast, keep):
         spark.createDataFrame(list(docs.items()) + [(300, None)], "doc long, body string"), "doc", "body", keep=keep
     )
     asked = spark.createDataFrame(list(queries.items()), "query_id long, text string")
-    hits = built.search(asked, 5, max_broadcast=max_broadcast, block_rows=32)
+    hits = built.search(asked, 5, max_broadcast=max_broadcast, query_block=8, index_block=32)
     close(collected(hits), brute_tfidf(docs, queries, 5))
     texts = built.search(asked, 1, columns=("text",)).collect()
     assert all(r.text == docs[r.id] for r in texts)
@@ -164,7 +187,7 @@ def test_cells_are_exact_inside_the_probed_cells(spark, max_broadcast):
     probed = {}
     for r in cells.probe(queries, 2).collect():
         probed.setdefault(r.query_id, set()).add(r.cell)
-    hits = cells.search(queries, 5, n_probe=2, max_broadcast=max_broadcast, block_rows=16)
+    hits = cells.search(queries, 5, n_probe=2, max_broadcast=max_broadcast, query_block=7, index_block=16)
     close(collected(hits), brute(q, d, 5, lambda i, j: of_row[j] in probed[i]))
     exact = index.search_vectors(queries, frame(spark, d), 5)
     recall = ann.recall_at_k(hits, exact).first().recall
@@ -184,7 +207,7 @@ def test_hash_tables(spark, max_broadcast):
         a, b = (planes @ q[i].astype(float) >= 0), (planes @ d[j].astype(float) >= 0)
         return bool((a == b).all(axis=1).any())
 
-    hits = built.search(frame(spark, q, "query_id"), 5, max_broadcast=max_broadcast, block_rows=16)
+    hits = built.search(frame(spark, q, "query_id"), 5, max_broadcast=max_broadcast, query_block=7, index_block=16)
     close(collected(hits), {i: v for i, v in brute(q, d, 5, same).items() if v})
 
 
