@@ -427,6 +427,24 @@ ranked AS (
         select="""SELECT user_id, rank, text AS item, score
 FROM wanted JOIN ranked USING (query_id) JOIN docs USING (id) WHERE rank <= 3""",
     ),
+    "sequence_prompted": _with(
+        *NAMED_CTES, HISTORIES, _started(("red widget", "small ring", "hot plate")),
+        """first_words AS (SELECT DISTINCT string_split(p_name, ' ')[1] AS a FROM part),
+second_words AS (SELECT DISTINCT string_split(p_name, ' ')[2] AS b FROM part)""",
+        _text_ctes(
+            "SELECT product_id AS id, product_name AS text FROM prod",
+            "SELECT a || ' ' || b AS query_id, a || ' ' || b AS text FROM first_words CROSS JOIN second_words",
+        ),
+        "found AS (SELECT query_id, text AS item FROM ranked JOIN docs USING (id) WHERE rank = 1)",
+        "walk0 AS (SELECT user_id, string_split(history[1], ' ')[2] AS noun, history[len(history)] AS item0 FROM started)",
+        *[
+            f"""walk{i} AS (
+  SELECT w.*, f.item AS item{i} FROM walk{i - 1} w
+  JOIN found f ON f.query_id = string_split(w.item{i - 1}, ' ')[1] || ' ' || w.noun)"""
+            for i in (1, 2, 3)
+        ],
+        select="SELECT user_id, item1 || '|' || item2 || '|' || item3 AS recommendations FROM walk3",
+    ),
     "recommend_neighbours": _with(
         *CHOSEN_CTES, TRUTH, CART, NEIGHBOURS,
         """offers AS (

@@ -509,6 +509,32 @@ def recommend_prompted(spark, base):
     )
 
 
+def _mixing_responder():
+    """Stands in for a text generation service: first word of the last item, second of the first."""
+
+    def answer(prompt: str) -> str:
+        bought = prompt.split("A user bought ", 1)[1].rsplit(" in that order.", 1)[0]
+        items = bought.replace(", and ", ", ").split(", ")
+        return json.dumps({"candidates": [{"text": items[-1].split(" ")[0] + " " + items[0].split(" ")[1]}]})
+
+    return lambda texts: [answer(t) for t in texts]
+
+
+@query
+def sequence_prompted(spark, base):
+    """Three steps for every customer: each found item joins the history that the next prompt names."""
+    catalogue = readers.as_catalogue(retail.plain_products(spark, base))
+    built = index.TextIndex.build(catalogue, "id", "product", keep=True)
+    walks = recommend_sequence(
+        materialize(_named_histories(spark, base), "histories"),
+        PromptGenerator(_mixing_responder),
+        CatalogueSearch(built, item="text"),
+        steps=3,
+        starters=STARTER_PRODUCTS,
+    )
+    return walks.select("user_id", _joined("recommendations", "|").alias("recommendations"))
+
+
 @query
 def recommend_neighbours(spark, base):
     generator = NeighbourGenerator.fit(_neighbour_counts(spark, base))

@@ -40,6 +40,11 @@ def test_prompt_short_and_long(spark):
     assert one(spark, prompts.purchase_prompt(strings())) is None
 
 
+def test_prompt_of_three_items(spark):
+    text = one(spark, prompts.purchase_prompt(strings("a pen", "pencil", "a glue stick"), "S", prompts.SHORT_ENDING))
+    assert "A user bought a pen, pencil, and a glue stick in that order." in text
+
+
 def test_starter_only_for_empty_history(spark):
     histories = readers.literal_histories(
         spark, {"Ben": ["hammer", "nails", "saw", "super glue"], "Kumar": ["bicycle"], "noob": []}
