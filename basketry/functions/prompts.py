@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from basketry.functions.arrays import _col
+from basketry.functions.hashing import hash_bucket
 
 # The prompt wording and the starter items are part of the expected output.
 SYSTEM_PROMPT = (
@@ -51,8 +52,6 @@ def with_starter(
     history: str | Column, user: str | Column, starters: Sequence[str] = GENERAL_STARTERS, seed: int = 0
 ) -> Column:
     """The history, or one starter item picked by a hash of user and seed when it is empty."""
-    from basketry.operators.split import hash_bucket
-
     pick = F.element_at(
         F.array(*[F.lit(s) for s in starters]),
         (hash_bucket(_col(user), F.lit(seed), buckets=len(starters)) + 1).cast("int"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -116,8 +117,6 @@ class CellIndex:
 
 def hash_planes(tables: int, bits: int, dimensions: int) -> np.ndarray:
     """Planes of +1/-1 from md5, so that any engine with md5 can build the same."""
-    import hashlib
-
     def sign(t: int, b: int, j: int) -> float:
         return 1.0 if int(hashlib.md5(f"{t}:{b}:{j}".encode()).hexdigest()[0], 16) >= 8 else -1.0
 

@@ -17,6 +17,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from basketry.functions.arrays import append_item
 from basketry.functions.prompts import LONG_ENDING, SYSTEM_PROMPT, generated_text, purchase_prompt
+from basketry.operators.transitions import most_bought_next, top_neighbours, top_transitions
 from basketry.session import materialize
 
 # () -> (list of prompts -> list of responses); the outer call opens the client, once per task
@@ -86,8 +87,6 @@ class TransitionGenerator:
     @classmethod
     def fit(cls, counts: DataFrame, keep: bool = True) -> TransitionGenerator:
         """``counts`` from ``transition_counts``. ``keep`` writes the model, which every step reads."""
-        from basketry.operators.transitions import most_bought_next, top_transitions
-
         if keep:
             counts = materialize(counts, "transitions")
         best = top_transitions(counts, 1).select("product_id", "next_product")
@@ -125,8 +124,6 @@ class NeighbourGenerator:
     @classmethod
     def fit(cls, counts: DataFrame, k: int = 5, keep: bool = True) -> NeighbourGenerator:
         """``counts`` from ``cart_neighbours``."""
-        from basketry.operators.transitions import top_neighbours
-
         if keep:
             counts = materialize(counts, "neighbours")
         table = (

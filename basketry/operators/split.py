@@ -5,15 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from basketry.functions.hashing import hash_bucket
 from basketry.session import materialize
 
 
-def hash_bucket(*cols: str | Column, buckets: int = 100) -> Column:
-    """A bucket 0 .. buckets-1 that any engine with md5 can recompute."""
-    digest = F.md5(F.concat_ws(":", *cols))
-    return F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long"), F.lit(buckets))
-
-
 def in_train(user: str = "user_id", product: str = "product_id", train_share: float = 0.8) -> Column:
     return hash_bucket(user, product) < int(round(train_share * 100))
 

@@ -275,7 +275,10 @@ SELECTIONS = "user_id, array_to_string(selections, ',') AS selections"
 
 ORACLES: dict[str, str] = {
     "orders_shape": _with(ORD, NUMBERED, SHAPED, select="SELECT * FROM shaped"),
-    "csv_orders": _with(ORD, NUMBERED, SHAPED, select="SELECT * FROM shaped"),
+    "csv_orders": _with(
+        ORD, NUMBERED, SHAPED,
+        select="SELECT * REPLACE (order_id::INTEGER AS order_id, user_id::INTEGER AS user_id) FROM shaped",
+    ),
     "order_products_shape": _with(
         ORD, LIN, CART,
         """first_bought AS (
@@ -285,7 +288,10 @@ ORACLES: dict[str, str] = {
 FROM cart JOIN ord USING (order_id) JOIN first_bought USING (user_id, product_id)""",
     ),
     "order_products_union": _with(ORD, LIN, NUMBERED, SHAPED, CART, UNITED, select="SELECT * FROM united"),
-    "csv_order_products": _with(ORD, LIN, NUMBERED, SHAPED, CART, UNITED, select="SELECT * FROM united"),
+    "csv_order_products": _with(
+        ORD, LIN, NUMBERED, SHAPED, CART, UNITED,
+        select="SELECT * REPLACE (order_id::INTEGER AS order_id, product_id::INTEGER AS product_id) FROM united",
+    ),
     "products_dim": """SELECT p_partkey AS product_id, p_name || ' #' || p_partkey AS product_name,
   dense_rank() OVER (ORDER BY p_brand)::INTEGER AS aisle_id,
   dense_rank() OVER (ORDER BY p_type)::INTEGER AS department_id FROM part""",

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basketry.functions import metrics, prompts
+from basketry.functions.hashing import hash_bucket
 from basketry.operators import ann, index, ratings, selections, split, transitions
 from basketry.operators.generate import NeighbourGenerator, PromptGenerator, TransitionGenerator, generate
 from basketry.operators.keys import dense_id
@@ -163,7 +164,7 @@ def ratings_hash_sample(spark, base):
 def rating_counts(spark, base):
     """Number of ratings and of sampled ratings, in one pass."""
     rated = ratings.ratings(*_order_tables(spark, base))
-    sampled = split.hash_bucket("product_id", "user_id") < 10
+    sampled = hash_bucket("product_id", "user_id") < 10
     return rated.agg(F.count(F.lit(1)).alias("total"), F.count_if(sampled).alias("sample"))
 
 
