@@ -44,15 +44,15 @@ def embed(
     return df.select(*kept).mapInArrow(run, schema)
 
 
-def term_counts(docs: DataFrame, key: str, text_col: str) -> DataFrame:
+def term_counts(docs: DataFrame, key: str, text_col: str, partitions: int | None = None) -> DataFrame:
     """``(key, term, tf)``.
 
     The texts are shuffled once by key; the count by key and term, and the grouping by key that
-    follows in ``tfidf_vectors``, then need no shuffle of their own. The number of partitions is given,
-    as short texts still mean much work and adaptive execution would join partitions by their bytes.
+    follows in ``tfidf_vectors``, then need no shuffle of their own. With a number of ``partitions``
+    adaptive execution does not join small ones.
     """
-    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = docs.select(key, text_col).repartition(partitions, key)
+    rows = docs.select(key, text_col)
+    placed = rows.repartition(partitions, key) if partitions else rows.repartition(key)
     return (
         placed.select(key, F.explode(tokens(text_col)).alias("term"))
         .groupBy(key, "term")
@@ -83,9 +83,11 @@ def tfidf_weights(counts: DataFrame, idf: DataFrame, key: str) -> DataFrame:
     return counts.join(idf, "term").select(key, "term", (F.col("tf") * F.col("idf")).alias("weight"))
 
 
-def tfidf_vectors(docs: DataFrame, key: str, text_col: str, idf: DataFrame) -> DataFrame:
+def tfidf_vectors(
+    docs: DataFrame, key: str, text_col: str, idf: DataFrame, partitions: int | None = None
+) -> DataFrame:
     """``(key, terms, weights, norm)``, one sparse vector per text that has a known term."""
-    weights = tfidf_weights(term_counts(docs, key, text_col), idf, key)
+    weights = tfidf_weights(term_counts(docs, key, text_col, partitions), idf, key)
     return (
         weights.groupBy(key)
         .agg(

@@ -122,7 +122,9 @@ class TextIndex:
             F.col(key).alias("id"), F.col(text_col).alias("text")
         )
         idf = inverse_document_frequency(catalogue, "text")
-        vectors = tfidf_vectors(catalogue, "id", "text", idf)
+        # short texts are few bytes but, searched by many queries, much work: as many partitions as set
+        partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        vectors = tfidf_vectors(catalogue, "id", "text", idf, partitions)
         if keep:
             vectors = materialize(vectors, "vectors")
         return cls(vectors, idf, catalogue)

@@ -36,13 +36,17 @@ def plain_lines(spark: SparkSession, base: str) -> DataFrame:
     )
 
 
+def _order_range():
+    return F.struct("order_date", F.floor(F.col("order_id") / 4096).alias("range"))
+
+
 def orders(spark: SparkSession, base: str) -> DataFrame:
     """Orders with their number and distance in days inside the user's history."""
     groups = OrderedGroups(
         plain_orders(spark, base),
         keys=["user_id"],
         order=["order_date", "order_id"],
-        buckets=[F.to_date("order_date")],
+        buckets=[_order_range(), F.to_date("order_date")],
     )
     placed = (
         groups.row_number("order_number")
@@ -112,9 +116,11 @@ PURCHASE_ORDER = ["order_date", "order_id", *LINE_ORDER]
 
 
 def purchase_buckets() -> list:
-    """Chunks of a hot user's purchases: inside a day by order, line and product range; then days."""
+    """Chunks of a hot user's purchases: parts of an order, which may be long itself; then order
+    ranges of a day; then days."""
     return [
         F.struct("order_date", "order_id", "line_number", F.floor(F.col("product_id") / 4096).alias("range")),
+        _order_range(),
         F.to_date("order_date"),
     ]
 

@@ -83,6 +83,9 @@ def test_ratings_count_orders_without_lines(spark):
     products = spark.createDataFrame([(7, "a"), (8, "b")], "product_id int, product_name string")
     got = {(r.user_id, r.product_id): r.rating for r in ratings.ratings(orders, lines, products).collect()}
     assert got == {(1, 7): 0.6, (1, 8): 0.2}
+    assert sorted(map(tuple, ratings.ratings(orders, lines, products, unique_orders=True).collect())) == sorted(
+        (u, p, x) for (u, p), x in got.items()
+    )
     unfiltered = {r.product_id: r.rating for r in ratings.ratings(orders, lines).collect()}
     assert unfiltered == {7: 0.6, 8: 0.2, 999: 0.2}
 
