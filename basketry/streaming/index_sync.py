@@ -36,11 +36,7 @@ def start_sync(
 
 
 def index_state(spark: SparkSession, *log_paths: str) -> DataFrame:
-    """For each id the change that holds over all batches of the logs, deletes included.
-
-    Written to a path of its own as ``batch=0``, the state is a compacted log to read in place of the
-    batches it was made of.
-    """
+    """For each id the change that holds over all batches of the logs, deletes included."""
     logs = [spark.read.option("basePath", p).parquet(f"{p}/batch=*").drop("batch") for p in log_paths]
     log = logs[0]
     for other in logs[1:]:
@@ -51,3 +47,11 @@ def index_state(spark: SparkSession, *log_paths: str) -> DataFrame:
 def synced_index(spark: SparkSession, *log_paths: str) -> DataFrame:
     """The index ``(id, text, version, embedding, norm)`` as of the last finished batch."""
     return live_rows(index_state(spark, *log_paths))
+
+
+def compact_log(spark: SparkSession, log_path: str, new_path: str) -> None:
+    """Write the state as a log of one batch, to read in place of the batches it was made of.
+
+    Batches that the stream adds later are read together with it: ``synced_index(spark, new, old)``.
+    """
+    index_state(spark, log_path).write.mode("errorifexists").parquet(f"{new_path}/batch=0")

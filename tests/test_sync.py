@@ -70,12 +70,14 @@ def test_stream_in_two_runs_and_a_repeated_batch(spark, tmp_path):
     assert live(index_sync.index_state(spark, log)) == expected
     synced = index_sync.synced_index(spark, log)
     assert synced.columns == ["id", "text", "version", "embedding", "norm"] and synced.count() == 2
+    asked = spark.createDataFrame([(0, "lamp")], "query_id int, text string")
+    assert index.search_text_with_model(asked, synced, 1, model).first().text == "lamp"
 
 
 def test_compacted_log(spark, tmp_path):
     old, new = str(tmp_path / "old"), str(tmp_path / "new")
     index.embed_changes(changes(spark, CHANGES[:3]), model).write.parquet(f"{old}/batch=0")
-    index_sync.index_state(spark, old).write.parquet(f"{new}/batch=0")
+    index_sync.compact_log(spark, old, new)
     index.embed_changes(changes(spark, CHANGES[3:]), model).write.parquet(f"{new}/batch=1")
     assert live(index_sync.index_state(spark, new)) == [(1, "toaster oven", 2)]
     assert live(index_sync.index_state(spark, old, new)) == [(1, "toaster oven", 2)]
