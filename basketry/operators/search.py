@@ -28,7 +28,7 @@ SCORE_DIGITS = 6
 MAX_BROADCAST_QUERIES = 4096
 MAX_BROADCAST_BYTES = 64 << 20
 # A grid cell holds up to so many rows of each side. The index block is large, as each cell sends on its
-# best k per query, and smaller only where there would be fewer cells than cores.
+# best k per query, and smaller only where there would be too few cells for the cores.
 QUERY_BLOCK = 4096
 INDEX_BLOCK = 50_000
 SMALL_INDEX_BLOCK = 2048
@@ -119,35 +119,49 @@ def _keep_best(hits: pa.Table, query_id: str, index_id: str, k: int) -> pa.Table
     q, d = q[order], d[order]
     fresh = np.r_[True, (q[1:] != q[:-1]) | (d[1:] != d[:-1])] if len(q) else np.zeros(0, bool)
     order, q = order[fresh], q[fresh]
-    start = np.flatnonzero(np.r_[True, q[1:] != q[:-1]]) if len(q) else np.zeros(0, int)
-    rank = np.arange(len(q)) - np.repeat(start, np.diff(np.r_[start, len(q)]))
-    return hits.take(pa.array(order[rank < k]))
+    return hits.take(pa.array(order[_rank_in_runs(q) < k]))
 
 
-def _best_in_tile(scores: np.ndarray, ids: np.ndarray, k: int):
-    """Positions (query, index row) of the best ``k`` per query, ties by id."""
-    rounded = np.round(scores, SCORE_DIGITS)
-    if rounded.shape[1] > k:
-        kth = -np.partition(-rounded, k - 1, axis=1)[:, k - 1]
-        keep = (rounded >= kth[:, None]) & np.isfinite(rounded)
-    else:
-        keep = np.isfinite(rounded)
-    qi, di = np.nonzero(keep)
-    order = np.lexsort((ids[di], -rounded[qi, di], qi))
-    qi, di = qi[order], di[order]
-    start = np.flatnonzero(np.r_[True, qi[1:] != qi[:-1]]) if len(qi) else np.zeros(0, int)
-    rank = np.arange(len(qi)) - np.repeat(start, np.diff(np.r_[start, len(qi)]))
-    qi, di = qi[rank < k], di[rank < k]
-    return qi, di, rounded[qi, di]
+def _best_in_tile(scores: np.ndarray, ids: np.ndarray, floor: np.ndarray | None, k: int):
+    """Positions (query, index row) and rounded scores of the best ``k`` per query, ties by id.
+
+    ``floor`` is a score per query that ``k`` rows of earlier tiles reach. Rows clearly below it are
+    not looked at; the margin keeps those that rounding may bring level.
+    """
+    margin = 10.0**-SCORE_DIGITS
+    if floor is None:
+        if scores.shape[1] > k:
+            floor = np.partition(scores, -k, axis=1)[:, -k]
+        else:
+            floor = np.full(len(scores), -np.inf)
+    qi, di = np.nonzero((scores >= floor[:, None] - margin) & (scores > -np.inf))
+    rounded = np.round(scores[qi, di], SCORE_DIGITS)
+    order = np.lexsort((ids[di], -rounded, qi))
+    qi, di, rounded = qi[order], di[order], rounded[order]
+    rank = _rank_in_runs(qi)
+    last = rank == k - 1
+    floor = floor.copy()
+    floor[qi[last]] = np.maximum(floor[qi[last]], rounded[last] - margin)
+    keep = rank < k
+    return qi[keep], di[keep], rounded[keep], floor
+
+
+def _rank_in_runs(values: np.ndarray) -> np.ndarray:
+    """0, 1, 2 ... inside each run of equal values."""
+    if not len(values):
+        return np.zeros(0, int)
+    start = np.flatnonzero(np.r_[True, values[1:] != values[:-1]])
+    return np.arange(len(values)) - np.repeat(start, np.diff(np.r_[start, len(values)]))
 
 
 def _score_block(scorer, queries: pa.Table, index: pa.Table, query_id, index_id, payload, k) -> pa.Table:
     found = []
     for q0 in range(0, queries.num_rows, TILE[0]):
-        q = queries.slice(q0, TILE[0])
+        q, floor = queries.slice(q0, TILE[0]), None
         for d0 in range(0, index.num_rows, TILE[1]):
             d = index.slice(d0, TILE[1])
-            qi, di, score = _best_in_tile(scorer.scores(q, d), _order_key(d.column(index_id)), k)
+            ids = _order_key(d.column(index_id))
+            qi, di, score, floor = _best_in_tile(scorer.scores(q, d), ids, floor, k)
             chosen = d.select([index_id, *payload]).take(pa.array(di))
             found.append(
                 pa.table(
@@ -252,41 +266,42 @@ def _by_group(queries: pa.Table, index: pa.Table, group: str | None):
 
 
 def _over_grid(queries, index, k, scorer, query_id, index_id, payload, group, schema, blocks) -> DataFrame:
-    """Cut both sides of each group into blocks and pair the blocks.
+    """Cut both sides, of each group if there are groups, into blocks and pair the blocks.
 
     Ids are unique, so hashing them fills the blocks evenly, and a group of any size is spread over
     as many cells as its rows need.
     """
-    group = group or "_group"
-    if group == "_group":
-        queries, index = queries.withColumn(group, F.lit(0)), index.withColumn(group, F.lit(0))
-
+    spark = index.sparkSession
     query_block, index_block = blocks
-    cores = index.sparkSession.sparkContext.defaultParallelism
+    cores = spark.sparkContext.defaultParallelism
 
-    def rows(df, name):
-        return df.groupBy(group).agg(F.count(F.lit(1)).alias(name))
+    def block_counts(query_rows: Column, index_rows: Column) -> tuple[Column, Column]:
+        n_q = F.ceil(query_rows / query_block)
+        enough = F.least(F.ceil(index_rows / SMALL_INDEX_BLOCK), F.ceil(F.lit(3 * cores) / n_q))
+        return n_q.cast("long"), F.greatest(F.ceil(index_rows / index_block), enough).cast("long")
 
-    n_q = F.ceil(F.col("q") / query_block)
-    n_i = F.greatest(
-        F.ceil(F.col("i") / index_block),
-        F.least(F.ceil(F.col("i") / SMALL_INDEX_BLOCK), F.ceil(cores / n_q)),
-    )
-    # one row per group; written once, as both sides and all retries must see the same numbers
-    shape = rows(queries, "q").join(rows(index, "i"), group)
-    shape = materialize(shape.select(group, n_q.cast("long").alias("_nq"), n_i.cast("long").alias("_ni")), "grid")
-
-    def place(df, key, own, n_own, other, n_other):
-        return (
-            df.join(shape, group)
-            .withColumn(own, F.pmod(F.xxhash64(key), n_own))
-            .withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.col(n_other) - 1)))
-            .drop("_nq", "_ni")
-        )
-
-    cell = [group, "_qb", "_ib"]
-    q = place(queries, query_id, "_qb", F.col("_nq"), "_ib", "_ni")
-    d = place(index, index_id, "_ib", F.col("_ni"), "_qb", "_nq")
+    if group:
+        # one row per group; written, as both sides and all retries must see the same numbers
+        sizes = [df.groupBy(group).agg(F.count(F.lit(1)).alias(n)) for df, n in ((queries, "_q"), (index, "_i"))]
+        n_q, n_i = block_counts(F.col("_q"), F.col("_i"))
+        sizes = sizes[0].join(sizes[1], group).select(group, n_q.alias("_nq"), n_i.alias("_ni"))
+        sizes = materialize(sizes, "grid")
+        queries, index = queries.join(sizes, group), index.join(sizes, group)
+    else:
+        n_q, n_i = block_counts(F.lit(queries.count()), F.lit(index.count()))
+        queries, index = (df.withColumn("_nq", n_q).withColumn("_ni", n_i) for df in (queries, index))
+
+    cell = [*([group] if group else []), "_qb", "_ib"]
+    # a given number of partitions: cells are few bytes but much work, so small ones must not be joined
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def place(df: DataFrame, key: str, own: str, n_own: str, other: str, n_other: str) -> DataFrame:
+        copies = F.explode(F.sequence(F.lit(0).cast("long"), F.col(n_other) - 1))
+        placed = df.withColumn(own, F.pmod(F.xxhash64(key), F.col(n_own))).withColumn(other, copies)
+        return placed.drop("_nq", "_ni").repartition(partitions, *cell)
+
+    q = place(queries, query_id, "_qb", "_nq", "_ib", "_ni")
+    d = place(index, index_id, "_ib", "_ni", "_qb", "_nq")
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:

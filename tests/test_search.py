@@ -88,6 +88,7 @@ def test_many_bytes_of_queries_are_not_broadcast(spark, monkeypatch):
     many = built.search(asked, 3)
     plans = [df._jdf.queryExecution().executedPlan().toString() for df in (few, many)]
     assert "MapInArrow" in plans[0] and "MapInArrow" not in plans[1] and "CoGroup" in plans[1]
+    assert not any("NestedLoop" in p or "Cartesian" in p for p in plans)
     close(collected(few), collected(many))
 
 
@@ -188,6 +189,7 @@ def test_cells_are_exact_inside_the_probed_cells(spark, max_broadcast):
     for r in cells.probe(queries, 2).collect():
         probed.setdefault(r.query_id, set()).add(r.cell)
     hits = cells.search(queries, 5, n_probe=2, max_broadcast=max_broadcast, query_block=7, index_block=16)
+    assert "NestedLoop" not in hits._jdf.queryExecution().executedPlan().toString()
     close(collected(hits), brute(q, d, 5, lambda i, j: of_row[j] in probed[i]))
     exact = index.search_vectors(queries, frame(spark, d), 5)
     recall = ann.recall_at_k(hits, exact).first().recall
