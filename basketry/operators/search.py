@@ -105,10 +105,9 @@ class SparseScore:
 
 def _order_key(column: pa.ChunkedArray) -> np.ndarray:
     """Numbers that sort like the ids."""
-    values = column.to_numpy()
-    if values.dtype == object:
-        return np.unique(values.astype(str), return_inverse=True)[1]
-    return values
+    if pa.types.is_integer(column.type) or pa.types.is_floating(column.type):
+        return column.to_numpy()
+    return pc.rank(column.combine_chunks(), tiebreaker="dense").to_numpy()
 
 
 def _keep_best(hits: pa.Table, query_id: str, index_id: str, k: int) -> pa.Table:

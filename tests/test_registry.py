@@ -3,6 +3,7 @@
 import glob
 import os
 import subprocess
+import sys
 
 import pytest
 
@@ -97,7 +98,7 @@ def test_bench_prints_one_json_line(base):
 
     root = os.path.dirname(os.path.abspath(registry.__file__))
     env = {**os.environ, "BENCH_SF_DIR": base, "BENCH_CPUS": "2", "BENCH_QUERIES": "purchase_events"}
-    out = subprocess.run(["python", f"{root}/bench.py"], env=env, capture_output=True, text=True, timeout=300)
+    out = subprocess.run([sys.executable, f"{root}/bench.py"], env=env, capture_output=True, text=True, timeout=300)
     line = json.loads(out.stdout.strip().splitlines()[-1])
     assert line["unit"] == "sec" and line["sf"] == "0.001" and set(line["queries"]) == {"purchase_events"}
 

@@ -96,6 +96,9 @@ def test_payload_and_string_ids(spark):
     rows = [("b", "text b", [1.0, 0.0]), ("a", "text a", [1.0, 0.0]), ("c", "text c", [0.0, 1.0])]
     d = index.with_norm(spark.createDataFrame(rows, "id string, text string, embedding array<float>"))
     q = index.with_norm(spark.createDataFrame([("x", [2.0, 0.0])], "query_id string, embedding array<float>"))
+    for limit in (10, 0):
+        found = index.search_vectors(q, d, 2, ("text",), max_broadcast=limit).collect()
+        assert {(r["rank"], r.id) for r in found} == {(1, "a"), (2, "b")}
     hits = index.search_vectors(q, d, 2, ("text",)).orderBy("rank").collect()
     assert [(r.id, r.text, r.score) for r in hits] == [("a", "text a", 1.0), ("b", "text b", 1.0)]
 
