@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from basketry.llm import mixing, packing, sharding
+from basketry.llm import mixing, multi_index, packing, pii, quality_rules, sharding, url_filter
 from basketry.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,16 +18,34 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
+def op2_pii(spark: SparkSession, folder: str) -> DataFrame:
+    """Personal data in every document: counts, a digest of the base spans, and all spans."""
+    return pii.digest(table(spark, folder, "documents"))
+
+
 def op3_mixing(spark: SparkSession, folder: str) -> DataFrame:
     """How many words of each document a mix of 150 % takes, sources weighted 3, 1, 2."""
     return mixing.mix(table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op5_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 nearest rows of ``embeddings`` for each row whose id is divisible by 20."""
+    return multi_index.nearest(table(spark, folder, "embeddings"))
+
+
 def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
     """All documents in sequences of at most 4096 tokens: one row per piece."""
     return packing.pack(table(spark, folder, "documents"), tokenizer_path())
 
 
+def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Base counts of every document and the verdict by thresholds of its language and source."""
+    judged = quality_rules.judge(table(spark, folder, "documents"), ["doc_id", "lang", "source"])
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
 def op9_sharding(spark: SparkSession, folder: str) -> DataFrame:
     """All documents in 24 shards of nearly equal bytes."""
     placed = sharding.shard_documents(table(spark, folder, "documents"), 24)
@@ -36,10 +54,19 @@ def op9_sharding(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op10_urls(spark: SparkSession, folder: str) -> DataFrame:
+    """Every url of ``pages`` allowed or blocked, by rule or by the words of host and path."""
+    return url_filter.judge(table(spark, folder, "pages"))
+
+
 QUERIES: dict[str, Query] = {
+    "op2_pii": op2_pii,
     "op3_mixing": op3_mixing,
+    "op5_neighbours": op5_neighbours,
     "op6_packing": op6_packing,
+    "op7_quality": op7_quality,
     "op9_sharding": op9_sharding,
+    "op10_urls": op10_urls,
 }
 
 ORACLES: dict[str, str] = {}
