@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from basketry.llm import mixing, multi_index, packing, pii, quality_rules, sharding, url_filter
+from basketry.llm import mixing, multi_index, near_duplicates, packing, pii, quality_rules, sharding, url_filter
 from basketry.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,11 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with the class of its near copies and the number of its links."""
+    return near_duplicates.join(table(spark, folder, "documents"))
+
+
 def op2_pii(spark: SparkSession, folder: str) -> DataFrame:
     """Personal data in every document: counts, a digest of the base spans, and all spans."""
     return pii.digest(table(spark, folder, "documents"))
@@ -60,6 +65,7 @@ def op10_urls(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_jaccard": op1_jaccard,
     "op2_pii": op2_pii,
     "op3_mixing": op3_mixing,
     "op5_neighbours": op5_neighbours,
