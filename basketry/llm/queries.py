@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from basketry.llm import mixing, multi_index, near_duplicates, packing, pii, quality_rules, sharding, url_filter
+from basketry.llm import mixing, multi_index, near_duplicates, packing, pii, quality_rules, sharding, suffix_dedup, url_filter
 from basketry.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,6 +51,11 @@ def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op8_suffixes(spark: SparkSession, folder: str) -> DataFrame:
+    """What is left of each document without strings of 200 bytes that occur twice or more."""
+    return suffix_dedup.deduplicate(table(spark, folder, "documents"))
+
+
 def op9_sharding(spark: SparkSession, folder: str) -> DataFrame:
     """All documents in 24 shards of nearly equal bytes."""
     placed = sharding.shard_documents(table(spark, folder, "documents"), 24)
@@ -71,6 +76,7 @@ QUERIES: dict[str, Query] = {
     "op5_neighbours": op5_neighbours,
     "op6_packing": op6_packing,
     "op7_quality": op7_quality,
+    "op8_suffixes": op8_suffixes,
     "op9_sharding": op9_sharding,
     "op10_urls": op10_urls,
 }
