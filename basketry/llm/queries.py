@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from basketry.llm import mixing, multi_index, near_duplicates, packing, pii, quality_rules, sharding, suffix_dedup, url_filter
+from basketry.llm import mixing, multi_index, near_duplicates, packing, pii, quality_model, quality_rules, sharding, suffix_dedup, url_filter
 from basketry.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +33,12 @@ def op3_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op4_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """The quality of every document by passages, learned from labels that are not held out."""
+    docs = table(spark, folder, "documents")
+    return quality_model.score(docs, quality_model.train(docs, table(spark, folder, "labels")))
+
+
 def op5_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     """The 20 nearest rows of ``embeddings`` for each row whose id is divisible by 20."""
     return multi_index.nearest(table(spark, folder, "embeddings"))
@@ -73,6 +79,7 @@ QUERIES: dict[str, Query] = {
     "op1_jaccard": op1_jaccard,
     "op2_pii": op2_pii,
     "op3_mixing": op3_mixing,
+    "op4_quality": op4_quality,
     "op5_neighbours": op5_neighbours,
     "op6_packing": op6_packing,
     "op7_quality": op7_quality,
