@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketry.llm.common import materialize, ship_code
@@ -115,8 +115,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     a rerun gives the same rows. Other columns are ignored; an empty frame gives an empty frame.
     """
     ship_code()
-    n_words = F.regexp_count(F.coalesce(docs["text"].cast("string"), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"))
-    units = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["source"].cast("string").alias("source"), n_words.cast("long").alias("size"))
+    units = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["source"].cast("string").alias("source"), _words(docs).alias("size"))
     units = materialize(units, "units")
     sizes = units.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("documents"))
     goals = materialize(source_targets(sizes, weights, share, most), "targets").withColumnRenamed("source", "_source")
@@ -148,6 +147,31 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     return rows.select("doc_id", "source", "size", "source_size", "target", copies, (copies * F.col("size")).alias("taken"))
 
 
+def mix_rows(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
+    """``docs`` with each document as often as the mix takes it.
+
+    Documents of an id, source and size are told apart by nothing: the copies taken of all of them are
+    dealt evenly among their rows. Every other row is found by these three.
+    """
+    taken = mix(docs, weights, share, most).groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("all"), F.count(F.lit(1)).alias("rows"))
+    taken = materialize(taken.filter("all > 0").withColumnsRenamed({"doc_id": "_id", "source": "_source", "size": "_size"}), "taken")
+    sized = docs.withColumn("_words", _words(docs))
+    same = sized["doc_id"].cast("long").eqNullSafe(taken["_id"]) & sized["source"].cast("string").eqNullSafe(taken["_source"])
+    rows = sized.join(taken, same & (sized["_words"] == taken["_size"]))
+    if not taken.filter("rows > 1").head(1):
+        return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("all").cast("int")))).select(*docs.columns)
+    alone = rows.filter("rows = 1").withColumn("_rank", F.lit(1))
+    order = Window.partitionBy("_id", "_source", "_size").orderBy("text")
+    rows = alone.unionByName(rows.filter("rows > 1").withColumn("_rank", F.row_number().over(order)))
+    each = F.expr("int(all div rows) + case when _rank <= all % rows then 1 else 0 end")
+    rows = rows.withColumn("_each", each).filter("_each > 0")
+    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_each")))).select(*docs.columns)
+
+
+def _words(docs: DataFrame) -> Column:
+    return F.regexp_count(F.coalesce(docs["text"].cast("string"), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
+
+
 def _round(units: DataFrame) -> DataFrame:
     kept = ["doc_id", "source", "size", "source_size", "target", "whole", "prob", "last", "chunk"]
     units = units.select(*kept)

@@ -116,6 +116,7 @@ def fences(sketches: DataFrame) -> DataFrame:
     else of the language, else of all; the distance is ``FENCE`` times that between the quartiles or
     the measure's least distance, whichever is greater.
     """
+    sketches = materialize(sketches, "sketches")
     keys = sketches.select("lang", "source").distinct()
     levels = []
     for level, by in enumerate((["lang", "source"], ["lang"], [])):
@@ -138,8 +139,11 @@ def fences(sketches: DataFrame) -> DataFrame:
     out = keys.join(full, keys["lang"].eqNullSafe(full["_l"]) & keys["source"].eqNullSafe(full["_s"]), "left").drop("_l", "_s")
     lang = lang.withColumnRenamed("lang", "_l")
     out = out.join(lang, out["lang"].eqNullSafe(lang["_l"]), "left").drop("_l")
-    out = out.join(whole.withColumn("_one", F.lit(1)), F.lit(1) == F.col("_one"), "left")  # one row
-    return out.select("lang", "source", *[F.coalesce(*[F.col(f"{m}_{i}") for i in range(3)]).alias(f"{m}_top") for m in MEASURES])
+    last = whole.first() or {}  # one number per measure
+    return out.select(
+        "lang", "source",
+        *[F.coalesce(F.col(f"{m}_0"), F.col(f"{m}_1"), F.lit(last[f"{m}_2"] if last else None)).alias(f"{m}_top") for m in MEASURES],
+    )
 
 
 def judge(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:

@@ -1,0 +1,89 @@
+from collections import Counter
+
+import pytest
+
+import corpus_pipeline as cp
+from test_near_duplicates import brute
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+@pytest.fixture(scope="module")
+def stages(spark, base, tmp_path_factory):
+    folder = tmp_path_factory.mktemp("stages")
+    docs, out = spark.read.parquet(f"{base}/documents.parquet"), []
+    for k, (_, stage) in enumerate(cp.STAGES):
+        frame = stage(spark, docs, base)
+        if k < len(cp.STAGES) - 1:
+            assert frame.columns == COLUMNS
+        frame.write.parquet(f"{folder}/{k}")
+        docs = spark.read.parquet(f"{folder}/{k}")
+        out.append(docs.collect())
+    return [spark.read.parquet(f"{base}/documents.parquet").collect(), *out]
+
+
+def test_quality_only_drops(stages, spark, base):
+    before, after = {r.doc_id: r for r in stages[0]}, {r.doc_id: r for r in stages[1]}
+    assert all(before[i] == r for i, r in after.items()) and 0.5 * len(before) < len(after) < len(before)
+
+
+def test_one_of_each_class(stages):
+    before, after = [(r.doc_id, r.text) for r in stages[1]], {r.doc_id for r in stages[2]}
+    assert after == {low if links else i for i, links, low in brute(before)}
+    assert len(after) == len(stages[2]) < len(before)
+
+
+def test_personal_data_is_gone(stages):
+    from test_pii import base as spans
+
+    before = {r.doc_id: r.text for r in stages[2]}
+    assert len(stages[3]) == len(before)
+    changed = [r for r in stages[3] if r.text != before[r.doc_id]]
+    assert changed and all(spans(before[r.doc_id]) or "<KEY>" in r.text or "<SECRET>" in r.text for r in changed)
+    assert not any(spans(r.text) for r in stages[3]) and all(r.n_chars == len(r.text) for r in changed)
+
+
+def test_mix_takes_effect(stages):
+    from basketry.llm import mixing
+    from test_mixing import by_rounds
+
+    before, after = {r.doc_id: r for r in stages[3]}, Counter(r.doc_id for r in stages[4])
+    assert max(after.values()) <= 2 and all(before[r.doc_id] == r for r in stages[4])
+    size = lambda r: len(r.text.encode().split())
+    sizes, taken = Counter(), Counter()
+    for i, r in before.items():
+        sizes[r.source] += size(r)
+        taken[r.source] += after[i] * size(r)
+    target = by_rounds(dict(sizes), mixing.WEIGHTS, mixing.SHARE, mixing.MOST)
+    longest = max(map(size, before.values()))
+    assert all(abs(taken[s] - target[s]) <= longest for s in sizes)
+
+
+def test_all_tokens_are_packed(stages):
+    total = Counter()
+    for r in stages[5]:
+        total[r.doc_id] += r.length
+    times = Counter(r.doc_id for r in stages[4])
+    tokens = {r.doc_id: r.doc_tokens for r in stages[5]}
+    assert total == {i: times[i] * tokens[i] for i in times}
+
+
+def test_run_is_the_stages_in_order(spark, base, stages):
+    rows = cp.run(spark, base).collect()
+    assert sum(r.length for r in rows) == sum(r.length for r in stages[5])
+
+
+def test_odd_rows(spark, odd, docs_frame):
+    plain = odd.select(*COLUMNS)
+    for _, stage in cp.STAGES:
+        stage(spark, plain, "").collect()
+        assert stage(spark, plain.limit(0), "").count() == 0
+
+
+def test_repeated_rows_are_taken_evenly(spark, docs_frame):
+    from basketry.llm import mixing
+
+    docs = docs_frame([(1, "a b c", "en", "s")] * 5 + [(None, "a b", "en", "s")] * 4 + [(i, "x " * i, "en", "t") for i in range(2, 40)])
+    want, got = mixing.mix(docs), mixing.mix_rows(docs)
+    assert got.columns == docs.columns
+    assert got.count() == want.agg({"copies": "sum"}).first()[0]
