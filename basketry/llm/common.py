@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from basketry.session import materialize, ship_code
 
-__all__ = ["WHITE", "materialize", "ship_code", "table", "with_defaults", "words"]
+__all__ = ["WHITE", "materialize", "set_aside", "ship_code", "table", "words"]
 
 #: the white space of all word rules here: blank, tab, line feed, vertical tab, form feed, return
 WHITE = " \t\n\x0b\f\r"
@@ -24,6 +24,8 @@ def words(text: Column) -> Column:
     return F.when(F.length(trimmed) == 0, F.array().cast("array<string>")).otherwise(F.split(trimmed, r"[\x20\x09-\x0D]+"))
 
 
-def with_defaults(df: DataFrame, **columns: str) -> DataFrame:
-    """Only the named columns, cast to the types given, whatever else the frame holds."""
-    return df.select(*[df[name].cast(kind).alias(name) for name, kind in columns.items()])
+def set_aside(docs: DataFrame, *named: str) -> tuple[DataFrame, list[Column]]:
+    """``docs`` with all columns but the named ones under names that no operator uses, and the columns
+    that bring the old names back, in their order."""
+    names = {c: f"aside{i}__" for i, c in enumerate(docs.columns) if c not in named}
+    return docs.withColumnsRenamed(names), [F.col(names.get(c, c)).alias(c) for c in docs.columns]

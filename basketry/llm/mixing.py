@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from basketry.llm.common import materialize, ship_code
+from basketry.llm.common import materialize, set_aside, ship_code
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5  # words to take, times the words there are
@@ -155,17 +155,18 @@ def mix_rows(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     """
     taken = mix(docs, weights, share, most).groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("all"), F.count(F.lit(1)).alias("rows"))
     taken = materialize(taken.filter("all > 0").withColumnsRenamed({"doc_id": "_id", "source": "_source", "size": "_size"}), "taken")
-    sized = docs.withColumn("_words", _words(docs))
+    plain, back = set_aside(docs, "doc_id", "source", "text")
+    sized = plain.withColumn("_words", _words(plain))
     same = sized["doc_id"].cast("long").eqNullSafe(taken["_id"]) & sized["source"].cast("string").eqNullSafe(taken["_source"])
     rows = sized.join(taken, same & (sized["_words"] == taken["_size"]))
     if not taken.filter("rows > 1").head(1):
-        return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("all").cast("int")))).select(*docs.columns)
+        return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("all").cast("int")))).select(*back)
     alone = rows.filter("rows = 1").withColumn("_rank", F.lit(1))
     order = Window.partitionBy("_id", "_source", "_size").orderBy("text")
     rows = alone.unionByName(rows.filter("rows > 1").withColumn("_rank", F.row_number().over(order)))
     each = F.expr("int(all div rows) + case when _rank <= all % rows then 1 else 0 end")
     rows = rows.withColumn("_each", each).filter("_each > 0")
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_each")))).select(*docs.columns)
+    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_each")))).select(*back)
 
 
 def _words(docs: DataFrame) -> Column:

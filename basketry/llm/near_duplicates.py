@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketry.llm.common import materialize, ship_code
+from basketry.llm.common import materialize, set_aside, ship_code
 from basketry.llm.graph import components
 
 WORDS = 5
@@ -331,6 +331,7 @@ def _documents(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each class: the one with the smallest id, null ids last; of
     rows equal in id and text one. Documents without links all stay."""
+    plain, back = set_aside(docs, "doc_id", "text")
     rows, _ = _documents(docs)
     rows = materialize(rows.select("doc_id", "text_key", "root"), "document-classes")
     grouped = rows.filter("root is not null")
@@ -342,10 +343,10 @@ def keep_one(docs: DataFrame) -> DataFrame:
     linked = grouped.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).groupBy("_id", "_key").agg(F.count(F.lit(1)).alias("_n"))
     marks = linked.join(stay.withColumnsRenamed({"_id": "_i", "_key": "_k"}), F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_key") == F.col("_k")), "left").drop("_i", "_k")
     marks = materialize(marks, "marks")
-    keyed = docs.withColumn("_text_key", text_key())
+    keyed = plain.withColumn("_text_key", text_key())
     joined = keyed.join(marks, (keyed["_text_key"] == marks["_key"]) & keyed["doc_id"].cast("long").eqNullSafe(marks["_id"]), "left")
     kept = joined.filter("_n is null or _first")
-    single = kept.filter("_n is null or _n = 1").select(*docs.columns)
+    single = kept.filter("_n is null or _n = 1").select(*back)
     if not marks.filter("_first and _n > 1").head(1):
         return single
-    return single.unionByName(kept.filter("_n > 1").dropDuplicates(["_text_key", "doc_id"]).select(*docs.columns))
+    return single.unionByName(kept.filter("_n > 1").dropDuplicates(["_text_key", "doc_id"]).select(*back))

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from basketry.llm.common import set_aside
+
 _LOCAL = r"[A-Za-z0-9._%+-]"
 #: kind -> pattern, in the order that breaks ties of equal starts
 PATTERNS = {
@@ -104,7 +106,8 @@ def find(docs: DataFrame) -> DataFrame:
     other kinds need a score of ``PASS``, which a context word within ``NEAR`` characters before
     them raises and a word for numbers of other uses lowers. A null or empty text has none.
     """
-    texts = docs.withColumn("_text", F.coalesce(F.col("text").cast("string"), F.lit("")))
+    plain, back = set_aside(docs, "text")
+    texts = plain.withColumn("_text", F.coalesce(F.col("text").cast("string"), F.lit("")))
     digits, at = F.col("_text").rlike("[0-9]"), F.contains(F.col("_text"), F.lit("@"))
     texts = texts.withColumn("_digits", digits)
     for kind in PATTERNS:
@@ -120,7 +123,7 @@ def find(docs: DataFrame) -> DataFrame:
             '{kind}' as kind, x.value as value, greatest(0D, least(1D, {score})) as score, {str(kind in BASE).lower()} as base))"""
         parts.append(made if kind in BASE else f"filter({made}, x -> x.score >= {PASS}D)")
     texts = texts.withColumn("pii", F.expr(f"sort_array(concat({', '.join(parts)}))"))
-    return texts.drop("_text", "_digits", *[f"_{k}" for k in PATTERNS])
+    return texts.select(*[c for c, name in zip(back, docs.columns) if name != "pii"], "pii")
 
 
 def digest(docs: DataFrame) -> DataFrame:
@@ -144,7 +147,8 @@ def redact(docs: DataFrame) -> DataFrame:
     Of overlapping spans the first names the place, all of both is taken out. Texts without spans, null
     texts among them, stay as they are; ``n_chars``, where there is one, follows the text.
     """
-    found = find(docs)
+    plain, back = set_aside(docs, "text", "n_chars")
+    found = find(plain)
     text = F.expr("""case when size(pii) = 0 then text else concat(
         aggregate(pii, struct(0 as at, '' as out), (a, x) -> case
             when x.end <= a.at then a
@@ -156,4 +160,4 @@ def redact(docs: DataFrame) -> DataFrame:
     if "n_chars" in docs.columns:
         kind = dict(docs.dtypes)["n_chars"]
         out = out.withColumn("n_chars", F.when(F.size("pii") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    return out.select(*back)

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from basketry.llm.common import WHITE, materialize, words
+from basketry.llm.common import WHITE, materialize, set_aside, words
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
@@ -155,9 +155,10 @@ def judge(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     ``docs`` named like those added are replaced; no rows give no rows.
     """
     added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_repeat_words", "n_upper", "n_marks", "base_failed", "kept"]
-    clash = {c: f"_own_{c}" for c in docs.columns if c in MEASURES}
-    plain = docs.drop(*[c for c in docs.columns if c in added or c.startswith("_")]).withColumnsRenamed(clash)
-    valued = materialize(values(measure(plain, keep)), "measured")
+    keep = [c for c in docs.columns if c not in added and (keep is None or c in keep)]
+    plain, back = set_aside(docs.select(*keep, *[c for c in ("text", "lang", "source") if c not in keep]), "text", "lang", "source")
+    carried = [c for c in plain.columns if c != "text" or "text" in keep]
+    valued = materialize(values(measure(plain, carried)), "measured")
     tops = materialize(fences(sketch(valued)), "fences").withColumnsRenamed({"lang": "_l", "source": "_s"})
     # one row per language and source; the planner knows its size and sends it to the tasks if small
     joined = valued.join(tops, valued["lang"].cast("string").eqNullSafe(tops["_l"]) & valued["source"].cast("string").eqNullSafe(tops["_s"]), "left")
@@ -165,5 +166,4 @@ def judge(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     for m in MEASURES:
         inside = inside & F.coalesce(F.col(m) <= F.col(f"{m}_top"), F.lit(True))
     judged = joined.withColumn("kept", ~F.col("base_failed") & inside)
-    back = {v: k for k, v in clash.items()}
-    return judged.drop("_l", "_s", *MEASURES, *[f"{m}_top" for m in MEASURES]).withColumnsRenamed(back)
+    return judged.select(*back[: len(keep)], *added)

@@ -7,7 +7,7 @@ def docs_frame(spark):
 
     def build(rows, schema="doc_id long, text string, lang string, source string, n_chars long"):
         frame = spark.createDataFrame([r + (None,) * (5 - len(r)) for r in rows], schema)
-        for name in ("size", "shard", "key", "prob", "chunk", "length", "n", "value", "_range"):
+        for name in ("size", "shard", "key", "prob", "chunk", "length", "n", "value", "_range", "_text", "_email", "pii", "_key", "_id", "_first", "rows", "all", "_words", "low"):
             frame = frame.selectExpr("*", f"'extra' as {name}")
         return frame
 
