@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from basketry.functions.arrays import append_item
-from basketry.functions.prompts import LONG_ENDING, SYSTEM_PROMPT, generated_text, purchase_prompt
-from basketry.operators.transitions import most_bought_next, top_neighbours, top_transitions
+from basketry.functions.prompts import LONG_ENDING, SYSTEM_PROMPT, generated_text, generation_request, purchase_prompt
+from basketry.operators.transitions import most_bought_next, top_transitions
 from basketry.session import materialize
 
 # () -> (list of prompts -> list of responses); the outer call opens the client, once per task
@@ -57,6 +57,7 @@ class PromptGenerator:
     system_prompt: str = SYSTEM_PROMPT
     ending: str = LONG_ENDING
     json_response: bool = True
+    temperature: float | None = None
     row_wise = True
 
     def state(self, history: Column) -> Column:
@@ -66,7 +67,10 @@ class PromptGenerator:
         return append_item(state, item)
 
     def generate(self, states: DataFrame) -> DataFrame:
-        prompts = states.withColumn("prompt", purchase_prompt("state", self.system_prompt, self.ending))
+        prompt = purchase_prompt("state", self.system_prompt, self.ending)
+        if self.temperature is not None:  # the responder then gets the whole request, as JSON
+            prompt = F.when(prompt.isNotNull(), generation_request(prompt, self.temperature))
+        prompts = states.withColumn("prompt", prompt)
         answered = generate(prompts, "prompt", self.responder)
         text = generated_text("response") if self.json_response else F.col("response")
         return answered.withColumn("generated", text).drop("prompt", "response")
@@ -111,31 +115,25 @@ class TransitionGenerator:
 
 @dataclass
 class NeighbourGenerator:
-    """The product bought most often close to the products of the whole history.
+    """The product bought most often together with the products of the whole history.
 
-    ``neighbours`` is ``(product_id, neighbours array<struct<product, n>>)``, one row per product with
-    its ``k`` closest; a history item thus meets one row however many users hold it.
+    ``counts`` is ``(product_id, neighbour, n)``; every neighbour of every history item has its say.
     """
 
-    neighbours: DataFrame
+    counts: DataFrame
     fallback: DataFrame
     row_wise = False
 
     @classmethod
-    def fit(cls, counts: DataFrame, k: int = 5, keep: bool = True) -> NeighbourGenerator:
-        """``counts`` from ``cart_neighbours``."""
+    def fit(cls, counts: DataFrame, keep: bool = True) -> NeighbourGenerator:
+        """``counts`` from ``order_neighbours`` or ``cart_neighbours``."""
         if keep:
             counts = materialize(counts, "neighbours")
-        table = (
-            top_neighbours(counts, k)
-            .groupBy("product_id")
-            .agg(F.collect_list(F.struct(F.col("neighbour").alias("product"), "n")).alias("neighbours"))
-        )
         totals = counts.groupBy("product_id").agg(F.sum("n").alias("n"))
         fallback = totals.orderBy(F.desc("n"), "product_id").limit(1).select(
             F.col("product_id").alias("fallback")
         )
-        return cls(materialize(table, "closest") if keep else table, fallback)
+        return cls(counts, fallback)
 
     def state(self, history: Column) -> Column:
         # a set of items: order and repeats do not change the answer
@@ -146,7 +144,7 @@ class NeighbourGenerator:
 
     def generate(self, states: DataFrame) -> DataFrame:
         items = states.select("state", F.explode("state").alias("product_id"))
-        offers = items.join(self.neighbours, "product_id").select("state", F.inline("neighbours"))
+        offers = items.join(self.counts, "product_id").select("state", F.col("neighbour").alias("product"), "n")
         scores = offers.groupBy("state", "product").agg(F.sum("n").alias("n"))
         best_first = Window.partitionBy("state").orderBy(F.desc("n"), "product")
         best = (

@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from basketry.operators.skew import OrderedGroups
+from basketry.operators.skew import OrderedGroups, splittable
 
+PAIR_BLOCK = 128  # products of an order that meet as many others in one group of order_neighbours
 CHUNK = 4096  # cart positions per task group in cart_neighbours
 
 
@@ -74,10 +75,36 @@ def cart_neighbours(order_products: DataFrame, window: int = 10, chunk: int = CH
         .select("product_id", F.explode("neighbour").alias("neighbour"))
         .filter(F.col("product_id") != F.col("neighbour"))
     )
-    # count each unordered pair once, then mirror the counts instead of the pairs
-    ordered = pairs.select(
+    return _both_ways(pairs.select(
         F.least("product_id", "neighbour").alias("a"), F.greatest("product_id", "neighbour").alias("b")
+    ))
+
+
+def order_neighbours(order_products: DataFrame, block: int = PAIR_BLOCK) -> DataFrame:
+    """Counts ``(product_id, neighbour, n)``: the distinct orders that hold both products.
+
+    All pairs of an order count, once however often it holds a product. The products of an order are
+    dealt to blocks, and pairs are made per order and pair of blocks, so that no task gathers a long
+    order; equal pairs are added up before they are shuffled.
+    """
+    lines = order_products.select("order_id", "product_id").distinct()
+    sizes = lines.groupBy("order_id").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts"))
+    placed = splittable(lines, "order_id", "product_id").join(sizes, "order_id")
+    own = F.pmod(F.xxhash64("product_id"), F.col("parts")).cast("int")
+    placed = placed.select(
+        "order_id", "product_id", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
     )
+    met = placed.groupBy("order_id", F.least("own", "other").alias("first"), F.greatest("own", "other").alias("second"))
+    met = met.agg(F.collect_list(F.struct("product_id", "own")).alias("items"))
+    left = met.select("first", "second", "items", F.explode("items").alias("x"))
+    right = F.filter("items", lambda y: (y["product_id"] > F.col("x.product_id")) & (
+        (F.col("first") == F.col("second")) | (y["own"] != F.col("x.own"))))
+    pairs = left.select(F.col("x.product_id").alias("a"), F.explode(right).alias("y"))
+    return _both_ways(pairs.select("a", F.col("y.product_id").alias("b")))
+
+
+def _both_ways(ordered: DataFrame) -> DataFrame:
+    """Count each unordered pair ``(a, b)`` once, then mirror the counts instead of the pairs."""
     counts = ordered.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
     both = F.explode(F.array(F.struct(F.col("a").alias("product_id"), F.col("b").alias("neighbour")),
                              F.struct(F.col("b").alias("product_id"), F.col("a").alias("neighbour"))))

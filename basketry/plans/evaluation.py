@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from basketry.functions.arrays import first_items, remaining_items
 from basketry.functions.metrics import binary_relevance, map_at_k
@@ -47,8 +48,13 @@ def id_histories(selections: DataFrame, n: int = 3) -> DataFrame:
 def evaluation_frame(
     truth: DataFrame, recommended: DataFrame, user: str = "user_id", distinct: bool = False
 ) -> DataFrame:
-    """Truth and recommendations side by side, with the relevance of each recommendation."""
-    return truth.join(recommended, user).withColumn(
+    """Truth and recommendations side by side, with the relevance of each recommendation.
+
+    Every user of the truth stays; one without recommendations has an empty list, which scores 0.
+    """
+    kind = recommended.schema["recommendations"].dataType
+    listed = F.coalesce("recommendations", F.array().cast(kind))
+    return truth.join(recommended, user, "left").withColumn("recommendations", listed).withColumn(
         "relevance", binary_relevance("recommendations", "ground_truth", distinct)
     )
 

@@ -129,6 +129,15 @@ best_move AS (SELECT product_id, next_product FROM ranked_moves WHERE rank = 1),
 usual AS (
   SELECT next_product AS fallback FROM moves GROUP BY next_product ORDER BY sum(n) DESC, next_product LIMIT 1)"""
 
+TOGETHER = f"""train_lines AS (
+  SELECT DISTINCT order_id, product_id FROM lin JOIN ord USING (order_id) WHERE {HELD_OUT_BUCKET} < 80),
+near AS (
+  SELECT a.product_id, b.product_id AS neighbour, count(*) AS n
+  FROM train_lines a JOIN train_lines b ON a.order_id = b.order_id AND a.product_id <> b.product_id
+  GROUP BY ALL),
+ranked_near AS (
+  SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY n DESC, neighbour)::INTEGER AS rank FROM near)"""
+
 NEIGHBOURS = f"""train_cart AS (
   SELECT order_id, product_id, add_to_cart_order FROM cart JOIN ord USING (order_id)
   WHERE {HELD_OUT_BUCKET} < 80),
@@ -354,15 +363,6 @@ strict AS (SELECT user_id, list(product_id ORDER BY pos) AS selections FROM plac
     "prompts_long": _with(
         *NAMED_CTES, HISTORIES, _started(GROCERY_STARTERS), LONG_PROMPTS, select="SELECT * FROM prompted"
     ),
-    "generated_items": _with(
-        *NAMED_CTES, HISTORIES, _started(GROCERY_STARTERS), LONG_PROMPTS,
-        select="""SELECT user_id,
-  '{"prompt":"' || replace(prompt, chr(10), '\\n') || '","temperature":0.5}' AS request,
-  'item of ' || length(prompt) || ' letters' AS next_item FROM prompted""",
-    ),
-    "search_response_items": _with(
-        *NAMED_CTES, select="SELECT user_id, array_to_string(names, '|') AS items FROM named"
-    ),
     "scoring_payload": _with(
         *NAMED_CTES,
         select="""SELECT user_id, '{"dataframe_split":{"index":[' || array_to_string(range(len(names)), ',')
@@ -371,7 +371,8 @@ strict AS (SELECT user_id, list(product_id ORDER BY pos) AS selections FROM plac
     "transition_topk": _with(
         ORD, LIN, FOLLOWED, select="SELECT product_id, next_product, n, rank FROM ranked_moves WHERE rank <= 5"
     ),
-    "cooccurrence_topk": _with(
+    "cooccurrence_topk": _with(ORD, LIN, TOGETHER, select="SELECT product_id, neighbour, n, rank FROM ranked_near WHERE rank <= 5"),
+    "cart_window_topk": _with(
         ORD, LIN, CART, NEIGHBOURS, select="SELECT product_id, neighbour, n, rank FROM ranked_near WHERE rank <= 5"
     ),
     "vector_index": f"SELECT id, length(text)::INTEGER AS n_chars, {LETTER_NORM} FROM ({DOCUMENTS})",
@@ -452,11 +453,11 @@ second_words AS (SELECT DISTINCT string_split(p_name, ' ')[2] AS b FROM part)"""
         select="SELECT user_id, item1 || '|' || item2 || '|' || item3 AS recommendations FROM walk3",
     ),
     "recommend_neighbours": _with(
-        *CHOSEN_CTES, TRUTH, CART, NEIGHBOURS,
+        *CHOSEN_CTES, TRUTH, TOGETHER,
         """offers AS (
   SELECT user_id, neighbour, sum(n) AS n
   FROM (SELECT DISTINCT user_id, unnest(history) AS product_id FROM truth)
-  JOIN ranked_near USING (product_id) WHERE rank <= 5 GROUP BY ALL),
+  JOIN near USING (product_id) GROUP BY ALL),
 best AS (
   SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, neighbour) AS r FROM offers),
 usual AS (SELECT product_id FROM near GROUP BY product_id ORDER BY sum(n) DESC, product_id LIMIT 1)""",

@@ -272,36 +272,6 @@ def prompts_long(spark, base):
     return _named_histories(spark, base).select("user_id", prompts.purchase_prompt(started).alias("prompt"))
 
 
-def _counting_responder():
-    """Stands in for a text generation service."""
-    return lambda texts: [json.dumps({"candidates": [{"text": f"item of {len(t)} letters"}]}) for t in texts]
-
-
-@query
-def generated_items(spark, base):
-    asked = prompts_long(spark, base)
-    answered = generate(asked, "prompt", _counting_responder)
-    return answered.select(
-        "user_id",
-        prompts.generation_request("prompt", 0.5).alias("request"),
-        prompts.generated_text("response").alias("next_item"),
-    )
-
-
-@query
-def search_response_items(spark, base):
-    """Search responses as JSON, of which the last requested column is taken."""
-    named = selections.with_product_names(_held_out(spark, base), retail.plain_products(spark, base))
-    rows = F.transform(
-        F.arrays_zip("selections", "product_names"),
-        lambda r: F.array(r["selections"].cast("string"), r["product_names"], F.lit("0.5")),
-    )
-    response = F.to_json(F.struct(F.struct(rows.alias("data_array")).alias("result")))
-    return named.withColumn("response", response).select(
-        "user_id", _joined(prompts.search_response_column("response"), "|").alias("items")
-    )
-
-
 @query
 def scoring_payload(spark, base):
     named = selections.with_product_names(_held_out(spark, base), retail.plain_products(spark, base))
@@ -326,8 +296,8 @@ def _transition_counts(spark, base):
 
 
 def _neighbour_counts(spark, base):
-    carts = retail.cart_positions(spark, base).join(retail.plain_orders(spark, base), "order_id")
-    return transitions.cart_neighbours(carts.filter(split.in_train()))
+    lines = retail.plain_lines(spark, base).join(retail.plain_orders(spark, base), "order_id")
+    return transitions.order_neighbours(lines.filter(split.in_train()))
 
 
 @query
@@ -340,6 +310,13 @@ def cooccurrence_topk(spark, base):
     return transitions.top_neighbours(_neighbour_counts(spark, base), 5)
 
 
+@query
+def cart_window_topk(spark, base):
+    """Products within ten cart positions of each other, each occurrence counted."""
+    carts = retail.cart_positions(spark, base).join(retail.plain_orders(spark, base), "order_id")
+    return transitions.top_neighbours(transitions.cart_neighbours(carts.filter(split.in_train())), 5)
+
+
 # --- index and search ---------------------------------------------------------------------------
 
 

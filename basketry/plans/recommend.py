@@ -44,7 +44,7 @@ class CatalogueSearch:
         generated, text = materialize(generated, "generated"), "generated"
         if self.names is not None:
             names = self.names.select(F.col("product_id").alias("generated"), F.col("product_name").alias("_text"))
-            generated, text = generated.join(names, "generated"), "_text"
+            generated, text = generated.join(names, "generated", "left"), "_text"
         # each distinct text is searched once
         texts = generated.select(F.col(text).alias("query_id")).filter("query_id is not null").distinct()
         hits = self.index.search(
@@ -52,7 +52,7 @@ class CatalogueSearch:
         )
         found = hits.select(F.col("query_id").alias(text), "rank", F.col(self.item).alias("item"), "score")
         # many histories may lead to one text
-        out = generated.join(splittable(found, text, "rank"), text)
+        out = generated.join(splittable(found, text, "rank"), text, "left")
         return out.drop("_text", "generated")
 
 
@@ -74,12 +74,13 @@ def recommend(
 ) -> DataFrame:
     """``(user, rank, item)`` for rows ``(user, history)``.
 
-    The generator sees each distinct state once: users who would get the same answer share it.
+    The generator sees each distinct state once: users who would get the same answer share it. A user
+    whose generated text finds nothing keeps one row, without rank and item.
     """
     placed = _states(histories, generator, user, starters, seed)
     states = placed.select(F.col("start").alias("state")).distinct()
     answers = retriever.retrieve(generator.generate(states), k)
-    return placed.join(answers, F.col("start").eqNullSafe(F.col("state"))).drop("start", "state")
+    return placed.join(answers, F.col("start").eqNullSafe(F.col("state")), "left").drop("start", "state")
 
 
 def recommend_sequence(

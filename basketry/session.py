@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -36,9 +37,10 @@ def build_session(master: str | None = None, app: str = "basketry", **conf: str)
 
 
 def tune(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings to a session made elsewhere."""
+    """Apply the runtime settings to a session made elsewhere; its time zone stays."""
     for key, value in RUNTIME_CONF.items():
-        spark.conf.set(key, value)
+        if key != "spark.sql.session.timeZone":
+            spark.conf.set(key, value)
     ship_code()
     return spark
 
@@ -58,7 +60,7 @@ def shared_dir(spark: SparkSession) -> str:
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):  # local-cluster is a cluster
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         root = tempfile.mkdtemp(prefix="basketry-")
         spark.sparkContext.setCheckpointDir(root)

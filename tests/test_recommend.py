@@ -48,11 +48,10 @@ def test_transition_steps(spark):
     assert {r.user_id: r.item for r in recommend(people, lazy, DirectItem()).collect()} == once
 
 
-def brute_neighbour_walk(counts, history, steps, k=5):
+def brute_neighbour_walk(counts, history, steps):
     top = {}
     for (a, b), n in counts.items():
         top.setdefault(a, []).append((-n, b))
-    top = {a: sorted(v)[:k] for a, v in top.items()}
     total = Counter()
     for (a, _), n in counts.items():
         total[a] += n
@@ -79,7 +78,7 @@ def test_neighbour_walk_against_brute_force(spark):
         counts[(a, b)] = counts[(b, a)] = rng.randint(1, 6)
     table = spark.createDataFrame([(a, b, n) for (a, b), n in counts.items()], "product_id long, neighbour long, n long")
     people = [(u, [rng.randint(0, 25) for _ in range(rng.randint(1, 4))]) for u in range(25)]
-    generator = NeighbourGenerator.fit(table, 5)
+    generator = NeighbourGenerator.fit(table)
     got = {
         r.user_id: r.recommendations
         for r in recommend_sequence(histories(spark, people), generator, DirectItem(), 3).collect()
@@ -88,6 +87,20 @@ def test_neighbour_walk_against_brute_force(spark):
     assert top_neighbours(table, 2).groupBy("product_id").count().agg(F.max("count")).first()[0] <= 2
 
 
+def test_users_without_a_find_stay(spark):
+    """A text outside the vocabulary finds nothing; its user counts with a score of 0."""
+    catalogue = spark.createDataFrame(CATALOGUE, "id long, product string")
+    found = CatalogueSearch(index.TextIndex.build(catalogue, "id", "product"), item="text")
+    people = named(spark, [("a", ["red pen"]), ("b", ["paper clip"]), ("c", ["zzz"])])
+    generator = PromptGenerator(lambda: lambda ps: [json.dumps({"candidates": [{"text": "qqq" if "zzz" in p else "red pen"}]}) for p in ps])
+    rows = recommend(people, generator, found, k=1, user="user_id").collect()
+    assert {r.user_id: r.item for r in rows} == {"a": "red pen", "b": "red pen", "c": None}
+    walks = recommend_sequence(people, generator, found, 1)
+    truth = spark.createDataFrame([(u, ["red pen"]) for u in "abcd"], "user_id string, ground_truth array<string>")
+    row = score(truth, walks, 5).first()
+    assert row.users == 4 and row.map_at_k == 0.5
+
+
 CATALOGUE = [(1, "red pen"), (2, "blue ink"), (3, "paper clip"), (4, "paper tray"), (5, "desk lamp")]
 AFTER = {"red pen": "some blue ink", "blue ink": "paper", "paper clip": "a lamp for the desk"}
 

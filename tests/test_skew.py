@@ -7,7 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from basketry.operators.skew import OrderedGroups, hot_keys
-from basketry.operators.transitions import cart_neighbours, next_purchases
+from basketry.operators.transitions import cart_neighbours, next_purchases, order_neighbours
 
 
 def events(spark, seed, n=600):
@@ -100,7 +100,7 @@ def settings(spark):
 
 @pytest.mark.parametrize(
     "name",
-    ["orders_shape", "order_products_shape", "transition_topk", "cooccurrence_topk", "recommend_neighbours", "map_by_name"],
+    ["orders_shape", "order_products_shape", "transition_topk", "cooccurrence_topk", "cart_window_topk", "recommend_neighbours", "map_by_name"],
 )
 def test_every_key_hot_and_nothing_broadcast(spark, base, settings, name):
     import compare
@@ -136,6 +136,27 @@ def test_cart_neighbours_against_brute_force(spark, gaps):
         cart_neighbours(df, 5, 4)
 
 
+def test_order_neighbours_against_brute_force(spark):
+    rng = random.Random(12)
+    orders = {o: [rng.randint(0, 30) for _ in range(rng.choice([1, 2, 5, 9, 60]))] for o in range(40)}
+    df = spark.createDataFrame([(o, a) for o, items in orders.items() for a in items], "order_id int, product_id int")
+    want = {}
+    for items in orders.values():
+        for a in set(items):
+            for b in set(items) - {a}:
+                want[(a, b)] = want.get((a, b), 0) + 1
+    for block in (1, 4, 128):
+        assert {(r.product_id, r.neighbour): r.n for r in order_neighbours(df, block).collect()} == want
+
+
+def test_a_long_order_keeps_all_its_pairs(spark):
+    n = 4200
+    lines = spark.range(n).selectExpr("1L as order_id", "id as product_id")
+    lines = lines.union(lines.limit(2)).union(spark.range(10).selectExpr("2L as order_id", "id as product_id"))
+    row = order_neighbours(lines).agg(F.count("*").alias("pairs"), F.sum("n").alias("n")).first()
+    assert row.pairs == n * (n - 1) and row.n == n * (n - 1) + 90
+
+
 def test_skewed_joins_are_split(spark, tmp_path, settings):
     """A user with a third of the orders and an order with a third of the lines; nothing broadcast."""
     from basketry.operators import ratings
