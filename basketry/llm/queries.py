@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from basketry.llm import mixing, multi_index, near_duplicates, packing, pii, quality_model, quality_rules, sharding, suffix_dedup, url_filter
 from basketry.llm.common import table
+from basketry.llm.oracles import ORACLES  # noqa: F401
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -87,5 +88,3 @@ QUERIES: dict[str, Query] = {
     "op9_sharding": op9_sharding,
     "op10_urls": op10_urls,
 }
-
-ORACLES: dict[str, str] = {}
