@@ -79,4 +79,26 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
     )
 
 
-ORACLES: dict[str, str] = {"op1_jaccard": JACCARD, "op7_quality": _quality()}
+#: every string of 200 bytes by its digest; runs of the places at which a repeated one starts
+REPEATS = """WITH t AS (SELECT doc_id, encode(coalesce(text, '')) AS bytes FROM documents),
+starts AS (
+  SELECT doc_id, i, md5(array_slice(bytes, i, i + 199)) AS digest
+  FROM (SELECT doc_id, bytes, unnest(range(1, octet_length(bytes) - 198)) AS i FROM t WHERE octet_length(bytes) >= 200)),
+again AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY digest) AS c FROM starts) WHERE c > 1),
+runs AS (
+  SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM (
+    SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 200 THEN 0 ELSE 1 END AS new FROM again)),
+spans AS (SELECT doc_id, min(i) AS low, max(i) + 200 AS high FROM runs GROUP BY doc_id, run),
+gaps AS (
+  SELECT doc_id, coalesce(lag(high) OVER o, 1) AS low, low AS high FROM spans WINDOW o AS (PARTITION BY doc_id ORDER BY low)
+  UNION ALL SELECT doc_id, max(high), octet_length(any_value(bytes)) + 1 FROM spans JOIN t USING (doc_id) GROUP BY doc_id
+  UNION ALL SELECT doc_id, 1, octet_length(bytes) + 1 FROM t WHERE doc_id NOT IN (SELECT doc_id FROM spans)),
+kept AS (
+  SELECT doc_id, string_agg(CASE WHEN high > low THEN hex(array_slice(bytes, low, high - 1)) ELSE '' END, '' ORDER BY low) AS text
+  FROM gaps JOIN t USING (doc_id) GROUP BY doc_id),
+gone AS (SELECT doc_id, sum(high - low) AS n_removed, count(*) AS n_spans FROM spans GROUP BY doc_id)
+SELECT doc_id, octet_length(bytes)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed,
+  coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(kept.text)) AS kept_sha256
+FROM t JOIN kept USING (doc_id) LEFT JOIN gone USING (doc_id)"""
+
+ORACLES: dict[str, str] = {"op1_jaccard": JACCARD, "op7_quality": _quality(), "op8_suffixes": REPEATS}
