@@ -201,5 +201,7 @@ def sync_index(state: DataFrame, changes: DataFrame, model: ModelFactory) -> Dat
         .filter(F.col("known").isNull() | (change_order() > F.col("known")))
         .drop("known")
     )
+    # both joined against and embedded: the change log is read once
+    newer = materialize(newer, "newer")
     kept = state.join(newer.select("id"), "id", "left_anti")
     return kept.unionByName(embed_changes(newer, model))

@@ -271,6 +271,8 @@ def _over_grid(queries, index, k, scorer, query_id, index_id, payload, group, sc
     as many cells as its rows need.
     """
     spark = index.sparkSession
+    # counted, then paired: what made it, a model perhaps, runs once
+    index = materialize(index, "index")
     query_block, index_block = blocks
     cores = spark.sparkContext.defaultParallelism
 

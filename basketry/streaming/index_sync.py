@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from basketry.operators.embed import ModelFactory
@@ -35,12 +36,22 @@ def start_sync(
     return writer.start()
 
 
-def index_state(spark: SparkSession, *log_paths: str) -> DataFrame:
-    """For each id the change that holds over all batches of the logs, deletes included."""
-    logs = [spark.read.option("basePath", p).parquet(f"{p}/batch=*").drop("batch") for p in log_paths]
-    log = logs[0]
-    for other in logs[1:]:
-        log = log.unionByName(other)
+def _log(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.option("basePath", path).parquet(f"{path}/batch=*")
+
+
+def index_state(spark: SparkSession, log_path: str, *later_paths: str) -> DataFrame:
+    """For each id the change that holds over all batches of the logs, deletes included.
+
+    Of the later logs only batches after the last one of ``log_path`` are read; other folders are
+    skipped when files are listed for reading.
+    """
+    log = _log(spark, log_path)
+    last = log.agg(F.max("batch")).first()[0]
+    log = log.drop("batch")
+    for path in later_paths:
+        more = _log(spark, path)
+        log = log.unionByName(more.filter(F.col("batch") > last).drop("batch"))
     return latest_changes(log)
 
 
@@ -52,6 +63,9 @@ def synced_index(spark: SparkSession, *log_paths: str) -> DataFrame:
 def compact_log(spark: SparkSession, log_path: str, new_path: str) -> None:
     """Write the state as a log of one batch, to read in place of the batches it was made of.
 
-    Batches that the stream adds later are read together with it: ``synced_index(spark, new, old)``.
+    The batch has the number of the last one in it. Batches that the stream adds later are read
+    together with it, those before are not: ``synced_index(spark, new, old)``.
     """
-    index_state(spark, log_path).write.mode("errorifexists").parquet(f"{new_path}/batch=0")
+    last = _log(spark, log_path).agg(F.max("batch")).first()[0]
+    state = latest_changes(_log(spark, log_path).filter(F.col("batch") <= last).drop("batch"))
+    state.write.mode("errorifexists").parquet(f"{new_path}/batch={last}")

@@ -76,8 +76,14 @@ def test_stream_in_two_runs_and_a_repeated_batch(spark, tmp_path):
 
 def test_compacted_log(spark, tmp_path):
     old, new = str(tmp_path / "old"), str(tmp_path / "new")
-    index.embed_changes(changes(spark, CHANGES[:3]), model).write.parquet(f"{old}/batch=0")
+    for batch, part in enumerate((CHANGES[:2], CHANGES[2:3])):
+        index.embed_changes(changes(spark, part), model).write.parquet(f"{old}/batch={batch}")
     index_sync.compact_log(spark, old, new)
-    index.embed_changes(changes(spark, CHANGES[3:]), model).write.parquet(f"{new}/batch=1")
-    assert live(index_sync.index_state(spark, new)) == [(1, "toaster oven", 2)]
-    assert live(index_sync.index_state(spark, old, new)) == [(1, "toaster oven", 2)]
+    assert [p.name for p in (tmp_path / "new").glob("batch=*")] == ["batch=1"]
+    # the stream goes on in the old log
+    index.embed_changes(changes(spark, CHANGES[3:]), model).write.parquet(f"{old}/batch=2")
+    state = index_sync.index_state(spark, new, old)
+    assert live(state) == live(index_sync.index_state(spark, old)) == [(1, "toaster oven", 2)]
+    # of the old log only the later batch is read
+    text = state._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(batch" in text and "> 1)" in text
