@@ -497,3 +497,22 @@ FROM name_hits GROUP BY user_id""",
   round(avg(CASE WHEN n_hits > 0 THEN gain / n_hits ELSE 0 END), 9) AS map_at_k FROM aps""",
     ),
 }
+
+ORACLES |= {
+    "csv_products": f"SELECT * REPLACE (product_id::INTEGER AS product_id) FROM ({ORACLES['products_dim']})",
+    "csv_departments": ORACLES["departments_dim"],
+    "csv_aisles": ORACLES["aisles_dim"],
+    "csv_catalogue": ORACLES["product_catalogue"],
+    "view_catalogue": ORACLES["product_catalogue"],
+    "random_split_checked": _with(
+        *RATING_CTES,
+        select="SELECT count(*) AS ratings, count(*) AS rows, 0::BIGINT AS in_both, true AS share_near FROM rated",
+    ),
+    "random_sample_checked": _with(
+        *RATING_CTES,
+        select="SELECT count(*) AS ratings, 0::BIGINT AS strangers, 0::BIGINT AS twice, true AS share_near FROM rated",
+    ),
+    "selections_last": _with(
+        *CHOSEN_CTES, select="SELECT user_id, array_to_string(selections[-5:], ',') AS selections FROM chosen"
+    ),
+}

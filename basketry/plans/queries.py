@@ -13,9 +13,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basketry.functions import metrics, prompts
+from basketry.functions.arrays import last_items
 from basketry.functions.hashing import hash_bucket
 from basketry.operators import ann, index, ratings, selections, split, transitions
-from basketry.operators.generate import NeighbourGenerator, PromptGenerator, TransitionGenerator, generate
+from basketry.operators.generate import NeighbourGenerator, PromptGenerator, TransitionGenerator
 from basketry.operators.keys import dense_id
 from basketry.operators.skew import probe_fraction_setting
 from basketry.plans import evaluation
@@ -83,6 +84,41 @@ def csv_orders(spark, base):
     return readers.read_orders(spark, path)
 
 
+def _through_csv(frame: DataFrame, name: str) -> str:
+    path = scratch_path(frame.sparkSession, name)
+    sinks.write_csv(frame, path)
+    return path
+
+
+@query
+def csv_products(spark, base):
+    return readers.read_products(spark, _through_csv(retail.products(spark, base), "products"))
+
+
+@query
+def csv_departments(spark, base):
+    return readers.read_departments(spark, _through_csv(retail.departments(spark, base), "departments"))
+
+
+@query
+def csv_aisles(spark, base):
+    return readers.read_aisles(spark, _through_csv(retail.aisles(spark, base), "aisles"))
+
+
+@query
+def csv_catalogue(spark, base):
+    """Products as CSV, read under a declared schema and renamed to a catalogue."""
+    plain = retail.plain_products(spark, base).select("product_id", "product_name")
+    return readers.as_catalogue(readers.read_csv(spark, _through_csv(plain, "catalogue"), plain.schema))
+
+
+@query
+def view_catalogue(spark, base):
+    """The catalogue through a view that replaces one of its name."""
+    sinks.replace_view(retail.plain_products(spark, base), "basketry_products_view")
+    return readers.as_catalogue(readers.read_table(spark, "basketry_products_view"))
+
+
 @query
 def products_dim(spark, base):
     return retail.products(spark, base)
@@ -160,6 +196,36 @@ def ratings_hash_sample(spark, base):
     return _rounded(split.hash_sample(ratings.ratings(*_order_tables(spark, base)), "product_id", "user_id"))
 
 
+@query
+def random_split_checked(spark, base):
+    """What holds of a random split whatever the seed: no rating in both parts, none lost, its share."""
+    train, test = split.random_split(ratings.ratings(*_order_tables(spark, base)))
+    marked = train.select("user_id", "product_id", F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(
+        test.select("user_id", "product_id", F.lit(0).alias("a"), F.lit(1).alias("b"))
+    )
+    rows = marked.groupBy("user_id", "product_id").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    return rows.agg(
+        F.count(F.lit(1)).alias("ratings"),
+        F.sum(F.col("a") + F.col("b")).alias("rows"),
+        F.count_if((F.col("a") > 0) & (F.col("b") > 0)).alias("in_both"),
+        (F.abs(F.avg("a") - 0.8) < 0.03).alias("share_near"),
+    )
+
+
+@query
+def random_sample_checked(spark, base):
+    """What holds of a random sample: all its rows are ratings, none twice, its share."""
+    rated = materialize(ratings.ratings(*_order_tables(spark, base)), "ratings").select("user_id", "product_id")
+    drawn = split.bernoulli_sample(rated).groupBy("user_id", "product_id").agg(F.count(F.lit(1)).alias("n"))
+    both = rated.withColumn("r", F.lit(1)).join(drawn, ["user_id", "product_id"], "full")
+    return both.agg(
+        F.count("r").alias("ratings"),
+        F.count_if(F.col("r").isNull()).alias("strangers"),
+        F.count_if(F.col("n") > 1).alias("twice"),
+        (F.abs(F.count("n") / F.count("r") - 0.1) < 0.03).alias("share_near"),
+    )
+
+
 @query
 def rating_counts(spark, base):
     """Number of ratings and of sampled ratings, in one pass."""
@@ -202,6 +268,12 @@ def selections_strict(spark, base):
     return _held_out(spark, base, ties="strict").select("user_id", _joined("selections").alias("selections"))
 
 
+@query
+def selections_last(spark, base):
+    """The last five selections of each user."""
+    return _held_out(spark, base).select("user_id", _joined(last_items("selections", 5)).alias("selections"))
+
+
 @query
 def sampled_users(spark, base):
     return split.sample_users(_held_out(spark, base), 100).select("user_id", _joined("selections").alias("selections"))
