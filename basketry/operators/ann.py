@@ -35,31 +35,15 @@ def _add_int_lists(df: DataFrame, name: str, fn) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
-FILE_ROWS = 1_000_000
-SIZING_ROWS = 1_000_000  # rows looked at to size the groups of an index
-ROWS_PER_CELL = 1_000  # rows per centre that the centres are fitted on
-
-
-def sample_share(df: DataFrame, rows: int) -> float:
-    """The share of ``df`` that holds about ``rows`` rows."""
-    return min(1.0, rows / max(1, df.count()))
-
-
-def write_by_group(rows: DataFrame, sample: DataFrame, share: float, group: str) -> DataFrame:
+def write_by_group(rows: DataFrame, group: str) -> DataFrame:
     """Write index rows in one folder per group and read them back.
 
-    A group is written by as many tasks as it fills files, so a cell that holds a third of the rows
-    holds up nobody. ``sample``, taken with ``share``, gives the sizes: one row per group.
+    Adaptive execution sizes the writing tasks by what they hold, so a cell that holds a third of the
+    rows is written by many.
     """
     spark = rows.sparkSession
-    per_file = FILE_ROWS * share
-    files = F.greatest(F.ceil(F.count(F.lit(1)) / per_file), F.lit(1)).cast("long")
-    sizes = materialize(sample.groupBy(group).agg(files.alias("_files")), "group-sizes")
-    spread = rows.join(sizes, group, "left").withColumn(
-        "_file", F.pmod(F.xxhash64("id"), F.coalesce("_files", F.lit(1)))
-    )
     path = scratch_path(spark, "index")
-    spread.repartition(group, "_file").drop("_files", "_file").write.partitionBy(group).parquet(path)
+    rows.hint("rebalance", F.col(group)).write.partitionBy(group).parquet(path)
     return spark.read.schema(rows.schema).parquet(path)
 
 
@@ -77,22 +61,19 @@ class CellIndex:
         cells: int = 16,
         seed: int = 7,
         max_iter: int = 10,
-        rows_per_cell: int = ROWS_PER_CELL,
         keep: bool = True,
     ) -> CellIndex:
-        """Fit the centres on about ``rows_per_cell`` rows for each, then assign all rows.
+        """Fit the centres on all rows, then assign them.
 
         ``keep`` writes the index by cell, so that a search for few queries reads the cells it probes.
         """
-        share = sample_share(index, cells * rows_per_cell)
-        some = index if share == 1.0 else index.sample(False, share, seed)
         unit = F.transform("embedding", lambda x: x.cast("double") / F.nullif("norm", F.lit(0.0)))
-        train = some.filter("norm > 0").select(array_to_vector(unit).alias("features"))
+        train = index.filter("norm > 0").select(array_to_vector(unit).alias("features"))
         model = KMeans(k=cells, seed=seed, maxIter=max_iter).fit(train)
         centres = np.array(model.clusterCenters())
         rows = cls._assign(index, centres, 1)
         if keep:
-            rows = write_by_group(rows, cls._assign(some, centres, 1), share, "cell")
+            rows = write_by_group(rows, "cell")
         return cls(rows, centres)
 
     @staticmethod
@@ -139,9 +120,7 @@ class HashIndex:
         planes = hash_planes(tables, bits, dimensions)
         rows = cls._assign(index, planes)
         if keep:
-            share = sample_share(index, SIZING_ROWS)
-            some = index if share == 1.0 else index.sample(False, share, 7)
-            rows = write_by_group(rows, cls._assign(some, planes), share, "bucket")
+            rows = write_by_group(rows, "bucket")
         return cls(rows, planes)
 
     @staticmethod
