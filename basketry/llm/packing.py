@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import bisect
 import re
+import sys
+import types
 import zlib
 from collections.abc import Iterator
 from itertools import repeat
@@ -26,7 +28,7 @@ TIERS = (512, 1024, 2048, 4096)
 END = 2  # the id after each document
 POOL = 1 << 20  # tokens held back so that gaps find fitting pieces
 STEP = 32 * 4096  # tokens of a step group
-CACHE = 1_000_000  # distinct words whose ids are remembered in a task
+CACHE = 1_500_000  # distinct words whose ids a worker remembers
 LAST_MARK = re.compile(rb"(?<=[a-z0-9])([.,])(?=[ \n]|$)")
 SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
@@ -93,6 +95,15 @@ class WordIds:
         return self.ids[np.arange(ends[-1]) + np.repeat(self.begin[at] - (ends - length), length)]
 
 
+def worker_words(path: str) -> WordIds:
+    """One ``WordIds`` for all tasks of a worker process. It hangs on ``sys.modules``, since functions
+    sent to the workers by value have globals of their own in each task."""
+    store = vars(sys.modules.setdefault("_basketry_worker", types.ModuleType("_basketry_worker")))
+    if path not in store:
+        store[path] = WordIds(path)
+    return store[path]
+
+
 class Packer:
     """Packs pieces of documents into full windows; holds about ``pool`` tokens."""
 
@@ -172,7 +183,7 @@ def pack(docs: DataFrame, tokenizer: str, tiers: tuple[int, ...] = TIERS, pool:
     ship_code()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, packer = WordIds(tokenizer), Packer(tiers, pool, step, TaskContext.get().partitionId() << 33)
+        words, packer = worker_words(tokenizer), Packer(tiers, pool, step, TaskContext.get().partitionId() << 33)
         end = np.array([END], dtype="u4")
 
         def out() -> pa.RecordBatch:
