@@ -10,7 +10,6 @@ to step groups of equal tokens. Reading, tokenising and packing happen in one pa
 from __future__ import annotations
 
 import bisect
-import re
 import sys
 import types
 import zlib
@@ -29,7 +28,6 @@ END = 2  # the id after each document
 POOL = 1 << 20  # tokens held back so that gaps find fitting pieces
 STEP = 32 * 4096  # tokens of a step group
 CACHE = 1_500_000  # distinct words whose ids a worker remembers
-LAST_MARK = re.compile(rb"(?<=[a-z0-9])([.,])(?=[ \n]|$)")
 SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
     "tier int, step_id long"
@@ -59,11 +57,8 @@ class WordIds:
         self.ids = np.zeros(1 << 14, dtype="u4")
         self.used = 0
 
-    def _learn(self, new: list[bytes]) -> None:
-        first, count = len(self.number), len(new)
-        found = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)]
-        lengths = np.fromiter(map(len, found), "i8", count)
-        flat = np.fromiter((i for ids in found for i in ids), "u4", int(lengths.sum()))
+    def _store(self, words: list[bytes], lengths: np.ndarray, flat: np.ndarray) -> None:
+        first, count = len(self.number), len(words)
         while first + count > len(self.length):
             self.length, self.begin = np.concatenate([self.length, self.length]), np.concatenate([self.begin, self.begin])
         while self.used + len(flat) > len(self.ids):
@@ -72,13 +67,43 @@ class WordIds:
         self.begin[first : first + count] = self.used + np.cumsum(lengths) - lengths
         self.ids[self.used : self.used + len(flat)] = flat
         self.used += len(flat)
-        self.number.update(zip(new, range(first, first + count)))
+        self.number.update(zip(words, range(first, first + count)))
+
+    def _gather(self, at: np.ndarray) -> np.ndarray:
+        length = self.length[at]
+        ends = np.cumsum(length)
+        return self.ids[np.arange(ends[-1]) + np.repeat(self.begin[at] - (ends - length), length)]
+
+    def _encode(self, words: list[bytes]) -> None:
+        found = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+        lengths = np.fromiter(map(len, found), "i8", len(words))
+        self._store(words, lengths, np.fromiter((i for ids in found for i in ids), "u4", int(lengths.sum())))
+
+    def _learn(self, new: list[bytes]) -> None:
+        """The tokenizer lower-cases, and cuts a last mark off a letter or digit before it; so words
+        that differ in these are looked up once and put together."""
+        stems, marks = [], []
+        for word in new:
+            # the name of a special token has a case
+            stem, mark = word if b"<|" in word else word.lower(), b""
+            if stem[-1:] in (b".", b",") and stem[-2:-1].isalnum():
+                stem, mark = stem[:-1], stem[-1:]
+            stems.append(stem)
+            marks.append(mark)
+        wanted = dict.fromkeys([*stems, b".", b","])
+        if unknown := [w for w in wanted if w not in self.number]:
+            self._encode(unknown)
+        rest = [k for k, word in enumerate(new) if word not in self.number]
+        if rest:
+            parts = np.array([[self.number[stems[k]], self.number[marks[k] or b"."]] for k in rest])
+            marked = np.array([bool(marks[k]) for k in rest])
+            lengths = self.length[parts]
+            lengths[~marked, 1] = 0
+            use = np.stack([np.ones(len(rest), dtype=bool), marked], axis=1).ravel()
+            self._store([new[k] for k in rest], lengths.sum(axis=1), self._gather(parts.ravel()[use]))
 
     def __call__(self, text: bytes) -> np.ndarray:
         """The ids of one whole UTF-8 text, without an end mark."""
-        if b"<|" not in text:  # else it may hold the name of a special token, which has a case
-            # the tokenizer lower-cases, and cuts a mark off a letter or digit before it: fewer kinds of words
-            text = LAST_MARK.sub(rb" \1", text.lower())
         found = text.split()  # bytes are split at ASCII white space only
         if not found:
             return np.empty(0, dtype="u4")
@@ -90,9 +115,7 @@ class WordIds:
             unknown = [found[i] for i in new]
             self._learn(list(dict.fromkeys(unknown)))
             at[new] = [self.number[w] for w in unknown]
-        length = self.length[at]
-        ends = np.cumsum(length)
-        return self.ids[np.arange(ends[-1]) + np.repeat(self.begin[at] - (ends - length), length)]
+        return self._gather(at)
 
 
 def worker_words(path: str) -> WordIds:
