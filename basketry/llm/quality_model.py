@@ -7,7 +7,8 @@ documents, says how much each passage counts, and the weighted mean of the encod
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import tempfile
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,7 @@ from basketry.llm.suffix_dedup import Hasher
 
 PASSAGE = 128  # words
 FIT_DOCS = 5_000  # labelled documents that the model is fitted on, picked by hash
-FIT_PASSAGES = 24  # of one of them, evenly spaced; scores see all passages
+FIT_BLOCK = 1 << 14  # passages that are in memory at a time when a model is fitted, or one document's
 HIDDEN, GATE = 24, 12
 ROUNDS, BATCH, RATE = 14, 128, 0.01
 EXTRA = 5
@@ -84,6 +85,19 @@ def passages(hasher: Hasher, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray
     return owner, np.concatenate([np.sqrt(grid / size[:, None]), extra], axis=1).astype("f4")
 
 
+def _blocks(read: Callable[[int], np.ndarray], sizes: np.ndarray, some: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(bags, whose each row is, rows) for the bags ``some``, as many at a time as ``FIT_BLOCK`` rows hold, or one."""
+    start, total = 0, 0
+    for i in range(len(some) + 1):
+        if i == len(some) or (i > start and total + sizes[some[i]] > FIT_BLOCK):
+            part = some[start:i]
+            if len(part):
+                yield part, np.repeat(np.arange(len(part)), sizes[part]), np.concatenate([read(k) for k in part])
+            start, total = i, 0
+        if i < len(some):
+            total += sizes[some[i]]
+
+
 class AttentionModel:
     """Encoder, gated attention and scorer; fitted by gradient descent with Adam."""
 
@@ -91,17 +105,20 @@ class AttentionModel:
         self.w = weights
 
     @classmethod
-    def fit(cls, bags: np.ndarray, x: np.ndarray, label: np.ndarray) -> AttentionModel:
-        """``bags`` says whose each row of ``x`` is (0, 1, ... ascending), ``label`` has 0 or 1 per bag."""
+    def fit(cls, read: Callable[[int], np.ndarray], sizes: np.ndarray, label: np.ndarray) -> AttentionModel:
+        """``read`` gives the rows of a bag by its number, ``sizes`` says how many they are, ``label`` has 0 or 1 per bag."""
         rng = np.random.default_rng(3)
-        mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-3
+        blocks = lambda some: _blocks(read, sizes, some)
+        every = np.arange(len(label))
+        mean = sum(x.sum(axis=0, dtype="f8") for _, _, x in blocks(every)) / sizes.sum()
+        scale = np.sqrt(sum(((x - mean) ** 2).sum(axis=0) for _, _, x in blocks(every)) / sizes.sum()) + 1e-3
+        mean, scale = mean.astype("f4"), scale.astype("f4")
         w = {
             "encode": rng.normal(0, WIDTH**-0.5, (WIDTH, HIDDEN)), "shift": np.zeros(HIDDEN),
             "value": rng.normal(0, HIDDEN**-0.5, (HIDDEN, GATE)), "gate": rng.normal(0, HIDDEN**-0.5, (HIDDEN, GATE)),
             "attend": np.zeros(GATE), "score": rng.normal(0, HIDDEN**-0.5, HIDDEN), "bias": np.zeros(1),
         }
         model = cls(w | {"mean": mean, "scale": scale})
-        begin = np.searchsorted(bags, np.arange(len(label) + 1))
         moment = {k: np.zeros_like(v) for k, v in w.items()}
         spread = {k: np.zeros_like(v) for k, v in w.items()}
         step = 0
@@ -109,9 +126,10 @@ class AttentionModel:
             order = rng.permutation(len(label))
             for s in range(0, len(order), BATCH):
                 some = order[s : s + BATCH]
-                rows = np.concatenate([np.arange(begin[i], begin[i + 1]) for i in some])
-                own = np.repeat(np.arange(len(some)), begin[some + 1] - begin[some])
-                gradient = model._gradient(own, x[rows], label[some])
+                gradient = {k: np.zeros_like(v) for k, v in w.items()}
+                for part, own, x in blocks(some):
+                    for k, g in model._gradient(own, x, label[part]).items():
+                        gradient[k] += g * (len(part) / len(some))
                 step += 1
                 for k, g in gradient.items():
                     g = g + 1e-4 * w[k]
@@ -177,7 +195,11 @@ def _bounded(batch: pa.RecordBatch) -> Iterator[tuple[int, int, list[bytes]]]:
 
 
 def train(docs: DataFrame, labels: DataFrame) -> AttentionModel | None:
-    """A model from ``FIT_DOCS`` labelled documents at most that are not held out; None without any."""
+    """A model from ``FIT_DOCS`` labelled documents at most that are not held out; None without any.
+
+    All passages of these documents count. They come to the driver partition by partition and stay in
+    a temporary file there, of ``4 * WIDTH`` bytes each; memory holds ``FIT_BLOCK`` of them.
+    """
     ship_code()
     known = labels.filter("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
     known = known.agg((F.avg("quality") >= 0.5).cast("int").alias("label")).filter(~held_out(F.col("doc_id")))
@@ -192,25 +214,33 @@ def train(docs: DataFrame, labels: DataFrame) -> AttentionModel | None:
                 own, x = passages(hasher, texts)
                 count = np.bincount(own, minlength=len(texts))
                 rank = np.arange(len(own)) - np.repeat(np.cumsum(count) - count, count)
-                n = count[own]
-                few = (n <= FIT_PASSAGES) | (rank * FIT_PASSAGES // n != (rank - 1) * FIT_PASSAGES // n)
-                own, rank, x = own[few], rank[few], x[few]
                 part = batch.slice(lo, hi - lo)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, WIDTH, dtype="i4")), pa.array(x.ravel()))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").take(pa.array(own)), part.column("label").take(pa.array(own)), pa.array(rank.astype("i4")), lists],
-                    names=["doc_id", "label", "rank", "x"],
-                )
+                for s in range(0, len(own), 4096):
+                    some = pa.array(own[s : s + 4096])
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            part.column("doc_id").take(some), part.column("label").take(some), pa.array(rank[s : s + 4096].astype("i4")),
+                            pa.array([row.tobytes() for row in x[s : s + 4096]], pa.binary()),
+                        ],
+                        names=["doc_id", "label", "rank", "x"],
+                    )
+
+    found = rows.mapInArrow(run, "doc_id long, label int, rank int, x binary").repartition("doc_id").sortWithinPartitions("doc_id", "rank", "x")
+    with tempfile.TemporaryFile() as file:
+        bags: dict[int, list[int]] = {}  # doc_id -> label, first row, rows
+        for n, row in enumerate(found.toLocalIterator()):
+            bags.setdefault(row["doc_id"], [row["label"], n, 0])[2] += 1
+            file.write(row["x"])
+        if not bags:
+            return None
+        file.flush()
+        label, first, sizes = np.array([bags[i] for i in sorted(bags)]).T
+
+        def read(bag: int) -> np.ndarray:
+            file.seek(int(first[bag]) * WIDTH * 4)
+            return np.fromfile(file, "f4", int(sizes[bag]) * WIDTH).reshape(-1, WIDTH)
 
-    found = rows.mapInArrow(run, "doc_id long, label int, rank int, x array<float>").toArrow()
-    if not found.num_rows:
-        return None
-    ids, rank, label = (found[c].to_numpy() for c in ("doc_id", "rank", "label"))
-    x = found["x"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), WIDTH)
-    order = np.lexsort((x[:, 0], rank, ids))
-    ids, x, label = ids[order], x[order], label[order]
-    _, first, bags = np.unique(ids, return_index=True, return_inverse=True)
-    return AttentionModel.fit(bags, x, label[first].astype(float))
+        return AttentionModel.fit(read, sizes, label.astype(float))
 
 
 def score(docs: DataFrame, model: AttentionModel | None) -> DataFrame:

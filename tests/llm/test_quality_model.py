@@ -54,6 +54,37 @@ def test_gradient():
     assert np.bincount(own, weights=model.attention(own, x)) == pytest.approx([1, 1, 1])
 
 
+def test_learns_from_whole_texts(spark, monkeypatch):
+    texts = {1: "good plain words " * 5000, 2: "bad " * 100, 3: "a b c d " * 900}
+    docs = spark.createDataFrame([*texts.items(), (3, texts[3])], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in texts], "doc_id long, quality int")
+    seen = {}
+
+    def fit(read, sizes, label):
+        seen.update(rows=[read(i) for i in range(len(sizes))], sizes=list(sizes), label=list(label))
+
+    monkeypatch.setattr(qm.AttentionModel, "fit", fit)
+    qm.train(docs, labels)
+    used = [i for i in sorted(texts) if zlib.crc32(str(i).encode()) % 5]
+    assert 1 in used and 3 in used and seen["label"] == [i % 2 for i in used]
+    for i, rows, size in zip(used, seen["rows"], seen["sizes"]):
+        want = qm.passages(Hasher(), [texts[i].encode()])[1]
+        want = np.repeat(want, 2, axis=0) if i == 3 else want  # the repeated row is in the same bag
+        assert size == len(want) and np.array_equal(rows, want), i
+
+
+def test_blocks_add_up(monkeypatch):
+    rng = np.random.default_rng(1)
+    x = [rng.normal(size=(n, qm.WIDTH)).astype("f4") for n in (1, 50, 3, 7, 20, 2)]
+    sizes, label = np.array([len(v) for v in x]), np.array([1.0, 0, 1, 0, 1, 1])
+    whole = qm.AttentionModel.fit(x.__getitem__, sizes, label)
+    monkeypatch.setattr(qm, "FIT_BLOCK", 10)
+    assert [list(p) for p, _, _ in qm._blocks(x.__getitem__, sizes, np.arange(6))] == [[0], [1], [2, 3], [4], [5]]
+    parts = qm.AttentionModel.fit(x.__getitem__, sizes, label)
+    own, rows = np.repeat(np.arange(6), sizes), np.concatenate(x)
+    assert parts.score(own, rows) == pytest.approx(whole.score(own, rows), abs=1e-4)
+
+
 def test_query_on_held_out_labels(spark):
     folder = "/root/testdata/sf0.1"
     rows = {r.doc_id: r for r in queries.QUERIES["op4_quality"](spark, folder).collect()}
