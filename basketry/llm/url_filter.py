@@ -28,7 +28,8 @@ ALLOW_SEEDS = (
     "press research school science shop sport story travel university weather wiki www"
 ).split()
 
-LONGEST = 20  # letters of a word
+HEAD = 20  # letters of a word that are looked up at once; longer words are found by their first ones
+BLOCK = 256  # places of a run of letters that are cut out together
 SEED_SHARE = 0.02  # of all urls: as many as these does a seed word stand for
 SEED_WORDS = 1e-5  # of all words: as frequent is a seed word at least
 PRESUMED = 0.2  # weight as allowed of a url that no rule decides
@@ -63,7 +64,7 @@ def word_counts(texts: DataFrame, column: str) -> DataFrame:
     """(word, n): how often each run of letters occurs in the texts, without tags; seed words are added."""
     plain = F.lower(F.regexp_replace(F.coalesce(F.col(column), F.lit("")), r"<[^>]*>", " "))
     found = texts.select(F.explode(F.regexp_extract_all(plain, F.lit(r"(\p{L}+)"), 1)).alias("word"))
-    counts = found.filter(F.length("word") <= LONGEST).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    counts = found.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     counts = materialize(counts, "counts")
     least = math.ceil((counts.agg(F.sum("n")).first()[0] or 0) * SEED_WORDS) or 1
     seeds = texts.sparkSession.createDataFrame([(w, least) for w in (*BLOCK_SEEDS, *ALLOW_SEEDS)], "word string, n long")
@@ -76,37 +77,49 @@ def best_split(piece: str, cost: dict[str, float], unknown: float) -> list[str]:
     Letters in a row that belong to no word stay together. Of equal costs the longer last word wins.
     """
     best: list[tuple[float, int]] = [(0.0, 0)]
+    lengths = sorted({len(w) for w in cost})
     for end in range(1, len(piece) + 1):
         options = [(best[end - 1][0] + unknown, end - 1)]
-        for start in range(max(0, end - LONGEST), end):
-            if (c := cost.get(piece[start:end])) is not None:
-                options.append((best[start][0] + c, start))
+        for n in lengths:
+            if n > end:
+                break
+            if (c := cost.get(piece[end - n : end])) is not None:
+                options.append((best[end - n][0] + c, end - n))
         best.append(min(options))
     cuts, end = [], len(piece)
     while end:
         start = best[end][1]
         known = piece[start:end] in cost
-        if cuts and not known and not cuts[-1][1]:
-            cuts[-1] = (piece[start:end] + cuts[-1][0], False)
+        if cuts and not known and not cuts[-1][2]:
+            cuts[-1] = (start, cuts[-1][1], False)
         else:
-            cuts.append((piece[start:end], known))
+            cuts.append((start, end, known))
         end = start
-    return [w for w, _ in reversed(cuts)]
+    return [piece[a:b] for a, b, _ in reversed(cuts)]
 
 
 def segment(found: DataFrame, counts: DataFrame) -> DataFrame:
     """(piece) -> (piece, words): each distinct piece split by the unigram model of ``counts``.
 
-    Only counts of substrings of the pieces are needed: they are joined by word and gathered per
-    piece, at most its length times ``LONGEST``, so that no model travels whole. A piece longer than
-    a host label may be (63 letters) is not split.
+    Only counts of substrings of the pieces are needed. Those of up to ``HEAD`` letters are cut out,
+    ``BLOCK`` places of a piece in a row, and joined by word; longer words are joined by their first
+    ``HEAD`` letters and looked for in the piece. Both are gathered per piece, so that no model
+    travels whole.
     """
-    short = found.filter(F.length("piece") <= 63)
-    spans = F.expr(f"""flatten(transform(sequence(1, length(piece)), i -> transform(
-        sequence(1, least({LONGEST}, length(piece) - i + 1)), k -> substring(piece, i, k))))""")
-    parts = short.select("piece", F.explode(F.array_distinct(spans)).alias("word"))
-    known = parts.join(counts, "word").groupBy("piece").agg(F.collect_list(F.struct("word", "n")).alias("known"))
-    rows = found.join(known, "piece", "left")
+    found = materialize(found.select("piece", F.monotonically_increasing_id().alias("id")), "runs")
+    spans = F.expr(f"""flatten(transform(sequence(1, least({BLOCK}, length(block))), i -> transform(
+        sequence(1, least({HEAD}, length(block) - i + 1)), k -> substring(block, i, k))))""")
+    block = F.expr(f"explode(transform(sequence(1, length(piece), {BLOCK}), i -> substring(piece, i, {BLOCK + HEAD - 1})))")
+    parts = found.select("id", block.alias("block")).select("id", F.explode(F.array_distinct(spans)).alias("word"))
+    known = parts.join(counts.filter(F.length("word") <= HEAD), "word").select("id", "word", "n")
+    heads = F.expr(f"transform(sequence(1, least({BLOCK}, length(block) - {HEAD - 1})), i -> substring(block, i, {HEAD}))")
+    wide = found.filter(F.length("piece") > HEAD).select("id", F.length("piece").alias("letters"), block.alias("block"))
+    wide = wide.filter(F.length("block") >= HEAD).select("id", "letters", F.explode(F.array_distinct(heads)).alias("head"))
+    long = counts.filter(F.length("word") > HEAD).select(F.substring("word", 1, HEAD).alias("head"), "word", "n")
+    tried = wide.join(long, "head").filter(F.length("word") <= F.col("letters")).select("id", "word", "n")
+    inside = tried.join(found, "id").filter(F.contains("piece", "word")).select("id", "word", "n")
+    known = known.unionByName(inside).groupBy("id").agg(F.collect_set(F.struct("word", "n")).alias("known"))
+    rows = found.join(known, "id", "left")
     size = counts.agg(F.sum("n")).first()[0] or 1
 
     @F.pandas_udf("array<string>")
@@ -118,7 +131,7 @@ def segment(found: DataFrame, counts: DataFrame) -> DataFrame:
                 cost = {r["word"]: math.log(size) - math.log(r["n"]) for r in (model if model is not None else [])}
                 # rare one- and two-letter debris would win against whole words
                 cost = {w: c for w, c in cost.items() if len(w) > 1 or c < math.log(1000)}
-                out.append(best_split(text, cost, unknown) if len(text) <= 63 else [text])
+                out.append(best_split(text, cost, unknown))
             yield pd.Series(out)
 
     return rows.select("piece", split("piece", "known").alias("words"))

@@ -87,6 +87,29 @@ def test_segments_in_spark(spark):
     assert rows == {"freebets": ["free", "bets"], "q" * 70: ["q" * 70], "xx": ["xx"]}
 
 
+def test_segments_of_any_length(spark):
+    long, same = "donaudampfschifffahrtsgesellschaft", "donaudampfschifffahrtskapitaen"
+    counts = spark.createDataFrame([("free", 90), ("bets", 40), (long, 3), (same, 9), ("q" * 300, 2)], "word string, n long")
+    want = [["free", "bets"] * 8, ["free", "bets"] * 100, ["free", long, "bets"], [*["bets"] * 60, long, same, "free"], ["free", "q" * 300, "bets"], [long]]
+    found = spark.createDataFrame([("".join(w),) for w in want], "piece string")
+    rows = {r.piece: list(r.words) for r in uf.segment(found, counts).collect()}
+    assert rows == {"".join(w): w for w in want}
+
+
+def test_long_words_are_counted(spark):
+    counts = uf.word_counts(spark.createDataFrame([("<p>short " + "w" * 30 + " " + "w" * 30,)], "html string"), "html")
+    assert {r.word: r.n for r in counts.collect()}["w" * 30] == 2
+
+
+def test_long_hosts_are_judged_by_their_words(spark):
+    urls = ["http://casino.net/porn"] * 40 + [f"http://city.org/fr/museum{i}" for i in range(40)]
+    urls += ["http://" + "casinoporn" * 6 + ".com/", "http://" + "casinoporn" * 7 + ".com/", "http://a.com/" + "casinoporn" * 7]
+    rows = uf.judge(spark.createDataFrame([(i, u, "<p>casino porn city museum</p>") for i, u in enumerate(urls)], "page_id long, url string, html string")).collect()
+    short, host, path = sorted((r for r in rows if r.rule is None), key=lambda r: r.page_id)
+    assert short.verdict == host.verdict == path.verdict == "block"
+    assert host.score > short.score and path.score > short.score
+
+
 def test_weights_are_those_of_naive_bayes(spark):
     tokens = spark.createDataFrame([("h", "/", "block", 3, "spam"), ("h", "/", None, 10, "news"), ("g", "/", "allow", 2, "news")], "host string, shape string, ruled string, urls long, token string")
     got = {r.token: r.weight for r in uf._weights(tokens, 0.0).collect()}
