@@ -3,8 +3,8 @@
 Documents with the same set of shingles are one node. A signature holds ``TREES`` labels of ``DEPTH``
 minima; a tree is the trie of one label over all nodes, kept as rows grouped by prefix. Nodes that
 share a prefix of the present depth in any tree are candidates of each other. Starting from whole
-labels, prefixes are shortened until the links found say that links of their similarities are
-recalled well enough. Candidates are gathered in classes (components of the prefix groups); in a class
+labels, prefixes are shortened until links as similar as those found, and a link at the threshold
+itself, are recalled well enough. Candidates are gathered in classes (components of the prefix groups); in a class
 every pair is compared exactly, a large class in blocks, so that no pair leaves a task.
 
 Nodes are 63-bit hashes of shingle sets; two different sets meet in one of them with a chance of about
@@ -239,6 +239,12 @@ def expected_recall(bins: list[int], depth: int) -> float:
     return sum(bins) / total if total else 1.0
 
 
+def enough(bins: list[int], depth: int) -> bool:
+    """Whether links as similar as those found are recalled at this depth, and any single link: the
+    average alone would let many links of one hot class outvote a few near the threshold."""
+    return min(expected_recall(bins, depth), chance(float(THRESHOLD), depth)) >= RECALL
+
+
 def links(docs: DataFrame) -> tuple[DataFrame, DataFrame, list[tuple[int, float]]]:
     """(signed, linked, steps): ``linked`` has node, weight (documents linked, copies left out) and
     root for nodes with links; ``steps`` the depths tried with the recall estimated at each."""
@@ -268,10 +274,10 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame, list[tuple[int, float]
         bins = linked.select(*[F.sum(F.col("bins")[k]).alias(f"b{k}") for k in range(BINS)]).first()
         bins = [int(n or 0) for n in bins]
         steps.append((depth, expected_recall(bins, depth)))
-        # the longest prefix, shorter than this, that is enough for links like these
-        if steps[-1][1] >= RECALL or depth == 1:
+        # the longest prefix, shorter than this, that is enough for links like these and at the threshold
+        if enough(bins, depth) or depth == 1:
             break
-        depth = next((d for d in range(depth - 1, 0, -1) if expected_recall(bins, d) >= RECALL), 1)
+        depth = next((d for d in range(depth - 1, 0, -1) if enough(bins, d)), 1)
     roots = components(linked.select(F.col("low").alias("a"), F.col("node").alias("b")))
     weights = linked.groupBy("node").agg(F.sum("weight").alias("weight"))
     # the smallest node of a component may be no end of an edge (a, b) with a != b: it is its own root

@@ -147,3 +147,12 @@ def test_components(spark):
 def test_chance_is_that_of_the_forest(depth):
     assert nd.chance(0.8, depth) > 0.999 and nd.chance(0.8, depth) <= nd.chance(0.9, depth)
     assert nd.expected_recall([0] * nd.BINS, depth) == 1.0
+
+
+def test_hot_class_does_not_decide_for_other_links(docs_frame):
+    # 40 texts that differ in one word of 300: all links are far above the threshold
+    body = [f"w{i}" for i in range(300)]
+    docs = [(i, " ".join([*body[:150], f"x{i}", *body[150:]]), "en", "a") for i in range(40)]
+    _, linked, steps = nd.links(docs_frame(docs))
+    assert linked.count() == 40 and nd.expected_recall([0] * (nd.BINS - 1) + [1], nd.DEPTH) >= nd.RECALL
+    assert nd.chance(0.8, steps[-1][0]) >= nd.RECALL
