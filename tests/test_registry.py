@@ -2,6 +2,7 @@
 
 import glob
 import os
+import shutil
 import subprocess
 import sys
 
@@ -104,6 +105,17 @@ def test_bench_prints_one_json_line(base):
     assert line["unit"] == "sec" and line["sf"] == "0.001" and set(line["queries"]) == {"purchase_events"}
 
 
+def test_entry_without_the_subpackage(tmp_path):
+    """Nothing of the main part needs the operators for training data."""
+    root = os.path.dirname(os.path.abspath(registry.__file__))
+    gone = shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__")
+    shutil.copytree(root, tmp_path / "copy", ignore=gone)
+    code = "import __spark_entry__ as e; print(sorted(e.queries()) == sorted(e.QUERIES), set(e.oracle_sql()) <= set(e.QUERIES))"
+    run = [sys.executable, "-c", code]
+    out = subprocess.run(run, cwd=tmp_path / "copy", env={**os.environ, "PYTHONPATH": ""}, capture_output=True, text=True, timeout=120)
+    assert out.stdout.split() == ["True", "True"], out.stderr
+
+
 def test_sequences_are_a_table_of_the_right_size(spark, base):
     truth = queries._id_truth(spark, base)
     out = queries._sequences(spark, base, truth)
