@@ -102,3 +102,22 @@ SELECT doc_id, octet_length(bytes)::BIGINT AS n_bytes, coalesce(n_removed, 0)::B
 FROM t JOIN kept USING (doc_id) LEFT JOIN gone USING (doc_id)"""
 
 ORACLES: dict[str, str] = {"op1_jaccard": JACCARD, "op7_quality": _quality(), "op8_suffixes": REPEATS}
+
+ORACLES["op11_fim"] = r"""WITH cut AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h,
+         regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS tokens FROM documents),
+drawn AS (
+  SELECT doc_id, text, tokens, len(tokens) AS n,
+         ('0x' || substr(h, 1, 8))::BIGINT % (len(tokens) + 1) AS a, ('0x' || substr(h, 9, 8))::BIGINT % (len(tokens) + 1) AS b,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>')
+                OR ('0x' || substr(h, 17, 8))::BIGINT % 100 >= 50 THEN 'plain'
+              WHEN ('0x' || substr(h, 25, 8))::BIGINT % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM cut),
+parts AS (
+  SELECT doc_id, n, form, text, array_to_string(tokens[1:least(a, b)], '') AS prefix,
+         array_to_string(tokens[least(a, b) + 1:greatest(a, b)], '') AS middle,
+         array_to_string(tokens[greatest(a, b) + 1:], '') AS suffix FROM drawn)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN len(prefix) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN len(middle) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                   ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(text) AS restored_sha256 FROM parts"""

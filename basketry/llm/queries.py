@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from basketry.llm import mixing, multi_index, near_duplicates, packing, pii, quality_model, quality_rules, sharding, suffix_dedup, url_filter
+from basketry.llm import mixing, multi_index, near_duplicates, packing, piece_table, pii, quality_model, quality_rules, sharding, suffix_dedup, url_filter
 from basketry.llm.common import table
 from basketry.llm.oracles import ORACLES  # noqa: F401
 
@@ -76,6 +76,11 @@ def op10_urls(spark: SparkSession, folder: str) -> DataFrame:
     return url_filter.judge(table(spark, folder, "pages"))
 
 
+def op11_fim(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents arranged for filling in their middle: facts, digests of output and restored text."""
+    return piece_table.digest(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_jaccard": op1_jaccard,
     "op2_pii": op2_pii,
@@ -87,4 +92,5 @@ QUERIES: dict[str, Query] = {
     "op8_suffixes": op8_suffixes,
     "op9_sharding": op9_sharding,
     "op10_urls": op10_urls,
+    "op11_fim": op11_fim,
 }
