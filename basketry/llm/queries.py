@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from basketry.llm import mixing, multi_index, near_duplicates, packing, piece_table, pii, quality_model, quality_rules, sharding, suffix_dedup, url_filter
+from basketry.llm import license_index, mixing, multi_index, near_duplicates, packing, piece_table, pii, quality_model, quality_rules, sharding, suffix_dedup, url_filter
 from basketry.llm.common import table
 from basketry.llm.oracles import ORACLES  # noqa: F401
 
@@ -81,6 +81,11 @@ def op11_fim(spark: SparkSession, folder: str) -> DataFrame:
     return piece_table.digest(table(spark, folder, "documents"))
 
 
+def op12_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    """Licence phrases and notices in every document."""
+    return license_index.scan(table(spark, folder, "documents")).drop("notices")
+
+
 QUERIES: dict[str, Query] = {
     "op1_jaccard": op1_jaccard,
     "op2_pii": op2_pii,
@@ -93,4 +98,5 @@ QUERIES: dict[str, Query] = {
     "op9_sharding": op9_sharding,
     "op10_urls": op10_urls,
     "op11_fim": op11_fim,
+    "op12_licenses": op12_licenses,
 }
