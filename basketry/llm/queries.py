@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from basketry.llm import license_index, mixing, multi_index, near_duplicates, packing, piece_table, pii, quality_model, quality_rules, sharding, suffix_dedup, url_filter
+from basketry.llm import conversation_repair, license_index, mixing, multi_index, near_duplicates, packing, piece_table, pii, quality_model, quality_rules, sharding, suffix_dedup, url_filter
 from basketry.llm.common import table
 from basketry.llm.oracles import ORACLES  # noqa: F401
 
@@ -86,6 +86,11 @@ def op12_licenses(spark: SparkSession, folder: str) -> DataFrame:
     return license_index.scan(table(spark, folder, "documents")).drop("notices")
 
 
+def op13_conversations(spark: SparkSession, folder: str) -> DataFrame:
+    """Every conversation, damaged by a rule, with its faults and its cheapest repair."""
+    return conversation_repair.repair(table(spark, folder, "conversations"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_jaccard": op1_jaccard,
     "op2_pii": op2_pii,
@@ -99,4 +104,5 @@ QUERIES: dict[str, Query] = {
     "op10_urls": op10_urls,
     "op11_fim": op11_fim,
     "op12_licenses": op12_licenses,
+    "op13_conversations": op13_conversations,
 }
