@@ -5,10 +5,16 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
+#: folders inside the application's folder that hold what is written now
+_scope: ContextVar[str] = ContextVar("_scope", default="")
+
 RUNTIME_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -70,7 +76,27 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path inside the shared folder, under one folder per application."""
     root = shared_dir(spark).rstrip("/")
-    return f"{root}/basketry-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    return f"{root}/basketry-{spark.sparkContext.applicationId}/{_scope.get()}{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession, name: str) -> Iterator[str]:
+    """Intermediate tables written inside go to one folder, of which the path is given; ``drop_path``
+    frees them when every result that reads them has been written."""
+    folder = scratch_path(spark, name)
+    token = _scope.set(folder.split(f"basketry-{spark.sparkContext.applicationId}/", 1)[1] + "/")
+    try:
+        yield folder
+    finally:
+        _scope.reset(token)
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder of this application's intermediate tables, wherever the shared folder is."""
+    if f"/basketry-{spark.sparkContext.applicationId}/" not in path:
+        raise ValueError(f"not a scratch path of this application: {path}")
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
