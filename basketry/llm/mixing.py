@@ -158,7 +158,8 @@ def mix_rows(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     plain, back = set_aside(docs, "doc_id", "source", "text")
     sized = plain.withColumn("_words", _words(plain))
     same = sized["doc_id"].cast("long").eqNullSafe(taken["_id"]) & sized["source"].cast("string").eqNullSafe(taken["_source"])
-    rows = sized.join(taken, same & (sized["_words"] == taken["_size"]))
+    # texts travel at every size alike; the planner would broadcast what a small table takes
+    rows = sized.join(taken.hint("merge"), same & (sized["_words"] == taken["_size"]))
     if not taken.filter("rows > 1").head(1):
         return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("all").cast("int")))).select(*back)
     alone = rows.filter("rows = 1").withColumn("_rank", F.lit(1))

@@ -73,11 +73,43 @@ def test_run_is_the_stages_in_order(spark, base, stages):
     assert sum(r.length for r in rows) == sum(r.length for r in stages[5])
 
 
-def test_odd_rows(spark, odd, docs_frame):
-    plain = odd.select(*COLUMNS)
-    for _, stage in cp.STAGES:
-        stage(spark, plain, "").collect()
-        assert stage(spark, plain.limit(0), "").count() == 0
+def test_odd_rows(spark, odd, tmp_path):
+    """Every stage on odd rows with clashing columns, each on the written result of the one before."""
+    docs = odd
+    for k, (_, stage) in enumerate(cp.STAGES):
+        assert stage(spark, odd.limit(0), "").count() == 0
+        out = stage(spark, docs, "")
+        if k < len(cp.STAGES) - 1:
+            assert out.columns == odd.columns
+        out.write.parquet(f"{tmp_path}/{k}")
+        before, docs = docs, spark.read.parquet(f"{tmp_path}/{k}")
+        if k < len(cp.STAGES) - 1:
+            assert {r.low for r in docs.collect()} <= {"extra"}
+    kept = {(r.doc_id, r.text) for r in spark.read.parquet(f"{tmp_path}/0").collect()}
+    assert kept <= {(r.doc_id, r.text) for r in odd.collect()}
+    tokens = {r.doc_id for r in docs.collect()}
+    assert tokens == {r.doc_id for r in before.collect()}
+
+
+def test_odd_rows_in_each_stage(spark, odd):
+    counts = [stage(spark, odd, "").count() for _, stage in cp.STAGES]
+    n = odd.count()
+    # near copies: two rows of one text twice, and "some words here" is too short to link; PII keeps all
+    assert counts[0] <= n and counts[1] <= n and counts[2] == n and counts[4] >= n
+
+
+def test_a_stage_drops_the_tables_of_those_before(spark, odd):
+    import glob
+    import os
+
+    from basketry.session import scratch_path
+
+    root = os.path.dirname(scratch_path(spark, "x"))
+    folders = lambda name: glob.glob(f"{root}/pipeline-{name}-*")
+    cp.near_copies(spark, odd, "").count()
+    assert len(folders("near_copies")) == 1
+    cp.personal_data(spark, odd, "").count()
+    assert not folders("near_copies")
 
 
 def test_repeated_rows_are_taken_evenly(spark, docs_frame):
