@@ -18,6 +18,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
@@ -28,6 +29,10 @@ END = 2  # the id after each document
 POOL = 1 << 20  # tokens held back so that gaps find fitting pieces
 STEP = 32 * 4096  # tokens of a step group
 CACHE = 1_500_000  # distinct words whose ids a worker remembers
+CACHE_BYTES = 128 << 20  # and the bytes of these words and ids
+MARKS = ".,"  # cut off the end of words
+RUN = 50  # new words looked up as one text
+SLICE = 8 << 20  # bytes of texts whose words are made distinct at a time
 SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
     "tier int, step_id long"
@@ -37,8 +42,10 @@ SCHEMA = (
 class WordIds:
     """Token ids of texts by a tokenizer that drops white space and never joins across it.
 
-    Then the ids of a text are those of its words in a row, and a word seen before needs no new look
-    at the tokenizer. The memory is emptied when it holds ``CACHE`` words.
+    Then the ids of a text are those of its words in a row. The words of many texts are made distinct
+    first; a word seen before needs no new look at the tokenizer. What is remembered is forgotten when
+    it exceeds ``CACHE`` words or ``CACHE_BYTES``. Shortcuts that rest on a habit of the tokenizer (letter
+    case, marks at the end of a word, tokens that tell where a word ends) are taken where it has it.
     """
 
     def __init__(self, path: str):
@@ -48,14 +55,38 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self._learn_habits()
+        marks = self._ids(list(MARKS))
+        lengths = np.array([1, *map(len, marks)])
+        self._fixed = lengths, np.array([END, *(i for ids in marks for i in ids)], dtype="u4")
         self._forget()
 
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn_habits(self) -> None:
+        letters = "abcdefghijklmnopqrstuvwxyz"
+        mixed = [letters.upper(), *letters.upper(), "aBcDe", "Zz9Q", "T-Shirt", "IN'S"]
+        self.folds_case = self._ids(mixed) == self._ids([w.lower() for w in mixed])
+        stems = [*letters, *"0123456789", "ab", "the", "x1", "9y", "don't", "a-b", "été1", "w" * 30]
+        plain = self._ids(stems)
+        self.cuts_marks = all(
+            self._ids([s + m for s in stems]) == [ids + mark for ids in plain] for m, mark in zip(MARKS, self._ids(list(MARKS)))
+        )
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False) if suffix else {}
+        self.ends_word = np.zeros(max(vocabulary.values(), default=-1) + 1, dtype=bool)
+        self.ends_word[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+
     def _forget(self) -> None:
         self.number: dict[bytes, int] = {}
         self.length = np.zeros(1 << 12, dtype="i8")
         self.begin = np.zeros(1 << 12, dtype="i8")
         self.ids = np.zeros(1 << 14, dtype="u4")
-        self.used = 0
+        self.used, self.bytes = 0, 0
+        # END and the marks have names that no word has
+        self._store([b" ", *(b" " + m.encode() for m in MARKS)], self._fixed[0], self._fixed[1])
+        self._store([b""], np.array([0]), np.zeros(0, dtype="u4"))  # a blank at an edge of a text makes an empty word
 
     def _store(self, words: list[bytes], lengths: np.ndarray, flat: np.ndarray) -> None:
         first, count = len(self.number), len(words)
@@ -68,54 +99,78 @@ class WordIds:
         self.ids[self.used : self.used + len(flat)] = flat
         self.used += len(flat)
         self.number.update(zip(words, range(first, first + count)))
+        self.bytes += sum(map(len, words)) + 4 * len(flat)
 
     def _gather(self, at: np.ndarray) -> np.ndarray:
         length = self.length[at]
         ends = np.cumsum(length)
-        return self.ids[np.arange(ends[-1]) + np.repeat(self.begin[at] - (ends - length), length)]
+        return self.ids[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.begin[at] - (ends - length), length)]
 
     def _encode(self, words: list[bytes]) -> None:
-        found = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
-        lengths = np.fromiter(map(len, found), "i8", len(words))
-        self._store(words, lengths, np.fromiter((i for ids in found for i in ids), "u4", int(lengths.sum())))
-
-    def _learn(self, new: list[bytes]) -> None:
-        """The tokenizer lower-cases, and cuts a last mark off a letter or digit before it; so words
-        that differ in these are looked up once and put together."""
-        stems, marks = [], []
-        for word in new:
-            # the name of a special token has a case
-            stem, mark = word if b"<|" in word else word.lower(), b""
-            if stem[-1:] in (b".", b",") and stem[-2:-1].isalnum():
-                stem, mark = stem[:-1], stem[-1:]
-            stems.append(stem)
-            marks.append(mark)
-        wanted = dict.fromkeys([*stems, b".", b","])
-        if unknown := [w for w in wanted if w not in self.number]:
-            self._encode(unknown)
-        rest = [k for k, word in enumerate(new) if word not in self.number]
+        """Look words up. Runs of them go as one text where the tokens that end words are as many as the words."""
+        rest = words
+        if self.ends_word.any():
+            rest, runs = [], [words[i : i + RUN] for i in range(0, len(words), RUN)]
+            for run, ids in zip(runs, self._ids([b" ".join(run).decode() for run in runs])):
+                flat = np.array(ids, dtype="u4")
+                known = flat < len(self.ends_word)
+                ends = np.flatnonzero(known & self.ends_word[np.where(known, flat, 0)]) + 1
+                if len(ends) == len(run) and ends[-1] == len(flat):
+                    self._store(run, np.diff(ends, prepend=0), flat)
+                else:
+                    rest += run
         if rest:
-            parts = np.array([[self.number[stems[k]], self.number[marks[k] or b"."]] for k in rest])
-            marked = np.array([bool(marks[k]) for k in rest])
-            lengths = self.length[parts]
-            lengths[~marked, 1] = 0
-            use = np.stack([np.ones(len(rest), dtype=bool), marked], axis=1).ravel()
-            self._store([new[k] for k in rest], lengths.sum(axis=1), self._gather(parts.ravel()[use]))
+            found = self._ids([w.decode() for w in rest])
+            lengths = np.fromiter(map(len, found), "i8", len(rest))
+            self._store(rest, lengths, np.fromiter((i for ids in found for i in ids), "u4", int(lengths.sum())))
+
+    def _stems(self, words: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """Words without what the tokenizer ignores or cuts off: letter case, a mark behind a letter or
+        digit. The second result says which mark: 0 for none, then the places in ``MARKS``."""
+        marked = np.zeros(len(words), dtype="i8")
+        if self.folds_case:
+            # the name of a special token has a case
+            words = pc.if_else(pc.match_substring(words, "<|"), words, pc.ascii_lower(words))
+        if self.cuts_marks:
+            for k, mark in enumerate(MARKS):
+                marked[pc.match_substring_regex(words, f"[0-9A-Za-z][{mark}]$").to_numpy(zero_copy_only=False)] = k + 1
+            words = pc.if_else(pa.array(marked > 0), pc.utf8_slice_codeunits(words, 0, -1), words)
+        return words, marked
+
+    def _numbers(self, words: pa.Array) -> np.ndarray:
+        """The numbers of distinct words; new ones are looked up first."""
+        names = words.cast(pa.binary()).to_pylist()
+        numbers = np.fromiter(map(self.number.get, names, repeat(-1)), "i8", len(names))
+        new = np.flatnonzero(numbers < 0)
+        if len(new):
+            unknown = [names[i] for i in new]
+            # letters alone first, so that a run of words is not given up for one with several parts
+            self._encode([w for w in unknown if w.isalpha()] + [w for w in unknown if not w.isalpha()])
+            numbers[new] = [self.number[w] for w in unknown]
+        return numbers
 
     def __call__(self, text: bytes) -> np.ndarray:
         """The ids of one whole UTF-8 text, without an end mark."""
-        found = text.split()  # bytes are split at ASCII white space only
-        if not found:
-            return np.empty(0, dtype="u4")
-        if len(self.number) > CACHE:
+        return self.texts(pa.array([text], pa.binary()).cast(pa.string()))[0][:-1]
+
+    def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of UTF-8 texts in a row, ``END`` after each, and the number of ids of each text."""
+        if len(self.number) > CACHE or self.bytes > CACHE_BYTES:
             self._forget()
-        at = np.fromiter(map(self.number.get, found, repeat(-1)), "i8", len(found))
-        new = np.flatnonzero(at < 0)
-        if len(new):
-            unknown = [found[i] for i in new]
-            self._learn(list(dict.fromkeys(unknown)))
-            at[new] = [self.number[w] for w in unknown]
-        return self._gather(at)
+        split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        coded = split.flatten().dictionary_encode()
+        stems, marked = self._stems(coded.dictionary)
+        stems = stems.dictionary_encode()
+        stem = self._numbers(stems.dictionary)[stems.indices.to_numpy()]
+        mark = np.where(marked > 0, marked, -1)  # MARKS have the numbers after that of END, which is 0
+        word = coded.indices.to_numpy()
+        ends = np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))
+        at = np.stack([stem[word], mark[word]], axis=1).ravel()
+        at = np.insert(at, 2 * ends, 0)
+        length = np.where(at >= 0, self.length[at], 0)
+        counted = np.concatenate([[0], np.cumsum(length)])
+        places = 2 * ends + np.arange(1, len(ends) + 1)
+        return self._gather(at[at >= 0]), np.diff(counted[np.concatenate([[0], places])])
 
 
 def worker_words(path: str) -> WordIds:
@@ -135,35 +190,35 @@ class Packer:
         self.largest, self.held, self.serial = self.tiers[-1], 0, 0
         self.sequence, self.first = first_sequence, first_sequence
         self.waiting: list[tuple[int, int]] = []  # (length, serial), sorted
-        self.pieces: dict[int, tuple] = {}  # serial -> doc_id, ids, start, length
+        self.pieces: dict[int, tuple] = {}  # serial -> doc_id, its ids from a start on, start, tokens of the document
         self.dealt: dict[int, int] = {}  # windows per tier so far
         self.rows: list[tuple] = []
 
-    def _put(self, doc_id, ids, start: int, length: int) -> None:
+    def _put(self, doc_id, ids, start: int, total: int) -> None:
         self.serial += 1
-        bisect.insort(self.waiting, (length, self.serial))
-        self.pieces[self.serial] = (doc_id, ids, start, length)
-        self.held += length
+        bisect.insort(self.waiting, (len(ids), self.serial))
+        self.pieces[self.serial] = (doc_id, ids, start, total)
+        self.held += len(ids)
 
     def _emit(self, size: int, parts: list[tuple]) -> None:
         n = self.dealt.get(size, 0)
         self.dealt[size] = n + 1
         step_id = self.first + (self.tiers.index(size) if size in self.tiers else len(self.tiers)) + (n * size // self.step) * (len(self.tiers) + 1)
         offset = 0
-        for doc_id, ids, start, length in parts:
-            crc = zlib.crc32(np.ascontiguousarray(ids[start : start + length], dtype="<u4").tobytes())
-            self.rows.append((doc_id, start, length, crc, len(ids), self.sequence, offset, size, step_id))
-            offset += length
+        for doc_id, ids, start, total in parts:
+            crc = zlib.crc32(np.ascontiguousarray(ids, dtype="<u4"))
+            self.rows.append((doc_id, start, len(ids), crc, total, self.sequence, offset, size, step_id))
+            offset += len(ids)
         self.sequence += 1
 
     def add(self, doc_id, ids: np.ndarray) -> None:
         """Take a document; whole windows of a long one leave at once."""
         start = 0
         while len(ids) - start >= self.largest:
-            self._emit(self.largest, [(doc_id, ids, start, self.largest)])
+            self._emit(self.largest, [(doc_id, ids[start : start + self.largest], start, len(ids))])
             start += self.largest
         if start < len(ids):
-            self._put(doc_id, ids, start, len(ids) - start)
+            self._put(doc_id, ids[start:].copy(), start, len(ids))  # a view would hold its whole batch
         if self.held > self.pool:
             while self.held > self.pool // 2:
                 self._window(self._route())
@@ -179,12 +234,12 @@ class Packer:
             at = bisect.bisect_right(self.waiting, (gap, 1 << 62)) - 1
             cut = at < 0
             length, serial = self.waiting.pop(0 if cut else at)
-            doc_id, ids, start, _ = self.pieces.pop(serial)
+            doc_id, ids, start, total = self.pieces.pop(serial)
             self.held -= length
             taken = min(length, gap)
-            parts.append((doc_id, ids, start, taken))
+            parts.append((doc_id, ids[:taken], start, total))
             if cut:
-                self._put(doc_id, ids, start + taken, length - taken)
+                self._put(doc_id, ids[taken:], start + taken, total)
             gap -= taken
         self._emit(size, parts)
 
@@ -207,7 +262,6 @@ def pack(docs: DataFrame, tokenizer: str, tiers: tuple[int, ...] = TIERS, pool:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, packer = worker_words(tokenizer), Packer(tiers, pool, step, TaskContext.get().partitionId() << 33)
-        end = np.array([END], dtype="u4")
 
         def out() -> pa.RecordBatch:
             columns = list(zip(*packer.rows))
@@ -216,9 +270,12 @@ def pack(docs: DataFrame, tokenizer: str, tiers: tuple[int, ...] = TIERS, pool:
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=NAMES)
 
         for batch in batches:
-            texts = batch.column(1).cast(pa.binary())
-            for doc_id, text in zip(batch.column(0).to_pylist(), texts):
-                packer.add(doc_id, np.concatenate([words(text.as_py() or b""), end]))
+            for some in _slices(batch):
+                ids, counts = words.texts(some.column(1))
+                at = 0
+                for doc_id, count in zip(some.column(0).to_pylist(), counts.tolist()):
+                    packer.add(doc_id, ids[at : at + count])
+                    at += count
                 if len(packer.rows) >= 20_000:
                     yield out()
         packer.finish()
@@ -229,4 +286,13 @@ def pack(docs: DataFrame, tokenizer: str, tiers: tuple[int, ...] = TIERS, pool:
     return rows.mapInArrow(run, SCHEMA)
 
 
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Runs of rows with about ``SLICE`` bytes of texts, at least one row each."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+    cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // SLICE, prepend=0)).tolist()
+    edges = sorted({0, *cuts, batch.num_rows})
+    for first, last in zip(edges, edges[1:]):
+        yield batch.slice(first, last - first)
+
+
 NAMES = [part.split()[0] for part in SCHEMA.split(", ")]

@@ -68,3 +68,41 @@ def test_word_ids_after_forgetting(encode, monkeypatch):
     ids = packing.WordIds(queries.tokenizer_path())
     for text in ("one two three", "a b c d e f g h", "two, three! don't", "Ünï Å Ⅸ 3½", ""):
         assert ids(text.encode()).tolist() + [packing.END] == encode(text)
+
+
+def test_word_ids_of_many_texts(encode):
+    """Blanks at the edges, null and empty texts, words of many parts and long ones, in one batch."""
+    import pyarrow as pa
+
+    texts = [" a  b\t", None, "", "\n\x0b", "don't T-SHIRT x-1, (y). z.. 3,4", "w" * 300 + " é." * 5, "<|endoftext|> <|EndOfText|>", "ß. İ, K."]
+    texts += [" ".join(f"word{i}ing Word{i}. {'qx' * (i % 9)}" for i in range(200))]
+    ids = packing.WordIds(queries.tokenizer_path())
+    for _ in range(2):
+        flat, counts = ids.texts(pa.array(texts, pa.string()))
+        parts = np.split(flat, np.cumsum(counts)[:-1])
+        assert [p.tolist() for p in parts] == [encode(t) for t in texts]
+    assert ids.folds_case and ids.cuts_marks and ids.ends_word.any()
+
+
+def test_a_tokenizer_without_these_habits(tmp_path):
+    """Upper case, marks that join a word and no word ends: nothing is taken for granted."""
+    import pyarrow as pa
+    from tokenizers import models, pre_tokenizers
+
+    vocabulary = {"[U]": 0, "a": 1, "A": 3, "b": 4, "ab.": 5, ".": 6, "Ab": 7}
+    plain = Tokenizer(models.WordLevel(vocabulary, unk_token="[U]"))
+    plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+    plain.save(str(tmp_path / "t.json"))
+    ids = packing.WordIds(str(tmp_path / "t.json"))
+    assert not ids.folds_case and not ids.cuts_marks and not ids.ends_word.any()
+    text = "a A b ab. Ab . a. zz"
+    assert ids(text.encode()).tolist() == plain.encode(text).ids == [1, 3, 4, 5, 7, 6, 0, 0]
+    assert ids.texts(pa.array([text]))[1].tolist() == [9]
+
+
+def test_memory_of_words_is_bounded(monkeypatch):
+    monkeypatch.setattr(packing, "CACHE_BYTES", 1000)
+    ids = packing.WordIds(queries.tokenizer_path())
+    for i in range(20):
+        ids(("x" * 400 + str(i)).encode())
+        assert ids.bytes < 4000
