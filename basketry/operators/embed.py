@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 
@@ -44,17 +44,16 @@ def embed(
     return df.select(*kept).mapInArrow(run, schema)
 
 
-def term_counts(docs: DataFrame, key: str, text_col: str, partitions: int | None = None) -> DataFrame:
+def term_counts(docs: DataFrame, key: str, text_col: str) -> DataFrame:
     """``(key, term, tf)``.
 
-    The texts are shuffled once by key; the count by key and term, and the grouping by key that
-    follows in ``tfidf_vectors``, then need no shuffle of their own. With a number of ``partitions``
-    adaptive execution does not join small ones.
+    The texts are shuffled once by key; the count by key and term, and what is grouped by key after
+    it, then need no shuffle of their own.
     """
-    rows = docs.select(key, text_col)
-    placed = rows.repartition(partitions, key) if partitions else rows.repartition(key)
     return (
-        placed.select(key, F.explode(tokens(text_col)).alias("term"))
+        docs.select(key, text_col)
+        .repartition(key)
+        .select(key, F.explode(tokens(text_col)).alias("term"))
         .groupBy(key, "term")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
@@ -83,11 +82,9 @@ def tfidf_weights(counts: DataFrame, idf: DataFrame, key: str) -> DataFrame:
     return counts.join(idf, "term").select(key, "term", (F.col("tf") * F.col("idf")).alias("weight"))
 
 
-def tfidf_vectors(
-    docs: DataFrame, key: str, text_col: str, idf: DataFrame, partitions: int | None = None
-) -> DataFrame:
+def tfidf_vectors(docs: DataFrame, key: str, text_col: str, idf: DataFrame) -> DataFrame:
     """``(key, terms, weights, norm)``, one sparse vector per text that has a known term."""
-    weights = tfidf_weights(term_counts(docs, key, text_col, partitions), idf, key)
+    weights = tfidf_weights(term_counts(docs, key, text_col), idf, key)
     return (
         weights.groupBy(key)
         .agg(
@@ -96,3 +93,10 @@ def tfidf_vectors(
         )
         .select(key, F.col("v.term").alias("terms"), F.col("v.weight").alias("weights"), "norm")
     )
+
+
+def tfidf_entries(docs: DataFrame, key: str, text_col: str, idf: DataFrame) -> DataFrame:
+    """``(key, term, weight)`` of the normalised vectors, one row per entry, in the partitioning of the counts."""
+    weights = tfidf_weights(term_counts(docs, key, text_col), idf, key)
+    norm = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy(key)))
+    return weights.withColumn("weight", F.col("weight") / norm)

@@ -11,9 +11,12 @@ from basketry.operators.embed import (
     ModelFactory,
     embed,
     inverse_document_frequency,
-    tfidf_vectors,
+    term_counts,
+    tfidf_entries,
+    tfidf_weights,
 )
-from basketry.operators.search import MAX_BROADCAST_QUERIES, DenseScore, SparseScore, top_k_join
+from basketry.operators.postings import top_k, with_blocks
+from basketry.operators.search import DenseScore, top_k_join
 from basketry.session import materialize
 from basketry.sources.sinks import create_table, overwrite_table
 
@@ -105,52 +108,40 @@ def similarity_search(
 
 @dataclass
 class TextIndex:
-    """TF-IDF index of a catalogue: ``vectors`` (id, terms, weights, norm) and ``idf`` (term, idf)."""
+    """TF-IDF index of a catalogue: ``postings`` (term, block, id, weight), ``idf`` (term, idf) and the texts."""
 
-    vectors: DataFrame
+    postings: DataFrame
     idf: DataFrame
     catalogue: DataFrame
 
     @classmethod
-    def build(
-        cls, docs: DataFrame, key: str, text_col: str, keep: bool = False, check_unique: bool = False
-    ) -> TextIndex:
-        """``keep`` writes the vectors too, for an index that is searched more than once."""
+    def build(cls, docs: DataFrame, key: str, text_col: str, check_unique: bool = False) -> TextIndex:
+        """The postings are written, as a search reads them several times."""
         if check_unique:
             require_unique(docs, key)
         catalogue = docs.filter(F.col(text_col).isNotNull()).select(
             F.col(key).alias("id"), F.col(text_col).alias("text")
         )
         idf = inverse_document_frequency(catalogue, "text")
-        # short texts are few bytes but, searched by many queries, much work: as many partitions as set
-        partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        vectors = tfidf_vectors(catalogue, "id", "text", idf, partitions)
-        if keep:
-            vectors = materialize(vectors, "vectors")
-        return cls(vectors, idf, catalogue)
+        entries = tfidf_entries(catalogue, "id", "text", idf)
+        return cls(materialize(with_blocks(entries), "postings"), idf, catalogue)
 
     def save(self, name: str) -> None:
-        """Save under ``name_vectors``, ``name_terms`` and ``name_catalogue``, replacing what is there."""
-        overwrite_table(self.vectors, f"{name}_vectors")
+        """Save under ``name_postings``, ``name_terms`` and ``name_catalogue``, replacing what is there."""
+        overwrite_table(self.postings, f"{name}_postings")
         overwrite_table(self.idf, f"{name}_terms")
         overwrite_table(self.catalogue, f"{name}_catalogue")
 
     @classmethod
     def load(cls, spark: SparkSession, name: str) -> TextIndex:
-        return cls(*(spark.table(f"{name}_{part}") for part in ("vectors", "terms", "catalogue")))
+        return cls(*(spark.table(f"{name}_{part}") for part in ("postings", "terms", "catalogue")))
 
     def search(
-        self,
-        queries: DataFrame,
-        k: int,
-        text_col: str = "text",
-        columns: tuple[str, ...] = (),
-        max_broadcast: int = MAX_BROADCAST_QUERIES,
-        **options,
+        self, queries: DataFrame, k: int, text_col: str = "text", columns: tuple[str, ...] = ()
     ) -> DataFrame:
         """Top-k catalogue rows for ``queries`` ``(query_id, text)``; only rows that share a term."""
-        vectors = tfidf_vectors(queries, "query_id", text_col, self.idf)
-        hits = top_k_join(vectors, self.vectors, k, SparseScore(), max_broadcast=max_broadcast, **options)
+        weights = tfidf_weights(term_counts(queries, "query_id", text_col), self.idf, "query_id")
+        hits = top_k(weights, self.postings, k)
         if columns:
             # k rows per query, written so that the planner knows how few they are
             hits = materialize(hits, "hits").join(self.catalogue.select("id", *columns), "id")

@@ -56,53 +56,6 @@ class DenseScore:
         return flat.reshape(len(vectors), -1) / np.where(norm == 0, 1.0, norm)[:, None]
 
 
-@dataclass(frozen=True)
-class SparseScore:
-    """Cosine of two term vectors; pairs without a common term do not match."""
-
-    columns = ("terms", "weights", "norm")
-    products_at_once: int = 4_000_000
-
-    def size(self) -> Column:
-        return F.size("terms") * F.lit(12) + F.octet_length(F.array_join("terms", ""))
-
-    def scores(self, queries: pa.Table, index: pa.Table) -> np.ndarray:
-        q_rows, q_terms, q_weights = self._entries(queries)
-        vocabulary = pc.unique(q_terms)
-        # term x query, queries being the block that is small
-        matrix = np.zeros((len(vocabulary), queries.num_rows))
-        matrix[pc.index_in(q_terms, vocabulary).to_numpy(), q_rows] = q_weights
-        d_rows, d_terms, d_weights = self._entries(index)
-        found = pc.index_in(d_terms, vocabulary)
-        known = found.is_valid().to_numpy(zero_copy_only=False)
-        slot = found.drop_null().to_numpy()
-        d_rows, d_weights = d_rows[known], d_weights[known]
-        out = np.full((index.num_rows, queries.num_rows), -np.inf)
-        # postings are grouped by index row, so each row is one run; some runs at a time
-        starts = np.flatnonzero(np.r_[True, d_rows[1:] != d_rows[:-1]]) if len(d_rows) else np.zeros(0, int)
-        step = max(1, self.products_at_once // max(1, queries.num_rows))
-        first = 0
-        while first < len(starts):
-            begin = starts[first]
-            last = int(np.searchsorted(starts, begin + step, side="right"))
-            last = max(last - 1, first + 1) if last < len(starts) else len(starts)
-            end = starts[last] if last < len(starts) else len(d_rows)
-            products = matrix[slot[begin:end]] * d_weights[begin:end, None]
-            sums = np.add.reduceat(products, starts[first:last] - begin, axis=0)
-            out[d_rows[starts[first:last]]] = np.where(sums > 0, sums, -np.inf)
-            first = last
-        return out.T
-
-    @staticmethod
-    def _entries(rows: pa.Table):
-        """Row number, term and normalised weight of each entry."""
-        terms = rows.column("terms").combine_chunks()
-        weights = rows.column("weights").combine_chunks().flatten().to_numpy(zero_copy_only=False)
-        lengths = pc.list_value_length(terms).to_numpy(zero_copy_only=False)
-        row = np.repeat(np.arange(len(terms)), lengths)
-        return row, terms.flatten(), weights / rows.column("norm").to_numpy()[row]
-
-
 def _order_key(column: pa.ChunkedArray) -> np.ndarray:
     """Numbers that sort like the ids."""
     if pa.types.is_integer(column.type) or pa.types.is_floating(column.type):

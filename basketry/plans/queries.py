@@ -16,6 +16,7 @@ from basketry.functions import metrics, prompts
 from basketry.functions.arrays import last_items
 from basketry.functions.hashing import hash_bucket
 from basketry.operators import ann, index, ratings, selections, split, transitions
+from basketry.operators.embed import inverse_document_frequency, tfidf_vectors
 from basketry.operators.generate import NeighbourGenerator, PromptGenerator, TransitionGenerator
 from basketry.operators.keys import dense_id
 from basketry.operators.skew import probe_fraction_setting
@@ -425,8 +426,9 @@ def embedding_topk(spark, base):
 
 @query
 def text_index(spark, base):
-    built = index.TextIndex.build(retail.table(spark, base, "documents"), "doc_id", "text")
-    return built.vectors.select("id", F.size("terms").alias("n_terms"), F.round("norm", 6).alias("norm"))
+    docs = retail.table(spark, base, "documents").select(F.col("doc_id").alias("id"), "text")
+    vectors = tfidf_vectors(docs, "id", "text", inverse_document_frequency(docs, "text"))
+    return vectors.select("id", F.size("terms").alias("n_terms"), F.round("norm", 6).alias("norm"))
 
 
 @query
@@ -526,7 +528,7 @@ def _transition_generator(spark, base):
 def recommend_one(spark, base):
     """Last purchase -> product bought next -> its name as query -> nearest catalogue items."""
     products = retail.plain_products(spark, base)
-    catalogue = index.TextIndex.build(readers.as_catalogue(products), "id", "product", keep=True)
+    catalogue = index.TextIndex.build(readers.as_catalogue(products), "id", "product")
     return recommend(
         _id_truth(spark, base),
         _transition_generator(spark, base),
@@ -549,7 +551,7 @@ def _echoing_responder():
 def recommend_prompted(spark, base):
     """History of names, or a starter -> prompt -> generated text -> nearest catalogue items, by text."""
     catalogue = readers.as_catalogue(retail.plain_products(spark, base))
-    built = index.TextIndex.build(catalogue, "id", "product", keep=True)
+    built = index.TextIndex.build(catalogue, "id", "product")
     return recommend(
         materialize(_named_histories(spark, base), "histories"),
         PromptGenerator(_echoing_responder),
@@ -574,7 +576,7 @@ def _mixing_responder():
 def sequence_prompted(spark, base):
     """Three steps for every customer: each found item joins the history that the next prompt names."""
     catalogue = readers.as_catalogue(retail.plain_products(spark, base))
-    built = index.TextIndex.build(catalogue, "id", "product", keep=True)
+    built = index.TextIndex.build(catalogue, "id", "product")
     walks = recommend_sequence(
         materialize(_named_histories(spark, base), "histories"),
         PromptGenerator(_mixing_responder),

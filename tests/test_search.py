@@ -10,7 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from basketry.operators import ann, index
-from basketry.operators.search import DenseScore, SparseScore, top_k_join
+from basketry.operators.search import DenseScore, top_k_join
+from basketry.session import materialize
 
 
 def vectors(n, seed, dims=8, copies=0):
@@ -80,12 +81,10 @@ def test_rows_without_a_vector_are_left_out(spark):
 def test_many_bytes_of_queries_are_not_broadcast(spark, monkeypatch):
     from basketry.operators import search
 
-    docs, queries = corpus(5, 60), corpus(6, 10)
-    built = index.TextIndex.build(spark.createDataFrame(list(docs.items()), "id long, text string"), "id", "text", keep=True)
-    asked = spark.createDataFrame(list(queries.items()), "query_id long, text string")
-    few = built.search(asked, 3)
+    q, d = vectors(10, 5), vectors(60, 6)
+    few = index.search_vectors(frame(spark, q, "query_id"), frame(spark, d), 3)
     monkeypatch.setattr(search, "MAX_BROADCAST_BYTES", 100)
-    many = built.search(asked, 3)
+    many = index.search_vectors(frame(spark, q, "query_id"), frame(spark, d), 3)
     plans = [df._jdf.queryExecution().executedPlan().toString() for df in (few, many)]
     assert "MapInArrow" in plans[0] and "MapInArrow" not in plans[1] and "CoGroup" in plans[1]
     assert not any("NestedLoop" in p or "Cartesian" in p for p in plans)
@@ -145,33 +144,101 @@ def corpus(seed, n, vocabulary=60):
     return {i: " ".join(f"w{min(rng.randint(0, vocabulary), rng.randint(0, vocabulary))}" for _ in range(rng.randint(1, 30))) for i in range(n)}
 
 
-@pytest.mark.parametrize("max_broadcast", [1000, 0])
-@pytest.mark.parametrize("keep", [True, False])
-def test_text_search(spark, max_broadcast, keep):
+def text_index(spark, docs):
+    return index.TextIndex.build(spark.createDataFrame(list(docs.items()), "doc long, body string"), "doc", "body")
+
+
+def asked_of(spark, queries):
+    return spark.createDataFrame(list(queries.items()), "query_id long, text string")
+
+
+@pytest.mark.parametrize("broadcast", ["10m", "-1"])
+def test_text_search(spark, broadcast):
     docs, queries = corpus(1, 150), corpus(2, 30, 80)
     docs[200] = docs[201] = docs[0]  # copies
     docs[202] = "Straße, ÉTÉ; straße!"
+    docs[300] = None
     queries[40] = "straße"
     queries[41] = "unknown words only"
-    built = index.TextIndex.build(
-        spark.createDataFrame(list(docs.items()) + [(300, None)], "doc long, body string"), "doc", "body", keep=keep
-    )
-    asked = spark.createDataFrame(list(queries.items()), "query_id long, text string")
-    hits = built.search(asked, 5, max_broadcast=max_broadcast, query_block=8, index_block=32)
-    close(collected(hits), brute_tfidf(docs, queries, 5))
+    queries[42] = None
+    built, asked = text_index(spark, docs), asked_of(spark, queries)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    try:
+        hits = built.search(asked, 5)
+        found, plan = collected(hits), hits._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    del docs[300], queries[42]
+    close(found, brute_tfidf(docs, queries, 5))
+    assert "NestedLoop" not in plan and "Cartesian" not in plan and "Python" not in plan and "Arrow" not in plan
     texts = built.search(asked, 1, columns=("text",)).collect()
     assert all(r.text == docs[r.id] for r in texts)
 
 
-def test_sparse_scores_in_small_steps(spark):
-    docs, queries = corpus(3, 80), corpus(4, 20)
-    built = index.TextIndex.build(spark.createDataFrame(list(docs.items()), "id long, text string"), "id", "text")
-    from basketry.operators.embed import tfidf_vectors
-
-    asked = spark.createDataFrame(list(queries.items()), "query_id long, text string")
-    q = tfidf_vectors(asked, "query_id", "text", built.idf)
-    hits = top_k_join(q, built.vectors, 4, SparseScore(products_at_once=50))
-    close(collected(hits), brute_tfidf(docs, queries, 4))
+@pytest.mark.parametrize("seed", range(4))
+def test_bounds_lose_nothing(spark, seed):
+    """Peaked queries, where most pairs are never met, and flat ones, where bounds cut little."""
+    rng = random.Random(seed)
+    docs = {i: " ".join(f"c{rng.randint(0, 5)}" for _ in range(rng.randint(1, 40))) + f" r{rng.randint(0, 60)}" * rng.randint(0, 3) for i in range(300)}
+    queries = {i: docs[rng.randint(0, 299)] if i % 2 else f"c1 c2 r{i}" for i in range(25)}
+    built = text_index(spark, docs)
+    close(collected(built.search(asked_of(spark, queries), 4)), brute_tfidf(docs, queries, 4))
+
+
+def test_few_pairs_are_scored(spark):
+    """Rows that share only common words with a query are not candidates."""
+    from basketry.operators import postings
+    from basketry.operators.embed import term_counts, tfidf_weights
+
+    docs = {i: "the of and " * 3 + f"topic{i % 50} word{i} item{i % 50}" for i in range(1000)}
+    queries = {i: f"the of and topic{i} item{i}" for i in range(20)}
+    built, asked = text_index(spark, docs), asked_of(spark, queries)
+    weights = tfidf_weights(term_counts(asked, "query_id", "text"), built.idf, "query_id")
+    met = postings.candidates(postings.query_terms(weights), built.postings, 5).count()
+    assert 20 * 5 <= met <= 20 * 20  # of 20,000 pairs, all of which share a term
+    close(collected(built.search(asked, 5)), brute_tfidf(docs, queries, 5))
+
+
+def test_blocks_bound_weights(spark):
+    from basketry.operators import postings
+
+    rows = spark.createDataFrame([(w,) for w in (1.0, 0.75, 0.5, 0.4999, 0.25, 0.1, 2.0**-15, 1e-9)], "weight double")
+    got = [(r.weight, r.block) for r in rows.withColumn("block", postings.block_of(F.col("weight"))).collect()]
+    assert [b for _, b in got] == [0, 0, 0, 1, 1, 3, 14, postings.LAST_BLOCK]
+    assert all(w <= 2.0**-b for w, b in got)
+
+
+def test_a_hot_term_is_split(spark):
+    """One term in most rows: the join on terms deals its postings to several tasks."""
+    docs = {i: f"hot w{i % 7} v{i}" for i in range(6000)}
+    queries = {i: f"hot w{i % 7} hot" for i in range(40)}
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "2k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "2k",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    from basketry.operators import postings
+    from basketry.operators.embed import term_counts, tfidf_weights
+
+    built, asked = text_index(spark, docs), asked_of(spark, queries)
+    many = built.postings.repartition(24)
+    weights = tfidf_weights(term_counts(asked, "query_id", "text"), built.idf, "query_id")
+    terms = materialize(postings.query_terms(weights), "terms")
+    before = {key: spark.conf.get(key, None) for key in settings}
+    try:
+        for key, value in settings.items():
+            spark.conf.set(key, value)
+        partial = postings._partial(terms.drop("before"), materialize(many, "postings"), ["term"])
+        n = len(partial.collect())
+        assert "SortMergeJoin(skew=true)" in partial._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+    assert n == 40 * 6000
 
 
 def test_all_cells_probed_is_exact(spark):
@@ -250,7 +317,7 @@ def test_named_index(spark):
 
     from basketry.sources import sinks
 
-    names = ("descriptions", "descriptions_index", "shop_vectors", "shop_terms", "shop_catalogue")
+    names = ("descriptions", "descriptions_index", "shop_postings", "shop_terms", "shop_catalogue")
     rows = [(0, "a toaster for bread"), (1, "vacuum cleaner"), (2, "coffee mill")]
     try:
         sinks.create_table(spark.createDataFrame(rows, "id long, text string"), names[0])
