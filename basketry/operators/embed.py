@@ -1,14 +1,18 @@
-"""Text to vectors: a caller's model in batches, or TF-IDF from built-in functions."""
+"""Text to vectors: a caller's model in batches, or hashed terms and TF-IDF from built-in functions."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 
+from basketry.functions.hashing import hash_bucket
 from basketry.functions.text import tokens
 from basketry.session import materialize
 
@@ -17,9 +21,19 @@ ModelFactory = Callable[[], Callable[[Sequence[str]], Sequence[Sequence[float]]]
 
 
 def embed(
-    df: DataFrame, text_col: str, model: ModelFactory, out: str = "embedding", batch_size: int = 256
+    df: DataFrame,
+    text_col: str,
+    model: Model,
+    out: str = "embedding",
+    key: str | None = None,
+    batch_size: int = 256,
 ) -> DataFrame:
-    """Add the model's vector of ``text_col`` to each row; a null text gets a null vector."""
+    """Add the model's vector of ``text_col`` to each row; a null text gets a null vector.
+
+    ``HashedTerms`` need a ``key`` that tells the rows apart.
+    """
+    if isinstance(model, HashedTerms):
+        return model.embed(df, text_col, key, out)
     schema = StructType(
         [f for f in df.schema.fields if f.name != out] + [StructField(out, ArrayType(FloatType()))]
     )
@@ -30,20 +44,71 @@ def embed(
         for batch in batches:
             for start in range(0, batch.num_rows, batch_size):
                 part = batch.slice(start, batch_size)
-                texts = part.column(text_col).to_pylist()
-                present = [t for t in texts if t is not None]
+                texts = part.column(text_col)
+                present = texts.drop_null().to_pylist()
                 if encode is None and present:
                     encode = model()
-                vectors = iter(encode(present)) if present else iter(())
-                column = [None if t is None else [float(x) for x in next(vectors)] for t in texts]
+                vectors = [np.asarray(v, dtype=np.float32) for v in encode(present)] if present else []
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(c) for c in kept] + [pa.array(column, pa.list_(pa.float32()))],
+                    [part.column(c) for c in kept] + [_vector_column(vectors, texts.is_valid().to_numpy(zero_copy_only=False))],
                     names=[*kept, out],
                 )
 
     return df.select(*kept).mapInArrow(run, schema)
 
 
+def _vector_column(vectors: list[np.ndarray], valid: np.ndarray) -> pa.ListArray:
+    """Vectors of the valid rows as a list column, null elsewhere."""
+    lengths = np.zeros(len(valid), dtype=np.int64)
+    lengths[valid] = [len(v) for v in vectors]
+    offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32), mask=np.append(~valid, False))
+    flat = np.concatenate(vectors) if vectors else np.zeros(0, dtype=np.float32)
+    return pa.ListArray.from_arrays(offsets, pa.array(flat, pa.float32()))
+
+
+@dataclass
+class HashedTerms:
+    """Dense vectors of fixed length from terms: each term adds its TF-IDF weight, with a sign, to one place.
+
+    Place and sign come from the md5 of the term, so that any engine with md5 can repeat them. ``idf`` is
+    ``(term, idf)`` of the texts it was fitted on; other terms get ``unseen``, the IDF of a term in none.
+    """
+
+    idf: DataFrame
+    unseen: float
+    dimensions: int = 64
+
+    @classmethod
+    def fit(cls, docs: DataFrame, text_col: str, dimensions: int = 64) -> HashedTerms:
+        idf, unseen = _frequencies(docs, text_col)
+        return cls(idf, unseen, dimensions)
+
+    def place(self, term: str = "term") -> Column:
+        return hash_bucket(term, buckets=self.dimensions).cast("int")
+
+    def sign(self, term: str = "term") -> Column:
+        return F.when(F.substring(F.md5(F.col(term)), 9, 1) >= "8", 1.0).otherwise(-1.0)
+
+    def embed(self, df: DataFrame, text_col: str, key: str | None, out: str = "embedding") -> DataFrame:
+        """``df`` with the vectors; the zero vector for a text without terms. ``key`` must be unique."""
+        if key is None:
+            raise ValueError("hashed terms are put together by a key")
+        df = df.drop(out)
+        counts = term_counts(df, key, text_col).join(self.idf, "term", "left")
+        weight = F.col("tf") * F.coalesce("idf", F.lit(self.unseen)) * self.sign()
+        sums = counts.groupBy(key, self.place().alias("_place")).agg(F.sum(weight).alias("_w"))
+        filled = sums.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("_place", "_w"))).alias("_places"))
+        places = F.sequence(F.lit(0), F.lit(self.dimensions - 1))
+        vector = F.transform(places, lambda i: F.coalesce(F.try_element_at("_places", i), F.lit(0.0)).cast("float"))
+        # both sides are partitioned by the key alike; the texts are not moved twice
+        rows = df.repartition(key).join(filled, key, "left")
+        return rows.withColumn(out, F.when(F.col(text_col).isNotNull(), vector)).drop("_places")
+
+
+#: what turns texts into vectors
+Model = ModelFactory | HashedTerms
+
+
 def term_counts(docs: DataFrame, key: str, text_col: str) -> DataFrame:
     """``(key, term, tf)``.
 
@@ -60,7 +125,12 @@ def term_counts(docs: DataFrame, key: str, text_col: str) -> DataFrame:
 
 
 def inverse_document_frequency(docs: DataFrame, text_col: str) -> DataFrame:
-    """``(term, idf)`` with ``idf = ln((n + 1) / (df + 1)) + 1`` over the non-null texts.
+    """``(term, idf)`` with ``idf = ln((n + 1) / (df + 1)) + 1`` over the non-null texts."""
+    return _frequencies(docs, text_col)[0]
+
+
+def _frequencies(docs: DataFrame, text_col: str) -> tuple[DataFrame, float]:
+    """The IDF of all terms, and that of a term in no text.
 
     The texts are read once: the empty term, which no text has, is counted in each of them and so
     gives ``n``. The counts, one row per term, are written, as the index and its queries both read them.
@@ -74,7 +144,7 @@ def inverse_document_frequency(docs: DataFrame, text_col: str) -> DataFrame:
     everything = frequency.filter("term = ''").first()
     n = everything["df"] if everything else 0
     idf = F.log(F.lit(n + 1.0) / (F.col("df") + 1)) + 1
-    return frequency.filter("term <> ''").select("term", idf.alias("idf"))
+    return frequency.filter("term <> ''").select("term", idf.alias("idf")), math.log(n + 1.0) + 1
 
 
 def tfidf_weights(counts: DataFrame, idf: DataFrame, key: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basketry.operators.embed import (
-    ModelFactory,
+    Model,
     embed,
     inverse_document_frequency,
     term_counts,
@@ -39,7 +39,7 @@ def with_norm(df: DataFrame, vector: str = "embedding") -> DataFrame:
 
 
 def build_index(
-    df: DataFrame, key: str, text_col: str, model: ModelFactory, check_unique: bool = True
+    df: DataFrame, key: str, text_col: str, model: Model, check_unique: bool = True
 ) -> DataFrame:
     """``(id, text, embedding, norm)`` of the rows that have a text."""
     if check_unique:
@@ -47,7 +47,7 @@ def build_index(
     rows = df.filter(F.col(text_col).isNotNull()).select(
         F.col(key).alias("id"), F.col(text_col).alias("text")
     )
-    return with_norm(embed(rows, "text", model))
+    return with_norm(embed(rows, "text", model, key="id"))
 
 
 def index_of_vectors(df: DataFrame, key: str, vector: str, *columns: str) -> DataFrame:
@@ -69,13 +69,13 @@ def search_text_with_model(
     queries: DataFrame,
     index: DataFrame,
     k: int,
-    model: ModelFactory,
+    model: Model,
     text_col: str = "text",
     columns: tuple[str, ...] = ("text",),
     **options,
 ) -> DataFrame:
     """Exact top-k for text queries, embedded with the model that built the index."""
-    vectors = with_norm(embed(queries.select("query_id", text_col), text_col, model))
+    vectors = with_norm(embed(queries.select("query_id", text_col), text_col, model, key="query_id"))
     return search_vectors(vectors, index, k, columns, **options)
 
 
@@ -85,7 +85,7 @@ def create_index(
     index_table: str,
     primary_key: str,
     index_column: str,
-    model: ModelFactory,
+    model: Model,
 ) -> None:
     """Embed a column of a table and save the index under a new name."""
     create_table(build_index(spark.table(source_table), primary_key, index_column, model), index_table)
@@ -95,7 +95,7 @@ def similarity_search(
     spark: SparkSession,
     index_table: str,
     query_text: str,
-    model: ModelFactory,
+    model: Model,
     columns: tuple[str, ...] = ("id", "text"),
     num_results: int = 5,
 ) -> DataFrame:
@@ -173,12 +173,12 @@ def live_rows(state: DataFrame) -> DataFrame:
     return state.filter((F.col("op") != "delete") & F.col("text").isNotNull()).drop("op")
 
 
-def embed_changes(changes: DataFrame, model: ModelFactory) -> DataFrame:
+def embed_changes(changes: DataFrame, model: Model) -> DataFrame:
     """Changes with the vectors of their texts; a delete has none."""
-    return with_norm(embed(changes.select("id", "text", "version", "op"), "text", model))
+    return with_norm(embed(changes.select("id", "text", "version", "op"), "text", model, key="id"))
 
 
-def sync_index(state: DataFrame, changes: DataFrame, model: ModelFactory) -> DataFrame:
+def sync_index(state: DataFrame, changes: DataFrame, model: Model) -> DataFrame:
     """Apply changes to an index state ``(id, text, version, op, embedding, norm)``.
 
     Only changes that win over the indexed row are embedded. Deletes stay in the state, without a

@@ -233,12 +233,34 @@ ranked AS (
 DOCUMENTS = "SELECT doc_id AS id, text FROM documents WHERE text IS NOT NULL"
 BENCHMARK = "SELECT item_id AS query_id, text FROM benchmark"
 
-LETTERS = _list("abcdefghijklmnopqrstuvwxyz")
-
-
-def _letters(text: str) -> str:
-    return f"[(len({text}) - len(replace({text}, c, '')))::DOUBLE FOR c IN {LETTERS}]"
 
+def _hashed(name: str, tokens: str, idf: str, n: str) -> str:
+    """``name_places`` (key, place, w) and ``name_norm`` (key, norm): hashed signed TF-IDF vectors of the rows
+    (key, text) of ``tokens``, 64 places, IDF from the table ``idf`` or that of a term in none of ``n`` texts."""
+    return f"""{name}_terms AS (
+  SELECT key, term, count(*) AS tf FROM (SELECT key, unnest({_tokens('text')}) AS term FROM {tokens}) GROUP BY ALL),
+{name}_places AS (
+  SELECT key, {_bucket('term', 64)} AS place,
+         sum(tf * coalesce(idf, ln({n} + 1) + 1) * CASE WHEN substr(md5(term), 9, 1) >= '8' THEN 1 ELSE -1 END)::FLOAT::DOUBLE AS w
+  FROM {name}_terms LEFT JOIN {idf} USING (term) GROUP BY ALL),
+{name}_norm AS (
+  SELECT key, coalesce(norm, 0) AS norm FROM {tokens}
+  LEFT JOIN (SELECT key, sqrt(sum(w * w)) AS norm FROM {name}_places GROUP BY key) USING (key) WHERE text IS NOT NULL)"""
+
+
+def _idf(name: str, texts: str) -> str:
+    """``name`` (term, idf) of the rows (text) of ``texts``."""
+    return f"""{name} AS (
+  SELECT term, ln(((SELECT count(*) FROM {texts} WHERE text IS NOT NULL) + 1) / (count(*) + 1)) + 1 AS idf
+  FROM (SELECT DISTINCT rowid, unnest(tokens) AS term FROM (
+    SELECT row_number() OVER () AS rowid, {_tokens('text')} AS tokens FROM {texts})) GROUP BY term)"""
+
+
+EMBEDDED_DOCUMENTS = (
+    "t AS (SELECT doc_id AS key, text FROM documents WHERE text IS NOT NULL)",
+    _idf("seen", "t"),
+    _hashed("d", "t", "seen", "(SELECT count(*) FROM t)"),
+)
 
 VECTORS = """vectors AS (
   SELECT vec_id AS id, label, embedding::DOUBLE[] AS v, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS norm
@@ -276,8 +298,14 @@ held AS (
     SELECT *, row_number() OVER (PARTITION BY id
         ORDER BY version DESC, (op = 'delete') DESC, coalesce(text, '') DESC) AS r FROM changes)
   WHERE r = 1 AND op <> 'delete' AND text IS NOT NULL)"""
-LETTER_NORM = f"round(sqrt(list_dot_product({_letters('text')}, {_letters('text')})), 6) AS norm"
-SYNCED = _with(CHANGES, select=f"SELECT id, text, version, {LETTER_NORM} FROM held")
+SYNCED = _with(
+    CHANGES,
+    "names AS (SELECT p_name AS text FROM part)",
+    _idf("seen", "names"),
+    "t AS (SELECT id AS key, text FROM held)",
+    _hashed("d", "t", "seen", "(SELECT count(*) FROM names)"),
+    select="SELECT id, text, version, round(norm, 4) AS norm FROM held JOIN d_norm ON id = key",
+)
 
 ROUNDED = "user_id, product_id, round(rating, 9) AS rating"
 SELECTIONS = "user_id, array_to_string(selections, ',') AS selections"
@@ -375,14 +403,19 @@ strict AS (SELECT user_id, list(product_id ORDER BY pos) AS selections FROM plac
     "cart_window_topk": _with(
         ORD, LIN, CART, NEIGHBOURS, select="SELECT product_id, neighbour, n, rank FROM ranked_near WHERE rank <= 5"
     ),
-    "vector_index": f"SELECT id, length(text)::INTEGER AS n_chars, {LETTER_NORM} FROM ({DOCUMENTS})",
+    "vector_index": _with(
+        *EMBEDDED_DOCUMENTS,
+        select="SELECT key AS id, length(text)::INTEGER AS n_chars, round(norm, 4) AS norm FROM t JOIN d_norm USING (key)",
+    ),
     "model_text_topk": _with(
-        f"d AS (SELECT id, {_letters('text')} AS v FROM ({DOCUMENTS}))",
-        f"q AS (SELECT query_id, {_letters('text')} AS v FROM ({BENCHMARK}))",
-        """scored AS (
-  SELECT query_id, id, round(coalesce(list_dot_product(q.v, d.v)
-    / nullif(sqrt(list_dot_product(q.v, q.v)) * sqrt(list_dot_product(d.v, d.v)), 0), 0), 6) AS score
-  FROM q CROSS JOIN d),
+        *EMBEDDED_DOCUMENTS,
+        "a AS (SELECT item_id AS key, text FROM benchmark)",
+        _hashed("q", "a", "seen", "(SELECT count(*) FROM t)"),
+        """dots AS (
+  SELECT q.key AS query_id, d.key AS id, sum(q.w * d.w) AS dot FROM q_places q JOIN d_places d USING (place) GROUP BY ALL),
+scored AS (
+  SELECT q.key AS query_id, d.key AS id, round(coalesce(dot / nullif(q.norm * d.norm, 0), 0), 6) AS score
+  FROM q_norm q CROSS JOIN d_norm d LEFT JOIN dots ON query_id = q.key AND id = d.key),
 ranked AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INTEGER AS rank FROM scored)""",
         select="SELECT query_id, rank, id, score FROM ranked WHERE rank <= 5",

@@ -16,7 +16,7 @@ from basketry.functions import metrics, prompts
 from basketry.functions.arrays import last_items
 from basketry.functions.hashing import hash_bucket
 from basketry.operators import ann, index, ratings, selections, split, transitions
-from basketry.operators.embed import inverse_document_frequency, tfidf_vectors
+from basketry.operators.embed import HashedTerms, inverse_document_frequency, tfidf_vectors
 from basketry.operators.generate import NeighbourGenerator, PromptGenerator, TransitionGenerator
 from basketry.operators.keys import dense_id
 from basketry.operators.skew import probe_fraction_setting
@@ -393,29 +393,29 @@ def cart_window_topk(spark, base):
 # --- index and search ---------------------------------------------------------------------------
 
 
-def _letter_model():
-    """Stands in for an embedding model: how often each letter occurs."""
-    letters = "abcdefghijklmnopqrstuvwxyz"
-    return lambda texts: [[text.count(c) for c in letters] for text in texts]
-
-
 def _vectors(spark, base):
     rows = index.index_of_vectors(retail.table(spark, base, "embeddings"), "vec_id", "embedding", "label")
     return rows, rows.select(F.col("id").alias("query_id"), "embedding", "norm")
 
 
+def _embedded_documents(spark, base):
+    docs = retail.table(spark, base, "documents")
+    model = HashedTerms.fit(docs, "text")
+    return index.build_index(docs, "doc_id", "text", model), model
+
+
 @query
 def vector_index(spark, base):
-    built = index.build_index(retail.table(spark, base, "documents"), "doc_id", "text", _letter_model)
-    return built.select("id", F.length("text").alias("n_chars"), F.round("norm", 6).alias("norm"))
+    built, _ = _embedded_documents(spark, base)
+    return built.select("id", F.length("text").alias("n_chars"), F.round("norm", 4).alias("norm"))
 
 
 @query
 def model_text_topk(spark, base):
     """Text queries against a catalogue embedded with the same model."""
-    built = index.build_index(retail.table(spark, base, "documents"), "doc_id", "text", _letter_model)
+    built, model = _embedded_documents(spark, base)
     asked = retail.table(spark, base, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return index.search_text_with_model(asked, built, 5, _letter_model, columns=())
+    return index.search_text_with_model(asked, built, 5, model, columns=())
 
 
 @query
@@ -487,15 +487,21 @@ def catalogue_state(spark, base):
     return index.live_rows(index.latest_changes(retail.catalogue_changes(spark, base)))
 
 
+def _product_model(spark, base):
+    """Fitted on the product names; the sellers in the changes are terms it has not seen."""
+    return HashedTerms.fit(retail.table(spark, base, "part"), "p_name")
+
+
 @query
 def index_synced(spark, base):
     """An index of the changes up to 1998, then brought up to date with the later ones."""
     changes = retail.catalogue_changes(spark, base)
     border = F.datediff(F.lit("1998-01-01").cast("date"), F.lit("1970-01-01").cast("date"))
     old = index.latest_changes(changes.filter(F.col("version") < border))
-    state = materialize(index.embed_changes(old, _letter_model), "index-state")
-    synced = index.sync_index(state, changes.filter(F.col("version") >= border), _letter_model)
-    return index.live_rows(synced).select("id", "text", "version", F.round("norm", 6).alias("norm"))
+    model = _product_model(spark, base)
+    state = materialize(index.embed_changes(old, model), "index-state")
+    synced = index.sync_index(state, changes.filter(F.col("version") >= border), model)
+    return index.live_rows(synced).select("id", "text", "version", F.round("norm", 4).alias("norm"))
 
 
 @query
@@ -506,10 +512,10 @@ def index_stream_synced(spark, base):
     stream = index_sync.change_stream(spark, f"{base}/lineitem.{{parquet}}", lines_schema)
     log = scratch_path(spark, "index-log")
     run = index_sync.start_sync(
-        retail.catalogue_changes(spark, base, stream), log, scratch_path(spark, "index-progress"), _letter_model
+        retail.catalogue_changes(spark, base, stream), log, scratch_path(spark, "index-progress"), _product_model(spark, base)
     )
     run.awaitTermination()
-    return index_sync.synced_index(spark, log).select("id", "text", "version", F.round("norm", 6).alias("norm"))
+    return index_sync.synced_index(spark, log).select("id", "text", "version", F.round("norm", 4).alias("norm"))
 
 
 # --- recommendations and scores -----------------------------------------------------------------

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from basketry.operators.embed import ModelFactory
+from basketry.operators.embed import Model
 from basketry.operators.index import embed_changes, latest_changes, live_rows
 
 
@@ -19,7 +19,7 @@ def change_stream(spark: SparkSession, path: str, schema, files_per_trigger: int
 
 
 def start_sync(
-    changes: DataFrame, log_path: str, checkpoint_path: str, model: ModelFactory, available_now: bool = True
+    changes: DataFrame, log_path: str, checkpoint_path: str, model: Model, available_now: bool = True
 ) -> StreamingQuery:
     """Write each micro-batch, reduced to one change per id and embedded, to ``log_path``.
 

@@ -332,3 +332,53 @@ def test_named_index(spark):
     finally:
         for name in names:
             sinks.drop_table(spark, name)
+
+
+def hashed(texts, fitted, dimensions=64):
+    """Hashed signed TF-IDF vectors, by the definition."""
+    import hashlib
+
+    n = len(fitted)
+    df = Counter(t for text in fitted for t in set(words(text)))
+    out = []
+    for text in texts:
+        v = np.zeros(dimensions)
+        for term, tf in Counter(words(text)).items():
+            digest = hashlib.md5(term.encode()).hexdigest()
+            idf = math.log((n + 1) / (df[term] + 1)) + 1
+            v[int(digest[:8], 16) % dimensions] += tf * idf * (1 if int(digest[8], 16) >= 8 else -1)
+        out.append(v)
+    return out
+
+
+def test_hashed_terms(spark):
+    from basketry.operators.embed import HashedTerms, embed
+
+    fitted = list(corpus(8, 40).values())
+    model = HashedTerms.fit(spark.createDataFrame([(t,) for t in [*fitted, None]], "body string"), "body", 16)
+    texts = [*fitted[:10], "never seen WORDS w1 w1", "", "...", None]
+    rows = spark.createDataFrame([(i, t, "kept") for i, t in enumerate(texts)], "key long, text string, embedding string")
+    made = embed(rows, "text", model, key="key")
+    assert made.columns == ["key", "text", "embedding"]
+    got = {r.key: r.embedding for r in made.collect()}
+    want = hashed([t or "" for t in texts], fitted, 16)
+    for i, text in enumerate(texts):
+        assert got[i] is None if text is None else got[i] == pytest.approx(want[i], rel=1e-6)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+    with pytest.raises(ValueError):
+        embed(rows, "text", model)
+
+
+def test_hashed_terms_in_an_index(spark):
+    from basketry.operators.embed import HashedTerms
+
+    docs, queries = corpus(1, 80), corpus(2, 12)
+    frame_ = spark.createDataFrame(list(docs.items()), "doc long, body string")
+    model = HashedTerms.fit(frame_, "body")
+    built = index.build_index(frame_, "doc", "body", model)
+    asked = spark.createDataFrame(list(queries.items()), "query_id long, text string")
+    hits = index.search_text_with_model(asked, built, 3, model, columns=())
+    found = collected(hits)
+    d, q = (np.array(hashed(t.values(), docs.values())) for t in (docs, queries))
+    assert {i: [x for x, _ in v] for i, v in found.items()} == {i: [x for x, _ in v] for i, v in brute(q, d, 3).items()}
