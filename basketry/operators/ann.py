@@ -87,10 +87,12 @@ class CellIndex:
         return placed.withColumn("cell", F.explode("_cells")).drop("_cells")
 
     def probe(self, queries: DataFrame, n_probe: int) -> DataFrame:
-        return self._assign(queries, self.centres, min(n_probe, len(self.centres)))
+        """The cells each query visits, as ``(query_id, cell)``."""
+        return self._assign(queries, self.centres, min(n_probe, len(self.centres))).select("query_id", "cell")
 
     def search(self, queries: DataFrame, k: int, n_probe: int = 4, **options) -> DataFrame:
-        return top_k_join(self.probe(queries, n_probe), self.rows, k, DenseScore(), group="cell", **options)
+        visits = self.probe(queries, n_probe)
+        return top_k_join(queries, self.rows, k, DenseScore(), group="cell", visits=visits, **options)
 
     def candidate_fraction(self, queries: DataFrame, n_probe: int = 4) -> DataFrame:
         return candidate_fraction(self.probe(queries, n_probe), self.rows, "cell")
@@ -136,10 +138,12 @@ class HashIndex:
         return placed.withColumn("bucket", F.explode("_buckets")).drop("_buckets")
 
     def probe(self, queries: DataFrame) -> DataFrame:
-        return self._assign(queries, self.planes)
+        """The bucket of each query in each table, as ``(query_id, bucket)``."""
+        return self._assign(queries, self.planes).select("query_id", "bucket")
 
     def search(self, queries: DataFrame, k: int, **options) -> DataFrame:
-        return top_k_join(self.probe(queries), self.rows, k, DenseScore(), group="bucket", **options)
+        visits = self.probe(queries)
+        return top_k_join(queries, self.rows, k, DenseScore(), group="bucket", visits=visits, **options)
 
     def candidate_fraction(self, queries: DataFrame) -> DataFrame:
         return candidate_fraction(self.probe(queries), self.rows, "bucket")

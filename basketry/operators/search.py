@@ -133,19 +133,19 @@ def top_k_join(
     index_id: str = "id",
     payload: tuple[str, ...] = (),
     group: str | None = None,
+    visits: DataFrame | None = None,
     max_broadcast: int = MAX_BROADCAST_QUERIES,
     query_block: int = QUERY_BLOCK,
     index_block: int = INDEX_BLOCK,
 ) -> DataFrame:
     """``(query_id, rank, id, *payload, score)``: the ``k`` best index rows of each query.
 
-    Scores are rounded before they are compared, ties go to the smaller id. With ``group`` a query
-    meets only index rows of the same group; a query may stand in several groups, in one row each.
-    Both ids must be unique (inside a group) and not null.
+    Scores are rounded before they are compared, ties go to the smaller id. With ``group``, a column of
+    the index, a query meets only rows of the groups it ``visits``, rows ``(query_id, group)`` without
+    repeats. Both ids must be unique (inside a group) and not null.
     """
-    groups = [group] if group else []
-    q_cols = [query_id, *groups, *scorer.columns]
-    i_cols = [index_id, *groups, *payload, *scorer.columns]
+    q_cols = [query_id, *scorer.columns]
+    i_cols = [index_id, *([group] if group else []), *payload, *scorer.columns]
     has_vector = F.col(scorer.columns[0]).isNotNull()
     queries, index = queries.filter(has_vector).select(*q_cols), index.filter(has_vector).select(*i_cols)
     if query_id in i_cols:
@@ -162,11 +162,17 @@ def top_k_join(
     size = queries.agg(
         F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(row_bytes), F.lit(0)).alias("bytes")
     ).first()
-    if size["rows"] <= max_broadcast and size["bytes"] <= MAX_BROADCAST_BYTES:
-        few = queries.toArrow()
-        hits = _against_all(few, index, k, scorer, query_id, index_id, payload, group, schema)
+    few, n_bytes = size["rows"] <= max_broadcast, size["bytes"]
+    if group:
+        visits = materialize(visits.select(query_id, group), "visits")
+        n_bytes += 16 * visits.count() if few else 0
+    if few and n_bytes <= MAX_BROADCAST_BYTES:
+        sent = queries.toArrow(), visits.toArrow() if group else None
+        hits = _against_all(*sent, index, k, scorer, query_id, index_id, payload, group, schema)
     else:
         blocks = query_block, index_block
+        if group:
+            queries = queries.join(visits, query_id)
         hits = _over_grid(queries, index, k, scorer, query_id, index_id, payload, group, schema, blocks)
     if group:
         hits = hits.groupBy(query_id, index_id, *payload).agg(F.max("score").alias("score"))
@@ -178,28 +184,35 @@ def top_k_join(
     )
 
 
-def _against_all(queries: pa.Table, index, k, scorer, query_id, index_id, payload, group, schema) -> DataFrame:
+def _against_all(
+    queries: pa.Table, visits: pa.Table | None, index, k, scorer, query_id, index_id, payload, group, schema
+) -> DataFrame:
     """Score each partition of the index against the few queries."""
     if group:
-        # an index written by group is read only where a query looks
-        index = index.filter(F.col(group).isin(pc.unique(queries.column(group)).to_pylist()))
-    sent = index.sparkSession.sparkContext.broadcast(queries)
+        # files of other groups are skipped where an index is written by group
+        index = index.filter(F.col(group).isin(pc.unique(visits.column(group)).to_pylist()))
+    sent = index.sparkSession.sparkContext.broadcast((queries, visits))
     tile = TILE[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        few = sent.value
+        few, where = sent.value
         if not few.num_rows:
             return
+        meet = _Visits(few, where, scorer, query_id, group) if group else None
         best = None
         for batch in batches:
             rows = pa.Table.from_batches([batch])
             for start in range(0, rows.num_rows, tile):
                 part = rows.slice(start, tile)
-                for q, d in _by_group(few, part, group):
-                    hits = _score_block(scorer, q, d, query_id, index_id, payload, k)
-                    best = hits if best is None else pa.concat_tables([best, hits])
-                if best is not None and best.num_rows > 4 * k * few.num_rows:
+                if meet:
+                    hits = meet.hits(part, index_id, payload, k)
+                else:
+                    hits = _score_block(scorer, few, part, query_id, index_id, payload, k)
+                best = hits if best is None else pa.concat_tables([best, hits])
+                if best.num_rows > 4 * k * few.num_rows:
                     best = _keep_best(best, query_id, index_id, k)
+                    if meet:
+                        meet.raise_floor(best, k)
         if best is not None:
             best = _keep_best(best, query_id, index_id, k)
             yield from best.combine_chunks().to_batches()
@@ -207,14 +220,49 @@ def _against_all(queries: pa.Table, index, k, scorer, query_id, index_id, payloa
     return index.mapInArrow(run, schema)
 
 
-def _by_group(queries: pa.Table, index: pa.Table, group: str | None):
-    if group is None:
-        yield queries, index
-        return
-    for value in pc.unique(index.column(group)):
-        q = queries.filter(pc.equal(queries.column(group), value))
-        if q.num_rows:
-            yield q, index.filter(pc.equal(index.column(group), value))
+class _Visits:
+    """Which queries meet the rows of a group; vectors are kept once, however many groups a query visits."""
+
+    def __init__(self, queries: pa.Table, visits: pa.Table, scorer, query_id: str, group: str):
+        self.query_ids, self.matrix = queries.column(query_id).combine_chunks(), scorer._matrix(queries)
+        self.scorer, self.query_id, self.group = scorer, query_id, group
+        groups = visits.column(group).combine_chunks()
+        order = pc.sort_indices(groups).to_numpy()
+        self.rows = pc.index_in(visits.column(query_id).combine_chunks(), self.query_ids).to_numpy(zero_copy_only=False)[order]
+        self.groups, self.starts = np.unique(groups.to_numpy(zero_copy_only=False)[order], return_index=True)
+        self.ends = np.append(self.starts[1:], len(order))
+        self.floor = np.full(queries.num_rows, -np.inf)
+
+    def raise_floor(self, best: pa.Table, k: int) -> None:
+        """``best`` has each query's best rows in order: a ``k``-th one is a floor for all to come."""
+        rows = pc.index_in(best.column(self.query_id).combine_chunks(), self.query_ids).to_numpy()
+        last = _rank_in_runs(rows) == k - 1
+        self.floor[rows[last]] = best.column("score").to_numpy()[last]
+
+    def hits(self, part: pa.Table, index_id: str, payload, k: int) -> pa.Table:
+        matrix = self.scorer._matrix(part)
+        values = part.column(self.group).to_numpy()
+        order = np.argsort(values, kind="stable")
+        starts = np.flatnonzero(np.r_[True, values[order][1:] != values[order][:-1]])
+        found = []
+        for start, end in zip(starts, np.append(starts[1:], len(order))):
+            at = np.searchsorted(self.groups, values[order[start]])
+            if at == len(self.groups) or self.groups[at] != values[order[start]]:
+                continue
+            q_rows, d_rows = self.rows[self.starts[at] : self.ends[at]], order[start:end]
+            scores = self.matrix[q_rows] @ matrix[d_rows].T
+            floor = self.floor[q_rows]
+            if scores.shape[1] > k:
+                floor = np.maximum(floor, np.partition(scores, -k, axis=1)[:, -k])
+            qi, di = np.nonzero(scores >= floor[:, None] - 10.0**-SCORE_DIGITS)
+            found.append((q_rows[qi], d_rows[di], scores[qi, di]))
+        qi, di, scores = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, int) for i in range(3))
+        chosen = part.select([index_id, *payload]).take(pa.array(di, pa.int64()))
+        hits = pa.table(
+            [self.query_ids.take(pa.array(qi, pa.int64())), *chosen.columns, pa.array(np.round(scores.astype(float), SCORE_DIGITS))],
+            names=[self.query_id, index_id, *payload, "score"],
+        )
+        return _keep_best(hits, self.query_id, index_id, k)
 
 
 def _over_grid(queries, index, k, scorer, query_id, index_id, payload, group, schema, blocks) -> DataFrame:

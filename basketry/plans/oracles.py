@@ -287,6 +287,42 @@ hash_best AS (
     FROM pairs JOIN candidates USING (query_id, id))
   WHERE rank <= 5)"""
 
+# projections on as many planes as a table of this size gets, in cells of a middle third and two ends
+PROBED = f"""size AS (SELECT greatest(1, round(ln((SELECT count(*) FROM vectors) / 8.0) / ln(3)))::INTEGER AS planes),
+uniform AS (
+  SELECT i, j, ({_bucket("'r:' || i || ':' || j", 1 << 32)} + 0.5) / 4294967296 AS r, ({_bucket("'t:' || i || ':' || j", 1 << 32)} + 0.5) / 4294967296 AS t
+  FROM range((SELECT planes FROM size)) a(i), range(64) b(j)),
+gauss AS (SELECT i, list(sqrt(-2 * ln(r)) * cos(2 * pi() * t) ORDER BY j) AS plane FROM uniform GROUP BY i),
+projected AS (SELECT id, i, list_dot_product(v, plane) / norm AS x FROM vectors CROSS JOIN gauss),
+fitted AS (SELECT 0.8615 * sqrt(avg(x * x)) AS width FROM projected),
+placed AS (
+  SELECT id, sum((1 + (x > width / 2)::INTEGER - (x < -width / 2)::INTEGER) * (3 ** i)::BIGINT)::BIGINT AS cell
+  FROM projected CROSS JOIN fitted GROUP BY id),
+reach AS (
+  SELECT id, i, level, pow(CASE level WHEN 0 THEN greatest(0, x + width / 2) WHEN 1 THEN greatest(0, abs(x) - width / 2)
+                                      ELSE greatest(0, width / 2 - x) END, 2) AS far
+  FROM projected CROSS JOIN fitted CROSS JOIN range(3) l(level)),
+digits AS (
+  SELECT cell, i, (cell // (3 ** i)::BIGINT) % 3 AS level
+  FROM (SELECT unnest(range((3 ** (SELECT planes FROM size))::BIGINT)) AS cell), range((SELECT planes FROM size)) p(i)),
+ordered AS (
+  SELECT id, cell, row_number() OVER (PARTITION BY id ORDER BY far, cell) AS place
+  FROM (SELECT id, cell, sum(far) AS far FROM reach JOIN digits USING (i, level) GROUP BY ALL)),
+sampled AS (SELECT id FROM vectors ORDER BY md5(id::VARCHAR), id LIMIT 200),
+places AS (
+  SELECT place FROM exact JOIN sampled s ON s.id = exact.query_id JOIN placed p ON p.id = exact.id
+  JOIN ordered o ON o.id = exact.query_id AND o.cell = p.cell),
+probing AS (
+  SELECT place AS probes FROM (SELECT place, row_number() OVER (ORDER BY place) AS r FROM places)
+  WHERE r = ceil(0.93 * (SELECT count(*) FROM places))),
+visited AS (SELECT o.id AS query_id, cell FROM ordered o, probing WHERE place <= probes),
+probe_best AS (
+  SELECT * FROM (
+    SELECT pairs.query_id, pairs.id, score,
+           row_number() OVER (PARTITION BY pairs.query_id ORDER BY score DESC, pairs.id)::INTEGER AS rank
+    FROM visited JOIN placed USING (cell) JOIN pairs ON pairs.query_id = visited.query_id AND pairs.id = placed.id)
+  WHERE rank <= 5)"""
+
 CHANGES = """changes AS (
   SELECT l_partkey AS id,
          CASE WHEN l_returnflag <> 'R' THEN p_name || ' by seller ' || l_suppkey END AS text,
@@ -445,6 +481,14 @@ ranked AS (
   round((SELECT sum(n * n) FROM filled) / ((SELECT count(*) FROM vectors) * (SELECT count(*) FROM vectors)), 9)
     AS candidate_fraction""",
     ),
+    "probe_topk": _with(VECTORS, EXACT, PROBED, select="SELECT query_id, rank, id, score FROM probe_best"),
+    "probe_recall": _with(
+        VECTORS, EXACT, PROBED,
+        select="""SELECT (SELECT planes FROM size) AS planes, (SELECT probes FROM probing)::INTEGER AS probes,
+  round((SELECT count(*) FROM exact JOIN probe_best USING (query_id, id)) / (SELECT count(*) FROM exact), 9) AS recall,
+  round((SELECT count(*) FROM visited JOIN placed USING (cell))
+    / ((SELECT count(*) FROM vectors) * (SELECT count(*) FROM vectors)), 9) AS candidate_fraction""",
+    ),
     "catalogue_state": _with(CHANGES, select="SELECT id, text, version FROM held"),
     "index_synced": SYNCED,
     "index_stream_synced": SYNCED,

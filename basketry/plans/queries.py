@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from basketry.functions import metrics, prompts
 from basketry.functions.arrays import last_items
 from basketry.functions.hashing import hash_bucket
-from basketry.operators import ann, index, ratings, selections, split, transitions
+from basketry.operators import ann, index, probing, ratings, selections, split, transitions
 from basketry.operators.embed import HashedTerms, inverse_document_frequency, tfidf_vectors
 from basketry.operators.generate import NeighbourGenerator, PromptGenerator, TransitionGenerator
 from basketry.operators.keys import dense_id
@@ -479,6 +479,30 @@ def cells_recall(spark, base):
     return report.withColumn("candidate_fraction", F.round(share, 9))
 
 
+def _probe_index(rows, asked):
+    return probing.ProbeIndex.build(rows, asked, 5, dimensions=64)
+
+
+@query
+def probe_topk(spark, base):
+    rows, asked = _vectors(spark, base)
+    return _probe_index(rows, asked).search(asked, 5)
+
+
+@query
+def probe_recall(spark, base):
+    """Recall of the probing index over all queries, with what it was fitted to and what it scores."""
+    rows, asked = _vectors(spark, base)
+    built = _probe_index(rows, asked)
+    recall = ann.recall_at_k(built.search(asked, 5), index.search_vectors(asked, rows, 5))
+    return recall.select(
+        F.lit(len(built.planes)).alias("planes"),
+        F.lit(built.probes).alias("probes"),
+        F.round("recall", 9).alias("recall"),
+        F.round(built.candidate_fraction(asked).scalar(), 9).alias("candidate_fraction"),
+    )
+
+
 # --- index in step with its source --------------------------------------------------------------
 
 

@@ -382,3 +382,56 @@ def test_hashed_terms_in_an_index(spark):
     found = collected(hits)
     d, q = (np.array(hashed(t.values(), docs.values())) for t in (docs, queries))
     assert {i: [x for x, _ in v] for i, v in found.items()} == {i: [x for x, _ in v] for i, v in brute(q, d, 3).items()}
+
+
+def test_probe_order_is_the_true_order():
+    from itertools import product
+
+    from basketry.operators import probing
+
+    x, width = np.random.default_rng(3).normal(size=(7, 4)), 0.8
+    cells, near = probing.probe_order(x, width, 81)
+    for row in range(7):
+        far = {}
+        for levels in product(range(3), repeat=4):
+            gaps = [max(0, v + width / 2) if lv == 0 else max(0, abs(v) - width / 2) if lv == 1 else max(0, width / 2 - v) for v, lv in zip(x[row], levels)]
+            far[sum(lv * 3**i for i, lv in enumerate(levels))] = sum(g * g for g in gaps)
+        want = sorted(far, key=lambda c: (round(far[c], 12), c))
+        assert [far[c] for c in cells[row]] == pytest.approx([far[c] for c in want]) and sorted(cells[row]) == list(range(81))
+        assert cells[row, 0] == probing.cells_of(x[row : row + 1], width)[0]
+    for count in (1, 5, 30):
+        some, _ = probing.probe_order(x, width, count)
+        assert (some == cells[:, :count]).all() and np.allclose(near[:, :count], probing.probe_order(x, width, count)[1])
+
+
+@pytest.mark.parametrize("max_broadcast", [1000, 0])
+def test_probes_reach_the_recall(spark, max_broadcast):
+    """On clustered vectors few rows are scored; all cells visited is exact."""
+    from basketry.operators import probing
+
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(12, 8))
+    d = (centres[rng.integers(0, 12, 600)] + 0.15 * rng.normal(size=(600, 8))).astype(np.float32)
+    q = d[:60]
+    rows, asked = frame(spark, d), frame(spark, q, "query_id")
+    built = probing.ProbeIndex.build(rows, asked, 5, dimensions=8)
+    hits = built.search(asked, 5, max_broadcast=max_broadcast, query_block=20, index_block=64)
+    exact = index.search_vectors(asked, rows, 5)
+    assert len(built.planes) == probing.planes_for(600) == 4
+    assert ann.recall_at_k(hits, exact).first().recall >= 0.9
+    assert built.candidate_fraction(asked).first()[0] < 0.35
+    built.probes = 3**4
+    if max_broadcast:
+        close(collected(built.search(asked, 5)), brute(q, d, 5))
+
+
+def test_probing_without_rows(spark):
+    from basketry.operators import probing
+
+    rows = frame(spark, vectors(3, 1))
+    asked = rows.withColumnRenamed("id", "query_id")
+    built = probing.ProbeIndex.build(rows, asked, 5, dimensions=8)
+    assert built.search(asked, 5).count() >= 3
+    none = rows.filter("false")
+    built = probing.ProbeIndex.build(none, asked.filter("false"), 5, dimensions=8)
+    assert built.search(asked.filter("false"), 5).count() == 0
