@@ -14,7 +14,7 @@ from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 
 from basketry.functions.hashing import hash_bucket
 from basketry.functions.text import tokens
-from basketry.session import materialize
+from basketry.session import materialize, spread
 
 # () -> (list of texts -> list of vectors); the outer call loads the model, once per task
 ModelFactory = Callable[[], Callable[[Sequence[str]], Sequence[Sequence[float]]]]
@@ -94,7 +94,7 @@ class HashedTerms:
         if key is None:
             raise ValueError("hashed terms are put together by a key")
         df = df.drop(out)
-        counts = term_counts(df, key, text_col).join(self.idf, "term", "left")
+        counts = term_counts(df, key, text_col).join(self.idf.select("term", "idf"), "term", "left")
         weight = F.col("tf") * F.coalesce("idf", F.lit(self.unseen)) * self.sign()
         sums = counts.groupBy(key, self.place().alias("_place")).agg(F.sum(weight).alias("_w"))
         filled = sums.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("_place", "_w"))).alias("_places"))
@@ -125,7 +125,7 @@ def term_counts(docs: DataFrame, key: str, text_col: str) -> DataFrame:
 
 
 def inverse_document_frequency(docs: DataFrame, text_col: str) -> DataFrame:
-    """``(term, idf)`` with ``idf = ln((n + 1) / (df + 1)) + 1`` over the non-null texts."""
+    """``(term, df, idf)`` with ``idf = ln((n + 1) / (df + 1)) + 1`` over the non-null texts."""
     return _frequencies(docs, text_col)[0]
 
 
@@ -135,7 +135,7 @@ def _frequencies(docs: DataFrame, text_col: str) -> tuple[DataFrame, float]:
     The texts are read once: the empty term, which no text has, is counted in each of them and so
     gives ``n``. The counts, one row per term, are written, as the index and its queries both read them.
     """
-    texts = docs.filter(F.col(text_col).isNotNull())
+    texts = spread(docs.filter(F.col(text_col).isNotNull()).select(text_col))
     terms = F.array_append(F.array_distinct(tokens(text_col)), F.lit(""))
     frequency = materialize(
         texts.select(F.explode(terms).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")),
@@ -144,12 +144,12 @@ def _frequencies(docs: DataFrame, text_col: str) -> tuple[DataFrame, float]:
     everything = frequency.filter("term = ''").first()
     n = everything["df"] if everything else 0
     idf = F.log(F.lit(n + 1.0) / (F.col("df") + 1)) + 1
-    return frequency.filter("term <> ''").select("term", idf.alias("idf")), math.log(n + 1.0) + 1
+    return frequency.filter("term <> ''").select("term", "df", idf.alias("idf")), math.log(n + 1.0) + 1
 
 
 def tfidf_weights(counts: DataFrame, idf: DataFrame, key: str) -> DataFrame:
-    """``(key, term, weight)`` before normalisation; terms the index does not know are left out."""
-    return counts.join(idf, "term").select(key, "term", (F.col("tf") * F.col("idf")).alias("weight"))
+    """``(key, term, weight, df)`` before normalisation; terms the index does not know are left out."""
+    return counts.join(idf, "term").select(key, "term", (F.col("tf") * F.col("idf")).alias("weight"), "df")
 
 
 def tfidf_vectors(docs: DataFrame, key: str, text_col: str, idf: DataFrame) -> DataFrame:
@@ -169,4 +169,4 @@ def tfidf_entries(docs: DataFrame, key: str, text_col: str, idf: DataFrame) -> D
     """``(key, term, weight)`` of the normalised vectors, one row per entry, in the partitioning of the counts."""
     weights = tfidf_weights(term_counts(docs, key, text_col), idf, key)
     norm = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy(key)))
-    return weights.withColumn("weight", F.col("weight") / norm)
+    return weights.select(key, "term", (F.col("weight") / norm).alias("weight"))

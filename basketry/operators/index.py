@@ -108,15 +108,18 @@ def similarity_search(
 
 @dataclass
 class TextIndex:
-    """TF-IDF index of a catalogue: ``postings`` (term, block, id, weight), ``idf`` (term, idf) and the texts."""
+    """TF-IDF index of a catalogue: ``postings`` (term, block, id, weight), ``idf`` (term, df, idf) and the texts."""
 
     postings: DataFrame
     idf: DataFrame
     catalogue: DataFrame
+    kept: bool = True
 
     @classmethod
-    def build(cls, docs: DataFrame, key: str, text_col: str, check_unique: bool = False) -> TextIndex:
-        """The postings are written, as a search reads them several times."""
+    def build(
+        cls, docs: DataFrame, key: str, text_col: str, keep: bool = False, check_unique: bool = False
+    ) -> TextIndex:
+        """``keep`` writes the postings, for an index that is searched more than once."""
         if check_unique:
             require_unique(docs, key)
         catalogue = docs.filter(F.col(text_col).isNotNull()).select(
@@ -124,7 +127,8 @@ class TextIndex:
         )
         idf = inverse_document_frequency(catalogue, "text")
         entries = tfidf_entries(catalogue, "id", "text", idf)
-        return cls(materialize(with_blocks(entries), "postings"), idf, catalogue)
+        postings = with_blocks(entries)
+        return cls(materialize(postings, "postings") if keep else postings, idf, catalogue, keep)
 
     def save(self, name: str) -> None:
         """Save under ``name_postings``, ``name_terms`` and ``name_catalogue``, replacing what is there."""
@@ -141,7 +145,7 @@ class TextIndex:
     ) -> DataFrame:
         """Top-k catalogue rows for ``queries`` ``(query_id, text)``; only rows that share a term."""
         weights = tfidf_weights(term_counts(queries, "query_id", text_col), self.idf, "query_id")
-        hits = top_k(weights, self.postings, k)
+        hits = top_k(weights, self.postings, k, self.kept)
         if columns:
             # k rows per query, written so that the planner knows how few they are
             hits = materialize(hits, "hits").join(self.catalogue.select("id", *columns), "id")

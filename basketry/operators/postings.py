@@ -7,12 +7,15 @@ what two of them can still add to a score is bounded by the lengths of what has
 
 * a first join on the heaviest terms of each query gives partial scores, whose ``k``-th best is a floor
   under the query's ``k``-th score;
-* a row that shares no term before a certain one, by falling weight, cannot reach the floor: only the terms
-  up to there are joined, and of each only the blocks whose weights can still lead to the floor;
+* a row that shares no term before a certain one, by falling weight, cannot reach the floor: rows are
+  looked for under the terms up to there only, and of these only in the blocks whose weights can still
+  lead to the floor;
 * of the rows met, those whose partial score and unseen rest stay below the floor are dropped;
-* the few left are scored over all terms of the query.
+* the terms after that one, as a rule the frequent ones, are added up for the few rows left. A query
+  whose postings lie mostly in its first terms takes all terms at once instead.
 
-No step compares all pairs, and nothing but the written index is as large as the table.
+Only rows that share a term with a query are ever paired with it. Where the postings of all terms are
+few, they are added up at once: looking for floors would cost more than it saves.
 """
 
 from __future__ import annotations
@@ -25,6 +28,8 @@ from basketry.session import materialize
 SCORE_DIGITS = 6
 LAST_BLOCK = 15  # holds all smaller weights too
 SEED_SHARE = 0.5  # of a query's squared length that the terms of the first join hold
+WORTH = 0.5  # share of a query's postings that the later terms must have to be put off
+DIRECT = 20_000_000  # postings of all queries' terms that are added up without floors
 # a floor is lowered by what rounding may bring level, and by sums taken in another order
 MARGIN = 2 * 10.0**-SCORE_DIGITS
 
@@ -40,15 +45,15 @@ def with_blocks(entries: DataFrame) -> DataFrame:
 
 
 def query_terms(weights: DataFrame) -> DataFrame:
-    """``(query_id, term, weight)``, any length, -> normalised, with ``before``: the squared length of the
-    query's heavier terms."""
+    """``(query_id, term, weight, df)``, any length, -> normalised, with ``before``: the squared length of
+    the query's heavier terms."""
     whole = Window.partitionBy("query_id")
     rows = weights.withColumn("weight", F.col("weight") / F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(whole)))
     heavier = whole.orderBy(F.desc("weight"), "term").rowsBetween(Window.unboundedPreceding, -1)
     return rows.withColumn("before", F.coalesce(F.sum(F.col("weight") * F.col("weight")).over(heavier), F.lit(0.0)))
 
 
-def _partial(terms: DataFrame, postings: DataFrame, on: list[str]) -> DataFrame:
+def partial_scores(terms: DataFrame, postings: DataFrame, on: list[str]) -> DataFrame:
     """``(query_id, id, partial, seen, asked)``: the score over the terms joined, and how much of the
     squared lengths of row and query these terms are. ``terms`` may set a ``least`` weight."""
     met = terms.withColumnRenamed("weight", "_q").join(postings, on)
@@ -68,45 +73,66 @@ def floors(partials: DataFrame, k: int) -> DataFrame:
     return top.filter(F.col("_r") == k).select("query_id", (F.col("partial") - MARGIN).alias("floor"))
 
 
-def needed(terms: DataFrame, floor: DataFrame) -> DataFrame:
-    """The terms that a row must be looked for under, with the blocks that can hold it.
+def with_bounds(terms: DataFrame, floor: DataFrame) -> DataFrame:
+    """Terms with the query's floor, with ``first``: whether rows are looked for under the term, and the
+    ``least`` weight worth a look.
 
     A row whose heaviest shared term is t scores at most ``sqrt(1 - before)``. One that has t with
     weight w scores at most the cosine of the difference of the angles that w and the query's weight
-    stand for; solved for w this is the least weight worth a look.
+    stand for, which is solved for w.
     """
     rows = terms.join(floor, "query_id", "left").withColumn("floor", F.coalesce("floor", F.lit(0.0)))
-    rows = rows.filter(F.sqrt(F.greatest(F.lit(0.0), 1 - F.col("before"))) >= F.col("floor"))
+    reach = F.sqrt(F.greatest(F.lit(0.0), 1 - F.col("before")))
+    rows = rows.withColumn("first", reach >= F.col("floor"))
+    whole = Window.partitionBy("query_id")
+    later = F.sum(F.when(~F.col("first"), F.col("df")).otherwise(F.lit(0))).over(whole)
+    put_off = later >= WORTH * F.sum("df").over(whole)
+    rows = rows.withColumn("first", F.col("first") | ~put_off)
     angle = F.acos(F.least(F.lit(1.0), F.col("weight"))) + F.acos(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("floor"))))
-    least = F.when(angle < F.pi() / 2, F.cos(angle)).otherwise(F.lit(0.0))
-    last = F.when(least > 0, block_of(least)).otherwise(F.lit(LAST_BLOCK))
-    blocks = F.explode(F.sequence(F.lit(0), last)).alias("block")
-    return rows.select("query_id", "term", "weight", least.alias("least"), blocks)
+    return rows.withColumn("least", F.when(angle < F.pi() / 2, F.cos(angle)).otherwise(F.lit(0.0)))
 
 
-def candidates(terms: DataFrame, postings: DataFrame, k: int) -> DataFrame:
-    """``(query_id, id)`` of all rows that can be among the ``k`` best, and few others."""
-    seeds = _partial(terms.filter(F.col("before") < SEED_SHARE).drop("before"), postings, ["term"])
-    floor = materialize(floors(seeds, k), "floors")
-    met = _partial(needed(terms, floor), postings, ["term", "block"])
+def candidates(bounded: DataFrame, postings: DataFrame) -> DataFrame:
+    """``(query_id, id, partial)`` of all rows that can be among the ``k`` best, and few others.
+
+    A row dropped under one of its terms is out whatever the others add, so a partial score that lacks
+    such a term does no harm.
+    """
+    last = F.when(F.col("least") > 0, block_of(F.col("least"))).otherwise(F.lit(LAST_BLOCK))
+    blocks = F.explode(F.sequence(F.lit(0), last)).alias("block")
+    first = bounded.filter("first").select("query_id", "term", "weight", "least", blocks)
+    met = partial_scores(first, postings, ["term", "block"])
+    floor = bounded.groupBy("query_id").agg(F.max("floor").alias("floor"))
     unseen = F.greatest(F.lit(0.0), 1 - F.col("seen")) * F.greatest(F.lit(0.0), 1 - F.col("asked"))
-    met = met.join(floor, "query_id", "left")
-    met = met.filter(F.col("floor").isNull() | (F.col("partial") + F.sqrt(unseen) >= F.col("floor")))
-    return met.select("query_id", "id")
+    met = met.join(floor, "query_id").filter(F.col("partial") + F.sqrt(unseen) >= F.col("floor"))
+    return met.select("query_id", "id", "partial")
 
 
-def top_k(weights: DataFrame, postings: DataFrame, k: int) -> DataFrame:
+def top_k(weights: DataFrame, postings: DataFrame, k: int, kept: bool = True) -> DataFrame:
     """``(query_id, rank, id, score)``: the ``k`` rows of the highest cosine for each query.
 
-    ``weights`` are ``(query_id, term, weight)`` of known terms. Rows without a common term do not
-    match. Scores are rounded before they are compared, ties go to the smaller id.
+    ``weights`` are ``(query_id, term, weight, df)`` of known terms, ``df`` the rows that have the term.
+    Rows without a common term do not match. Scores are rounded before they are compared, ties go to
+    the smaller id. Postings that are not ``kept`` in a table are written if they are read repeatedly.
     """
     terms = materialize(query_terms(weights), "query-terms")
-    found = materialize(candidates(terms, postings, k), "candidates")
-    asked = terms.select("query_id", "term", F.col("weight").alias("_q"))
-    # all postings of the rows left, then only those of the query's terms
-    pairs = postings.select("term", "id", "weight").join(found, "id").join(asked, ["query_id", "term"])
-    scored = pairs.groupBy("query_id", "id").agg(F.round(F.sum(F.col("_q") * F.col("weight")), SCORE_DIGITS).alias("score"))
+    if (terms.agg(F.sum("df")).first()[0] or 0) <= DIRECT:
+        found = partial_scores(terms.select("query_id", "term", "weight"), postings, ["term"])
+    else:
+        found = _with_floors(terms, postings if kept else materialize(postings, "postings"), k)
+    scored = found.select("query_id", "id", F.round("partial", SCORE_DIGITS).alias("score"))
     best_first = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     ranked = scored.withColumn("rank", F.row_number().over(best_first)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "id", "score")
+
+
+def _with_floors(terms: DataFrame, postings: DataFrame, k: int) -> DataFrame:
+    """``(query_id, id, partial)`` with the whole scores of all rows that can be among the best."""
+    heavy = terms.filter(F.col("before") < SEED_SHARE).select("query_id", "term", "weight")
+    seeds = partial_scores(heavy, postings, ["term"])
+    bounded = materialize(with_bounds(terms, floors(seeds, k)), "bounded-terms")
+    found = materialize(candidates(bounded, postings), "candidates")
+    later = bounded.filter("not first").select("query_id", "term", F.col("weight").alias("_q")).join(postings, "term")
+    later = later.select("query_id", "id", (F.col("_q") * F.col("weight")).alias("partial"))
+    later = later.join(found.select("query_id", "id"), ["query_id", "id"], "left_semi")
+    return found.unionByName(later).groupBy("query_id", "id").agg(F.sum("partial").alias("partial"))

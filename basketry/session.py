@@ -11,6 +11,7 @@ from contextvars import ContextVar
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: folders inside the application's folder that hold what is written now
 _scope: ContextVar[str] = ContextVar("_scope", default="")
@@ -99,6 +100,16 @@ def drop_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` over all cores, if it is read by fewer tasks: a small table in one file would keep one busy.
+
+    Only the number of its partitions is looked at, no column is read.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    tasks = df.select(F.spark_partition_id().alias("p")).distinct().count()
+    return df.repartition(cores, *keys) if tasks < cores else df
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 

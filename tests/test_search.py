@@ -144,16 +144,21 @@ def corpus(seed, n, vocabulary=60):
     return {i: " ".join(f"w{min(rng.randint(0, vocabulary), rng.randint(0, vocabulary))}" for _ in range(rng.randint(1, 30))) for i in range(n)}
 
 
-def text_index(spark, docs):
-    return index.TextIndex.build(spark.createDataFrame(list(docs.items()), "doc long, body string"), "doc", "body")
+def text_index(spark, docs, keep=True):
+    return index.TextIndex.build(spark.createDataFrame(list(docs.items()), "doc long, body string"), "doc", "body", keep)
 
 
 def asked_of(spark, queries):
     return spark.createDataFrame(list(queries.items()), "query_id long, text string")
 
 
+@pytest.mark.parametrize("keep", [True, False])
+@pytest.mark.parametrize("direct", [0, 10**9])
 @pytest.mark.parametrize("broadcast", ["10m", "-1"])
-def test_text_search(spark, broadcast):
+def test_text_search(spark, monkeypatch, broadcast, direct, keep):
+    from basketry.operators import postings
+
+    monkeypatch.setattr(postings, "DIRECT", direct)
     docs, queries = corpus(1, 150), corpus(2, 30, 80)
     docs[200] = docs[201] = docs[0]  # copies
     docs[202] = "Straße, ÉTÉ; straße!"
@@ -161,7 +166,7 @@ def test_text_search(spark, broadcast):
     queries[40] = "straße"
     queries[41] = "unknown words only"
     queries[42] = None
-    built, asked = text_index(spark, docs), asked_of(spark, queries)
+    built, asked = text_index(spark, docs, keep), asked_of(spark, queries)
     limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
     try:
@@ -177,8 +182,11 @@ def test_text_search(spark, broadcast):
 
 
 @pytest.mark.parametrize("seed", range(4))
-def test_bounds_lose_nothing(spark, seed):
+def test_bounds_lose_nothing(spark, monkeypatch, seed):
     """Peaked queries, where most pairs are never met, and flat ones, where bounds cut little."""
+    from basketry.operators import postings
+
+    monkeypatch.setattr(postings, "DIRECT", 0)
     rng = random.Random(seed)
     docs = {i: " ".join(f"c{rng.randint(0, 5)}" for _ in range(rng.randint(1, 40))) + f" r{rng.randint(0, 60)}" * rng.randint(0, 3) for i in range(300)}
     queries = {i: docs[rng.randint(0, 299)] if i % 2 else f"c1 c2 r{i}" for i in range(25)}
@@ -186,16 +194,23 @@ def test_bounds_lose_nothing(spark, seed):
     close(collected(built.search(asked_of(spark, queries), 4)), brute_tfidf(docs, queries, 4))
 
 
-def test_few_pairs_are_scored(spark):
+def test_few_pairs_are_scored(spark, monkeypatch):
     """Rows that share only common words with a query are not candidates."""
     from basketry.operators import postings
+
+    monkeypatch.setattr(postings, "DIRECT", 0)
     from basketry.operators.embed import term_counts, tfidf_weights
 
     docs = {i: "the of and " * 3 + f"topic{i % 50} word{i} item{i % 50}" for i in range(1000)}
     queries = {i: f"the of and topic{i} item{i}" for i in range(20)}
     built, asked = text_index(spark, docs), asked_of(spark, queries)
     weights = tfidf_weights(term_counts(asked, "query_id", "text"), built.idf, "query_id")
-    met = postings.candidates(postings.query_terms(weights), built.postings, 5).count()
+    terms = postings.query_terms(weights)
+    heavy = terms.filter("before < 0.5").select("query_id", "term", "weight")
+    floor = postings.floors(postings.partial_scores(heavy, built.postings, ["term"]), 5)
+    bounded = postings.with_bounds(terms, floor)
+    assert bounded.filter("not first").select("term").distinct().count() == 3  # the, of, and
+    met = postings.candidates(bounded, built.postings).count()
     assert 20 * 5 <= met <= 20 * 20  # of 20,000 pairs, all of which share a term
     close(collected(built.search(asked, 5)), brute_tfidf(docs, queries, 5))
 
@@ -232,7 +247,7 @@ def test_a_hot_term_is_split(spark):
     try:
         for key, value in settings.items():
             spark.conf.set(key, value)
-        partial = postings._partial(terms.drop("before"), materialize(many, "postings"), ["term"])
+        partial = postings.partial_scores(terms.select("query_id", "term", "weight"), materialize(many, "postings"), ["term"])
         n = len(partial.collect())
         assert "SortMergeJoin(skew=true)" in partial._jdf.queryExecution().executedPlan().toString()
     finally:
