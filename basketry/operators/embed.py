@@ -143,8 +143,7 @@ def _frequencies(docs: DataFrame, text_col: str) -> tuple[DataFrame, float]:
     )
     everything = frequency.filter("term = ''").first()
     n = everything["df"] if everything else 0
-    idf = F.log(F.lit(n + 1.0) / (F.col("df") + 1)) + 1
-    return frequency.filter("term <> ''").select("term", "df", idf.alias("idf")), math.log(n + 1.0) + 1
+    return _with_idf(frequency.filter("term <> ''"), n), math.log(n + 1.0) + 1
 
 
 def tfidf_weights(counts: DataFrame, idf: DataFrame, key: str) -> DataFrame:
@@ -165,8 +164,22 @@ def tfidf_vectors(docs: DataFrame, key: str, text_col: str, idf: DataFrame) -> D
     )
 
 
-def tfidf_entries(docs: DataFrame, key: str, text_col: str, idf: DataFrame) -> DataFrame:
-    """``(key, term, weight)`` of the normalised vectors, one row per entry, in the partitioning of the counts."""
-    weights = tfidf_weights(term_counts(docs, key, text_col), idf, key)
-    norm = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy(key)))
-    return weights.select(key, "term", (F.col("weight") / norm).alias("weight"))
+def tfidf_entries(counts: DataFrame, idf: DataFrame, key: str) -> DataFrame:
+    """``(key, term, weight)`` of the normalised vectors, one row per entry, from written ``counts``.
+
+    Lengths are added up before they are shuffled: the entries of a text lie together.
+    """
+    weights = tfidf_weights(counts, idf, key).drop("df")
+    norms = weights.groupBy(key).agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("_norm"))
+    return weights.join(norms, key).select(key, "term", (F.col("weight") / F.col("_norm")).alias("weight"))
+
+
+def frequencies_of_counts(counts: DataFrame, texts: int) -> DataFrame:
+    """``(term, df, idf)`` from written ``counts`` of so many texts, written."""
+    frequency = materialize(counts.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "document-frequency")
+    return _with_idf(frequency, texts)
+
+
+def _with_idf(frequency: DataFrame, texts: int) -> DataFrame:
+    idf = F.log(F.lit(texts + 1.0) / (F.col("df") + 1)) + 1
+    return frequency.select("term", "df", idf.alias("idf"))

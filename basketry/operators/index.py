@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from basketry.operators.embed import (
     Model,
     embed,
-    inverse_document_frequency,
+    frequencies_of_counts,
     term_counts,
     tfidf_entries,
     tfidf_weights,
@@ -125,9 +125,10 @@ class TextIndex:
         catalogue = docs.filter(F.col(text_col).isNotNull()).select(
             F.col(key).alias("id"), F.col(text_col).alias("text")
         )
-        idf = inverse_document_frequency(catalogue, "text")
-        entries = tfidf_entries(catalogue, "id", "text", idf)
-        postings = with_blocks(entries)
+        # texts are taken apart once
+        counts = materialize(term_counts(catalogue, "id", "text"), "term-counts")
+        idf = frequencies_of_counts(counts, catalogue.count())
+        postings = with_blocks(tfidf_entries(counts, idf, "id"))
         return cls(materialize(postings, "postings") if keep else postings, idf, catalogue, keep)
 
     def save(self, name: str) -> None:
@@ -141,11 +142,11 @@ class TextIndex:
         return cls(*(spark.table(f"{name}_{part}") for part in ("postings", "terms", "catalogue")))
 
     def search(
-        self, queries: DataFrame, k: int, text_col: str = "text", columns: tuple[str, ...] = ()
+        self, queries: DataFrame, k: int, text_col: str = "text", columns: tuple[str, ...] = (), **options
     ) -> DataFrame:
         """Top-k catalogue rows for ``queries`` ``(query_id, text)``; only rows that share a term."""
         weights = tfidf_weights(term_counts(queries, "query_id", text_col), self.idf, "query_id")
-        hits = top_k(weights, self.postings, k, self.kept)
+        hits = top_k(weights, self.postings, k, self.kept, **options)
         if columns:
             # k rows per query, written so that the planner knows how few they are
             hits = materialize(hits, "hits").join(self.catalogue.select("id", *columns), "id")

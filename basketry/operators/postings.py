@@ -14,22 +14,31 @@ what two of them can still add to a score is bounded by the lengths of what has
 * the terms after that one, as a rule the frequent ones, are added up for the few rows left. A query
   whose postings lie mostly in its first terms takes all terms at once instead.
 
-Only rows that share a term with a query are ever paired with it. Where the postings of all terms are
-few, they are added up at once: looking for floors would cost more than it saves.
+Only rows that share a term with a query are ever paired with it.
+
+Queries few enough to be sent to every task go another way: the postings of their terms are dealt by row,
+each task adds up its rows and sends on the ``k`` best it has seen for a query. The ``k``-th best so far
+is the floor under which it looks at no more rows, and no pair leaves the task.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
+from basketry.operators.search import MAX_BROADCAST_BYTES, SCORE_DIGITS, _keep_best, _rank_in_runs
 from basketry.session import materialize
 
-SCORE_DIGITS = 6
 LAST_BLOCK = 15  # holds all smaller weights too
 SEED_SHARE = 0.5  # of a query's squared length that the terms of the first join hold
 WORTH = 0.5  # share of a query's postings that the later terms must have to be put off
-DIRECT = 20_000_000  # postings of all queries' terms that are added up without floors
+PRODUCTS = 4_000_000  # products added up at a time inside a task
 # a floor is lowered by what rounding may bring level, and by sums taken in another order
 MARGIN = 2 * 10.0**-SCORE_DIGITS
 
@@ -108,24 +117,126 @@ def candidates(bounded: DataFrame, postings: DataFrame) -> DataFrame:
     return met.select("query_id", "id", "partial")
 
 
-def top_k(weights: DataFrame, postings: DataFrame, k: int, kept: bool = True) -> DataFrame:
+def top_k(
+    weights: DataFrame, postings: DataFrame, k: int, kept: bool = True, max_bytes: int = MAX_BROADCAST_BYTES
+) -> DataFrame:
     """``(query_id, rank, id, score)``: the ``k`` rows of the highest cosine for each query.
 
     ``weights`` are ``(query_id, term, weight, df)`` of known terms, ``df`` the rows that have the term.
     Rows without a common term do not match. Scores are rounded before they are compared, ties go to
-    the smaller id. Postings that are not ``kept`` in a table are written if they are read repeatedly.
+    the smaller id. Query terms of up to ``max_bytes``, counted before, are sent to every task.
+    Postings that are not ``kept`` in a table are written if they are read repeatedly.
     """
     terms = materialize(query_terms(weights), "query-terms")
-    if (terms.agg(F.sum("df")).first()[0] or 0) <= DIRECT:
-        found = partial_scores(terms.select("query_id", "term", "weight"), postings, ["term"])
+    row_bytes = F.octet_length("term") + F.octet_length(F.col("query_id").cast("string")) + 24
+    if (terms.agg(F.sum(row_bytes)).first()[0] or 0) <= max_bytes:
+        scored = _by_row(terms, postings, k)
     else:
         found = _with_floors(terms, postings if kept else materialize(postings, "postings"), k)
-    scored = found.select("query_id", "id", F.round("partial", SCORE_DIGITS).alias("score"))
+        scored = found.select("query_id", "id", F.round("partial", SCORE_DIGITS).alias("score"))
     best_first = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     ranked = scored.withColumn("rank", F.row_number().over(best_first)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "id", "score")
 
 
+def _by_row(terms: DataFrame, postings: DataFrame, k: int) -> DataFrame:
+    """``(query_id, id, score)``, the best ``k`` of each task, for queries that fit into every task."""
+    sent = terms.sparkSession.sparkContext.broadcast(terms.select("query_id", "term", "weight").toArrow())
+    matched = postings.join(terms.select("term").distinct(), "term", "left_semi").select("id", "term", "weight")
+    schema = StructType([terms.schema["query_id"], postings.schema["id"], StructField("score", DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        adder, rest = _RowScores(sent.value, k), None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            rows = rows if rest is None else pa.concat_tables([rest, rows]).combine_chunks()
+            # the last row may go on in the next batch
+            ids = rows.column("id")
+            last = pc.index(ids, ids[-1]).as_py() if rows.num_rows else 0
+            adder.add(rows.slice(0, last))
+            rest = rows.slice(last)
+        if rest is not None:
+            adder.add(rest)
+        if adder.found:
+            yield from adder.best().to_batches()
+
+    return matched.repartition("id").sortWithinPartitions("id").mapInArrow(run, schema)
+
+
+class _RowScores:
+    """Adds up the scores of rows for all queries and keeps the best ``k`` of each query."""
+
+    def __init__(self, terms: pa.Table, k: int):
+        self.k = k
+        coded = terms.column("term").combine_chunks().dictionary_encode()
+        asked = terms.column("query_id").combine_chunks().dictionary_encode()
+        self.vocabulary, self.query_ids = coded.dictionary, asked.dictionary
+        order = np.argsort(coded.indices.to_numpy(), kind="stable")
+        self.queries = asked.indices.to_numpy().astype(np.int64)[order]
+        self.weights = terms.column("weight").to_numpy()[order]
+        self.counts = np.bincount(coded.indices.to_numpy(), minlength=len(self.vocabulary))
+        self.starts = np.cumsum(self.counts) - self.counts
+        self.floor = np.full(len(self.query_ids), -np.inf)
+        self.found: list[pa.Table] = []
+        self.held = 0
+
+    def add(self, rows: pa.Table) -> None:
+        """Whole rows ``(id, term, weight)``, one after the other, with terms of the queries."""
+        if not rows.num_rows:
+            return
+        ids = rows.column("id").combine_chunks()
+        row = np.concatenate([[0], np.cumsum(pc.not_equal(ids.slice(1), ids.slice(0, len(ids) - 1)).to_numpy(zero_copy_only=False))])
+        term = pc.index_in(rows.column("term").combine_chunks(), self.vocabulary).to_numpy()
+        weight = rows.column("weight").to_numpy()
+        products = np.cumsum(self.counts[term])
+        begin = 0
+        while begin < len(row):
+            # as many whole rows as give about so many products
+            end = int(np.searchsorted(products, (products[begin - 1] if begin else 0) + PRODUCTS, side="right"))
+            end = int(np.searchsorted(row, row[max(begin, min(end, len(row) - 1))], side="left")) if end < len(row) else len(row)
+            if end <= begin:
+                end = int(np.searchsorted(row, row[begin], side="right"))
+            self._add(ids.slice(begin, end - begin), row[begin:end] - row[begin], term[begin:end], weight[begin:end])
+            begin = end
+
+    def _add(self, ids: pa.Array, row: np.ndarray, term: np.ndarray, weight: np.ndarray) -> None:
+        count = self.counts[term]
+        ends = np.cumsum(count)
+        at = np.arange(ends[-1]) + np.repeat(self.starts[term] - (ends - count), count)
+        width = len(self.query_ids)
+        pair = np.repeat(row * width, count) + self.queries[at]
+        product = np.repeat(weight, count) * self.weights[at]
+        cells = (int(row[-1]) + 1) * width
+        if cells <= 8 * len(pair):
+            score = np.bincount(pair, product, cells)
+            pair = np.flatnonzero(score)
+            score = score[pair]
+        else:
+            pair, place = np.unique(pair, return_inverse=True)
+            score = np.bincount(place, product)
+        query = pair % width
+        good = score >= self.floor[query] - 10.0**-SCORE_DIGITS
+        pair, query, score = pair[good], query[good], np.round(score[good], SCORE_DIGITS)
+        first = np.searchsorted(row, pair // width)  # an entry of the row, for its id
+        names = pa.array(query), ids.take(pa.array(first)), pa.array(score)
+        self.found.append(_keep_best(pa.table(list(names), names=["query", "id", "score"]), "query", "id", self.k))
+        self.held += self.found[-1].num_rows
+        if self.held > 4 * self.k * width:
+            self._cut()
+
+    def _cut(self) -> None:
+        best = _keep_best(pa.concat_tables(self.found), "query", "id", self.k)
+        query = best.column("query").to_numpy()
+        last = _rank_in_runs(query) == self.k - 1
+        self.floor[query[last]] = best.column("score").to_numpy()[last]
+        self.found, self.held = [best], best.num_rows
+
+    def best(self) -> pa.Table:
+        self._cut()
+        best = self.found[0].combine_chunks()
+        return pa.table([self.query_ids.take(best.column("query")), best.column("id"), best.column("score")], names=["query_id", "id", "score"])
+
+
 def _with_floors(terms: DataFrame, postings: DataFrame, k: int) -> DataFrame:
     """``(query_id, id, partial)`` with the whole scores of all rows that can be among the best."""
     heavy = terms.filter(F.col("before") < SEED_SHARE).select("query_id", "term", "weight")

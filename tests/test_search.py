@@ -153,12 +153,9 @@ def asked_of(spark, queries):
 
 
 @pytest.mark.parametrize("keep", [True, False])
-@pytest.mark.parametrize("direct", [0, 10**9])
+@pytest.mark.parametrize("max_bytes", [0, 10**9])
 @pytest.mark.parametrize("broadcast", ["10m", "-1"])
-def test_text_search(spark, monkeypatch, broadcast, direct, keep):
-    from basketry.operators import postings
-
-    monkeypatch.setattr(postings, "DIRECT", direct)
+def test_text_search(spark, broadcast, max_bytes, keep):
     docs, queries = corpus(1, 150), corpus(2, 30, 80)
     docs[200] = docs[201] = docs[0]  # copies
     docs[202] = "Straße, ÉTÉ; straße!"
@@ -170,13 +167,13 @@ def test_text_search(spark, monkeypatch, broadcast, direct, keep):
     limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
     try:
-        hits = built.search(asked, 5)
+        hits = built.search(asked, 5, max_bytes=max_bytes)
         found, plan = collected(hits), hits._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
     del docs[300], queries[42]
     close(found, brute_tfidf(docs, queries, 5))
-    assert "NestedLoop" not in plan and "Cartesian" not in plan and "Python" not in plan and "Arrow" not in plan
+    assert "NestedLoop" not in plan and "Cartesian" not in plan and ("Arrow" in plan) == bool(max_bytes)
     texts = built.search(asked, 1, columns=("text",)).collect()
     assert all(r.text == docs[r.id] for r in texts)
 
@@ -186,19 +183,18 @@ def test_bounds_lose_nothing(spark, monkeypatch, seed):
     """Peaked queries, where most pairs are never met, and flat ones, where bounds cut little."""
     from basketry.operators import postings
 
-    monkeypatch.setattr(postings, "DIRECT", 0)
+    monkeypatch.setattr(postings, "PRODUCTS", 500)
     rng = random.Random(seed)
     docs = {i: " ".join(f"c{rng.randint(0, 5)}" for _ in range(rng.randint(1, 40))) + f" r{rng.randint(0, 60)}" * rng.randint(0, 3) for i in range(300)}
     queries = {i: docs[rng.randint(0, 299)] if i % 2 else f"c1 c2 r{i}" for i in range(25)}
-    built = text_index(spark, docs)
-    close(collected(built.search(asked_of(spark, queries), 4)), brute_tfidf(docs, queries, 4))
+    built, want = text_index(spark, docs), brute_tfidf(docs, queries, 4)
+    for max_bytes in (0, 10**9):
+        close(collected(built.search(asked_of(spark, queries), 4, max_bytes=max_bytes)), want)
 
 
-def test_few_pairs_are_scored(spark, monkeypatch):
+def test_few_pairs_are_scored(spark):
     """Rows that share only common words with a query are not candidates."""
     from basketry.operators import postings
-
-    monkeypatch.setattr(postings, "DIRECT", 0)
     from basketry.operators.embed import term_counts, tfidf_weights
 
     docs = {i: "the of and " * 3 + f"topic{i % 50} word{i} item{i % 50}" for i in range(1000)}
@@ -212,7 +208,7 @@ def test_few_pairs_are_scored(spark, monkeypatch):
     assert bounded.filter("not first").select("term").distinct().count() == 3  # the, of, and
     met = postings.candidates(bounded, built.postings).count()
     assert 20 * 5 <= met <= 20 * 20  # of 20,000 pairs, all of which share a term
-    close(collected(built.search(asked, 5)), brute_tfidf(docs, queries, 5))
+    close(collected(built.search(asked, 5, max_bytes=0)), brute_tfidf(docs, queries, 5))
 
 
 def test_blocks_bound_weights(spark):
