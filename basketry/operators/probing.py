@@ -72,7 +72,7 @@ def probe_order(projections: np.ndarray, width: float, count: int) -> tuple[np.n
     return cells, near
 
 
-def _with_column(df: DataFrame, fields: list[StructField], fn) -> DataFrame:
+def with_columns(df: DataFrame, fields: list[StructField], fn) -> DataFrame:
     """Add columns computed from the normalised vectors of a batch; ``fn`` gives arrays, lists of a row flat."""
     schema = StructType([*df.schema.fields, *fields])
 
@@ -106,7 +106,7 @@ class ProbeIndex:
             planes = planes_for(index.count())
         matrix = gaussian_planes(planes, dimensions)
         width = cls._width(index, matrix)
-        placed = _with_column(
+        placed = with_columns(
             index, [StructField("cell", LongType())], lambda m: [pa.array(cells_of(m @ matrix.T, width))]
         )
         # many small cells: rows in the order of their cells, so that files know which they hold
@@ -117,7 +117,7 @@ class ProbeIndex:
 
     @staticmethod
     def _width(index: DataFrame, matrix: np.ndarray) -> float:
-        squares = _with_column(
+        squares = with_columns(
             index, [StructField("square", DoubleType())], lambda m: [pa.array(((m @ matrix.T) ** 2).mean(axis=1))]
         )
         return WIDTH * math.sqrt(squares.agg(F.avg("square")).first()[0] or 1.0)
@@ -152,7 +152,7 @@ class ProbeIndex:
             offsets = pa.array(np.arange(len(cells) + 1, dtype=np.int32) * cells.shape[1])
             return [pa.ListArray.from_arrays(offsets, pa.array(cells.ravel()))]
 
-        placed = _with_column(queries, [StructField("_cells", ArrayType(LongType()))], visit)
+        placed = with_columns(queries, [StructField("_cells", ArrayType(LongType()))], visit)
         return placed.select("query_id", F.explode("_cells").alias("cell"))
 
     def search(self, queries: DataFrame, k: int, **options) -> DataFrame:

@@ -576,6 +576,8 @@ FROM name_hits GROUP BY user_id""",
 }
 
 ORACLES |= {
+    "bounded_topk": ORACLES["embedding_topk"],
+    "bounded_text_topk": ORACLES["model_text_topk"],
     "csv_products": f"SELECT * REPLACE (product_id::INTEGER AS product_id) FROM ({ORACLES['products_dim']})",
     "csv_departments": ORACLES["departments_dim"],
     "csv_aisles": ORACLES["aisles_dim"],

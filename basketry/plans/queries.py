@@ -16,7 +16,8 @@ from basketry.functions import metrics, prompts
 from basketry.functions.arrays import last_items
 from basketry.functions.hashing import hash_bucket
 from basketry.operators import ann, index, probing, ratings, selections, split, transitions
-from basketry.operators.embed import HashedTerms, inverse_document_frequency, tfidf_vectors
+from basketry.operators.bounded import BoundedIndex
+from basketry.operators.embed import HashedTerms, embed, inverse_document_frequency, tfidf_vectors
 from basketry.operators.generate import NeighbourGenerator, PromptGenerator, TransitionGenerator
 from basketry.operators.keys import dense_id
 from basketry.operators.skew import probe_fraction_setting
@@ -503,6 +504,39 @@ def probe_recall(spark, base):
     )
 
 
+@query
+def bounded_topk(spark, base):
+    """Exact search that skips cells by their radius."""
+    rows, asked = _vectors(spark, base)
+    return BoundedIndex.build(rows, centres=16).search(asked, 5, columns=("label",))
+
+
+def _bounded_documents(spark, base):
+    built, model = _embedded_documents(spark, base)
+    asked = retail.table(spark, base, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    asked = index.with_norm(embed(asked, "text", model, key="query_id"))
+    return BoundedIndex.build(materialize(built.select("id", "embedding", "norm"), "document-vectors"), centres=64), asked
+
+
+@query
+def bounded_text_topk(spark, base):
+    """The same on vectors of documents, which lie in clusters."""
+    built, asked = _bounded_documents(spark, base)
+    return built.search(asked, 5)
+
+
+@query
+def bounded_share(spark, base):
+    """The share of pairs that the exact search scores, floors included, for each kind of vectors."""
+    rows, asked = _vectors(spark, base)
+    random = BoundedIndex.build(rows, centres=16).pairs_scored(asked, 5)
+    texts, text_queries = _bounded_documents(spark, base)
+    copies = texts.rows.select(F.col("id").alias("query_id"), "embedding", "norm")
+    kinds = {"embeddings": random, "benchmark texts": texts.pairs_scored(text_queries, 5), "documents": texts.pairs_scored(copies, 2)}
+    out = [frame.select(F.lit(name).alias("vectors"), F.round(F.col("scored") / F.col("pairs"), 6).alias("share")) for name, frame in kinds.items()]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
 # --- index in step with its source --------------------------------------------------------------
 
 

@@ -12,7 +12,7 @@ import __spark_entry__ as registry
 from basketry.plans import evaluation, queries
 from basketry.sources import retail
 
-NO_SQL = {"ratings_random_sample", "ratings_random_split", "cells_topk", "cells_recall"}
+NO_SQL = {"ratings_random_sample", "ratings_random_split", "cells_topk", "cells_recall", "bounded_share"}
 
 
 @pytest.fixture(scope="module")

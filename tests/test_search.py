@@ -446,3 +446,26 @@ def test_probing_without_rows(spark):
     none = rows.filter("false")
     built = probing.ProbeIndex.build(none, asked.filter("false"), 5, dimensions=8)
     assert built.search(asked.filter("false"), 5).count() == 0
+
+
+@pytest.mark.parametrize("spread", [0.08, 1.0])
+def test_bounded_search_is_exact(spark, spread):
+    """Clustered vectors, where most cells are skipped, and vectors without clusters; zero vectors and copies."""
+    from basketry.operators.bounded import BoundedIndex
+
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(15, 12))
+    d = (centres[rng.integers(0, 15, 500)] + spread * rng.normal(size=(500, 12))).astype(np.float32)
+    d[400:420] = d[7]
+    q = np.concatenate([d[:40], rng.normal(size=(10, 12)).astype(np.float32)])
+    d[3] = q[4] = 0
+    rows, asked = frame(spark, d), frame(spark, q, "query_id")
+    built = BoundedIndex.build(rows, centres=15)
+    close(collected(built.search(asked, 6)), collected(index.search_vectors(asked, rows, 6)))
+    scored = built.pairs_scored(asked, 6).first()
+    assert scored.pairs == 500 * 50
+    if spread < 0.5:
+        assert scored.scored < 0.5 * scored.pairs
+    assert built.search(asked.filter("false"), 6).count() == 0
+    few = BoundedIndex.build(rows.limit(4), centres=2).search(asked, 6)
+    assert few.count() == 4 * 50
