@@ -28,6 +28,7 @@ def _bucket(text: str, n: int = 100) -> str:
     return f"(('0x' || substr(md5({text}), 1, 8))::BIGINT % {n})"
 
 
+STARTER_PRODUCTS = ("red widget", "small ring", "hot plate")
 HELD_OUT_BUCKET = _bucket("user_id || ':' || product_id")
 SAMPLE_BUCKET = _bucket("product_id || ':' || user_id")
 
@@ -150,6 +151,38 @@ near AS (
 ranked_near AS (
   SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY n DESC, neighbour)::INTEGER AS rank FROM near)"""
 
+# what followed the last one to three names, in the training part
+FOLLOWERS = f"""bought_names AS (
+  SELECT user_id, product_name AS item, row_number() OVER w AS pos
+  FROM lin JOIN ord USING (order_id) JOIN prod USING (product_id) WHERE {HELD_OUT_BUCKET} < 80
+  WINDOW w AS (PARTITION BY user_id ORDER BY order_date, order_id, line_number, product_id, supplier_id, price, ship_date)),
+runs AS (
+  SELECT lead(item) OVER w AS next, [item] AS c1, [lag(item) OVER w, item] AS c2,
+         [lag(item, 2) OVER w, lag(item) OVER w, item] AS c3
+  FROM bought_names WINDOW w AS (PARTITION BY user_id ORDER BY pos)),
+followers AS (
+  SELECT context, next, count(*) AS n FROM (
+    SELECT c1 AS context, next FROM runs UNION ALL SELECT c2, next FROM runs WHERE c2[1] IS NOT NULL
+    UNION ALL SELECT c3, next FROM runs WHERE c3[1] IS NOT NULL)
+  WHERE next IS NOT NULL GROUP BY ALL),
+usual_name AS (
+  SELECT next AS usual FROM followers WHERE len(context) = 1 GROUP BY next ORDER BY sum(n) DESC, next LIMIT 1)"""
+
+
+def _drawn(name: str, source: str, history: str, temperature: float) -> str:
+    """``name``: ``source`` with ``drawn``, the next name for the list in ``history``, one row per user."""
+    key = f"array_to_string({history}[-3:], '|')"
+    noise = f"ln(-ln(({_bucket(f"'0:' || {key} || ':' || next", 1 << 32)} + 0.5) / 4294967296))"
+    score = f"ln(n) / {temperature} - {noise}" if temperature else "n"
+    return f"""{name}_answers AS (
+  SELECT user_id, next FROM (
+    SELECT user_id, next, row_number() OVER (PARTITION BY user_id ORDER BY len(context) DESC, {score} DESC, next) AS r
+    FROM {source} JOIN followers ON context = {history}[-1:] OR context = {history}[-2:] OR context = {history}[-3:])
+  WHERE r = 1),
+{name} AS (
+  SELECT s.*, coalesce(next, (SELECT usual FROM usual_name)) AS drawn FROM {source} s LEFT JOIN {name}_answers USING (user_id))"""
+
+
 TRUTH = """truth AS (
   SELECT user_id, selections[1:3] AS history, selections[4:] AS ground_truth FROM chosen)"""
 
@@ -501,33 +534,31 @@ ranked AS (
         ),
         select="SELECT user_id, rank, id AS item, score FROM wanted JOIN ranked USING (query_id) WHERE rank <= 3",
     ),
+    "generated_items": _with(
+        *NAMED_CTES, HISTORIES, _started(STARTER_PRODUCTS), FOLLOWERS,
+        _drawn("cool", "started", "history", 0), _drawn("warm", "started", "history", 0.2), _drawn("hot", "started", "history", 0.5),
+        select="""SELECT user_id, cool.drawn AS cool, warm.drawn AS warm, hot.drawn AS hot
+FROM cool JOIN warm USING (user_id) JOIN hot USING (user_id)""",
+    ),
     "recommend_prompted": _with(
-        *NAMED_CTES, HISTORIES, _started(("red widget", "small ring", "hot plate")),
-        "wanted AS (SELECT user_id, 'Something like: ' || history[len(history)] AS query_id FROM started)",
+        *NAMED_CTES, HISTORIES, _started(STARTER_PRODUCTS), FOLLOWERS, _drawn("wanted", "started", "history", 0.2),
         _text_ctes(
             "SELECT product_id AS id, product_name AS text FROM prod",
-            "SELECT DISTINCT query_id, query_id AS text FROM wanted",
+            "SELECT DISTINCT drawn AS query_id, drawn AS text FROM wanted",
         ),
         select="""SELECT user_id, rank, text AS item, score
-FROM wanted JOIN ranked USING (query_id) JOIN docs USING (id) WHERE rank <= 3""",
+FROM wanted JOIN ranked ON query_id = drawn JOIN docs USING (id) WHERE rank <= 3""",
     ),
+    # a name finds itself: no other product has its number
     "sequence_prompted": _with(
-        *NAMED_CTES, HISTORIES, _started(("red widget", "small ring", "hot plate")),
-        """first_words AS (SELECT DISTINCT string_split(p_name, ' ')[1] AS a FROM part),
-second_words AS (SELECT DISTINCT string_split(p_name, ' ')[2] AS b FROM part)""",
-        _text_ctes(
-            "SELECT product_id AS id, product_name AS text FROM prod",
-            "SELECT a || ' ' || b AS query_id, a || ' ' || b AS text FROM first_words CROSS JOIN second_words",
-        ),
-        "found AS (SELECT query_id, text AS item FROM ranked JOIN docs USING (id) WHERE rank = 1)",
-        "walk0 AS (SELECT user_id, string_split(history[1], ' ')[2] AS noun, history[len(history)] AS item0 FROM started)",
-        *[
-            f"""walk{i} AS (
-  SELECT w.*, f.item AS item{i} FROM walk{i - 1} w
-  JOIN found f ON f.query_id = string_split(w.item{i - 1}, ' ')[1] || ' ' || w.noun)"""
-            for i in (1, 2, 3)
-        ],
-        select="SELECT user_id, item1 || '|' || item2 || '|' || item3 AS recommendations FROM walk3",
+        *NAMED_CTES, HISTORIES, _started(STARTER_PRODUCTS), FOLLOWERS,
+        _drawn("step1", "started", "history", 0.5),
+        "after1 AS (SELECT user_id, list_append(history, drawn) AS history FROM step1)",
+        _drawn("step2", "after1", "history", 0.5),
+        "after2 AS (SELECT user_id, list_append(history, drawn) AS history FROM step2)",
+        _drawn("step3", "after2", "history", 0.5),
+        select="""SELECT user_id, step1.drawn || '|' || step2.drawn || '|' || step3.drawn AS recommendations
+FROM step1 JOIN step2 USING (user_id) JOIN step3 USING (user_id)""",
     ),
     "recommend_neighbours": _with(
         *CHOSEN_CTES, TRUTH, TOGETHER,

@@ -6,7 +6,6 @@ be compared value by value.
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,10 +14,10 @@ from pyspark.sql import functions as F
 from basketry.functions import metrics, prompts
 from basketry.functions.arrays import last_items
 from basketry.functions.hashing import hash_bucket
-from basketry.operators import ann, index, probing, ratings, selections, split, transitions
+from basketry.operators import ann, backoff, index, probing, ratings, selections, split, transitions
 from basketry.operators.bounded import BoundedIndex
 from basketry.operators.embed import HashedTerms, embed, inverse_document_frequency, tfidf_vectors
-from basketry.operators.generate import NeighbourGenerator, PromptGenerator, TransitionGenerator
+from basketry.operators.generate import NeighbourGenerator, TransitionGenerator
 from basketry.operators.keys import dense_id
 from basketry.operators.skew import probe_fraction_setting
 from basketry.plans import evaluation
@@ -601,49 +600,52 @@ def recommend_one(spark, base):
     )
 
 
-def _echoing_responder():
-    """Stands in for a text generation service: asks for something like the last item of the prompt."""
+def _backoff_generator(spark, base, temperature=0.0):
+    """Learned from the names bought one after the other, in the training part."""
+    names = retail.plain_products(spark, base).withColumnRenamed("product_id", "_id")
+    train = retail.purchases(spark, base).filter(split.in_train())
+    bought = train.join(names, F.col("product_id") == F.col("_id")).drop("_id")
+    # ordered by id, answered by name
+    bought = bought.withColumnsRenamed({"product_id": "item_id", "product_name": "product_id"})
+    order = ["item_id" if c == "product_id" else c for c in retail.PURCHASE_ORDER]
+    counts = backoff.follower_counts(bought, order, retail.purchase_buckets("item_id"))
+    return backoff.BackoffGenerator.fit(counts, temperature=temperature)
 
-    def answer(prompt: str) -> str:
-        bought = prompt.split("A user bought ", 1)[1].rsplit(" in that order.", 1)[0]
-        return json.dumps({"candidates": [{"text": "Something like: " + bought.split(", and ")[-1]}]})
 
-    return lambda texts: [answer(t) for t in texts]
+@query
+def generated_items(spark, base):
+    """The next item for every history, at three temperatures."""
+    model = _backoff_generator(spark, base)
+    histories = materialize(_named_histories(spark, base), "histories")
+    out = histories.select("user_id")
+    for name, temperature in (("cool", 0.0), ("warm", 0.2), ("hot", 0.5)):
+        found = recommend(histories, model.at(temperature), DirectItem(), starters=STARTER_PRODUCTS)
+        out = out.join(found.select("user_id", F.col("item").alias(name)), "user_id")
+    return out
 
 
 @query
 def recommend_prompted(spark, base):
-    """History of names, or a starter -> prompt -> generated text -> nearest catalogue items, by text."""
+    """History of names, or a starter -> text of the next item, drawn -> nearest catalogue items, by text."""
     catalogue = readers.as_catalogue(retail.plain_products(spark, base))
     built = index.TextIndex.build(catalogue, "id", "product", keep=True)
     return recommend(
         materialize(_named_histories(spark, base), "histories"),
-        PromptGenerator(_echoing_responder),
+        _backoff_generator(spark, base, 0.2),
         CatalogueSearch(built, item="text"),
         k=3,
         starters=STARTER_PRODUCTS,
     )
 
 
-def _mixing_responder():
-    """Stands in for a text generation service: first word of the last item, second of the first."""
-
-    def answer(prompt: str) -> str:
-        bought = prompt.split("A user bought ", 1)[1].rsplit(" in that order.", 1)[0]
-        items = bought.replace(", and ", ", ").split(", ")
-        return json.dumps({"candidates": [{"text": items[-1].split(" ")[0] + " " + items[0].split(" ")[1]}]})
-
-    return lambda texts: [answer(t) for t in texts]
-
-
 @query
 def sequence_prompted(spark, base):
-    """Three steps for every customer: each found item joins the history that the next prompt names."""
+    """Three steps for every customer: each found item joins the history that the next one is drawn from."""
     catalogue = readers.as_catalogue(retail.plain_products(spark, base))
     built = index.TextIndex.build(catalogue, "id", "product", keep=True)
     walks = recommend_sequence(
         materialize(_named_histories(spark, base), "histories"),
-        PromptGenerator(_mixing_responder),
+        _backoff_generator(spark, base, 0.5),
         CatalogueSearch(built, item="text"),
         steps=3,
         starters=STARTER_PRODUCTS,

@@ -115,11 +115,11 @@ def purchases(spark: SparkSession, base: str, sample: float | None = None) -> Da
 PURCHASE_ORDER = ["order_date", "order_id", *LINE_ORDER]
 
 
-def purchase_buckets() -> list:
+def purchase_buckets(product: str = "product_id") -> list:
     """Chunks of a hot user's purchases: parts of an order, which may be long itself; then order
-    ranges of a day; then days."""
+    ranges of a day; then days. ``product`` is the column of the numeric product id."""
     return [
-        F.struct("order_date", "order_id", "line_number", F.floor(F.col("product_id") / 4096).alias("range")),
+        F.struct("order_date", "order_id", "line_number", F.floor(F.col(product) / 4096).alias("range")),
         _order_range(),
         F.to_date("order_date"),
     ]
