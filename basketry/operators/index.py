@@ -201,3 +201,34 @@ def sync_index(state: DataFrame, changes: DataFrame, model: Model) -> DataFrame:
     newer = materialize(newer, "newer")
     kept = state.join(newer.select("id"), "id", "left_anti")
     return kept.unionByName(embed_changes(newer, model))
+
+
+def _bucket(buckets: int) -> Column:
+    return F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int")
+
+
+def write_state(state: DataFrame, path: str, buckets: int) -> None:
+    """Save an index state in folders by a hash of the id, for ``merge_changes``."""
+    placed = state.withColumn("bucket", _bucket(buckets))
+    placed.hint("rebalance", F.col("bucket")).write.partitionBy("bucket").parquet(path)
+
+
+def read_state(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
+def merge_changes(spark: SparkSession, path: str, changes: DataFrame, model: Model, buckets: int) -> int:
+    """Apply changes to a state saved by ``write_state`` with as many buckets; returns how many it rewrote.
+
+    Only buckets that hold a change are read and written again; the files of the others stay as they
+    are. The merged rows are written aside first, so that a failure leaves the old state whole.
+    """
+    latest = materialize(latest_changes(changes.select("id", "text", "version", "op")), "latest")
+    touched = [row[0] for row in latest.select(_bucket(buckets).alias("b")).distinct().collect()]  # buckets at most
+    if not touched:
+        return 0
+    state = read_state(spark, path).filter(F.col("bucket").isin(touched)).drop("bucket")
+    merged = materialize(sync_index(state, latest, model).withColumn("bucket", _bucket(buckets)), "merged")
+    writer = merged.hint("rebalance", F.col("bucket")).write.partitionBy("bucket").mode("overwrite")
+    writer.option("partitionOverwriteMode", "dynamic").parquet(path)
+    return len(touched)

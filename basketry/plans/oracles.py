@@ -376,6 +376,14 @@ SYNCED = _with(
     select="SELECT id, text, version, round(norm, 4) AS norm FROM held JOIN d_norm ON id = key",
 )
 
+SNAPSHOTS = CHANGES + """,
+old_held AS (
+  SELECT id, text FROM (
+    SELECT *, row_number() OVER (PARTITION BY id
+        ORDER BY version DESC, (op = 'delete') DESC, coalesce(text, '') DESC) AS r
+    FROM changes WHERE version < date_diff('day', DATE '1970-01-01', DATE '1998-01-01'))
+  WHERE r = 1 AND op <> 'delete' AND text IS NOT NULL)"""
+
 ROUNDED = "user_id, product_id, round(rating, 9) AS rating"
 SELECTIONS = "user_id, array_to_string(selections, ',') AS selections"
 
@@ -608,6 +616,25 @@ FROM name_hits GROUP BY user_id""",
 
 ORACLES |= {
     "bounded_topk": ORACLES["embedding_topk"],
+    "index_merged": SYNCED,
+    "ratings_colocated": ORACLES["user_ratings"],
+    "snapshot_changes": _with(
+        SNAPSHOTS,
+        select="""SELECT coalesce(n.id, o.id) AS id, n.text AS text, 2::BIGINT AS version,
+  CASE WHEN n.id IS NULL THEN 'delete' ELSE 'upsert' END AS op
+FROM old_held o FULL JOIN held n ON o.id = n.id WHERE o.id IS NULL OR n.id IS NULL OR o.text <> n.text""",
+    ),
+    "snapshot_applied": _with(CHANGES, select="SELECT id, text FROM held"),
+    "csv_routed_rows": f"SELECT * FROM ({ORACLES['csv_orders']}) WHERE order_id % 97 > 1",
+    "csv_bad_rows": _with(
+        ORD, NUMBERED, SHAPED,
+        select="""SELECT CASE WHEN order_id % 97 = 0 THEN 'x' ELSE '' END || order_id || ',' || user_id || ',' || eval_set || ',1,'
+  || CASE WHEN order_id % 97 = 0 THEN '2' ELSE 'monday' END || ',3,4.5' AS text, true AS from_bad_file FROM shaped WHERE order_id % 97 <= 1""",
+    ),
+    "average_precision_long": _with(
+        *NAME_CTES, _ap("name_hits"),
+        select="""SELECT user_id, round(CASE WHEN n_hits > 0 THEN gain / n_hits ELSE 0 END, 9) AS ap, n_hits::BIGINT AS hits FROM aps""",
+    ),
     "bounded_text_topk": ORACLES["model_text_topk"],
     "csv_products": f"SELECT * REPLACE (product_id::INTEGER AS product_id) FROM ({ORACLES['products_dim']})",
     "csv_departments": ORACLES["departments_dim"],

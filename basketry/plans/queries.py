@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from basketry.functions import metrics, prompts
 from basketry.functions.arrays import last_items
 from basketry.functions.hashing import hash_bucket
-from basketry.operators import ann, backoff, index, probing, ratings, selections, split, transitions
+from basketry.operators import ann, backoff, changes, index, probing, ratings, selections, split, transitions
 from basketry.operators.bounded import BoundedIndex
 from basketry.operators.embed import HashedTerms, embed, inverse_document_frequency, tfidf_vectors
 from basketry.operators.generate import NeighbourGenerator, TransitionGenerator
@@ -23,7 +23,7 @@ from basketry.operators.skew import probe_fraction_setting
 from basketry.plans import evaluation
 from basketry.plans.recommend import CatalogueSearch, DirectItem, recommend, recommend_sequence
 from basketry.session import materialize, scratch_path, tune
-from basketry.sources import readers, retail, sinks
+from basketry.sources import readers, retail, schemas, sinks
 from basketry.streaming import index_sync
 
 STARTER_PRODUCTS = ("red widget", "small ring", "hot plate")
@@ -91,6 +91,32 @@ def _through_csv(frame: DataFrame, name: str) -> str:
     return path
 
 
+def _csv_with_bad_rows(spark, base):
+    """Orders as CSV, two kinds of bad rows among them: an id that is no number, a weekday that is a name."""
+    shaped = retail.orders(spark, base)
+    path = _through_csv(shaped.filter("order_id % 97 > 1"), "orders-good")
+    first = F.col("order_id") % 97 == 0
+    bad = shaped.filter("order_id % 97 <= 1").select(
+        F.concat(F.when(first, "x").otherwise(""), F.col("order_id").cast("string")).alias("order_id"),
+        "user_id", "eval_set", F.lit("1").alias("order_number"), F.when(first, "2").otherwise("monday").alias("order_dow"),
+        F.lit("3").alias("order_hour_of_day"), F.lit("4.5").alias("days_since_prior_order"),
+    )
+    bad = _through_csv(bad, "orders-bad")
+    return readers.read_csv_routed(spark, [path, bad], schemas.ORDERS)
+
+
+@query
+def csv_routed_rows(spark, base):
+    """The rows that fit the schema, where bad ones go to a table of their own."""
+    return _csv_with_bad_rows(spark, base)[0]
+
+
+@query
+def csv_bad_rows(spark, base):
+    """The texts of the rows that do not fit, with whether the file is known."""
+    return _csv_with_bad_rows(spark, base)[1].select("text", F.col("file").contains("orders-bad").alias("from_bad_file"))
+
+
 @query
 def csv_products(spark, base):
     return readers.read_products(spark, _through_csv(retail.products(spark, base), "products"))
@@ -176,6 +202,18 @@ def user_ratings(spark, base):
     return _rounded(ratings.ratings(*_order_tables(spark, base)))
 
 
+@query
+def ratings_colocated(spark, base):
+    """Ratings from tables written in buckets by order, joined where they lie."""
+    orders, lines, products = _order_tables(spark, base)
+    names = []
+    for name, frame in (("orders", orders), ("lines", lines)):
+        path = scratch_path(spark, f"bucketed-{name}")
+        names.append(f"basketry_{name}_" + path.rsplit("-", 1)[1])
+        sinks.create_table(frame, names[-1], path=path, buckets=(8, "order_id"))
+    return _rounded(ratings.colocated_ratings(*(readers.read_table(spark, n) for n in names), products))
+
+
 @query
 def ratings_table(spark, base):
     """Ratings saved as a table, replacing one of that name, and read back by name."""
@@ -575,6 +613,43 @@ def index_stream_synced(spark, base):
     return index_sync.synced_index(spark, log).select("id", "text", "version", F.round("norm", 4).alias("norm"))
 
 
+def _snapshots(spark, base):
+    """The catalogue as of 1998 and now, as ``(id, text)``."""
+    log = retail.catalogue_changes(spark, base)
+    border = F.datediff(F.lit("1998-01-01").cast("date"), F.lit("1970-01-01").cast("date"))
+    frames = [index.live_rows(index.latest_changes(c)) for c in (log.filter(F.col("version") < border), log)]
+    return [materialize(f.select("id", "text"), "snapshot") for f in frames]
+
+
+@query
+def snapshot_changes(spark, base):
+    """What changed between two snapshots of the catalogue."""
+    return changes.snapshot_changes(*_snapshots(spark, base), version=2)
+
+
+@query
+def snapshot_applied(spark, base):
+    """The old snapshot with these changes applied: the new one."""
+    old, new = _snapshots(spark, base)
+    log = old.select("id", "text", F.lit(1).cast("long").alias("version"), F.lit("upsert").alias("op"))
+    return index.live_rows(index.latest_changes(log.unionByName(changes.snapshot_changes(old, new, version=2)))).drop("version")
+
+
+@query
+def index_merged(spark, base):
+    """An index state in buckets, of which each of two sets of changes rewrites those it touches."""
+    log, model = retail.catalogue_changes(spark, base), _product_model(spark, base)
+    day = lambda text: F.datediff(F.lit(text).cast("date"), F.lit("1970-01-01").cast("date"))
+    path = scratch_path(spark, "index-buckets")
+    old = index.latest_changes(log.filter(F.col("version") < day("1998-01-01")))
+    index.write_state(index.embed_changes(old, model), path, 16)
+    late = log.filter(F.col("version") >= day("1998-01-01"))
+    for part in (late.filter(F.col("version") >= day("1998-06-01")), late.filter(F.col("version") < day("1998-06-01"))):
+        index.merge_changes(spark, path, part, model, 16)
+    synced = index.live_rows(index.read_state(spark, path))
+    return synced.select("id", "text", "version", F.round("norm", 4).alias("norm"))
+
+
 # --- recommendations and scores -----------------------------------------------------------------
 
 
@@ -711,6 +786,16 @@ def average_precision(spark, base):
     )
 
 
+@query
+def average_precision_long(spark, base):
+    """Average precision from one row per recommendation, without arrays."""
+    frame = materialize(_named_frame(spark, base), "named-frame")
+    recommended = frame.select("user_id", F.posexplode("recommendations").alias("rank", "item"))
+    truth = frame.select("user_id", F.explode("ground_truth").alias("item"))
+    hits = metrics.long_relevance(recommended.withColumn("rank", F.col("rank") + 1), truth)
+    return metrics.average_precision_long(hits, chunk=2).select("user_id", F.round("ap", 9).alias("ap"), "hits")
+
+
 @query
 def map_by_name(spark, base):
     scored = metrics.map_at_k(_named_frame(spark, base), 5)

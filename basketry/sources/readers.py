@@ -6,8 +6,9 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
+from basketry.session import materialize
 from basketry.sources import schemas
 
 
@@ -27,6 +28,26 @@ def read_csv(spark: SparkSession, path: str | Sequence[str], schema: StructType)
     )
 
 
+def read_csv_routed(spark: SparkSession, path: str | Sequence[str], schema: StructType) -> tuple[DataFrame, DataFrame]:
+    """The rows of CSV files that fit the schema, and ``(file, text)`` of those that do not.
+
+    A row is bad if a value does not parse or its number of values is wrong; nothing is dropped or turned
+    to null. The header is still compared with the schema. Both results come from one read.
+    """
+    bad = "_malformed"
+    rows = (
+        spark.read.schema(StructType([*schema.fields, StructField(bad, StringType())]))
+        .option("header", True)
+        .option("enforceSchema", False)
+        .option("mode", "PERMISSIVE")
+        .option("columnNameOfCorruptRecord", bad)
+        .csv([path] if isinstance(path, str) else list(path))
+    )
+    rows = materialize(rows.withColumn("_file", F.input_file_name()), "parsed")
+    good = rows.filter(F.col(bad).isNull()).select(*schema.fieldNames())
+    return good, rows.filter(F.col(bad).isNotNull()).select(F.col("_file").alias("file"), F.col(bad).alias("text"))
+
+
 def read_orders(spark: SparkSession, path) -> DataFrame:
     return read_csv(spark, path, schemas.ORDERS)
 

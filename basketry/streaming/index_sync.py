@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from basketry.operators.embed import Model
 from basketry.operators.index import embed_changes, latest_changes, live_rows
+from basketry.session import materialize
 
 
 def change_stream(spark: SparkSession, path: str, schema, files_per_trigger: int | None = None) -> DataFrame:
@@ -18,19 +23,49 @@ def change_stream(spark: SparkSession, path: str, schema, files_per_trigger: int
     return reader.parquet(path)
 
 
+_CHANGE = "id long, text string, version long, op string"
+_STATE = "version long, is_delete boolean, text string"
+
+
+def winning_changes(changes: DataFrame) -> DataFrame:
+    """The changes of a stream that win over all before them, at most one of an id in a batch.
+
+    The state of an id is what decides between two changes, see ``change_order``. A late or repeated change
+    loses against it and goes no further; one value per id stays in the state, deletes included.
+    """
+
+    def settle(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        held = tuple(state.get) if state.exists else None
+        best, found = held, None
+        for rows in batches:
+            for row in rows.itertuples(index=False):
+                text = None if pd.isna(row.text) else row.text
+                rank = (int(row.version), row.op == "delete", text or "")
+                if best is None or rank > best:
+                    best, found = rank, (key[0], text, int(row.version), row.op)
+        if found:
+            state.update(best)
+            yield pd.DataFrame([found], columns=["id", "text", "version", "op"])
+
+    rows = changes.select(F.col("id").cast("long").alias("id"), "text", F.col("version").cast("long").alias("version"), "op")
+    return rows.groupBy("id").applyInPandasWithState(settle, _CHANGE, _STATE, "append", GroupStateTimeout.NoTimeout)
+
+
 def start_sync(
     changes: DataFrame, log_path: str, checkpoint_path: str, model: Model, available_now: bool = True
 ) -> StreamingQuery:
-    """Write each micro-batch, reduced to one change per id and embedded, to ``log_path``.
+    """Write the winning changes of each micro-batch, embedded, to ``log_path``.
 
-    A batch goes to a folder named after its number and overwrites it, so a batch that runs again
-    leaves one copy.
+    Only they are embedded: what is late dies in the keyed state. A batch goes to a folder named after
+    its number and overwrites it, so a batch that runs again leaves one copy.
     """
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        embed_changes(latest_changes(batch), model).write.mode("overwrite").parquet(f"{log_path}/batch={batch_id}")
+        # read by the embedder more than once, which must not repeat the step through the state
+        rows = materialize(batch, "winners")
+        embed_changes(rows, model).write.mode("overwrite").parquet(f"{log_path}/batch={batch_id}")
 
-    writer = changes.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint_path)
+    writer = winning_changes(changes).writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint_path)
     if available_now:
         writer = writer.trigger(availableNow=True)
     return writer.start()

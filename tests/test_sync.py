@@ -87,3 +87,61 @@ def test_compacted_log(spark, tmp_path):
     # of the old log only the later batch is read
     text = state._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(batch" in text and "> 1)" in text
+
+
+def test_snapshot_diff_turns_old_into_new(spark):
+    from basketry.operators.changes import snapshot_changes
+
+    old = {1: "a", 2: "b", 3: None, 4: "d", 5: ""}
+    new = {1: "a", 2: "B", 3: None, 5: None, 6: "f", 7: None}
+    frames = [spark.createDataFrame([(i, t, "x") for i, t in s.items()], "id long, text string, op string") for s in (old, new)]
+    diff = snapshot_changes(*frames, version=9)
+    got = {(r.id, r.text, r.version, r.op) for r in diff.collect()}
+    assert got == {(2, "B", 9, "upsert"), (4, None, 9, "delete"), (5, None, 9, "upsert"), (6, "f", 9, "upsert"), (7, None, 9, "upsert")}
+    assert snapshot_changes(frames[1], frames[1], version=1).count() == 0
+    applied = dict(old)
+    for i, text, _, op in got:
+        applied.pop(i, None) if op == "delete" else applied.update({i: text})
+    assert applied == new
+
+
+def test_merge_rewrites_only_the_buckets_of_changes(spark, tmp_path):
+    import glob
+    import os
+
+    path = str(tmp_path / "state")
+    rows = [(i, f"text {i}", 1, "upsert") for i in range(200)]
+    index.write_state(index.embed_changes(changes(spark, rows), model), path, 16)
+    files = lambda: {f: os.stat(f).st_mtime_ns for f in glob.glob(f"{path}/bucket=*/*.parquet")}
+    before = files()
+    late = [(3, "new text", 2, "upsert"), (3, "old text", 0, "upsert"), (5, None, 2, "delete"), (3, "new text", 2, "upsert")]
+    touched = index.merge_changes(spark, path, changes(spark, late), model, 16)
+    assert 1 <= touched <= 2
+    after = files()
+    kept = {f for f in before if f in after and before[f] == after[f]}
+    assert {os.path.dirname(f) for f in before} - {os.path.dirname(f) for f in kept} == {os.path.dirname(f) for f in set(after) - set(before)}
+    assert len({os.path.dirname(f) for f in kept}) == 16 - touched
+    want = [(i, f"text {i}", 1) for i in range(200) if i not in (3, 5)] + [(3, "new text", 2)]
+    assert live(index.read_state(spark, path).drop("bucket")) == sorted(want)
+    assert index.merge_changes(spark, path, changes(spark, late).filter("false"), model, 16) == 0
+    assert files() == after
+
+
+def test_late_changes_die_in_the_keyed_state(spark, tmp_path):
+    table, log, progress = (str(tmp_path / n) for n in ("changes", "log", "progress"))
+
+    def run(rows):
+        sinks.append_changes(changes(spark, rows), table)
+        stream = index_sync.change_stream(spark, table, schemas.CATALOGUE_CHANGES)
+        index_sync.start_sync(stream, log, progress, model).awaitTermination()
+
+    first = [(1, "a", 5, "upsert"), (2, "b", 3, "upsert"), (2, "bb", 3, "upsert"), (3, None, 4, "delete"), (4, None, 2, "upsert")]
+    late = [(1, "old", 4, "upsert"), (1, "a", 5, "upsert"), (2, None, 3, "delete"), (3, "x", 1, "upsert"), (5, "new", 1, "upsert"), (5, "newer", 2, "upsert")]
+    run(first)
+    run(late)
+    written = spark.read.parquet(f"{log}/batch=*")
+    assert sorted((r.id, r.version, r.op) for r in written.collect()) == [
+        (1, 5, "upsert"), (2, 3, "delete"), (2, 3, "upsert"), (3, 4, "delete"), (4, 2, "upsert"), (5, 2, "upsert"),
+    ]
+    batch = index.latest_changes(changes(spark, first + late))
+    assert live(index_sync.index_state(spark, log)) == live(batch) == [(1, "a", 5), (5, "newer", 2)]

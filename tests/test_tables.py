@@ -98,3 +98,77 @@ def test_shared_folder_is_the_sessions(spark):
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
     assert scratch_path(spark, "x").startswith(shared_dir(spark))
     assert scratch_path(spark, "x") != scratch_path(spark, "x")
+
+
+def test_bad_rows_are_routed(spark, tmp_path):
+    path = tmp_path / "aisles.csv"
+    path.write_text('aisle_id,aisle\n1,tea\nx,coffee\n2\n3,rice,4\n"5","a, b"\n,no id\n')
+    good, bad = readers.read_csv_routed(spark, str(path), schemas.AISLES)
+    assert sorted((r.aisle_id or 0, r.aisle) for r in good.collect()) == [(0, "no id"), (1, "tea"), (5, "a, b")]
+    assert sorted(r.text for r in bad.collect()) == ["2", "3,rice,4", "x,coffee"]
+    assert all(r.file.endswith("aisles.csv") for r in bad.collect())
+    other = tmp_path / "other.csv"
+    other.write_text("aisle_id,name\n1,tea\n")
+    with pytest.raises(Exception, match="CSV header"):
+        readers.read_csv_routed(spark, str(other), schemas.AISLES)
+    assert bad.count() + good.count() == 6
+
+
+def test_colocated_ratings_move_no_line_for_the_join(spark, base, tmp_path):
+    from basketry.operators import ratings
+    from basketry.plans import queries
+
+    orders, lines, products = queries._order_tables(spark, base)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        for name, frame in (("co_orders", orders), ("co_lines", lines)):
+            sinks.overwrite_table(frame, name, path=str(tmp_path / name), buckets=(4, "order_id"))
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        rated = ratings.colocated_ratings(spark.table("co_orders"), spark.table("co_lines"), products)
+        plan = rated._jdf.queryExecution().executedPlan().toString()
+        lowest = plan[: plan.index("co_lines")].rindex("SortMergeJoin")
+        assert "Exchange" not in plan[lowest : plan.index("co_lines")] and "order_id" in plan[lowest:].split("\n")[0]
+        assert "Bucketed: true" in plan
+        want = ratings.ratings(orders, lines, products)
+        assert sorted(map(tuple, rated.collect())) == sorted(map(tuple, want.collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        for name in ("co_orders", "co_lines"):
+            sinks.drop_table(spark, name)
+
+
+def test_long_lists_are_scored_in_chunks(spark):
+    from pyspark.sql import functions as F
+
+    from basketry.functions import metrics
+
+    n = 1_000_000
+    rows = spark.range(n).select(
+        F.lit(1).alias("user_id"), (F.col("id") + 1).alias("rank"), (F.col("id") % 3 == 0).cast("int").alias("rel")
+    )
+    few = spark.createDataFrame([(2, 1, 0), (2, 2, 1), (3, 1, 0)], "user_id int, rank long, rel int")
+    scored = metrics.average_precision_long(rows.unionByName(few), chunk=10_000)
+    got = {r.user_id: (r.ap, r.hits) for r in scored.collect()}
+    hits = range(0, n, 3)
+    want = sum((k + 1) / (i + 1) for k, i in enumerate(hits)) / len(hits)
+    assert got[1] == (pytest.approx(want), len(hits)) and got[2] == (0.5, 1) and got[3] == (0.0, 0)
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("_chunk") > 0
+
+
+@pytest.mark.parametrize("chunk", [1, 2, 100])
+def test_long_and_array_forms_agree(spark, chunk):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from basketry.functions import metrics
+
+    rng = random.Random(chunk)
+    lists = [(u, [rng.randrange(6) for _ in range(rng.randint(1, 9))], [rng.randrange(6) for _ in range(rng.randint(1, 4))]) for u in range(40)]
+    frame = spark.createDataFrame(lists, "user_id long, recs array<int>, truth array<int>")
+    arrays = frame.withColumn("rel", metrics.binary_relevance("recs", "truth")).select("user_id", metrics.average_precision("rel").alias("ap"))
+    recommended = frame.select("user_id", F.posexplode("recs").alias("rank", "item")).withColumn("rank", F.col("rank") + 1)
+    hits = metrics.long_relevance(recommended, frame.select("user_id", F.explode("truth").alias("item")))
+    got = {r.user_id: r.ap for r in metrics.average_precision_long(hits, chunk=chunk).collect()}
+    assert got == pytest.approx({r.user_id: r.ap for r in arrays.collect()})
