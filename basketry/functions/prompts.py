@@ -22,6 +22,7 @@ GENERAL_STARTERS = (
     "Smartphone", "Laptop", "Headphones", "T-shirt", "Jeans",
     "Running Shoes", "Blender", "Novel", "Board Game", "Wristwatch",
 )
+FIXED_ITEMS = ("pen", "pencil", "glue stick")
 GROCERY_STARTERS = ("chicken", "eggs", "olive oil", "pastrami", "spinach", "lettuce", "quinoa")
 
 

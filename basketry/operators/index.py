@@ -86,9 +86,10 @@ def create_index(
     primary_key: str,
     index_column: str,
     model: Model,
+    path: str | None = None,
 ) -> None:
     """Embed a column of a table and save the index under a new name."""
-    create_table(build_index(spark.table(source_table), primary_key, index_column, model), index_table)
+    create_table(build_index(spark.table(source_table), primary_key, index_column, model), index_table, path=path)
 
 
 def similarity_search(

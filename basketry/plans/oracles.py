@@ -418,7 +418,12 @@ FROM (SELECT DISTINCT p_brand AS aisle FROM part)""",
     "product_purchases": _with(ORD, LIN, PROD, BOUGHT, select="SELECT * FROM bought"),
     "purchase_events": _with(ORD, VISITS, select="SELECT * FROM visits"),
     "user_ratings": _with(*RATING_CTES, select=f"SELECT {ROUNDED} FROM rated"),
-    "ratings_table": _with(*RATING_CTES, select=f"SELECT {ROUNDED} FROM rated"),
+    "ratings_table": _with(
+        *RATING_CTES,
+        select=f"""SELECT {ROUNDED}, (('0x' || substr(md5(user_id || ':' || product_id), 1, 16))::UBIGINT >> 1)::BIGINT AS row_id
+FROM rated""",
+    ),
+    "ratings_preview": _with(*RATING_CTES, select=f"SELECT {ROUNDED} FROM rated ORDER BY user_id, product_id LIMIT 3"),
     "ratings_hash_split": _with(
         *RATING_CTES,
         select=f"SELECT {ROUNDED}, CASE WHEN {HELD_OUT_BUCKET} < 80 THEN 'train' ELSE 'test' END AS part FROM rated",
@@ -615,6 +620,47 @@ FROM name_hits GROUP BY user_id""",
 }
 
 ORACLES |= {
+    "product_lookup": _with(PROD, select="SELECT product_id, product_name FROM prod WHERE product_id = 105"),
+    "aisle_lookup": f"""SELECT product_id, coalesce(aisle, 'none') AS next_aisle
+FROM ({ORACLES["products_dim"]}) p LEFT JOIN ({ORACLES["aisles_dim"]}) a ON a.aisle_id = p.aisle_id + 1""",
+    "safe_names": "SELECT p_partkey AS product_id, p_name || '_' || p_partkey || '_v1' AS name FROM part",
+    "tables_listed": """SELECT 'aisles' AS name, count(DISTINCT p_brand) AS rows FROM part
+UNION ALL SELECT 'orders', count(*) FROM orders""",
+    "prompts_fixed": _with(
+        *NAMED_CTES, HISTORIES,
+        "filled AS (SELECT user_id, CASE WHEN len(history) = 0 THEN ['pen', 'pencil', 'glue stick'] ELSE history END AS history FROM histories)",
+        select=f"SELECT user_id, {_prompt('history', SYSTEM_PROMPT_NO_EXPLANATION, SHORT_ENDING)} AS prompt FROM filled",
+    ),
+    "prompts_with_literals": _with(
+        *NAMED_CTES, HISTORIES,
+        """everyone_named AS (
+  SELECT user_id::VARCHAR AS user, history FROM histories
+  UNION ALL VALUES ('ann', ['red widget', 'small ring']), ('bob', []), ('cy', ['hot plate']))""",
+        select=f"SELECT user, {_prompt('history', SYSTEM_PROMPT, LONG_ENDING)} AS prompt FROM everyone_named",
+    ),
+    "search_responses": f"""SELECT query_id, string_agg(text, '|' ORDER BY rank) AS texts
+FROM ({ORACLES["product_search"]}) GROUP BY query_id""",
+    "index_by_name": _with(
+        PROD,
+        "names AS (SELECT p_name AS text FROM part)",
+        _idf("seen", "names"),
+        "t AS (SELECT product_id AS key, product_name AS text FROM prod)",
+        "a AS (SELECT 0 AS key, 'a red widget #7' AS text)",
+        _hashed("d", "t", "seen", "(SELECT count(*) FROM names)"),
+        _hashed("q", "a", "seen", "(SELECT count(*) FROM names)"),
+        select="""SELECT d.key AS id, text, round(coalesce(dot / nullif(q.norm * d.norm, 0), 0), 6) AS score
+FROM d_norm d CROSS JOIN q_norm q JOIN t ON t.key = d.key
+LEFT JOIN (SELECT d.key, sum(q.w * d.w) AS dot FROM q_places q JOIN d_places d USING (place) GROUP BY ALL) x ON x.key = d.key
+ORDER BY score DESC, id LIMIT 5""",
+    ),
+    "change_table": ORACLES["catalogue_state"],
+    "generation_payloads": _with(
+        *NAMED_CTES, HISTORIES, FOLLOWERS,
+        "buyers AS (SELECT * FROM histories WHERE len(history) > 0)",
+        _drawn("answered", "buyers", "history", 0.2),
+        select=f"""SELECT user_id, '{{"prompt":' || to_json({_prompt('history', SYSTEM_PROMPT, LONG_ENDING)}) || ',"temperature":0.2}}' AS request,
+  drawn AS generated FROM answered""",
+    ),
     "bounded_topk": ORACLES["embedding_topk"],
     "index_merged": SYNCED,
     "ratings_colocated": ORACLES["user_ratings"],

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basketry.functions import metrics, prompts
-from basketry.functions.arrays import last_items
+from basketry.functions.arrays import last_items, lookup
 from basketry.functions.hashing import hash_bucket
 from basketry.operators import ann, backoff, changes, index, probing, ratings, selections, split, transitions
 from basketry.operators.bounded import BoundedIndex
@@ -166,6 +166,46 @@ def product_catalogue(spark, base):
     return readers.as_catalogue(retail.plain_products(spark, base))
 
 
+@query
+def product_lookup(spark, base):
+    """One product by its key."""
+    return readers.product_by_id(retail.plain_products(spark, base), 105)
+
+
+@query
+def aisle_lookup(spark, base):
+    """Names from a map of the few aisles; the id after the last one is not in it."""
+    rows = F.collect_list(F.struct("aisle_id", "aisle"))
+    aisles = retail.aisles(spark, base).agg(F.map_from_entries(rows).alias("m")).scalar()
+    return retail.products(spark, base).select("product_id", lookup(aisles, F.col("aisle_id") + 1, "none").alias("next_aisle"))
+
+
+@query
+def safe_names(spark, base):
+    """Names of models, one for each product, without dots."""
+    name = F.concat("p_name", F.lit("."), F.col("p_partkey").cast("string"), F.lit(".v1"))
+    return retail.table(spark, base, "part").select(F.col("p_partkey").alias("product_id"), prompts.safe_name(name).alias("name"))
+
+
+@query
+def tables_listed(spark, base):
+    """A database of its own: tables written, one dropped, the rest listed and read."""
+    path = scratch_path(spark, "database")
+    database = "basketry_" + path.rsplit("-", 1)[1]
+    before = spark.catalog.currentDatabase()
+    sinks.use_database(spark, database)
+    try:
+        frames = {"aisles": retail.aisles(spark, base), "departments": retail.departments(spark, base), "orders": retail.plain_orders(spark, base)}
+        for name, frame in frames.items():
+            sinks.overwrite_table(frame, name, path=f"{path}/{name}")
+        sinks.drop_table(spark, "departments")
+        listed = readers.list_tables(spark, database).filter("not isTemporary").select(F.col("tableName").alias("name"))
+        counts = [readers.read_table(spark, n).agg(F.lit(n).alias("name"), F.count(F.lit(1)).alias("rows")) for n in ("aisles", "orders")]
+        return listed.join(counts[0].unionByName(counts[1]), "name", "left")
+    finally:
+        sinks.use_database(spark, before)
+
+
 @query
 def catalogue_keys(spark, base):
     docs = retail.table(spark, base, "documents").select("source", "doc_id")
@@ -217,13 +257,19 @@ def ratings_colocated(spark, base):
 @query
 def ratings_table(spark, base):
     """Ratings saved as a table, replacing one of that name, and read back by name."""
-    rated = ratings.user_product_purchases(*_order_tables(spark, base)).drop("row_id")
+    rated = ratings.user_product_purchases(*_order_tables(spark, base))
     name, path = "basketry_user_product_purchases", scratch_path(spark, "ratings")
     sinks.drop_table(spark, name)
     sinks.overwrite_table(rated, name, path=path)
     return _rounded(readers.read_table(spark, name))
 
 
+@query
+def ratings_preview(spark, base):
+    """The first three ratings."""
+    return readers.preview(_rounded(ratings.ratings(*_order_tables(spark, base))).orderBy("user_id", "product_id"), 3)
+
+
 @query
 def ratings_hash_split(spark, base):
     train, test = split.hash_split(ratings.ratings(*_order_tables(spark, base)))
@@ -383,6 +429,27 @@ def prompts_long(spark, base):
     return _named_histories(spark, base).select("user_id", prompts.purchase_prompt(started).alias("prompt"))
 
 
+@query
+def prompts_fixed(spark, base):
+    """Who has bought nothing yet is asked about a fixed basket."""
+    basket = F.array(*[F.lit(i) for i in prompts.FIXED_ITEMS])
+    history = F.when(prompts.is_cold("history"), basket).otherwise(F.col("history"))
+    return _named_histories(spark, base).select(
+        "user_id", prompts.purchase_prompt(history, prompts.SYSTEM_PROMPT_NO_EXPLANATION, prompts.SHORT_ENDING).alias("prompt")
+    )
+
+
+LITERAL_HISTORIES = {"ann": ["red widget", "small ring"], "bob": [], "cy": ["hot plate"]}
+
+
+@query
+def prompts_with_literals(spark, base):
+    """Prompts for literal histories, one of them empty, beside those of the customers."""
+    known = _named_histories(spark, base).select(F.col("user_id").cast("string").alias("user"), "history")
+    rows = known.unionByName(readers.literal_histories(spark, LITERAL_HISTORIES))
+    return rows.select("user", prompts.purchase_prompt("history").alias("prompt"))
+
+
 @query
 def scoring_payload(spark, base):
     named = selections.with_product_names(_held_out(spark, base), retail.plain_products(spark, base))
@@ -476,15 +543,39 @@ def tfidf_topk(spark, base):
     return built.search(asked, 5)
 
 
-@query
-def product_search(spark, base):
-    """Product types as text queries against the product names, with the text of the hits."""
+def product_search_hits(spark, base):
     catalogue = readers.as_catalogue(retail.plain_products(spark, base))
     built = index.TextIndex.build(catalogue, "id", "product")
     names = retail.table(spark, base, "part").select(F.col("p_name").alias("query_id")).distinct()
     return built.search(names.withColumn("text", F.concat(F.lit("I want to buy a "), "query_id")), 5, columns=("text",))
 
 
+@query
+def product_search(spark, base):
+    """Product types as text queries against the product names, with the text of the hits."""
+    return product_search_hits(spark, base)
+
+
+@query
+def search_responses(spark, base):
+    """Hits of the product search as the JSON of a search service, and the texts read back from it."""
+    row = F.array(F.col("id").cast("string"), F.col("text"), F.col("score").cast("string"))
+    hits = product_search_hits(spark, base).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", row.alias("row")))).alias("rows"))
+    response = F.to_json(F.struct(F.struct(F.col("rows.row").alias("data_array")).alias("result")))
+    return hits.select("query_id", _joined(prompts.search_response_column(response), "|").alias("texts"))
+
+
+@query
+def index_by_name(spark, base):
+    """An index made from a table by name, and searched by name for one text."""
+    path = scratch_path(spark, "named-index")
+    source = "basketry_catalogue_" + path.rsplit("-", 1)[1]
+    sinks.create_table(readers.as_catalogue(retail.plain_products(spark, base)), source, path=f"{path}/source")
+    model = _product_model(spark, base)
+    index.create_index(spark, source, f"{source}_index", "id", "product", model, path=f"{path}/index")
+    return index.similarity_search(spark, f"{source}_index", "a red widget #7", model, num_results=5)
+
+
 @query
 def hash_topk(spark, base):
     rows, asked = _vectors(spark, base)
@@ -577,6 +668,15 @@ def bounded_share(spark, base):
 # --- index in step with its source --------------------------------------------------------------
 
 
+@query
+def change_table(spark, base):
+    """Changes appended to a table in two steps, and the state that it holds."""
+    log, path = retail.catalogue_changes(spark, base), scratch_path(spark, "changes")
+    for part in (F.col("id") % 2 == 0, F.col("id") % 2 == 1):
+        sinks.append_changes(log.filter(part), path)
+    return index.live_rows(index.latest_changes(spark.read.schema(schemas.CATALOGUE_CHANGES).parquet(path)))
+
+
 @query
 def catalogue_state(spark, base):
     return index.live_rows(index.latest_changes(retail.catalogue_changes(spark, base)))
@@ -699,6 +799,18 @@ def generated_items(spark, base):
     return out
 
 
+@query
+def generation_payloads(spark, base):
+    """Request and response of a generation call for every history, and the text read from the response."""
+    model = _backoff_generator(spark, base, 0.2)
+    histories = materialize(_named_histories(spark, base), "histories").filter(~prompts.is_cold("history"))
+    answers = recommend(histories, model, DirectItem()).select("user_id", "item")
+    rows = histories.join(answers, "user_id")
+    request = prompts.generation_request(prompts.purchase_prompt("history"), 0.2)
+    response = F.to_json(F.struct(F.array(F.struct(F.col("item").alias("text"))).alias("candidates")))
+    return rows.select("user_id", request.alias("request"), prompts.generated_text(response).alias("generated"))
+
+
 @query
 def recommend_prompted(spark, base):
     """History of names, or a starter -> text of the next item, drawn -> nearest catalogue items, by text."""
