@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from basketry.llm.quality_rules import ENOUGH, FENCE, MEASURES
-
 _WORD = r"[^\x20\x09-\x0D]+"
 
 #: every pair of documents that share a shingle, then components by the smallest id that is reached
@@ -59,18 +57,31 @@ measured AS (
     CASE WHEN n_lines > 0 THEN 1000 * n_dup_lines // n_lines ELSE 0 END AS dup_lines,
     CASE WHEN n_words > 0 THEN 1000 * word_chars // n_words ELSE 0 END AS long_words FROM base)"""
     ]
+    # measure: percents of its two quantiles, what it is counted per thousand of
+    rules = (
+        ("symbols", 10, 90, "word_chars"), ("upper", 10, 90, "word_chars"), ("marks", 10, 90, "word_chars"),
+        ("repeats", 50, 99, "n_words"), ("dup_lines", 50, 99, "n_lines"), ("long_words", 25, 75, None),
+    )
     tests = []
-    for m, least in MEASURES.items():
-        parts.append(f"""b_{m} AS (SELECT lang, source, {m} - {m} % (1 << greatest(length(bin({m})) - 6, 0)) AS bucket
-  FROM measured WHERE NOT base_failed)""")
-        for level, by in enumerate(("lang, source", "lang", "'all'")):
+    for m, low, high, of in rules:
+        parts.append(f"""b_{m} AS (
+  SELECT lang, source, {m} - {m} % (1 << greatest(length(bin({m})) - 9, 0)) AS bucket, count(*) AS n
+  FROM measured WHERE NOT base_failed GROUP BY ALL)""")
+        for level, by in enumerate(("lang, source", "lang", "one")):
             parts.append(f"""f_{m}_{level} AS (
-  SELECT {by.replace("'all'", "1 AS one")}, q3 + greatest(({FENCE} * (q3 - q1))::BIGINT, {least}) AS top FROM (
-    SELECT {by} {'AS one' if level == 2 else ''}, count(*) AS docs, quantile_disc(bucket, 0.25) AS q1, quantile_disc(bucket, 0.75) AS q3
-    FROM b_{m} GROUP BY {'ALL' if level < 2 else '1'}) WHERE docs >= {ENOUGH if level < 2 else 0})""")
-        tests.append(f"""{m} <= coalesce(
-    (SELECT top FROM f_{m}_0 f WHERE f.lang IS NOT DISTINCT FROM d.lang AND f.source IS NOT DISTINCT FROM d.source),
-    (SELECT top FROM f_{m}_1 f WHERE f.lang IS NOT DISTINCT FROM d.lang), (SELECT top FROM f_{m}_2), {m})""")
+  SELECT {by}, b + 3 * (b - a) AS top, a - 3 * (b - a) AS low FROM (
+    SELECT {by}, max(total) AS docs, min(bucket) FILTER (100 * below >= {low} * total) AS a,
+           min(bucket) FILTER (100 * below >= {high} * total) AS b
+    FROM (SELECT *, sum(n) OVER (PARTITION BY {by} ORDER BY bucket) AS below, sum(n) OVER (PARTITION BY {by}) AS total
+          FROM (SELECT *, 1 AS one FROM b_{m}))
+    GROUP BY {by}) WHERE docs >= {100 if level < 2 else 0})""")
+        top, least = (f"""coalesce((SELECT {end} FROM f_{m}_0 f WHERE f.lang IS NOT DISTINCT FROM d.lang AND f.source IS NOT DISTINCT FROM d.source),
+    (SELECT {end} FROM f_{m}_1 f WHERE f.lang IS NOT DISTINCT FROM d.lang), (SELECT {end} FROM f_{m}_2), {m})""" for end in ("top", "low"))
+        if of:
+            tests.append(f"{m} <= {top} + CASE WHEN {of} > 0 THEN 3000 // {of} ELSE 0 END")
+        else:
+            for distance, mean in ((f"{m} - {top}", top), (f"{least} - {m}", least)):
+                tests.append(f"pow(greatest({distance}, 0)::DOUBLE, 2) * n_words <= 13500.0::DOUBLE * greatest({mean}, 0)")
     return (
         ",\n".join(parts)
         + f"""

@@ -1,10 +1,12 @@
 """Quality rules with thresholds that adapt to language and source.
 
 Measures of every whole text are turned into mergeable quantile sketches: counts of integer values in
-buckets whose width grows with the value (a relative error of 1/32), so that merging is adding and a
+buckets whose width grows with the value (a relative error of 1/256), so that merging is adding and a
 rerun gives the same sketch. From the sketch of a language and source, or of the language, or of all
-documents where there are too few, come fences around its quartiles; documents beyond a fence are
-rejected. DataFrame functions only.
+documents where there are too few, come two quantiles of each measure and fences at a multiple of
+their distance, above and, for the length of words, below; documents beyond a fence are rejected. No
+distance is fixed: where a measure hardly varies, only what a single text can show by chance is let
+through, which is a few occurrences, or the error of a mean over so many words. DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -19,9 +21,12 @@ WINDOW = 5
 MIN_WORDS = 10
 REPEAT_PERCENT = 20
 ENOUGH = 100  # documents of a language and source, or of a language, that make a sketch of their own
-FENCE = 3.0  # quartile distances beyond the upper quartile
-#: measure -> least distance of its fence from the upper quartile; what is within is never odd
-MEASURES = {"symbols": 60, "upper": 250, "marks": 60, "repeats": 150, "dup_lines": 400, "long_words": 6000}
+FENCE = 3  # distances of the quantiles beyond them, and what a single text may show by chance
+#: measure -> percents of the two quantiles. Of rare things nearly all texts have none: there the spread
+#: lies above the median. Junk of one kind may be a tenth of a source without moving the others.
+MEASURES = {"symbols": (10, 90), "upper": (10, 90), "marks": (10, 90), "repeats": (50, 99), "dup_lines": (50, 99), "long_words": (25, 75)}
+#: measure -> what its occurrences are counted per thousand of; mean word length is no count
+OF = {"symbols": "word_chars", "upper": "word_chars", "marks": "word_chars", "repeats": "n_words", "dup_lines": "n_lines"}
 
 
 def measure(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
@@ -92,8 +97,8 @@ def values(measured: DataFrame) -> DataFrame:
 
 
 def bucket(value: Column) -> Column:
-    """The lower edge of a value's bucket: exact below 64, then the five bits after the first kept."""
-    shift = F.greatest(F.length(F.bin(value)) - 6, F.lit(0))
+    """The lower edge of a value's bucket: exact below 512, then the eight bits after the first kept."""
+    shift = F.greatest(F.length(F.bin(value)) - 9, F.lit(0))
     width = F.pow(F.lit(2.0), shift).cast("long")
     return value - F.pmod(value, width)
 
@@ -110,11 +115,10 @@ def sketch(valued: DataFrame) -> DataFrame:
 
 
 def fences(sketches: DataFrame) -> DataFrame:
-    """(lang, source, one column per measure): the greatest value that passes.
+    """(lang, source, for each measure ``_top`` and ``_low``): the greatest and the least value that pass.
 
-    Quartiles by the buckets' counts, of the language and source if they have ``ENOUGH`` documents,
-    else of the language, else of all; the distance is ``FENCE`` times that between the quartiles or
-    the measure's least distance, whichever is greater.
+    Quantiles by the buckets' counts, of the language and source if they have ``ENOUGH`` documents,
+    else of the language, else of all; the fences lie ``FENCE`` times their distance beyond them.
     """
     sketches = materialize(sketches, "sketches")
     keys = sketches.select("lang", "source").distinct()
@@ -123,15 +127,13 @@ def fences(sketches: DataFrame) -> DataFrame:
         merged = sketches.groupBy(*by, "measure", "bucket").agg(F.sum("n").alias("n"))
         order = Window.partitionBy(*by, "measure").orderBy("bucket")
         merged = merged.withColumn("below", F.sum("n").over(order)).withColumn("all", F.sum("n").over(Window.partitionBy(*by, "measure")))
-        quart = merged.groupBy(*by, "measure").agg(
-            F.max("all").alias("docs"),
-            F.min(F.when(4 * F.col("below") >= F.col("all"), F.col("bucket"))).alias("q1"),
-            F.min(F.when(4 * F.col("below") >= 3 * F.col("all"), F.col("bucket"))).alias("q3"),
-        )
-        least = F.element_at(F.create_map(*[F.lit(x) for pair in MEASURES.items() for x in pair]), F.col("measure"))
-        top = F.col("q3") + F.greatest((F.lit(FENCE) * (F.col("q3") - F.col("q1"))).cast("long"), least.cast("long"))
-        wide = quart.filter(F.col("docs") >= (ENOUGH if by else 0)).groupBy(*by).agg(
-            *[F.max(F.when(F.col("measure") == m, top)).alias(f"{m}_{level}") for m in MEASURES]
+        percent = lambda k: F.element_at(F.create_map(*[F.lit(x) for m, pair in MEASURES.items() for x in (m, pair[k])]), F.col("measure"))  # noqa: E731, B023
+        at = lambda k: F.min(F.when(100 * F.col("below") >= percent(k) * F.col("all"), F.col("bucket")))  # noqa: E731, B023
+        quantiles = merged.groupBy(*by, "measure").agg(F.max("all").alias("docs"), at(0).alias("a"), at(1).alias("b"))
+        reach = FENCE * (F.col("b") - F.col("a"))
+        quantiles = quantiles.withColumn("fence", F.struct((F.col("a") - reach).alias("low"), (F.col("b") + reach).alias("top")))
+        wide = quantiles.filter(F.col("docs") >= (ENOUGH if by else 0)).groupBy(*by).agg(
+            *[F.max(F.when(F.col("measure") == m, F.col("fence"))).alias(f"{m}_{level}") for m in MEASURES]
         )
         levels.append(wide)
     full, lang, whole = levels
@@ -139,11 +141,26 @@ def fences(sketches: DataFrame) -> DataFrame:
     out = keys.join(full, keys["lang"].eqNullSafe(full["_l"]) & keys["source"].eqNullSafe(full["_s"]), "left").drop("_l", "_s")
     lang = lang.withColumnRenamed("lang", "_l")
     out = out.join(lang, out["lang"].eqNullSafe(lang["_l"]), "left").drop("_l")
-    last = whole.first() or {}  # one number per measure
-    return out.select(
-        "lang", "source",
-        *[F.coalesce(F.col(f"{m}_0"), F.col(f"{m}_1"), F.lit(last[f"{m}_2"] if last else None)).alias(f"{m}_top") for m in MEASURES],
-    )
+    last = whole.first() or {}  # two numbers per measure, if any text passes the base rules
+    columns = []
+    for m in MEASURES:
+        for end in ("top", "low"):
+            rest = F.lit(last[f"{m}_2"][end] if last and last[f"{m}_2"] else None).cast("long")
+            columns.append(F.coalesce(F.col(f"{m}_0.{end}"), F.col(f"{m}_1.{end}"), rest).alias(f"{m}_{end}"))
+    return out.select("lang", "source", *columns)
+
+
+def _within(m: str) -> Column:
+    """Whether a document's measure is inside its fences, give or take chance."""
+    value, top, low = F.col(m), F.col(f"{m}_top"), F.col(f"{m}_low")
+    if m in OF:  # ``FENCE`` occurrences more, of which fewer are never odd
+        return value <= top + F.expr(f"case when {OF[m]} > 0 then {1000 * FENCE} div {OF[m]} else 0L end")
+    # word lengths vary by about 1.5 times their mean, the mean of n words by an nth of that
+    def beyond(distance: Column, mean: Column) -> Column:
+        far = F.greatest(distance, F.lit(0)).cast("double")
+        return far * far * F.col("n_words") > FENCE * FENCE * 1500.0 * F.greatest(mean, F.lit(0))
+
+    return ~beyond(value - top, top) & ~beyond(low - value, low)
 
 
 def judge(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
@@ -164,6 +181,6 @@ def judge(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     joined = valued.join(tops, valued["lang"].cast("string").eqNullSafe(tops["_l"]) & valued["source"].cast("string").eqNullSafe(tops["_s"]), "left")
     inside = F.lit(True)
     for m in MEASURES:
-        inside = inside & F.coalesce(F.col(m) <= F.col(f"{m}_top"), F.lit(True))
+        inside = inside & F.coalesce(_within(m), F.lit(True))
     judged = joined.withColumn("kept", ~F.col("base_failed") & inside)
     return judged.select(*back[: len(keep)], *added)

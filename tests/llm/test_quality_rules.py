@@ -63,6 +63,25 @@ def test_thresholds_follow_language_and_source(docs_frame):
     assert kept[0] and kept[1000] and kept[2001] and not kept[2000]
 
 
+def test_fences_have_two_sides_and_no_fixed_distance(docs_frame):
+    """Long words are odd where words are short, short ones where they are long; distances come from the rows."""
+    tail = "one two three four five six seven eight nine ten eleven"
+    short = [(i, f"a{i % 7} b{i % 11} {tail[: 40 + i % 9]} {i}", "en", "short") for i in range(200)]
+    long = [(1000 + i, " ".join(f"{'w' * (11 + (i + k) % 4)}{k}" for k in range(14)), "en", "long") for i in range(200)]
+    odd = [(5000, " ".join(f"{'w' * 12}{k}" for k in range(14)), "en", "short"), (5001, " ".join(f"w{k}" for k in range(14)), "en", "long")]
+    kept = {r.doc_id: r.kept for r in qr.judge(docs_frame(short + long + odd)).collect()}
+    assert not kept[5000] and not kept[5001] and sum(kept.values()) >= 398
+
+
+def test_a_few_occurrences_are_never_odd(docs_frame):
+    """Among texts without symbols, one with as many as ``FENCE`` stays and one with many goes."""
+    plain = "word and some more words that never come back in this text at all"
+    rows = [(i, f"{plain} n{i}", "en", "s") for i in range(300)]
+    rows += [(1000, f"{plain} # $ %", "en", "s"), (1001, f"{plain} " + "# $ % & " * 4, "en", "s")]
+    kept = {r.doc_id: r.kept for r in qr.judge(docs_frame(rows)).collect()}
+    assert kept[1000] and not kept[1001] and all(kept[i] for i in range(300))
+
+
 def test_sketches_merge(spark):
     values = spark.range(5000).select(((F.col("id") * 7919) % 4001).alias("v"))
     error = values.select(F.col("v"), qr.bucket(F.col("v")).alias("b")).collect()
