@@ -3,13 +3,20 @@
 Each document of a source is taken ``floor(target / size)`` times in whole and once more with the
 fraction that is left as its inclusion probability. The flight phase moves these probabilities along
 the null space of the balancing constraints (words and documents of the source), three documents at a
-time, until at most two of a group are undecided. Groups fly side by side; what they leave undecided
-flies together in further rounds. The last round of a source holds back a few documents of many sizes;
-these and what its flight leaves are the landing problem, small enough to try every choice.
+time, until at most two of a group are undecided. Which way along the null space is drawn so that each
+probability stays the mean of what becomes of it; the draws come from a seed and the group, so a rerun
+makes the same. Groups fly side by side; what they leave undecided flies together in further rounds.
+The last round of a source holds back a few documents of many sizes; these and what its flight leaves
+are the landing problem, small enough to try every choice.
+
+Rows equal in id, source and size are one unit with a number: what the fractions of all of them add up to in
+whole is taken, and the rest flies as one. So no group holds many equal rows.
 """
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -21,7 +28,8 @@ WEIGHTS = (3, 1, 2)
 SHARE = 1.5  # words to take, times the words there are
 MOST = 2  # times that a source may be taken
 CHUNK = 2_000  # documents that fly together
-LANDING = 10  # documents of a source held back for the landing, besides the two that a flight leaves
+ALIKE = 100_000  # equal rows that one task writes out
+LANDING = 12  # documents of a source held back for the landing, besides the two that a flight leaves
 _NEAR = 1e-9
 
 
@@ -49,8 +57,10 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     return rows.select("source", "source_size", "documents", "target")
 
 
-def fly(size: np.ndarray, prob: np.ndarray) -> np.ndarray:
-    """The flight phase: all but two probabilities become 0 or 1; sums of p and of size * p are kept."""
+def fly(size: np.ndarray, prob: np.ndarray, seed: int = 0) -> np.ndarray:
+    """The flight phase: all but two probabilities become 0 or 1; sums of p and of size * p are kept, and
+    over all seeds the mean of what a probability becomes is the probability."""
+    dice = np.random.default_rng(seed)
     p = prob.astype(float).tolist()
     s = size.astype(float).tolist()
     pool: list[int] = []
@@ -66,8 +76,8 @@ def fly(size: np.ndarray, prob: np.ndarray) -> np.ndarray:
                 u = (1.0, -1.0, 0.0)  # equal sizes: only the count binds
             up = min((1 - p[i_]) / x if x > 0 else p[i_] / -x for i_, x in zip(pool, u) if x)
             down = min(p[i_] / x if x > 0 else (1 - p[i_]) / -x for i_, x in zip(pool, u) if x)
-            # the smaller step, so that the result needs no dice and is the same on every run
-            step = up if up <= down else -down
+            # a step that is likelier the shorter it is does not move the mean
+            step = up if dice.random() * (up + down) < down else -down
             for i_, x in zip(pool, u):
                 p[i_] += step * x
                 if p[i_] < _NEAR or p[i_] > 1 - _NEAR:
@@ -94,57 +104,85 @@ def _fly_group(rows: pd.DataFrame) -> pd.DataFrame:
     rows = rows.sort_values(["size", "doc_id", "prob"], ascending=[False, True, True], kind="stable", na_position="last")
     size = rows["size"].to_numpy()
     prob = rows["prob"].to_numpy()
+    seed = zlib.crc32(f"{rows['source'].iloc[0]}:{rows['chunk'].iloc[0]}:{len(rows)}:{rows['seed'].iloc[0]}".encode())
     if rows["last"].iloc[0]:
         stay = np.flatnonzero((prob > _NEAR) & (prob < 1 - _NEAR) & (size > 0))
-        stay = stay[np.unique(np.linspace(len(stay) // 3, len(stay) - 1, LANDING).astype(int))] if len(stay) else stay
+        stay = stay[np.unique(np.linspace(0, len(stay) - 1, LANDING).astype(int))] if len(stay) else stay
         flying = np.setdiff1d(np.arange(len(prob)), stay)
         prob = prob.copy()
-        prob[flying] = fly(size[flying], prob[flying])
+        prob[flying] = fly(size[flying], prob[flying], seed)
         prob = land(size, prob)
     else:
-        prob = fly(size, prob)
+        prob = fly(size, prob, seed)
     return rows.assign(prob=prob)
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
+def mix(
+    docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, seed: int = 0
+) -> DataFrame:
     """How often each document is taken: doc_id, source, size, source_size, target, copies, taken.
 
     One row per input row. The size is the number of words; null and empty texts have none and are
     taken or not without effect on the words. A null source is a source. Null ids and repeated rows
-    are documents of their own; rows equal in id, source and size are interchangeable. Without dice:
-    a rerun gives the same rows. Other columns are ignored; an empty frame gives an empty frame.
+    are documents of their own; rows equal in id, source and size are interchangeable, and what is taken
+    of them is dealt evenly. With one seed a rerun gives the same rows. Other columns are ignored; an
+    empty frame gives an empty frame.
     """
+    units = _units(docs, weights, share, most, seed)
+    # a group of equal rows is written out in runs of bounded length
+    runs = F.sequence(F.lit(0).cast("long"), F.floor((F.col("rows") - 1) / ALIKE))
+    many = units.filter(F.col("rows") > ALIKE).withColumn("_run", F.explode(runs)).repartition("doc_id", "source", "size", "_run")
+    few = units.filter(F.col("rows") <= ALIKE).withColumn("_run", F.lit(0).cast("long"))
+    units = few.unionByName(many)
+    first = F.col("_run") * ALIKE + 1
+    places = F.explode(F.sequence(first, F.least(F.col("rows"), first + ALIKE - 1)))
+    rows = units.withColumn("_place", places)
+    copies = F.expr("total div rows + case when _place <= total % rows then 1 else 0 end").alias("copies")
+    return rows.select("doc_id", "source", "size", "source_size", "target", copies, (copies * F.col("size")).alias("taken"))
+
+
+def _units(docs: DataFrame, weights: tuple[int, ...], share: float, most: int, seed: int) -> DataFrame:
+    """(doc_id, source, size, source_size, target, rows, total): equal rows together, and how often all of
+    them are taken."""
     ship_code()
     units = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["source"].cast("string").alias("source"), _words(docs).alias("size"))
-    units = materialize(units, "units")
-    sizes = units.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("documents"))
-    goals = materialize(source_targets(sizes, weights, share, most), "targets").withColumnRenamed("source", "_source")
-    units = units.join(goals, units["source"].eqNullSafe(goals["_source"])).drop("_source")
+    units = materialize(units.groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("rows")), "units")
+    sizes = units.groupBy("source").agg(
+        F.sum(F.col("size") * F.col("rows")).alias("source_size"), F.sum("rows").alias("documents"), F.count(F.lit(1)).alias("kinds")
+    )
+    goals = source_targets(sizes.drop("kinds"), weights, share, most).join(
+        sizes.select(F.col("source").alias("_s"), "kinds"), F.col("source").eqNullSafe(F.col("_s"))
+    ).drop("_s")
+    goals = materialize(goals, "targets").withColumnRenamed("source", "_source")
+    units = units.join(goals, units["source"].eqNullSafe(goals["_source"])).drop("_source", "documents")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    units = units.withColumn("whole", F.floor(ratio + _NEAR).cast("long")).withColumn("prob", F.greatest(F.lit(0.0), ratio - F.col("whole")))
-    units = units.withColumn("prob", F.when(F.col("prob") < _NEAR, 0.0).otherwise(F.col("prob")))
-    chunks = F.ceil(F.col("documents") / CHUNK)
-    units = units.withColumn("last", chunks <= 1).withColumn("chunk", F.pmod(F.xxhash64("doc_id", "size"), chunks).cast("long"))
-    flown = materialize(_round(units.drop("documents")), "flown")
+    units = units.withColumn("_all", ratio * F.col("rows"))
+    units = units.withColumn("whole", F.floor(F.col("_all") + _NEAR).cast("long")).withColumn("prob", F.greatest(F.lit(0.0), F.col("_all") - F.col("whole")))
+    units = units.withColumn("prob", F.when(F.col("prob") < _NEAR, 0.0).otherwise(F.col("prob"))).withColumn("seed", F.lit(seed)).drop("_all")
+    units = _in_chunks(units, F.col("kinds")).drop("kinds")
+    flown = materialize(_round(units), "flown")
     done, open_ = [flown.filter("prob = 0 or prob = 1")], flown.filter("prob > 0 and prob < 1")
-    for _ in range(20):  # each round leaves a thousandth
+    while True:  # each round leaves a thousandth
         # rows per source: the groups before, twice at most
         counts = open_.groupBy("source").agg(F.count(F.lit(1)).alias("_n")).withColumnRenamed("source", "_source")
         left = materialize(counts, "left")
-        most_left = left.agg(F.max("_n")).first()[0]
-        if not most_left:
+        if not left.head(1):
             break
         again = open_.drop("last", "chunk").join(left, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-        chunks = F.ceil(F.col("_n") / CHUNK)
-        again = again.withColumn("last", chunks <= 1).withColumn("chunk", F.pmod(F.xxhash64("doc_id", "size"), chunks).cast("long"))
-        flown = materialize(_round(again.drop("_n")), "flown")
+        flown = materialize(_round(_in_chunks(again, F.col("_n")).drop("_n")), "flown")
         done.append(flown.filter("prob = 0 or prob = 1"))
         open_ = flown.filter("prob > 0 and prob < 1")
     rows = done[0]
     for part in done[1:]:
         rows = rows.unionByName(part)
-    copies = (F.col("whole") + F.col("prob").cast("long")).alias("copies")
-    return rows.select("doc_id", "source", "size", "source_size", "target", copies, (copies * F.col("size")).alias("taken"))
+    total = (F.col("whole") + F.col("prob").cast("long")).alias("total")
+    return rows.select("doc_id", "source", "size", "source_size", "target", "rows", total)
+
+
+def _in_chunks(units: DataFrame, count: Column) -> DataFrame:
+    """Add the group in which a unit flies, and whether its source lands in it."""
+    chunks = F.ceil(count / CHUNK)
+    return units.withColumn("last", chunks <= 1).withColumn("chunk", F.pmod(F.xxhash64("doc_id", "size"), chunks).cast("long"))
 
 
 def mix_rows(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
@@ -153,7 +191,7 @@ def mix_rows(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     Documents of an id, source and size are told apart by nothing: the copies taken of all of them are
     dealt evenly among their rows. Every other row is found by these three.
     """
-    taken = mix(docs, weights, share, most).groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("all"), F.count(F.lit(1)).alias("rows"))
+    taken = _units(docs, weights, share, most, 0).select("doc_id", "source", "size", F.col("total").alias("all"), "rows")
     taken = materialize(taken.filter("all > 0").withColumnsRenamed({"doc_id": "_id", "source": "_source", "size": "_size"}), "taken")
     plain, back = set_aside(docs, "doc_id", "source", "text")
     sized = plain.withColumn("_words", _words(plain))
@@ -175,6 +213,6 @@ def _words(docs: DataFrame) -> Column:
 
 
 def _round(units: DataFrame) -> DataFrame:
-    kept = ["doc_id", "source", "size", "source_size", "target", "whole", "prob", "last", "chunk"]
+    kept = ["doc_id", "source", "size", "rows", "source_size", "target", "whole", "prob", "seed", "last", "chunk"]
     units = units.select(*kept)
     return units.groupBy("source", "chunk").applyInPandas(_fly_group, units.schema)

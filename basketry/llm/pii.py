@@ -44,7 +44,7 @@ CONTEXT = {
 }
 AGAINST = "version|isbn|issn|doi|sha1|sha256|md5|commit|checksum"
 RAISE, LOWER, PASS = 0.4, 0.3, 0.6
-NEAR = 32  # characters before a span in which context words count
+NEAR = 32  # characters on either side of a span in which context words count
 _SPAN = "struct<start:int,end:int,value:string>"
 
 
@@ -103,8 +103,10 @@ def find(docs: DataFrame) -> DataFrame:
 
     Places are code points, the end exclusive. Spans of the base kinds are all that their pattern
     matches, leftmost and without overlap within the kind, and their check confirms. Spans of the
-    other kinds need a score of ``PASS``, which a context word within ``NEAR`` characters before
-    them raises and a word for numbers of other uses lowers. A null or empty text has none.
+    other kinds need a score of ``PASS``, which a context word within ``NEAR`` characters before or
+    behind them raises and a word for numbers of other uses lowers. A word behind that announces
+    something else, as in ``phone:``, does not count. A null or empty text has none; null ids and
+    repeated rows are rows like others, as nothing is looked at but the text.
     """
     plain, back = set_aside(docs, "text")
     texts = plain.withColumn("_text", F.coalesce(F.col("text").cast("string"), F.lit("")))
@@ -116,9 +118,14 @@ def find(docs: DataFrame) -> DataFrame:
     parts = []
     for number, kind in enumerate(PATTERNS):
         before = f"lower(substring(_text, greatest(x.start - {NEAR}, 0) + 1, least(x.start, {NEAR})))"
+        behind = f"lower(substring(_text, x.end + 1, {NEAR}))"
+
+        def near(found: str) -> str:
+            return f"({before} rlike '(^|[^a-z])({found})' or {behind} rlike '(^|[^a-z])({found})[a-z]*+(?!\\\\x20?[:=])')"  # noqa: B023
+
         score = f"""round({SCORES[kind]}D
-            + case when {before} rlike '(^|[^a-z])({CONTEXT[kind]})' then {RAISE}D else 0D end
-            - case when {before} rlike '(^|[^a-z])({AGAINST})' then {LOWER}D else 0D end, 2)"""
+            + case when {near(CONTEXT[kind])} then {RAISE}D else 0D end
+            - case when {near(AGAINST)} then {LOWER}D else 0D end, 2)"""
         made = f"""transform(filter(_{kind}, x -> {CONFIRM[kind]}), x -> struct(x.start as start, {number} as ord, x.end as end,
             '{kind}' as kind, x.value as value, greatest(0D, least(1D, {score})) as score, {str(kind in BASE).lower()} as base))"""
         parts.append(made if kind in BASE else f"filter({made}, x -> x.score >= {PASS}D)")
@@ -145,7 +152,8 @@ def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with every span of ``find`` replaced by its kind in capitals and angle brackets.
 
     Of overlapping spans the first names the place, all of both is taken out. Texts without spans, null
-    texts among them, stay as they are; ``n_chars``, where there is one, follows the text.
+    texts among them, stay as they are; ``n_chars``, where there is one, follows the text. Null ids and
+    repeated rows are rows like others.
     """
     plain, back = set_aside(docs, "text", "n_chars")
     found = find(plain)

@@ -79,3 +79,31 @@ def test_no_rows_and_no_words(spark, odd, docs_frame):
     assert mixing.mix(odd.limit(0)).count() == 0
     rows = mixing.mix(docs_frame([(1, None, "en", "a"), (2, "", "en", None)])).collect()
     assert [(r.target, r.taken) for r in rows] == [(0.0, 0), (0.0, 0)]
+
+
+def test_inclusion_probabilities_are_kept():
+    """Over many seeds a document is taken as often as its probability says, whatever its size."""
+    rng = np.random.default_rng(8)
+    size, prob = rng.integers(1, 400, 60), rng.uniform(0.05, 0.95, 60)
+    prob[:6], size[:6] = 0.4, [10, 10, 200, 200, 390, 390]
+    flown = np.array([mixing.fly(size, prob, seed) for seed in range(3000)])
+    assert np.abs(flown.mean(axis=0) - prob).max() < 0.05
+    assert (mixing.fly(size, prob, 7) == mixing.fly(size, prob, 7)).all()
+
+
+def test_other_seeds_give_other_mixes(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    taken = [sorted((r.doc_id, r.taken) for r in mixing.mix(docs, seed=s).collect()) for s in (0, 0, 1)]
+    assert taken[0] == taken[1] != taken[2]
+
+
+def test_equal_rows_are_one_unit(spark, docs_frame, monkeypatch):
+    """Thousands of equal rows do not fly together; what is taken of them is dealt evenly."""
+    monkeypatch.setattr(mixing, "ALIKE", 100)
+    rows = [(None, "a b c", "en", "hot")] * 5000 + [(i, "w " * (i % 50), "en", "hot" if i % 2 else "cold") for i in range(1, 800)]
+    found = mixing.mix(docs_frame(rows)).collect()
+    check(found)
+    alike = [r.copies for r in found if r.doc_id is None]
+    assert len(alike) == 5000 and max(alike) - min(alike) <= 1
+    units = mixing._units(docs_frame(rows), mixing.WEIGHTS, mixing.SHARE, mixing.MOST, 0)
+    assert units.count() == 800 and units.filter("rows = 5000").count() == 1
