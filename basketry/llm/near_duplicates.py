@@ -4,8 +4,9 @@ Documents with the same set of shingles are one node. A signature holds ``TREES`
 minima; a tree is the trie of one label over all nodes, kept as rows grouped by prefix. Nodes that
 share a prefix of the present depth in any tree are candidates of each other. Starting from whole
 labels, prefixes are shortened until links as similar as those found, and a link at the threshold
-itself, are recalled well enough. Candidates are gathered in classes (components of the prefix groups); in a class
-every pair is compared exactly, a large class in blocks, so that no pair leaves a task.
+itself, are recalled well enough. Candidates are gathered in classes (components of the prefix groups), a
+large class in blocks, so that no pair leaves a task. Of a class only pairs that share a prefix
+themselves are compared exactly: what a chain of candidates brings together is no candidate pair.
 
 Nodes are 63-bit hashes of shingle sets; two different sets meet in one of them with a chance of about
 the square of their number over 2**64.
@@ -28,7 +29,7 @@ from basketry.llm.graph import components
 WORDS = 5
 THRESHOLD = Fraction(4, 5)
 TREES = 24
-DEPTH = 6
+DEPTH = 5  # the longest label at which a link at the threshold is recalled well enough with so many trees
 RECALL = 0.9999
 BLOCK = 512  # nodes of a class that meet as many others in one task
 BLOCK_BYTES = 8 << 20  # of shingle hashes in a block
@@ -131,6 +132,16 @@ def _prefixes(signed: DataFrame, depth: int) -> DataFrame:
     return rows.mapInArrow(run, "node long, tree int, prefix long")
 
 
+def cut_labels(signature: bytes, depth: int) -> np.ndarray:
+    """The labels of all trees cut to ``depth``, each as one number."""
+    labels = np.frombuffer(signature, dtype="u4").reshape(TREES, DEPTH)[:, :depth].astype("u8")
+    prefix = np.zeros(TREES, dtype="u8")
+    with np.errstate(over="ignore"):
+        for k in range(depth):
+            prefix = _mix(prefix * np.uint64(0xD6E8FEB86659FD93) + labels[:, k] + np.uint64(1))
+    return prefix
+
+
 def _classes(signed: DataFrame, depth: int) -> DataFrame:
     """(node, root): candidate classes of more than one node."""
     labels = materialize(_prefixes(signed, depth).distinct(), "prefixes")
@@ -161,13 +172,31 @@ def _shares(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.n
     return total.astype("i8")
 
 
-def link_block(nodes, copies, sets, blocks, first: int, second: int):
+def candidate_pairs(labels: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Which nodes of ``left`` share a prefix with which of ``right`` in any tree."""
+    out = np.zeros((len(left), len(right)), dtype=bool)
+    for tree in range(labels.shape[1]):
+        out |= labels[left, tree][:, None] == labels[right, tree][None, :]
+    return out
+
+
+def _shares_of_pairs(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of the wanted pairs, 0 for others; one matrix product where most are wanted."""
+    if wanted.sum() * 8 > wanted.size:
+        return np.where(wanted, _shares(sets, left, right), 0)
+    out = np.zeros(wanted.shape, dtype="i8")
+    for i, j in zip(*np.nonzero(wanted)):
+        out[i, j] = len(np.intersect1d(sets[left[i]], sets[right[j]], assume_unique=True))
+    return out
+
+
+def link_block(nodes, copies, sets, labels, blocks, first: int, second: int):
     """Exact links between the nodes of two blocks (or within one): for each node with a link its
     weight in documents and the smallest node it hangs together with here, and a histogram."""
     left = np.flatnonzero(blocks == first)
     right = np.flatnonzero(blocks == second)
     size = np.array([len(s) for s in sets])
-    common = _shares(sets, left, right)
+    common = _shares_of_pairs(sets, left, right, candidate_pairs(labels, left, right))
     union = size[left][:, None] + size[right][None, :] - common
     linked = common * THRESHOLD.denominator >= THRESHOLD.numerator * union
     if first == second:
@@ -190,8 +219,8 @@ def link_block(nodes, copies, sets, blocks, first: int, second: int):
     return weight, low, histogram
 
 
-def _verify(members: DataFrame) -> DataFrame:
-    """(node, copies, root, shingles, block, first, second) -> links per node and block pair."""
+def _verify(members: DataFrame, depth: int) -> DataFrame:
+    """(node, copies, root, shingles, signature, block, first, second) -> links per node and block pair."""
     rows = members.repartition("root", "first", "second").sortWithinPartitions("root", "first", "second", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,8 +232,9 @@ def _verify(members: DataFrame) -> DataFrame:
             if len(nodes) < 2:
                 return None
             copies, blocks = np.array([held[k][1] for k in at]), np.array([held[k][3] for k in at])
+            labels = np.stack([cut_labels(held[k][4], depth) for k in at])
             sets = [np.frombuffer(held[k][2], dtype="u8") for k in at]
-            weight, low, histogram = link_block(nodes, copies, sets, blocks, key[1], key[2])
+            weight, low, histogram = link_block(nodes, copies, sets, labels, blocks, key[1], key[2])
             got = np.flatnonzero(weight)
             if not len(got):
                 return None
@@ -214,7 +244,7 @@ def _verify(members: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(nodes[got]), pa.array(weight[got]), pa.array(low[got]), lists], names=["node", "weight", "low", "bins"])
 
         for batch in batches:
-            columns = [batch.column(n).to_pylist() for n in ("root", "first", "second", "node", "copies", "shingles", "block")]
+            columns = [batch.column(n).to_pylist() for n in ("root", "first", "second", "node", "copies", "shingles", "block", "signature")]
             for root, first, second, *row in zip(*columns):
                 if (root, first, second) != key:
                     if held and (out := close()) is not None:
@@ -251,10 +281,12 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame, list[tuple[int, float]
     signed = materialize(sign(docs), "signed")
     # a node's documents may differ in white space: one text of each is looked up
     texts = signed.filter("node is not null").groupBy("node", "text_key").agg(
-        F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.max("bytes").alias("bytes")
+        F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.max("bytes").alias("bytes"), F.first("signature").alias("signature")
     )
     nodes = materialize(
-        texts.groupBy("node").agg(F.min("text_key").alias("text_key"), F.sum("n").alias("copies"), F.max("bytes").alias("bytes")), "nodes"
+        texts.groupBy("node").agg(
+            F.min("text_key").alias("text_key"), F.sum("n").alias("copies"), F.max("bytes").alias("bytes"), F.first("signature").alias("signature")
+        ), "nodes"
     )
     texts = texts.select(F.col("node").alias("_node"), F.col("text_key").alias("_key"), "rep")
     depth, steps = DEPTH, []
@@ -266,11 +298,11 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame, list[tuple[int, float]
         wanted = wanted.join(texts, (F.col("node") == F.col("_node")) & (F.col("text_key") == F.col("_key"))).drop("_node", "_key")
         found = docs.select(F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("_id"), text_key().alias("_key"))
         found = found.join(wanted, (F.col("_key") == F.col("text_key")) & F.col("_id").eqNullSafe(F.col("rep")))
-        found = _with_shingles(found.select("node", "copies", "root", "parts", "text"))
+        found = _with_shingles(found.select("node", "copies", "root", "parts", "signature", "text"))
         block = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
         found = found.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        members = found.select("node", "copies", "root", "shingles", "block", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"))
-        linked = materialize(_verify(members), "links")
+        members = found.select("node", "copies", "root", "shingles", "signature", "block", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"))
+        linked = materialize(_verify(members, depth), "links")
         bins = linked.select(*[F.sum(F.col("bins")[k]).alias(f"b{k}") for k in range(BINS)]).first()
         bins = [int(n or 0) for n in bins]
         steps.append((depth, expected_recall(bins, depth)))
@@ -292,9 +324,9 @@ def _with_shingles(rows: DataFrame) -> DataFrame:
             for s in range(0, batch.num_rows, 500):
                 part = texts.slice(s, 500)
                 hashes = pa.array([shingles(t.as_py() or b"").tobytes() for t in part], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(k).slice(s, 500) for k in range(4)] + [hashes], names=["node", "copies", "root", "parts", "shingles"])
+                yield pa.RecordBatch.from_arrays([batch.column(k).slice(s, 500) for k in range(5)] + [hashes], names=["node", "copies", "root", "parts", "signature", "shingles"])
 
-    return rows.mapInArrow(run, "node long, copies long, root long, parts int, shingles binary")
+    return rows.mapInArrow(run, "node long, copies long, root long, parts int, signature binary, shingles binary")
 
 
 def join(docs: DataFrame) -> DataFrame:

@@ -129,7 +129,7 @@ def segment(found: DataFrame, counts: DataFrame) -> DataFrame:
             out = []
             for text, model in zip(texts, models):
                 cost = {r["word"]: math.log(size) - math.log(r["n"]) for r in (model if model is not None else [])}
-                # rare one- and two-letter debris would win against whole words
+                # rare one-letter debris would win against whole words
                 cost = {w: c for w, c in cost.items() if len(w) > 1 or c < math.log(1000)}
                 out.append(best_split(text, cost, unknown))
             yield pd.Series(out)
@@ -170,7 +170,9 @@ def judge(pages: DataFrame, rules=RULES, margin: float = MARGIN) -> DataFrame:
     bad, unsure, urls = prior.b or 0, prior.u or 0, prior.n or 0
     start = math.log(bad + 1) - math.log(urls - bad - unsure + PRESUMED * unsure + 1)
     weights = materialize(_weights(tokens, SEED_SHARE * urls), "weights")
-    scores = tokens.join(weights, "token").groupBy("host", "shape").agg(F.sum("weight").alias("odds"))
+    # a shape may stand both with and without a rule: only the words of the latter are added up
+    open_ = tokens.filter(F.col("ruled").isNull())
+    scores = open_.join(weights, "token").groupBy("host", "shape").agg(F.sum("weight").alias("odds"))
     judged = shapes.select("host", "shape").distinct().join(scores, ["host", "shape"], "left")
     judged = judged.withColumn("odds", F.round(F.coalesce("odds", F.lit(0.0)) + start, 9))
     judged = materialize(judged, "judged").withColumnsRenamed({"host": "_host", "shape": "_shape"})

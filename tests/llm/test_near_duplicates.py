@@ -1,9 +1,11 @@
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
 
 from basketry.llm import graph, near_duplicates as nd, queries
+from basketry.llm.common import materialize
 
 
 def sets_of(docs):
@@ -156,3 +158,35 @@ def test_hot_class_does_not_decide_for_other_links(docs_frame):
     _, linked, steps = nd.links(docs_frame(docs))
     assert linked.count() == 40 and nd.expected_recall([0] * (nd.BINS - 1) + [1], nd.DEPTH) >= nd.RECALL
     assert nd.chance(0.8, steps[-1][0]) >= nd.RECALL
+
+
+def test_a_chain_of_candidates_is_not_compared_all_to_all(docs_frame, monkeypatch):
+    """Neighbours in a chain are near, its ends are not: few of all pairs of the class are candidates."""
+    rng = random.Random(12)
+    words = [f"w{rng.random()}" for _ in range(400)]
+    docs = [(i, " ".join(words[5 * i : 5 * i + 160])) for i in range(48)]
+    frame = docs_frame(docs)
+    signed = nd.sign(frame)
+    classes = nd._classes(materialize(signed, "signed"), nd.DEPTH).collect()
+    largest = max(Counter(r.root for r in classes).values())
+    signatures = {r.node: r.signature for r in signed.collect()}
+    labels = np.stack([nd.cut_labels(s, nd.DEPTH) for s in signatures.values()])
+    every = np.arange(len(labels))
+    pairs = nd.candidate_pairs(labels, every, every)
+    assert largest >= 40 and pairs.sum() < 0.6 * pairs.size
+    same(nd.join(frame).collect(), docs)
+
+
+def test_sparse_and_dense_intersections_agree():
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(5, 40)).astype("u8")) for _ in range(30)]
+    left, right = np.arange(12), np.arange(12, 30)
+    full = nd._shares(sets, left, right)
+    for share in (0.02, 0.5, 1.0):
+        wanted = rng.random(full.shape) < share
+        assert (nd._shares_of_pairs(sets, left, right, wanted) == np.where(wanted, full, 0)).all()
+
+
+def test_one_pass_is_enough_at_the_usual_target(docs_frame):
+    _, _, steps = nd.links(docs_frame(texts(5)))
+    assert [d for d, _ in steps] == [nd.DEPTH] and nd.chance(0.8, nd.DEPTH) >= nd.RECALL > nd.chance(0.8, nd.DEPTH + 1)

@@ -117,3 +117,20 @@ def test_weights_are_those_of_naive_bayes(spark):
     b, a = 3 + kinds, 10 * uf.PRESUMED + 2 + kinds
     assert got["spam"] == pytest.approx(math.log(4 / b) - math.log(1 / a))
     assert got["news"] == pytest.approx(math.log(1 / b) - math.log((10 * uf.PRESUMED + 3) / a))
+
+
+def test_words_of_a_shape_are_added_up_once(spark, monkeypatch):
+    """Urls that differ in digits are one shape, with a rule for some: the others' odds count their words once."""
+    from pyspark.sql import functions as F
+
+    from basketry.llm import url_filter
+
+    monkeypatch.setattr(url_filter, "_weights", lambda tokens, seed: tokens.select("token").distinct().withColumn("weight", F.lit(1.0)))
+    urls = ["http://ab.com/2024/tulip", "http://ab.com/2025/tulip", "http://ab.com/2025/tulip/rose"]
+    text = "<p>tulip rose ab com tulip rose ab com</p>"
+    pages = spark.createDataFrame([(i, u, text) for i, u in enumerate(urls)], "page_id long, url string, html string")
+    rows = {r.page_id: r for r in url_filter.judge(pages, rules=(("ab.com", "/2024/", "allow"),)).collect()}
+    assert rows[0].rule == "ab.com/2024/" and rows[0].score is None
+    assert round(rows[2].score - rows[1].score, 6) == 1.0
+    other = {r.page_id: r for r in url_filter.judge(pages.filter("page_id > 0"), rules=(("ab.com", "/2024/", "allow"),)).collect()}
+    assert round(other[2].score - other[1].score, 6) == 1.0
