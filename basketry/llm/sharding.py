@@ -78,11 +78,11 @@ def shard_by_bytes(rows: DataFrame, key: str, size: str, order: list[str], shard
     interchangeable. An empty frame gives an empty frame.
     """
     ship_code()
-    rows = materialize(rows, "unsharded")
+    rows = materialize(rows.withColumn("_id", F.monotonically_increasing_id()), "unsharded")
     total, count = rows.agg(F.sum(size), F.count(F.lit(1))).first()
     total = int(total or 0)
     if not count:
-        return rows.withColumn("shard", F.lit(0)).withColumn("slot", F.lit(0).cast("long"))
+        return rows.drop("_id").withColumn("shard", F.lit(0)).withColumn("slot", F.lit(0).cast("long"))
     ranges = RANGES_PER_SHARD * shards
     bounds = _quantiles(_sample(rows, key, size, total, ranges * SAMPLES_PER_RANGE), ranges)
     limit = OVERFULL * total / ranges
@@ -104,28 +104,39 @@ def shard_by_bytes(rows: DataFrame, key: str, size: str, order: list[str], shard
         if len(finer) == len(bounds):
             break
         bounds = finer
-    tagged = rows.withColumn("_range", _range_of(bounds)(F.col(key)))
-    # one row per range, and the number of ranges is set by the parameters
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = tagged.groupBy("_range").agg(F.sum(size).alias("_b"), F.count(F.lit(1)).alias("_n"))
+    tagged = _with_parts(rows.withColumn("_range", _range_of(bounds)(F.col(key))), key, size, limit)
+    # one row per range or part of one, and their number is set by the parameters
+    before = Window.orderBy("_range", "_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = tagged.groupBy("_range", "_part").agg(F.sum(size).alias("_b"), F.count(F.lit(1)).alias("_n"))
     offsets = offsets.select(
-        "_range",
+        "_range", "_part",
         F.coalesce(F.sum("_b").over(before), F.lit(0)).alias("_bytes_before"),
         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_rows_before"),
-    )
-    inside = Window.partitionBy("_range").orderBy(key, *order)
+    )
+    inside = Window.partitionBy("_range", "_part").orderBy(key, *order)
     run = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = tagged.withColumn("_run", F.sum(size).over(run)).withColumn("_row", F.row_number().over(inside))
-    placed = placed.join(F.broadcast(offsets), "_range")
+    placed = placed.join(F.broadcast(offsets), ["_range", "_part"])
     middle = 2 * (F.col("_bytes_before") + F.col("_run")) - F.col(size)
     placed = placed.withColumn(
         "shard", F.least(F.lit(shards - 1), F.floor(middle * shards / (2 * max(total, 1)))).cast("int")
     ).withColumn("_at", F.col("_rows_before") + F.col("_row") - 1)
-    placed = materialize(placed.drop("_run", "_row", "_bytes_before", "_rows_before", "_range"), "placed")
+    placed = materialize(placed.drop("_run", "_row", "_bytes_before", "_rows_before", "_range", "_part", "_id"), "placed")
     starts = placed.groupBy("shard").agg(F.min("_at").alias("_start"))  # one row per shard
     return placed.join(F.broadcast(starts), "shard").withColumn("slot", F.col("_at") - F.col("_start")).drop("_at", "_start")
 
 
+def _with_parts(tagged: DataFrame, key: str, size: str, limit: float) -> DataFrame:
+    """Add ``_part``: 0, or for an overfull range of one single key, which no splitter can cut, a number
+    dealt to its rows, so that none of its parts is overfull."""
+    sums = tagged.groupBy("_range").agg(F.sum(size).alias("_b"), F.min(key).alias("_low"), F.max(key).alias("_high"))
+    hot = sums.filter((F.col("_b") > limit) & (F.col("_low") == F.col("_high")))
+    # each has more than ``limit`` bytes, so they are fewer than the ranges
+    hot = materialize(hot.select("_range", F.ceil(F.col("_b") / limit).alias("_parts")), "hot-keys")
+    dealt = F.pmod(F.xxhash64("_id"), F.col("_parts"))
+    return tagged.join(F.broadcast(hot), "_range", "left").withColumn("_part", F.coalesce(dealt, F.lit(0)).cast("long")).drop("_parts")
+
+
 def shard_documents(docs: DataFrame, shards: int = 24) -> DataFrame:
     """Shards of nearly equal bytes for documents; equal texts are neighbours and stay together
     except where a shard's border falls among them.

@@ -58,3 +58,24 @@ def test_written_shards(spark, docs_frame, tmp_path):
     sharding.write_shards(docs.select("doc_id", "text"), placed, str(tmp_path / "out"))
     back = spark.read.parquet(str(tmp_path / "out"))
     assert {(r.doc_id, r.shard, r.slot) for r in back.collect()} == {(r.doc_id, r.shard, r.slot) for r in placed.collect()}
+
+
+def test_a_hot_key_is_dealt_to_parts(spark, docs_frame):
+    """Half of all rows are one and the same: they are spread over many parts and still neighbours."""
+    from pyspark.sql import functions as F
+
+    rows = [(None, "the same words", "en", "a")] * 3000 + [(i, f"text number {i}", "en", "a") for i in range(3000)]
+    placed = sharding.shard_documents(docs_frame(rows), 8).collect()
+    assert len(placed) == 6000
+    size = {}
+    for r in placed:
+        size.setdefault(r.shard, []).append(r)
+    total = sum(r.size for r in placed)
+    for shard, own in size.items():
+        assert sorted(r.slot for r in own) == list(range(len(own)))
+        assert abs(sum(r.size for r in own) - total / 8) <= 2 * max(r.size for r in placed)
+    hot = sorted({r.shard for r in placed if r.doc_id is None})
+    assert hot == list(range(hot[0], hot[-1] + 1)) and len(hot) >= 4
+    keyed = docs_frame(rows).select(F.lit(1).alias("_range"), F.lit(7).alias("k"), F.lit(10).alias("s"), F.monotonically_increasing_id().alias("_id"))
+    parts = sharding._with_parts(keyed, "k", "s", 1000.0).groupBy("_part").count().collect()
+    assert len(parts) == 60 and max(r["count"] for r in parts) < 200
