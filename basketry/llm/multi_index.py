@@ -23,7 +23,8 @@ from basketry.llm.common import materialize, ship_code
 
 FIT_ROWS = 20_000  # vectors that k-means sees, picked by hash
 PROBES = 100  # queries whose exact neighbours set the number of entries to visit
-CENTROIDS = 64  # a half at most; fewer for small tables
+CENTROIDS = 2_000  # a half at most, a tenth of the sample they are fitted on
+ENTRIES = 64  # of a cell, on the average, in tables of more than 64 centroids a half
 BLOCK = 8_192  # entries that meet a batch of queries in one matrix product
 TARGET = 0.95  # recall that the visited entries reach for the sample queries
 RESULT = "query_id long, vec_id long, score double"
@@ -92,6 +93,12 @@ def _lists(matrix: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(matrix.ravel()))
 
 
+def centroids_for(rows: int, most: int = CENTROIDS) -> int:
+    """Centroids a half for so many rows: about one entry a cell up to 64, then ``ENTRIES``, so that cells
+    stay small as the table grows, up to ``most`` squared cells."""
+    return max(2, min(most, max(min(64, math.isqrt(rows)), math.isqrt(rows // ENTRIES))))
+
+
 class MultiIndex:
     """The index of a table of vectors; ``search`` takes any table of queries of the same width."""
 
@@ -103,7 +110,7 @@ class MultiIndex:
         self.count = rows.count()
         if not self.count:
             return
-        k = max(2, min(centroids, math.isqrt(self.count)))
+        k = centroids_for(self.count, centroids)
         share = min(1.0, FIT_ROWS / self.count)
         dice = F.pmod(F.xxhash64("vec_id", F.lit("fit")), F.lit(1 << 30)) < int(share * (1 << 30))
         sample = rows.filter(dice).orderBy("vec_id").limit(2 * FIT_ROWS).toArrow()

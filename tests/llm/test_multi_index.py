@@ -88,3 +88,10 @@ def test_few_and_no_rows(spark):
     rows = spark.createDataFrame([(0, [1.0, 2.0], 0, 1, "s"), (7, [1.0, 1.0], 0, 1, "s"), (8, [-1.0, 1.0], 0, 1, "s")], SCHEMA)
     assert [(r.vec_id, r.score) for r in mi.nearest(rows).collect()] == [(7, 3.0), (8, 1.0)]
     assert mi.nearest(rows.limit(0)).count() == 0 and mi.nearest(rows.filter("vec_id = 0")).count() == 0
+
+
+def test_cells_grow_with_the_table():
+    sizes = [mi.centroids_for(n) for n in (1, 100, 2_000, 51_000, 10**6, 10**7, 10**8, 10**10)]
+    assert sizes == [2, 10, 44, 64, 125, 395, 1250, 2000]
+    assert all(n / mi.centroids_for(n) ** 2 <= mi.ENTRIES + 1 for n in (10**5, 10**6, 10**7, 10**8))
+    assert mi.centroids_for(10**6, 10) == 10
