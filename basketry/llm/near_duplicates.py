@@ -281,12 +281,10 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame, list[tuple[int, float]
     signed = materialize(sign(docs), "signed")
     # a node's documents may differ in white space: one text of each is looked up
     texts = signed.filter("node is not null").groupBy("node", "text_key").agg(
-        F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.max("bytes").alias("bytes"), F.first("signature").alias("signature")
+        F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.max("bytes").alias("bytes")
     )
     nodes = materialize(
-        texts.groupBy("node").agg(
-            F.min("text_key").alias("text_key"), F.sum("n").alias("copies"), F.max("bytes").alias("bytes"), F.first("signature").alias("signature")
-        ), "nodes"
+        texts.groupBy("node").agg(F.min("text_key").alias("text_key"), F.sum("n").alias("copies"), F.max("bytes").alias("bytes")), "nodes"
     )
     texts = texts.select(F.col("node").alias("_node"), F.col("text_key").alias("_key"), "rep")
     depth, steps = DEPTH, []
@@ -298,7 +296,7 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame, list[tuple[int, float]
         wanted = wanted.join(texts, (F.col("node") == F.col("_node")) & (F.col("text_key") == F.col("_key"))).drop("_node", "_key")
         found = docs.select(F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("_id"), text_key().alias("_key"))
         found = found.join(wanted, (F.col("_key") == F.col("text_key")) & F.col("_id").eqNullSafe(F.col("rep")))
-        found = _with_shingles(found.select("node", "copies", "root", "parts", "signature", "text"))
+        found = _with_shingles(found.select("node", "copies", "root", "parts", "text"))
         block = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
         found = found.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         members = found.select("node", "copies", "root", "shingles", "signature", "block", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"))
@@ -318,15 +316,21 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame, list[tuple[int, float]
 
 
 def _with_shingles(rows: DataFrame) -> DataFrame:
+    """The shingles of class members and, from these, their signatures once more: few rows, and no table
+    has to carry signatures along."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        signer = Signer()
         for batch in batches:
             texts = batch.column("text").cast(pa.binary())
             for s in range(0, batch.num_rows, 500):
                 part = texts.slice(s, 500)
-                hashes = pa.array([shingles(t.as_py() or b"").tobytes() for t in part], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(k).slice(s, 500) for k in range(5)] + [hashes], names=["node", "copies", "root", "parts", "signature", "shingles"])
+                found = [shingles(t.as_py() or b"") for t in part]
+                hashes = pa.array([h.tobytes() for h in found], pa.binary())
+                signatures = pa.array([signer(h).tobytes() for h in found], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(k).slice(s, 500) for k in range(4)] + [hashes, signatures], names=["node", "copies", "root", "parts", "shingles", "signature"])
 
-    return rows.mapInArrow(run, "node long, copies long, root long, parts int, signature binary, shingles binary")
+    return rows.mapInArrow(run, "node long, copies long, root long, parts int, shingles binary, signature binary")
 
 
 def join(docs: DataFrame) -> DataFrame:
