@@ -4,6 +4,8 @@ The suffixes of all strings are sorted; the Burrows-Wheeler transform keeps the
 at the ends of its runs are positions sampled and compared with their neighbour in the order: within
 a run the match just goes on from one byte before, so the matching statistics of all other positions
 follow from the samples by streaming over the text. Repetitive strings have few runs.
+
+Where only matches of a certain length are wanted, ``repeated_parts`` first cuts out what occurs once.
 """
 
 from __future__ import annotations
@@ -11,6 +13,43 @@ from __future__ import annotations
 import numpy as np
 
 _SYMBOLS = 7  # of 9 bits, in the first sort key
+WINDOW = 64  # bytes that must occur twice for a part to stay
+_BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2**64
+
+
+def repeated_parts(text: np.ndarray, starts: np.ndarray, group: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where parts begin and end that hold every match of ``least`` (``WINDOW`` or more) bytes, and the string each is from.
+
+    A match lies in windows that all stand elsewhere in the group too. Windows are hashed by sums of powers
+    and counted in a table by some bits of the hash, those that are not alone again by others: one that
+    repeats is never lost, a few others may stay. Runs of them are the parts.
+    """
+    n, none = len(text), np.empty(0, dtype="i8")
+    if n < max(least, WINDOW):
+        return none, none, none
+    lengths = np.diff(np.r_[starts, n])
+    with np.errstate(over="ignore"):
+        ahead, back = np.full(n + 1, _BASE, dtype="u8"), np.full(n + 1, pow(_BASE, -1, 1 << 64), dtype="u8")
+        ahead[0] = back[0] = 1
+        ahead, back = np.cumprod(ahead), np.cumprod(back)
+        sums = np.concatenate([np.zeros(1, dtype="u8"), np.cumsum((text.astype("u8") + np.uint64(1)) * ahead[:n])])
+        window = (sums[WINDOW:] - sums[:-WINDOW]) * back[: n - WINDOW + 1]
+        window = (window ^ (window >> np.uint64(29))) * np.uint64(_BASE) + np.repeat(group, lengths)[: len(window)].astype("u8")
+        window = (window ^ (window >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
+    rest = (np.repeat(starts + lengths, lengths) - np.arange(n))[: len(window)]
+    kept = np.flatnonzero(rest >= WINDOW)
+    for shift in (40, 20, 0):
+        slots = 1 << max(10, int(2 * len(kept)).bit_length())
+        slot = ((window[kept] >> np.uint64(shift)) & np.uint64(slots - 1)).astype("i8")
+        kept = kept[np.bincount(slot, minlength=slots)[slot] > 1]
+    if not len(kept):
+        return none, none, none
+    owner = np.searchsorted(starts, kept, side="right") - 1
+    first = np.flatnonzero(np.r_[True, (np.diff(kept) != 1) | (np.diff(owner) != 0)])
+    last = np.r_[first[1:], len(kept)] - 1
+    begin, end = kept[first], kept[last] + WINDOW
+    long = end - begin >= least
+    return begin[long], end[long], owner[first][long]
 
 
 class RunLengthIndex:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basketry.llm.common import materialize, ship_code
-from basketry.llm.run_index import RunLengthIndex
+from basketry.llm.run_index import RunLengthIndex, repeated_parts
 
 LENGTH = 200
 GRAM = 50
@@ -231,20 +231,25 @@ def _repeats(held: list[tuple]) -> pa.RecordBatch:
     text = np.frombuffer(b"".join(h[3] for h in held), dtype="u1")
     lengths = np.array([len(h[3]) for h in held])
     starts = np.cumsum(lengths) - lengths
-    index = RunLengthIndex(text, starts, np.array([h[0] for h in held]))
+    group = np.array([h[0] for h in held])
+    begin, end, of = repeated_parts(text, starts, group, LENGTH)
+    parts = np.cumsum(end - begin) - (end - begin)
+    index = RunLengthIndex(np.concatenate([text[a:b] for a, b in zip(begin, end)]) if len(of) else text[:0], parts, group[of])
     at = index.long_matches(LENGTH)
-    owner = np.searchsorted(starts, at, side="right") - 1
+    part = np.searchsorted(parts, at, side="right") - 1
     # strings that begin one after the other are one range
-    new = np.r_[True, (np.diff(at) != 1) | (np.diff(owner) != 0)] if len(at) else np.empty(0, dtype=bool)
+    new = np.r_[True, (np.diff(at) != 1) | (np.diff(part) != 0)] if len(at) else np.empty(0, dtype=bool)
     first = np.flatnonzero(new)
     last = np.r_[first[1:], len(at)] - 1 if len(first) else first
-    shift = np.array([h[2] for h in held]) - starts
+    owner = of[part]
+    # from places among the parts to places in the texts
+    shift = (begin - parts)[part[first]] + (np.array([h[2] for h in held]) - starts)[owner[first]]
     keys = np.array([h[1] for h in held], dtype="i8")
     return pa.RecordBatch.from_arrays(
         [
             pa.array(keys[owner[first]]),
-            pa.array((at[first] + shift[owner[first]]).astype("i4")),
-            pa.array((at[last] + shift[owner[first]] + LENGTH).astype("i4")),
+            pa.array((at[first] + shift).astype("i4")),
+            pa.array((at[last] + shift + LENGTH).astype("i4")),
         ],
         names=["text_key", "start", "end"],
     )

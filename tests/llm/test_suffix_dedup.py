@@ -114,3 +114,30 @@ def test_matching_statistics(seed):
                             best = max(best, k)
             assert got[at + i] == best
     assert len(index.run_starts) <= index.n
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_parts_hold_every_long_match(seed):
+    """With and without the parts that occur once, the same long matches come out."""
+    rng = np.random.default_rng(seed)
+    pool = [rng.integers(97, 97 + rng.integers(2, 26), rng.integers(60, 500)).astype("u1") for _ in range(6)]
+    strings, groups = [], []
+    for g in range(12):
+        for _ in range(rng.integers(1, 6)):
+            parts = [pool[rng.integers(6)] if rng.random() < 0.6 else rng.integers(97, 123, rng.integers(1, 150)).astype("u1") for _ in range(rng.integers(1, 5))]
+            strings.append(np.concatenate(parts))
+            groups.append(g)
+    strings.append(np.full(900, 97, dtype="u1"))
+    groups.append(12)
+    starts = np.cumsum([len(s) for s in strings]) - [len(s) for s in strings]
+    text = np.concatenate(strings)
+    groups = np.array(groups)
+    full = run_index.RunLengthIndex(text, starts, groups)
+    begin, end, of = run_index.repeated_parts(text, starts, groups, 200)
+    parts = np.cumsum(end - begin) - (end - begin)
+    some = run_index.RunLengthIndex(np.concatenate([text[a:b] for a, b in zip(begin, end)]), parts, groups[of])
+    at = some.long_matches(200)
+    part = np.searchsorted(parts, at, side="right") - 1
+    assert (at + (begin - parts)[part]).tolist() == full.long_matches(200).tolist()
+    assert some.n < full.n and (starts[of] <= begin).all() and (end <= np.r_[starts[1:], len(text)][of]).all()
+    assert [len(x) for x in run_index.repeated_parts(text[:50], starts[:1], groups[:1], 200)] == [0, 0, 0]
