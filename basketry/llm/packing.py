@@ -28,8 +28,8 @@ TIERS = (512, 1024, 2048, 4096)
 END = 2  # the id after each document
 POOL = 1 << 20  # tokens held back so that gaps find fitting pieces
 STEP = 32 * 4096  # tokens of a step group
-CACHE = 1_500_000  # distinct words whose ids a worker remembers
-CACHE_BYTES = 128 << 20  # and the bytes of these words and ids
+CACHE = 500_000  # distinct words whose ids a worker remembers, also while it does other work
+CACHE_BYTES = 32 << 20  # and the bytes of these words and ids
 MARKS = ".,"  # cut off the end of words
 RUN = 50  # new words looked up as one text
 SLICE = 8 << 20  # bytes of texts whose words are made distinct at a time
