@@ -60,7 +60,7 @@ class RunLengthIndex:
 
     def __init__(self, text: np.ndarray, starts: np.ndarray, group: np.ndarray):
         n = len(text)
-        ends = np.r_[starts[1:], n]
+        ends = np.append(starts[1:], n)[: len(starts)]
         lengths = ends - starts
         self.text, self.n = text, n
         self.first = np.zeros(n, dtype=bool)

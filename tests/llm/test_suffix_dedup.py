@@ -141,3 +141,16 @@ def test_parts_hold_every_long_match(seed):
     assert (at + (begin - parts)[part]).tolist() == full.long_matches(200).tolist()
     assert some.n < full.n and (starts[of] <= begin).all() and (end <= np.r_[starts[1:], len(text)][of]).all()
     assert [len(x) for x in run_index.repeated_parts(text[:50], starts[:1], groups[:1], 200)] == [0, 0, 0]
+
+
+def test_contexts_without_a_repeat():
+    """Strings of which no part repeats, none at all, and short ones."""
+    rng = np.random.default_rng(1)
+    text = lambda n: rng.integers(0, 256, n).astype("u1").tobytes()
+    for held in ([(0, 1, 0, text(300)), (0, 2, 0, text(300))], [(0, 1, 0, b"")], [(0, 1, 0, text(30)), (1, 2, 5, text(250))]):
+        assert sd._repeats(held).num_rows == 0
+    same_ = text(260)
+    found = sd._repeats([(0, 1, 10, same_), (0, 2, 20, same_ + text(50)), (1, 3, 0, same_)]).to_pylist()
+    assert found == [{"text_key": 1, "start": 10, "end": 270}, {"text_key": 2, "start": 20, "end": 280}]
+    empty = np.empty(0, dtype="i8")
+    assert run_index.RunLengthIndex(np.empty(0, dtype="u1"), empty, empty).long_matches(200).tolist() == []
