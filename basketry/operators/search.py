@@ -124,6 +124,56 @@ def _score_block(scorer, queries: pa.Table, index: pa.Table, query_id, index_id,
     return _keep_best(pa.concat_tables(found), query_id, index_id, k)
 
 
+def _score_reached(scorer, reach, queries: pa.Table, index: pa.Table, query_id, index_id, payload, k) -> pa.Table:
+    """The best ``k`` of the pairs that ``reach`` lets meet. Rows are taken in the order of their cells; once a
+    query has a floor, only pairs above it are asked for."""
+    cells = index.column(reach.column).to_numpy()
+    order = np.argsort(cells, kind="stable")
+    index, cells = index.take(pa.array(order)), cells[order]
+    ids = _order_key(index.column(index_id))
+    # an id that comes more than once takes as many places
+    places, margin = k * int(np.unique(ids, return_counts=True)[1].max()), 10.0**-SCORE_DIGITS
+    found = [pa.table([queries.column(query_id).slice(0, 0), *index.select([index_id, *payload]).slice(0, 0).columns, pa.array([], pa.float64())],
+                      names=[query_id, index_id, *payload, "score"])]
+    borders = reach.borders(cells)
+    for q0 in range(0, queries.num_rows, TILE[0]):
+        q = queries.slice(q0, TILE[0])
+        asking, vectors, best = reach.asking(q), scorer._matrix(q), []
+        floor = asking.floor - margin
+        for d0, d1 in zip(borders, borders[1:]):
+            own, place = np.unique(cells[d0:d1], return_inverse=True)
+            rows = asking.near_any(own)
+            if not len(rows):
+                continue
+            d = index.slice(d0, d1 - d0)
+            scores = vectors[rows] @ scorer._matrix(d).T
+            least = floor[rows]
+            blank = np.flatnonzero(least == -np.inf)
+            if len(blank):
+                met = asking.meets(rows[blank][:, None], own[None, :])
+                scores[blank] = np.where(met[:, place], scores[blank], -np.inf)
+                if scores.shape[1] > places:
+                    least[blank] = np.partition(scores[blank], -places, axis=1)[:, -places]
+            qi, di = np.nonzero((scores >= least[:, None] - margin) & (scores > -np.inf))
+            met = asking.meets(rows[qi], cells[d0:d1][di])
+            qi, di = qi[met], di[met]
+            rounded = np.round(scores[qi, di], SCORE_DIGITS)
+            by_score = np.lexsort((ids[d0:d1][di], -rounded, qi))
+            qi, di, rounded = qi[by_score], di[by_score], rounded[by_score]
+            rank = _rank_in_runs(qi)
+            last = rank == places - 1
+            floor[rows[qi[last]]] = np.maximum(floor[rows[qi[last]]], rounded[last] - margin)
+            qi, di, rounded = (x[rank < places] for x in (qi, di, rounded))
+            chosen = d.select([index_id, *payload]).take(pa.array(di))
+            names = [query_id, index_id, *payload, "score"]
+            best.append(pa.table([q.column(query_id).take(pa.array(rows[qi])), *chosen.columns, pa.array(rounded)], names=names))
+            if sum(b.num_rows for b in best) > 16 * k * q.num_rows:
+                best = [_keep_best(pa.concat_tables(best), query_id, index_id, k)]
+        if best:
+            found.append(_keep_best(pa.concat_tables(best), query_id, index_id, k))
+    return _keep_best(pa.concat_tables(found), query_id, index_id, k)
+
+
 def top_k_join(
     queries: DataFrame,
     index: DataFrame,
@@ -134,6 +184,7 @@ def top_k_join(
     payload: tuple[str, ...] = (),
     group: str | None = None,
     visits: DataFrame | None = None,
+    reach=None,
     max_broadcast: int = MAX_BROADCAST_QUERIES,
     query_block: int = QUERY_BLOCK,
     index_block: int = INDEX_BLOCK,
@@ -143,8 +194,11 @@ def top_k_join(
     Scores are rounded before they are compared, ties go to the smaller id. With ``group``, a column of
     the index, a query meets only rows of the groups it ``visits``, rows ``(query_id, group)`` without
     repeats. Both ids must be unique (inside a group) and not null.
+
+    Where a query visits many groups, ``reach`` says the same from a few ``columns`` of the query and the group
+    of a row. Many queries then meet the index in blocks of ids, and no row per query and group is made.
     """
-    q_cols = [query_id, *scorer.columns]
+    q_cols = [query_id, *scorer.columns, *(reach.columns if reach else [])]
     i_cols = [index_id, *([group] if group else []), *payload, *scorer.columns]
     has_vector = F.col(scorer.columns[0]).isNotNull()
     queries, index = queries.filter(has_vector).select(*q_cols), index.filter(has_vector).select(*i_cols)
@@ -163,16 +217,19 @@ def top_k_join(
         F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(row_bytes), F.lit(0)).alias("bytes")
     ).first()
     few, n_bytes = size["rows"] <= max_broadcast, size["bytes"]
-    if group:
+    if group and (few or not reach):
         visits = materialize(visits.select(query_id, group), "visits")
         n_bytes += 16 * visits.count() if few else 0
+    blocks = query_block, index_block
     if few and n_bytes <= MAX_BROADCAST_BYTES:
-        sent = queries.toArrow(), visits.toArrow() if group else None
+        sent = queries.select(query_id, *scorer.columns).toArrow(), visits.toArrow() if group else None
         hits = _against_all(*sent, index, k, scorer, query_id, index_id, payload, group, schema)
+    elif reach:
+        hits = _over_grid(queries, index, k, scorer, query_id, index_id, payload, None, schema, blocks, reach)
     else:
-        blocks = query_block, index_block
         if group:
-            queries = queries.join(visits, query_id)
+            # small files may hold many rows: the planner would broadcast them by their bytes
+            queries = queries.join(visits.hint("merge"), query_id)
         hits = _over_grid(queries, index, k, scorer, query_id, index_id, payload, group, schema, blocks)
     if group:
         hits = hits.groupBy(query_id, index_id, *payload).agg(F.max("score").alias("score"))
@@ -265,7 +322,7 @@ class _Visits:
         return _keep_best(hits, self.query_id, index_id, k)
 
 
-def _over_grid(queries, index, k, scorer, query_id, index_id, payload, group, schema, blocks) -> DataFrame:
+def _over_grid(queries, index, k, scorer, query_id, index_id, payload, group, schema, blocks, reach=None) -> DataFrame:
     """Cut both sides, of each group if there are groups, into blocks and pair the blocks.
 
     Ids are unique, so hashing them fills the blocks evenly, and a group of any size is spread over
@@ -312,6 +369,8 @@ def _over_grid(queries, index, k, scorer, query_id, index_id, payload, group, sc
                 [*none[0].columns, *none[1].columns, pa.array([], pa.float64())],
                 names=[query_id, index_id, *payload, "score"],
             )
+        if reach:
+            return _score_reached(scorer, reach, left, right, query_id, index_id, payload, k)
         return _score_block(scorer, left, right, query_id, index_id, payload, k)
 
     return q.groupBy(*cell).cogroup(d.groupBy(*cell)).applyInArrow(run, schema)

@@ -436,6 +436,41 @@ def test_probes_reach_the_recall(spark, max_broadcast):
         close(collected(built.search(asked, 5)), brute(q, d, 5))
 
 
+def test_last_visits_and_places_are_those_of_the_order():
+    from basketry.operators import probing
+
+    x, width = np.random.default_rng(4).normal(size=(9, 5)), 0.9
+    x[:4] = np.round(x[:4])  # levels, and so distances, that are equal
+    cells, near = probing.probe_order(x, width, 3**5)
+    for probes in (1, 17, 200, 3**5, 1000):
+        far, last = probing.last_visits(x, width, probes)
+        assert (last == cells[:, min(probes, 3**5) - 1]).all() and (far == near[:, min(probes, 3**5) - 1]).all()
+    for place in (0, 40, 242):
+        assert (probing.places_of(x, width, cells[:, place]) == place + 1).all()
+
+
+@pytest.mark.parametrize("copies", [0, 40])
+def test_probing_in_blocks_makes_no_row_per_query_and_cell(spark, monkeypatch, copies):
+    """Many queries: the same rows and share as by listing each query's cells; rows that come twice count once."""
+    from basketry.operators import probing
+
+    d = vectors(700, 11, copies=copies)
+    rows = frame(spark, d)
+    rows = rows.unionByName(rows.filter(F.col("id") < copies))
+    asked = frame(spark, d[:90], "query_id")
+    built = probing.ProbeIndex.build(rows, asked, 5, dimensions=8)
+    built.probes = 20
+    seen = {}
+    for r in built.probe(asked).collect():
+        seen.setdefault(r.query_id, set()).add(r.cell)
+    of_row = {r.id: r.cell for r in built.rows.collect()}
+    pairs = sum(of_row[r.id] in seen[q] for r in rows.select("id").collect() for q in seen)
+    monkeypatch.setattr(probing.ProbeIndex, "probe", lambda self, queries: queries.sparkSession.sql("select raise_error('listed') query_id, 0 cell"))
+    close(collected(built.search(asked, 5, max_broadcast=0, query_block=40, index_block=300)), brute(d[:90], d, 5, lambda i, j: of_row[j] in seen[i]))
+    monkeypatch.setattr(probing, "QUERY_BLOCK", 40)
+    assert built.candidate_fraction(asked).first()[0] == pytest.approx(pairs / (90 * 700))
+
+
 def test_probing_without_rows(spark):
     from basketry.operators import probing
 
