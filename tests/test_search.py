@@ -504,3 +504,27 @@ def test_bounded_search_is_exact(spark, spread):
     assert built.search(asked.filter("false"), 6).count() == 0
     few = BoundedIndex.build(rows.limit(4), centres=2).search(asked, 6)
     assert few.count() == 4 * 50
+
+
+@pytest.mark.parametrize("spread", [0.08, 1.0])
+def test_bounded_search_of_many_queries_lists_no_cells(spark, monkeypatch, spread):
+    """The cells of many queries are told inside blocks and counted inside tasks."""
+    from basketry.operators.bounded import BoundedIndex
+
+    rng = np.random.default_rng(10)
+    centres = rng.normal(size=(9, 8))
+    d = (centres[rng.integers(0, 9, 400)] + spread * rng.normal(size=(400, 8))).astype(np.float32)
+    q = np.concatenate([d[:40], rng.normal(size=(10, 8)).astype(np.float32)])
+    d[3] = q[4] = 0
+    rows, asked = frame(spark, d), frame(spark, q, "query_id")
+    built = BoundedIndex.build(rows, centres=9)
+    reach = built._reach()
+    first, floors = built._floors(asked, 6, reach)
+    sizes = {r.cell: r.rows for r in built.bounds.collect()}
+    listed = [r.cell for r in first.collect()] + [r.cell for r in built._visits(floors, reach).collect()]
+    assert built.pairs_scored(asked, 6).first().scored == sum(sizes[c] for c in listed)
+    raising = lambda self, asked, reach: spark.sql("select raise_error('listed') query_id, 0 cell")
+    monkeypatch.setattr(BoundedIndex, "_visits", raising)
+    hits = built.search(asked, 6, max_broadcast=0, query_block=20, index_block=150)
+    close(collected(hits), collected(index.search_vectors(asked, rows, 6)))
+    assert built.pairs_scored(asked, 6).first().pairs == 400 * 50
