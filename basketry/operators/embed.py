@@ -16,6 +16,9 @@ from basketry.functions.hashing import hash_bucket
 from basketry.functions.text import tokens
 from basketry.session import materialize, spread
 
+# The most frequent terms, up to so many, are sent to every task; only rows of other terms are shuffled by term.
+FREQUENT = 100_000
+
 # () -> (list of texts -> list of vectors); the outer call loads the model, once per task
 ModelFactory = Callable[[], Callable[[Sequence[str]], Sequence[Sequence[float]]]]
 
@@ -94,15 +97,33 @@ class HashedTerms:
         if key is None:
             raise ValueError("hashed terms are put together by a key")
         df = df.drop(out)
-        counts = term_counts(df, key, text_col).join(self.idf.select("term", "idf"), "term", "left")
-        weight = F.col("tf") * F.coalesce("idf", F.lit(self.unseen)) * self.sign()
-        sums = counts.groupBy(key, self.place().alias("_place")).agg(F.sum(weight).alias("_w"))
-        filled = sums.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("_place", "_w"))).alias("_places"))
+        # the texts are moved once: what joins them below is partitioned by the key alike
+        rows = df.repartition(key)
+        terms = rows.select(key, F.explode(tokens(text_col)).alias("term"))
+        common, rare = frequent_terms(self.idf)
+        weight = F.coalesce("idf", F.lit(self.unseen)) * self.sign()
+        known = common.select("term", weight.alias("_w"), self.place().alias("_place"))
+        if rare is None:  # terms that it was not fitted on
+            unseen = terms.join(F.broadcast(common), "term", "left")
+            parts = [unseen.select(key, self.place().alias("_place"), weight.alias("_w"))]
+        else:
+            others = terms.join(F.broadcast(common.select("term")), "term", "left_anti")
+            others = others.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+            others = others.join(rare.select("term", "idf"), "term", "left")
+            parts = [
+                terms.join(F.broadcast(known), "term").select(key, "_place", "_w"),
+                others.select(key, self.place().alias("_place"), (F.col("tf") * weight).alias("_w")),
+            ]
+        found = []
+        for part in parts:
+            sums = part.groupBy(key, "_place").agg(F.sum("_w").alias("_w"))
+            found.append(f"_places{len(found)}")
+            filled = sums.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("_place", "_w"))).alias(found[-1]))
+            rows = rows.join(filled, key, "left")
         places = F.sequence(F.lit(0), F.lit(self.dimensions - 1))
-        vector = F.transform(places, lambda i: F.coalesce(F.try_element_at("_places", i), F.lit(0.0)).cast("float"))
-        # both sides are partitioned by the key alike; the texts are not moved twice
-        rows = df.repartition(key).join(filled, key, "left")
-        return rows.withColumn(out, F.when(F.col(text_col).isNotNull(), vector)).drop("_places")
+        at = lambda i: [F.coalesce(F.try_element_at(name, i), F.lit(0.0)) for name in found]
+        vector = F.transform(places, lambda i: sum(at(i)[1:], at(i)[0]).cast("float"))
+        return rows.withColumn(out, F.when(F.col(text_col).isNotNull(), vector)).drop(*found)
 
 
 #: what turns texts into vectors
@@ -146,6 +167,26 @@ def _frequencies(docs: DataFrame, text_col: str) -> tuple[DataFrame, float]:
     return _with_idf(frequency.filter("term <> ''"), n), math.log(n + 1.0) + 1
 
 
+def frequent_terms(idf: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """``idf``, rows ``(term, df, idf)``, as the terms of the highest frequencies, at most ``FREQUENT``, and the others,
+    None if there are none.
+
+    The frequencies are counted by powers of two, one row each.
+    """
+    power = F.floor(F.log2("df")).cast("int").alias("power")
+    counts = idf.groupBy(power).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("power")).collect()
+    held, least = 0, None
+    for row in counts:
+        held += row["n"]
+        if held > FREQUENT:
+            break
+        least = row["power"]
+    else:
+        return idf, None
+    common = F.lit(False) if least is None else F.col("df") >= 2**least
+    return idf.filter(common), idf.filter(~common)
+
+
 def tfidf_weights(counts: DataFrame, idf: DataFrame, key: str) -> DataFrame:
     """``(key, term, weight, df)`` before normalisation; terms the index does not know are left out."""
     return counts.join(idf, "term").select(key, "term", (F.col("tf") * F.col("idf")).alias("weight"), "df")
@@ -153,15 +194,30 @@ def tfidf_weights(counts: DataFrame, idf: DataFrame, key: str) -> DataFrame:
 
 def tfidf_vectors(docs: DataFrame, key: str, text_col: str, idf: DataFrame) -> DataFrame:
     """``(key, terms, weights, norm)``, one sparse vector per text that has a known term."""
-    weights = tfidf_weights(term_counts(docs, key, text_col), idf, key)
-    return (
-        weights.groupBy(key)
-        .agg(
-            F.collect_list(F.struct("term", "weight")).alias("v"),
-            F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"),
+    counts = term_counts(docs, key, text_col)
+    common, rare = frequent_terms(idf)
+
+    def collected(weights: DataFrame) -> DataFrame:
+        squares = F.sum(F.col("weight") * F.col("weight")).alias("_squares")
+        return weights.groupBy(key).agg(F.collect_list(F.struct("term", "weight")).alias("v"), squares)
+
+    if rare is None:
+        vectors = collected(tfidf_weights(counts, F.broadcast(common), key))
+    else:
+        # the rows of frequent terms stay where their texts are; the others come back to them
+        named = counts.filter(F.col(key).isNotNull())
+        others = named.join(F.broadcast(common.select("term")), "term", "left_anti")
+        others = collected(tfidf_weights(others, rare, key)).withColumnsRenamed({"v": "_v", "_squares": "_more"})
+        vectors = collected(tfidf_weights(named, F.broadcast(common), key)).join(others, key, "full")
+        none = F.array().cast(vectors.schema["v"].dataType)
+        vectors = vectors.select(
+            key,
+            F.concat(F.coalesce("v", none), F.coalesce("_v", none)).alias("v"),
+            (F.coalesce("_squares", F.lit(0.0)) + F.coalesce("_more", F.lit(0.0))).alias("_squares"),
         )
-        .select(key, F.col("v.term").alias("terms"), F.col("v.weight").alias("weights"), "norm")
-    )
+        # rows without a key are one text
+        vectors = vectors.unionByName(collected(tfidf_weights(counts.filter(F.col(key).isNull()), idf, key)))
+    return vectors.select(key, F.col("v.term").alias("terms"), F.col("v.weight").alias("weights"), F.sqrt("_squares").alias("norm"))
 
 
 def tfidf_entries(counts: DataFrame, idf: DataFrame, key: str) -> DataFrame:

@@ -528,3 +528,26 @@ def test_bounded_search_of_many_queries_lists_no_cells(spark, monkeypatch, sprea
     hits = built.search(asked, 6, max_broadcast=0, query_block=20, index_block=150)
     close(collected(hits), collected(index.search_vectors(asked, rows, 6)))
     assert built.pairs_scored(asked, 6).first().pairs == 400 * 50
+
+
+def test_rows_of_frequent_terms_are_not_shuffled_by_term(spark, monkeypatch):
+    """The vectors are the same whichever terms are sent to every task, with terms and texts of every kind."""
+    from basketry.operators import embed
+
+    texts = ["a b c a", "b c d", "a a a e", "", None, "c b a f g h", "x"]
+    docs = spark.createDataFrame([*enumerate(texts), (None, "a z")], "id long, text string")
+    asked = spark.createDataFrame([(1, "a q q c"), (2, "unknown words")], "id long, text string")
+    found = []
+    for frequent in (100, 3, 0):
+        monkeypatch.setattr(embed, "FREQUENT", frequent)
+        model = embed.HashedTerms.fit(docs, "text", dimensions=8)
+        common, rare = embed.frequent_terms(model.idf)
+        assert common.count() <= frequent and (rare is None) == (frequent == 100)
+        dense = [r for d in (docs, asked) for r in embed.embed(d, "text", model, key="id").collect()]
+        sparse = embed.tfidf_vectors(docs, "id", "text", model.idf).collect()
+        found.append((
+            sorted(((str(r.id), r.text, r.embedding and [round(x, 5) for x in r.embedding]) for r in dense), key=str),
+            sorted(((str(r.id), sorted(zip(r.terms, [round(w, 9) for w in r.weights])), round(r.norm, 9)) for r in sparse), key=str),
+        ))
+    assert found[0] == found[1] == found[2]
+    assert len(found[0][1]) == 6 and len(found[0][0]) == 10
