@@ -16,6 +16,11 @@ what two of them can still add to a score is bounded by the lengths of what has
 
 Only rows that share a term with a query are ever paired with it.
 
+Terms of few rows are told apart before that. Their postings are joined as they are. In the other terms many rows
+agree, as many queries do: a row that shares no rare term scores like all rows of equal weights in the frequent
+terms that are asked for, so that only the ``k`` smallest ids of such a class can be among the best. The steps above
+run on classes of rows and of queries, each class once.
+
 Queries few enough to be sent to every task go another way: the postings of their terms are dealt by row,
 each task adds up its rows and sends on the ``k`` best it has seen for a query. The ``k``-th best so far
 is the floor under which it looks at no more rows, and no pair leaves the task.
@@ -33,6 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from basketry.operators.search import MAX_BROADCAST_BYTES, SCORE_DIGITS, _keep_best, _rank_in_runs
+from basketry.operators.skew import splittable
 from basketry.session import materialize
 
 LAST_BLOCK = 15  # holds all smaller weights too
@@ -41,6 +47,8 @@ WORTH = 0.5  # share of a query's postings that the later terms must have to be
 PRODUCTS = 4_000_000  # products added up at a time inside a task
 # a floor is lowered by what rounding may bring level, and by sums taken in another order
 MARGIN = 2 * 10.0**-SCORE_DIGITS
+RARE = 32  # rows that have a rare term, at most
+ASKING = 256  # queries that a posting may meet, on average, where every task looks at all queries
 
 
 def block_of(weight: Column) -> Column:
@@ -124,12 +132,15 @@ def top_k(
 
     ``weights`` are ``(query_id, term, weight, df)`` of known terms, ``df`` the rows that have the term.
     Rows without a common term do not match. Scores are rounded before they are compared, ties go to
-    the smaller id. Query terms of up to ``max_bytes``, counted before, are sent to every task.
+    the smaller id. Query terms of up to ``max_bytes``, counted before, are sent to every task, if a posting then
+    meets few queries (``ASKING``), so that the work grows with the postings.
     Postings that are not ``kept`` in a table are written if they are read repeatedly.
     """
     terms = materialize(query_terms(weights), "query-terms")
     row_bytes = F.octet_length("term") + F.octet_length(F.col("query_id").cast("string")) + 24
-    if (terms.agg(F.sum(row_bytes)).first()[0] or 0) <= max_bytes:
+    asked = terms.groupBy("term").agg(F.sum(row_bytes).alias("bytes"), F.count(F.lit(1)).alias("n"), F.max("df").alias("df"))
+    size = asked.agg(F.sum("bytes").alias("bytes"), F.sum(F.col("n") * F.col("df")).alias("products"), F.sum("df").alias("rows")).first()
+    if (size["bytes"] or 0) <= max_bytes and (size["products"] or 0) <= ASKING * (size["rows"] or 0):
         scored = _by_row(terms, postings, k)
     else:
         found = _with_floors(terms, postings if kept else materialize(postings, "postings"), k)
@@ -239,11 +250,91 @@ class _RowScores:
 
 def _with_floors(terms: DataFrame, postings: DataFrame, k: int) -> DataFrame:
     """``(query_id, id, partial)`` with the whole scores of all rows that can be among the best."""
-    heavy = terms.filter(F.col("before") < SEED_SHARE).select("query_id", "term", "weight")
-    seeds = partial_scores(heavy, postings, ["term"])
-    bounded = materialize(with_bounds(terms, floors(seeds, k)), "bounded-terms")
+    rare, frequent = terms.filter(F.col("df") <= RARE), terms.filter(F.col("df") > RARE)
+    near = materialize(partial_scores(rare.select("query_id", "term", "weight"), postings, ["term"]), "rare-pairs")
+    reached = materialize(floors(near, k), "rare-floors")
+    alike = _class_hits(frequent, postings, reached, k)
+    # a row that shares a rare term needs the others too, if these can lead it to the k-th best
+    floor = reached.unionByName(floors(alike, k)).groupBy("query_id").agg(F.max("floor").alias("floor"))
+    unseen = F.greatest(F.lit(0.0), 1 - F.col("seen")) * F.greatest(F.lit(0.0), 1 - F.col("asked"))
+    near = near.join(floor, "query_id", "left").filter(F.col("partial") + F.sqrt(unseen) >= F.coalesce("floor", F.lit(0.0)))
+    near = near.select("query_id", "id", "partial")
+    whole = _added_up(near, frequent.select("query_id", "term", F.col("weight").alias("_q")), postings)
+    # a pair of both kinds has its whole score in the first
+    best = alike.unionByName(whole).groupBy("query_id", "id")
+    return best.agg(F.max("partial").alias("partial"))
+
+
+def _added_up(found: DataFrame, later: DataFrame, postings: DataFrame) -> DataFrame:
+    """Pairs ``(query_id, id, partial)`` with what the ``later`` terms ``(query_id, term, _q)`` add.
+
+    The pairs ask for the weights of their rows, so that a term of many rows and queries is not joined as a whole.
+    """
+    asked = found.select("query_id", "id").join(later, "query_id")
+    more = asked.join(postings.select("term", "id", "weight"), ["id", "term"])
+    more = more.select("query_id", "id", (F.col("_q") * F.col("weight")).alias("partial"))
+    return found.unionByName(more).groupBy("query_id", "id").agg(F.sum("partial").alias("partial"))
+
+
+def _profiles(entries: DataFrame, key: str) -> DataFrame:
+    """``(key, profile, class)``: the terms and weights of each key, and 128 bits that stand for them."""
+    rows = entries.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("term", "weight"))).alias("profile"))
+    bits = F.struct(F.xxhash64("profile").alias("a"), F.xxhash64(F.lit(1), "profile").alias("b"))
+    return rows.withColumn("class", bits)
+
+
+def _class_hits(frequent: DataFrame, postings: DataFrame, reached: DataFrame, k: int) -> DataFrame:
+    """``(query_id, id, partial)`` over the frequent terms: the ``k`` best rows of each query, without those that cannot
+    come up to the floors ``reached``."""
+    vocabulary = frequent.select("term").distinct()
+    rows = _profiles(postings.join(vocabulary, "term", "left_semi").select("id", "term", "weight"), "id")
+    place = F.row_number().over(Window.partitionBy("class").orderBy("id"))
+    members = materialize(rows.withColumn("place", place).filter(F.col("place") <= k), "row-classes")
+    firsts = members.filter("place = 1")
+    own = materialize(with_blocks(firsts.select("id", F.inline("profile"))), "class-postings")
+
+    # equal queries are asked once, under the smallest of their ids, with the lowest of their floors
+    queries = _profiles(frequent.select("query_id", "term", "weight"), "query_id").join(reached, "query_id", "left")
+    queries = materialize(queries.withColumn("floor", F.coalesce("floor", F.lit(0.0))), "query-classes")
+    asked = queries.groupBy("class").agg(
+        F.min("query_id").alias("asked_as"), F.min("floor").alias("floor"), F.first("profile").alias("profile")
+    )
+    asked = materialize(asked, "asked-classes")
+    weights = asked.select(F.col("asked_as").alias("query_id"), F.inline("profile"))
+    weights = weights.join(own.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "term")
+    length = F.sqrt(F.aggregate("profile", F.lit(0.0), lambda total, x: total + x["weight"] * x["weight"]))
+    scale = asked.select(F.col("asked_as").alias("query_id"), length.alias("length"), "floor")
+    best = _class_scores(weights, own, scale, k).join(scale.drop("floor"), "query_id")
+    best = best.select("query_id", "id", (F.col("partial") * F.col("length")).alias("partial"))
+    best = best.withColumn("score", F.round("partial", SCORE_DIGITS))
+    best_first = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    best = best.withColumn("_r", F.row_number().over(best_first)).filter(F.col("_r") <= k)
+
+    # the k smallest ids of each class, of them the k best
+    best = best.join(firsts.select("id", "class"), "id").select("query_id", "score", "partial", "class")
+    best = best.join(members.select("class", F.col("id")), "class")
+    best = best.withColumn("_r", F.row_number().over(best_first)).filter(F.col("_r") <= k)
+    best = best.select(F.col("query_id").alias("asked_as"), "id", "partial")
+    best = materialize(best.join(asked.select("asked_as", "class"), "asked_as").select("class", "id", "partial"), "class-hits")
+    # one class may hold most queries
+    return queries.select("query_id", "class").join(splittable(best, "class", "id"), "class").select("query_id", "id", "partial")
+
+
+def _class_scores(weights: DataFrame, postings: DataFrame, scale: DataFrame, k: int) -> DataFrame:
+    """``(query_id, id, partial)``: the cosines of all rows that can be among the ``k`` best, by seeds and bounds.
+
+    ``scale`` holds, per query, the ``length`` its ``weights`` have and a ``floor`` for scores of that length.
+    """
+    terms = materialize(query_terms(weights), "class-terms")
+    known = scale.select("query_id", (F.col("floor") / F.col("length")).alias("_known"), (MARGIN / F.col("length") - MARGIN).alias("_more"))
+    reach = F.sqrt(F.greatest(F.lit(0.0), 1 - F.col("before")))
+    heavy = terms.filter(F.col("before") < SEED_SHARE).join(known, "query_id").filter(reach >= F.col("_known"))
+    seeds = partial_scores(heavy.select("query_id", "term", "weight"), postings, ["term"])
+    floor = known.join(floors(seeds, k), "query_id", "left")
+    # scores of a short query are closer together than its cosines
+    seeded = F.coalesce(F.col("floor") - F.col("_more"), F.lit(0.0))
+    floor = floor.select("query_id", F.greatest("_known", seeded, F.lit(0.0)).alias("floor"))
+    bounded = materialize(with_bounds(terms, floor), "bounded-terms")
     found = materialize(candidates(bounded, postings), "candidates")
-    later = bounded.filter("not first").select("query_id", "term", F.col("weight").alias("_q")).join(postings, "term")
-    later = later.select("query_id", "id", (F.col("_q") * F.col("weight")).alias("partial"))
-    later = later.join(found.select("query_id", "id"), ["query_id", "id"], "left_semi")
-    return found.unionByName(later).groupBy("query_id", "id").agg(F.sum("partial").alias("partial"))
+    later = bounded.filter("not first").select("query_id", "term", F.col("weight").alias("_q"))
+    return _added_up(found, later, postings)
