@@ -36,12 +36,12 @@ def follower_counts(
 
     ``order`` and ``buckets`` are those of ``OrderedGroups``, so that a user of any size is walked in parts.
     """
-    names = [f"_back{i}" for i in range(length)]
-    rows = purchases.withColumn(names[0], F.col("product_id"))
-    groups = OrderedGroups(rows, [user], order, buckets, **options)
+    names = ["product_id", *[f"_back{i}" for i in range(1, length)]]
+    groups = OrderedGroups(purchases, [user], order, buckets, **options)
     rows = groups.neighbour("product_id", "next_product", 1).result()
     for before, name in zip(names, names[1:]):
-        rows = OrderedGroups(rows, [user], order, buckets, **options).neighbour(before, name, -1).result()
+        # the rows are the same, so large users are looked for once
+        rows = OrderedGroups(rows, [user], order, buckets, hot=groups.hot).neighbour(before, name, -1).result()
     runs = [F.array(*[F.col(n) for n in reversed(names[: m + 1])]) for m in range(length)]
     known = F.array_compact(F.array(*[F.when(F.col(n).isNotNull(), run) for n, run in zip(names, runs)]))
     pairs = rows.filter(F.col("next_product").isNotNull()).select(F.explode(known).alias("context"), "next_product")
@@ -50,24 +50,30 @@ def follower_counts(
 
 @dataclass
 class BackoffGenerator:
-    """``counts`` as from ``follower_counts``; ``best`` is (context, best), one row per context; ``fallback`` one row."""
+    """``counts`` as from ``follower_counts``; ``fallback`` is one row.
+
+    With ``names``, ``(code, name)`` both distinct, in the same order and not negative, the counts hold codes, which are
+    short; histories and answers hold names.
+    """
 
     counts: DataFrame
-    best: DataFrame
     fallback: DataFrame
+    names: DataFrame | None = None
     length: int = LENGTH
     temperature: float = 0.0
     seed: int = 0
     row_wise = False
 
     @classmethod
-    def fit(cls, counts: DataFrame, length: int = LENGTH, temperature: float = 0.0, seed: int = 0) -> BackoffGenerator:
+    def fit(
+        cls, counts: DataFrame, length: int = LENGTH, temperature: float = 0.0, seed: int = 0, names: DataFrame | None = None
+    ) -> BackoffGenerator:
         """The model is written, as every step reads it."""
         counts = materialize(counts, "followers")
-        first = F.min_by("next_product", F.struct(-F.col("n"), F.col("next_product")))
-        best = materialize(counts.groupBy("context").agg(first.alias("best")), "best-followers")
-        single = counts.filter(F.size("context") == 1).select(F.col("context")[0].alias("product_id"), "next_product", "n")
-        return cls(counts, best, materialize(most_bought_next(single), "usual"), length, temperature, seed)
+        usual = most_bought_next(counts.filter(F.size("context") == 1).select("next_product", "n"))
+        if names is not None:
+            usual = usual.join(names, F.col("fallback") == F.col("code")).select(F.col("name").alias("fallback"))
+        return cls(counts, materialize(usual, "usual"), names, length, temperature, seed)
 
     def at(self, temperature: float, seed: int = 0) -> BackoffGenerator:
         """The same model with another temperature."""
@@ -79,25 +85,49 @@ class BackoffGenerator:
     def advance(self, state: Column, item: Column) -> Column:
         return last_items(append_item(state, item), self.length)
 
-    def _longest(self, states: DataFrame) -> DataFrame:
-        """``(state, context, best)`` for states of which some run was seen."""
-        lengths = F.explode(F.sequence(F.lit(1), F.least(F.size("state"), F.lit(self.length))))
-        runs = states.filter(F.size("state") > 0).select("state", lengths.alias("_m"))
-        runs = runs.withColumn("context", F.slice("state", -F.col("_m"), F.col("_m")))
-        seen = runs.join(self.best, "context")
-        longest = seen.groupBy("state").agg(F.max_by(F.struct("context", "best"), "_m").alias("_c"))
-        return longest.select("state", "_c.context", "_c.best")
+    def _runs(self, states: DataFrame) -> DataFrame:
+        """``(state, _m, context)``: the runs of last items, as they stand in the counts."""
+        states = states.filter(F.size("state") > 0).select("state").distinct()
+        if self.names is None:
+            coded = states.withColumn("_items", F.col("state"))
+        else:
+            items = states.select("state", F.posexplode("state").alias("_at", "name")).join(self.names, "name", "left")
+            code = F.coalesce("code", F.when(F.col("name").isNotNull(), F.lit(-1)))  # a name that was never bought
+            listed = F.array_sort(F.collect_list(F.struct("_at", code.alias("code"))))
+            coded = items.groupBy("state").agg(listed.alias("_l")).select("state", F.col("_l.code").alias("_items"))
+        lengths = F.explode(F.sequence(F.lit(1), F.least(F.size("_items"), F.lit(self.length))))
+        runs = coded.select("state", "_items", lengths.alias("_m"))
+        return runs.select("state", "_m", F.slice("_items", -F.col("_m"), F.col("_m")).alias("context"))
+
+    def _named(self, rows: DataFrame, code: str) -> DataFrame:
+        """``rows`` with names in place of the column of codes."""
+        if self.names is None:
+            return rows
+        names = self.names.select(F.col("code").alias("_code"), F.col("name").alias("_name"))
+        named = rows.join(names, F.col(code) == F.col("_code"))
+        return named.withColumn(code, F.col("_name")).drop("_code", "_name")
 
     def generate(self, states: DataFrame) -> DataFrame:
         """Add ``generated`` to distinct ``states``."""
-        answers = self._longest(states)
+        runs = materialize(self._runs(states), "runs")
+        # the counts are moved once, and only those that some state asks for are kept
+        asked = self.counts.join(runs.select("context").distinct(), "context", "left_semi")
+        counts = materialize(asked, "asked-followers")
+        first = F.min_by("next_product", F.struct(-F.col("n"), F.col("next_product")))
+        seen = runs.join(counts.groupBy("context").agg(first.alias("best")), "context")
+        longest = seen.groupBy("state").agg(F.max_by(F.struct("context", "best"), "_m").alias("_c"))
+        longest = longest.select("state", "_c.context", "_c.best")
         if self.temperature > 0:
-            followers = answers.drop("best").join(self.counts, "context")
+            longest = materialize(longest.select("state", "context"), "longest-runs")
+            followers = counts.join(longest.select("context").distinct(), "context", "left_semi")
+            followers = longest.join(self._named(followers, "next_product"), "context")
             words = F.array_join(F.col("state").cast("array<string>"), "|")
             uniform = (hash_bucket(F.lit(self.seed), words, F.col("next_product"), buckets=1 << 32) + 0.5) / float(1 << 32)
             score = F.log("n") / self.temperature - F.log(-F.log(uniform))
             drawn = F.min_by("next_product", F.struct(-score, F.col("next_product")))
             answers = followers.groupBy("state").agg(drawn.alias("best"))
+        else:
+            answers = self._named(longest, "best")
         answers = answers.select(F.col("state").alias("_s"), F.col("best").alias("generated"))
         found = states.join(answers, F.col("state").eqNullSafe(F.col("_s")), "left").drop("_s")
         return found.withColumn("generated", F.coalesce("generated", self.fallback.scalar()))

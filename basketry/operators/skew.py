@@ -55,7 +55,8 @@ class OrderedGroups:
     ``order`` must be a total order inside a key and keys must not be null. ``buckets`` are used for
     hot keys only, finest first: each must not decrease along ``order`` and each must be a function of
     the finer one before it. ``probe`` is a sample of the rows taken with ``probe_fraction``, for input
-    that is cheaper to sample before it is joined together. ``spark.basketry.hotRows`` and
+    that is cheaper to sample before it is joined together. ``hot`` are the keys found by another object on the
+    same rows. ``spark.basketry.hotRows`` and
     ``spark.basketry.probeFraction`` set what is not given.
     """
 
@@ -68,6 +69,7 @@ class OrderedGroups:
         hot_rows: int | None = None,
         probe: DataFrame | None = None,
         probe_fraction: float | None = None,
+        hot: list | None = None,
     ):
         spark = df.sparkSession
         hot_rows = hot_rows_setting(spark) if hot_rows is None else hot_rows
@@ -75,9 +77,11 @@ class OrderedGroups:
         self.keys, self.order = list(keys), list(order)
         self.levels: list[str] = []
         self.df = df
-        if probe is None:
-            probe = df.select(*keys) if probe_fraction >= 1 else df.select(*keys).sample(probe_fraction, 17)
-        hot = hot_keys(probe, keys, hot_rows, probe_fraction)
+        if hot is None:
+            if probe is None:
+                probe = df.select(*keys) if probe_fraction >= 1 else df.select(*keys).sample(probe_fraction, 17)
+            hot = hot_keys(probe, keys, hot_rows, probe_fraction)
+        self.hot = hot
         if hot:
             schema = df.select(*keys).schema
             marks = spark.createDataFrame(hot, schema).withColumn("_hot", F.lit(True))

@@ -776,15 +776,24 @@ def recommend_one(spark, base):
 
 
 def _backoff_generator(spark, base, temperature=0.0):
-    """Learned from the names bought one after the other, in the training part."""
-    names = retail.plain_products(spark, base).withColumnRenamed("product_id", "_id")
-    train = retail.purchases(spark, base).filter(split.in_train())
-    bought = train.join(names, F.col("product_id") == F.col("_id")).drop("_id")
-    # ordered by id, answered by name
-    bought = bought.withColumnsRenamed({"product_id": "item_id", "product_name": "product_id"})
-    order = ["item_id" if c == "product_id" else c for c in retail.PURCHASE_ORDER]
-    counts = backoff.follower_counts(bought, order, retail.purchase_buckets("item_id"))
-    return backoff.BackoffGenerator.fit(counts, temperature=temperature)
+    """Learned from the names bought one after the other, in the training part. Names are numbered in their order
+    and counted by number."""
+    products = retail.plain_products(spark, base)
+    named = products.select(F.col("product_name").alias("name")).filter("name is not null").distinct()
+    names = materialize(dense_id(named, "name", "code").select("code", "name"), "product-names")
+    codes = products.join(names, F.col("product_name") == F.col("name"), "left").select(F.col("product_id").alias("_id"), "code")
+    lines = retail.plain_lines(spark, base).select("order_id", "line_number", "product_id")
+    lines = lines.join(codes, F.col("product_id") == F.col("_id")).drop("_id")
+    bought = lines.join(retail.plain_orders(spark, base), "order_id").filter(split.in_train())
+    # ordered by id, answered by name; lines that agree in this order are of one product
+    bought = bought.withColumnsRenamed({"product_id": "item_id", "code": "product_id"})
+    order = ["order_date", "order_id", "line_number", "item_id", "product_id"]
+    fraction = probe_fraction_setting(spark)
+    probe = retail.purchases(spark, base, fraction).filter(split.in_train()).select("user_id")
+    counts = backoff.follower_counts(
+        bought, order, retail.purchase_buckets("item_id"), probe=probe, probe_fraction=fraction
+    )
+    return backoff.BackoffGenerator.fit(counts, temperature=temperature, names=names)
 
 
 @query
