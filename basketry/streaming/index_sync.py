@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -24,31 +26,56 @@ def change_stream(spark: SparkSession, path: str, schema, files_per_trigger: int
 
 
 _CHANGE = "id long, text string, version long, op string"
-_STATE = "version long, is_delete boolean, text string"
-
-
-def winning_changes(changes: DataFrame) -> DataFrame:
+_STATE = "winners binary"
+_HELD = pa.schema([("id", pa.string()), ("text", pa.string()), ("version", pa.int64()), ("op", pa.string())])
+# Ids that share a state, by hash. A state is called for once a batch, which costs more than to compare its changes. A
+# stream that goes on from a checkpoint needs the number it was started with.
+STATE_BUCKETS = 8192
+
+
+def _winners(rows: pa.Table) -> pa.Table:
+    """The winning change of each id, see ``change_order``; of equal ones the first."""
+    ranks = {
+        "version": rows.column("version"),
+        "deleted": pc.fill_null(pc.equal(rows.column("op"), "delete"), False).cast(pa.int8()),
+        "text": pc.fill_null(rows.column("text"), ""),
+    }
+    first = pa.array(range(rows.num_rows), pa.int64())
+    keys = [*((name, "descending") for name in ranks), ("first", "ascending")]
+    order = pc.sort_indices(pa.table({**ranks, "first": first}), sort_keys=keys)
+    placed = pa.table({"id": rows.column("id").take(order), "place": first})
+    return rows.take(order.take(placed.group_by("id").aggregate([("place", "min")]).column("place_min")))
+
+
+def winning_changes(changes: DataFrame, buckets: int = STATE_BUCKETS) -> DataFrame:
     """The changes of a stream that win over all before them, at most one of an id in a batch.
 
-    The state of an id is what decides between two changes, see ``change_order``. A late or repeated change
-    loses against it and goes no further; one value per id stays in the state, deletes included.
+    The state holds, per id, the change that won so far, see ``change_order``. A late or repeated change
+    loses against it and goes no further; deletes stay in the state.
     """
 
     def settle(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        held = tuple(state.get) if state.exists else None
-        best, found = held, None
+        held = pa.ipc.open_stream(state.get[0]).read_all() if state.exists else _HELD.empty_table()
+        held = held.append_column("fresh", pa.array([False] * held.num_rows, pa.bool_()))
         for rows in batches:
-            for row in rows.itertuples(index=False):
-                text = None if pd.isna(row.text) else row.text
-                rank = (int(row.version), row.op == "delete", text or "")
-                if best is None or rank > best:
-                    best, found = rank, (key[0], text, int(row.version), row.op)
-        if found:
-            state.update(best)
-            yield pd.DataFrame([found], columns=["id", "text", "version", "op"])
-
-    rows = changes.select(F.col("id").cast("long").alias("id"), "text", F.col("version").cast("long").alias("version"), "op")
-    return rows.groupBy("id").applyInPandasWithState(settle, _CHANGE, _STATE, "append", GroupStateTimeout.NoTimeout)
+            arrived = pa.table([pa.array(rows[f.name], f.type, from_pandas=True) for f in _HELD], schema=_HELD)
+            arrived = arrived.append_column("fresh", pa.array([True] * len(rows), pa.bool_()))
+            held = _winners(pa.concat_tables([held, arrived]).combine_chunks())
+        won = held.filter(held.column("fresh")).select(_HELD.names).to_pydict()
+        if won["id"]:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, _HELD) as writer:
+                writer.write_table(held.select(_HELD.names))
+            state.update((sink.getvalue().to_pybytes(),))
+            won["id"] = [None if i is None else int(i) for i in won["id"]]
+            yield pd.DataFrame({name: pd.Series(values, dtype=object) for name, values in won.items()})
+
+    # ids as text, which pandas leaves as they are where one is null
+    rows = changes.select(
+        F.col("id").cast("long").cast("string").alias("id"), "text", F.col("version").cast("long").alias("version"), "op",
+        F.pmod(F.xxhash64(F.col("id").cast("long")), F.lit(buckets)).alias("bucket"),
+    )
+    return rows.groupBy("bucket").applyInPandasWithState(settle, _CHANGE, _STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 def start_sync(
