@@ -246,11 +246,13 @@ def user_ratings(spark, base):
 def ratings_colocated(spark, base):
     """Ratings from tables written in buckets by order, joined where they lie."""
     orders, lines, products = _order_tables(spark, base)
-    names = []
+    names, buckets = [], sinks.bucket_count(lines.count())
     for name, frame in (("orders", orders), ("lines", lines)):
         path = scratch_path(spark, f"bucketed-{name}")
         names.append(f"basketry_{name}_" + path.rsplit("-", 1)[1])
-        sinks.create_table(frame, names[-1], path=path, buckets=(8, "order_id"))
+        # one file of each bucket
+        placed = frame.repartition(buckets, "order_id")
+        sinks.create_table(placed, names[-1], path=path, buckets=(buckets, "order_id"))
     return _rounded(ratings.colocated_ratings(*(readers.read_table(spark, n) for n in names), products))
 
 

@@ -4,6 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 
+BUCKET_ROWS = 1_000_000  # rows of a bucket that one task joins
+
+
+def bucket_count(rows: int, least: int = 8) -> int:
+    """How many buckets a table of so many rows needs, so that one holds no more when the table grows."""
+    return max(least, -(-rows // BUCKET_ROWS))
+
 
 def overwrite_table(
     df: DataFrame,
