@@ -25,6 +25,13 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
 }
 
+# What one task reads. Spark joins small partitions up to these sizes and cuts files at them, so a task on a larger table
+# holds no more; a setting of the cluster's own wins.
+TASK_BYTES = {
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": ("64MB", "16MB"),
+    "spark.sql.files.maxPartitionBytes": ("128MB", "32MB"),
+}
+
 
 def build_session(master: str | None = None, app: str = "basketry", **conf: str) -> SparkSession:
     """A session with the settings this library expects; the cluster's own settings win for the rest."""
@@ -48,6 +55,9 @@ def tune(spark: SparkSession) -> SparkSession:
     for key, value in RUNTIME_CONF.items():
         if key != "spark.sql.session.timeZone":
             spark.conf.set(key, value)
+    for key, (default, value) in TASK_BYTES.items():
+        if spark.conf.get(key) in (default, f"{int(default[:-2]) << 20}b"):
+            spark.conf.set(key, value)
     ship_code()
     return spark
 
