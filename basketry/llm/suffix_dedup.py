@@ -307,7 +307,8 @@ def deduplicate(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """
     docs = docs.select("doc_id", "text")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    ranges = marks(docs).groupBy("text_key").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
+    # every copy of a text marks the same ranges, and every copy gets the list: each range is in it once
+    ranges = marks(docs).groupBy("text_key").agg(F.collect_set(F.struct("start", "end")).alias("ranges"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), _text_key().alias("text_key"))
     rows = rows.join(ranges, "text_key", "left").select("doc_id", "text", "ranges")
 

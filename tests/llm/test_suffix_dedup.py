@@ -68,6 +68,24 @@ def test_large_groups_are_split(docs_frame, monkeypatch):
     same(sd.deduplicate(docs_frame(docs)).collect(), docs)
 
 
+def test_copies_share_their_ranges(docs_frame, monkeypatch):
+    """What a copy has to cut does not grow with the number of copies."""
+    cut = sd.cut
+
+    def once(data, low, high):
+        ranges = list(zip(low.tolist(), high.tolist()))
+        if len(ranges) > len(set(ranges)):
+            raise AssertionError(f"{len(ranges)} ranges, {len(set(ranges))} different")
+        return cut(data, low, high)
+
+    monkeypatch.setattr(sd, "cut", once)
+    rng = random.Random(4)
+    text = noise(rng, 900)
+    docs = [(i, text) for i in range(40)] + [(100 + i, noise(rng, 50) + text[300:700] + noise(rng, 50)) for i in range(5)]
+    docs += [(None, text), (None, text), (7, text), (200, noise(rng, 400))]
+    same(sd.deduplicate(docs_frame(docs)).collect(), docs)
+
+
 def test_long_texts_in_parts(docs_frame, monkeypatch):
     monkeypatch.setattr(sd, "_BUFFER", 1500)
     rng = random.Random(3)
