@@ -14,7 +14,6 @@ import sys
 import types
 import zlib
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from basketry.llm.common import ship_code
+from basketry.session import small_batches
 
 TIERS = (512, 1024, 2048, 4096)
 END = 2  # the id after each document
@@ -32,7 +32,8 @@ CACHE = 500_000  # distinct words whose ids a worker remembers, also while it do
 CACHE_BYTES = 32 << 20  # and the bytes of these words and ids
 MARKS = ".,"  # cut off the end of words
 RUN = 50  # new words looked up as one text
-SLICE = 8 << 20  # bytes of texts whose words are made distinct at a time
+RUNS = 64  # such texts at a time: what the tokenizer returns takes hundreds of bytes a word
+SLICE = 5 << 20  # bytes of texts whose words are made distinct at a time, a little more than a batch
 SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
     "tier int, step_id long"
@@ -43,8 +44,8 @@ class WordIds:
     """Token ids of texts by a tokenizer that drops white space and never joins across it.
 
     Then the ids of a text are those of its words in a row. The words of many texts are made distinct
-    first; a word seen before needs no new look at the tokenizer. What is remembered is forgotten when
-    it exceeds ``CACHE`` words or ``CACHE_BYTES``. Shortcuts that rest on a habit of the tokenizer (letter
+    first; a word seen before needs no new look at the tokenizer. Words are remembered in an Arrow array,
+    in which a word's place is its number. What is remembered is forgotten when it exceeds ``CACHE`` words or ``CACHE_BYTES``. Shortcuts that rest on a habit of the tokenizer (letter
     case, marks at the end of a word, tokens that tell where a word ends) are taken where it has it.
     """
 
@@ -79,17 +80,18 @@ class WordIds:
         self.ends_word[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
 
     def _forget(self) -> None:
-        self.number: dict[bytes, int] = {}
+        self.known = pa.array([], pa.large_string())
         self.length = np.zeros(1 << 12, dtype="i8")
         self.begin = np.zeros(1 << 12, dtype="i8")
         self.ids = np.zeros(1 << 14, dtype="u4")
-        self.used, self.bytes = 0, 0
-        # END and the marks have names that no word has
-        self._store([b" ", *(b" " + m.encode() for m in MARKS)], self._fixed[0], self._fixed[1])
-        self._store([b""], np.array([0]), np.zeros(0, dtype="u4"))  # a blank at an edge of a text makes an empty word
-
-    def _store(self, words: list[bytes], lengths: np.ndarray, flat: np.ndarray) -> None:
-        first, count = len(self.number), len(words)
+        self.used, self.stored, self.bytes = 0, 0, 0
+        # END and the marks have names that no word has; a blank at an edge of a text makes an empty word
+        self._store(np.append(self._fixed[0], 0), self._fixed[1])
+        self._name([" ", *(" " + m for m in MARKS), ""])
+
+    def _store(self, lengths: np.ndarray, flat: np.ndarray) -> np.ndarray:
+        """Keep the ids of words in a row; gives the words' numbers."""
+        first, count = self.stored, len(lengths)
         while first + count > len(self.length):
             self.length, self.begin = np.concatenate([self.length, self.length]), np.concatenate([self.begin, self.begin])
         while self.used + len(flat) > len(self.ids):
@@ -97,32 +99,48 @@ class WordIds:
         self.length[first : first + count] = lengths
         self.begin[first : first + count] = self.used + np.cumsum(lengths) - lengths
         self.ids[self.used : self.used + len(flat)] = flat
-        self.used += len(flat)
-        self.number.update(zip(words, range(first, first + count)))
-        self.bytes += sum(map(len, words)) + 4 * len(flat)
+        self.used, self.stored = self.used + len(flat), first + count
+        self.bytes += 4 * len(flat)
+        return np.arange(first, first + count)
+
+    def _name(self, words: list[str] | pa.Array) -> None:
+        """The words of the numbers stored since the last call, in this order."""
+        words = pa.array(words, pa.large_string())
+        self.known = pa.concat_arrays([self.known, words])
+        self.bytes += pc.sum(pc.binary_length(words)).as_py()
 
     def _gather(self, at: np.ndarray) -> np.ndarray:
         length = self.length[at]
         ends = np.cumsum(length)
         return self.ids[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.begin[at] - (ends - length), length)]
 
-    def _encode(self, words: list[bytes]) -> None:
-        """Look words up. Runs of them go as one text where the tokens that end words are as many as the words."""
-        rest = words
-        if self.ends_word.any():
-            rest, runs = [], [words[i : i + RUN] for i in range(0, len(words), RUN)]
-            for run, ids in zip(runs, self._ids([b" ".join(run).decode() for run in runs])):
-                flat = np.array(ids, dtype="u4")
-                known = flat < len(self.ends_word)
-                ends = np.flatnonzero(known & self.ends_word[np.where(known, flat, 0)]) + 1
-                if len(ends) == len(run) and ends[-1] == len(flat):
-                    self._store(run, np.diff(ends, prepend=0), flat)
-                else:
-                    rest += run
-        if rest:
-            found = self._ids([w.decode() for w in rest])
-            lengths = np.fromiter(map(len, found), "i8", len(rest))
-            self._store(rest, lengths, np.fromiter((i for ids in found for i in ids), "u4", int(lengths.sum())))
+    def _encode(self, words: pa.Array) -> np.ndarray:
+        """Look new words up; gives their numbers. Runs of them go as one text where the tokens that end words are as
+        many as the words."""
+        # letters alone first, so that a run of words is not given up for one with several parts
+        order = np.argsort(~pc.ascii_is_alpha(words).to_numpy(zero_copy_only=False), kind="stable")
+        numbers = np.empty(len(words), dtype="i8")
+        for first in range(0, len(order), RUN * RUNS):
+            places = order[first : first + RUN * RUNS]
+            some = words.take(pa.array(places)).to_pylist()
+            rest = range(len(some))
+            if self.ends_word.any():
+                rest, runs = [], [range(len(some))[i : i + RUN] for i in range(0, len(some), RUN)]
+                for run, ids in zip(runs, self._ids([" ".join(some[run.start : run.stop]) for run in runs])):
+                    flat = np.array(ids, dtype="u4")
+                    known = flat < len(self.ends_word)
+                    ends = np.flatnonzero(known & self.ends_word[np.where(known, flat, 0)]) + 1
+                    if len(ends) == len(run) and ends[-1] == len(flat):
+                        numbers[places[run.start : run.stop]] = self._store(np.diff(ends, prepend=0), flat)
+                    else:
+                        rest += run
+            if rest:
+                found = self._ids([some[i] for i in rest])
+                lengths = np.fromiter(map(len, found), "i8", len(rest))
+                flat = np.fromiter((i for ids in found for i in ids), "u4", int(lengths.sum()))
+                numbers[places[rest]] = self._store(lengths, flat)
+        self._name(words.take(pa.array(np.argsort(numbers))))
+        return numbers
 
     def _stems(self, words: pa.Array) -> tuple[pa.Array, np.ndarray]:
         """Words without what the tokenizer ignores or cuts off: letter case, a mark behind a letter or
@@ -139,14 +157,11 @@ class WordIds:
 
     def _numbers(self, words: pa.Array) -> np.ndarray:
         """The numbers of distinct words; new ones are looked up first."""
-        names = words.cast(pa.binary()).to_pylist()
-        numbers = np.fromiter(map(self.number.get, names, repeat(-1)), "i8", len(names))
+        words = words.cast(pa.large_string())
+        numbers = pc.fill_null(pc.index_in(words, value_set=self.known), -1).to_numpy().astype("i8")
         new = np.flatnonzero(numbers < 0)
         if len(new):
-            unknown = [names[i] for i in new]
-            # letters alone first, so that a run of words is not given up for one with several parts
-            self._encode([w for w in unknown if w.isalpha()] + [w for w in unknown if not w.isalpha()])
-            numbers[new] = [self.number[w] for w in unknown]
+            numbers[new] = self._encode(words.take(pa.array(new)))
         return numbers
 
     def __call__(self, text: bytes) -> np.ndarray:
@@ -155,7 +170,7 @@ class WordIds:
 
     def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of UTF-8 texts in a row, ``END`` after each, and the number of ids of each text."""
-        if len(self.number) > CACHE or self.bytes > CACHE_BYTES:
+        if self.stored > CACHE or self.bytes > CACHE_BYTES:
             self._forget()
         split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
         coded = split.flatten().dictionary_encode()
@@ -256,9 +271,11 @@ def pack(docs: DataFrame, tokenizer: str, tiers: tuple[int, ...] = TIERS, pool:
     drops white space. A document is its ids and ``END``; a null or empty text is just ``END``. Pieces
     of a document may lie in several sequences; each id lies in one. ``sequence_id`` and ``step_id`` are
     unique, not gapless: they start at the number of the task times 2**33. Null ids, ties and repeated
-    rows are packed like others; other columns are ignored; no rows give no rows.
+    rows are packed like others; other columns are ignored; no rows give no rows. Sets the size of the
+    session's Arrow batches, see ``small_batches``.
     """
     ship_code()
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, packer = worker_words(tokenizer), Packer(tiers, pool, step, TaskContext.get().partitionId() << 33)
@@ -278,6 +295,8 @@ def pack(docs: DataFrame, tokenizer: str, tiers: tuple[int, ...] = TIERS, pool:
                     at += count
                 if len(packer.rows) >= 20_000:
                     yield out()
+            some = ids = None
+            pa.default_memory_pool().release_unused()  # else it keeps most of what a batch needed
         packer.finish()
         if packer.rows:
             yield out()

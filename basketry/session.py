@@ -32,6 +32,8 @@ TASK_BYTES = {
     "spark.sql.files.maxPartitionBytes": ("128MB", "32MB"),
 }
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 
 def build_session(master: str | None = None, app: str = "basketry", **conf: str) -> SparkSession:
     """A session with the settings this library expects; the cluster's own settings win for the rest."""
@@ -62,6 +64,16 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def small_batches(spark: SparkSession, size: str = "4MB") -> None:
+    """Rows go to Python workers about 4 MB at a time from now on, unless the session has a limit of its own.
+
+    Spark's limit of 10,000 rows makes batches as large as the rows are long, and the executor and its
+    worker hold several of them.
+    """
+    if spark.conf.get(BATCH_BYTES, None) is None:
+        spark.conf.set(BATCH_BYTES, size)
+
+
 def ship_code() -> None:
     """Send this package's functions to the workers with the tasks, for workers without it installed."""
     import basketry
