@@ -28,7 +28,7 @@ ROWS_PER_CELL = 8
 WIDTH = 0.8615  # of the root mean square: the middle third of a normal distribution
 SAMPLE = 200  # queries by which the number of probes is measured
 RECALL = 0.93  # on the sample, for at least 0.9 on all
-ORDERED = 1 << 21  # distances of queries to cells held at a time inside a task
+ORDERED = 1 << 18  # distances of queries to cells held at a time inside a task, so many as a processor keeps near
 
 
 def gaussian_planes(count: int, dimensions: int) -> np.ndarray:
@@ -95,20 +95,33 @@ def _all_distances(gaps: np.ndarray, count: int) -> np.ndarray:
     return near[:, :count]
 
 
-def last_visits(projections: np.ndarray, width: float, probes: int) -> tuple[np.ndarray, np.ndarray]:
-    """The last of the ``probes`` cells of each query in the order of ``probe_order``: its squared distance and itself."""
+def last_visits(
+    projections: np.ndarray, width: float, probes: int, sizes: np.ndarray | None = None
+) -> tuple[np.ndarray, ...]:
+    """The last of the ``probes`` cells of each query in the order of ``probe_order``: its squared distance and itself.
+
+    With the ``sizes`` of all cells, also the rows of the cells up to there.
+    """
     count = LEVELS ** projections.shape[1]
     probes, far, last = min(probes, count), np.zeros(len(projections)), np.zeros(len(projections), np.int64)
-    step = max(1, ORDERED // count)
+    rows, step = np.zeros(len(projections), np.int64), max(1, ORDERED // count)
     for start in range(0, len(projections), step):
-        near = _all_distances(gaps_of(projections[start : start + step], width), count)
+        part = slice(start, start + step)
+        near = _all_distances(gaps_of(projections[part], width), count)
         at = np.partition(near, probes - 1, axis=1)[:, probes - 1]
-        level = near == at[:, None]
-        # of the cells at that distance, the first by number
-        left = probes - (near < at[:, None]).sum(axis=1)
-        far[start : start + step] = at
-        last[start : start + step] = (np.cumsum(level, axis=1) >= left[:, None]).argmax(axis=1)
-    return far, last
+        before, level = near < at[:, None], near == at[:, None]
+        # of the cells at that distance, the first by number; mostly there is one
+        left = probes - np.count_nonzero(before, axis=1)
+        end = level.argmax(axis=1)
+        for i in np.flatnonzero(left > 1):
+            end[i] = np.flatnonzero(level[i])[left[i] - 1]
+        far[part], last[part] = at, end
+        if sizes is not None:
+            # whole numbers far below 2 ** 53
+            rows[part] = before.astype(np.float64) @ sizes + sizes[end]
+            for i in np.flatnonzero(left > 1):
+                rows[start + i] += sizes[np.flatnonzero(level[i])[: left[i] - 1]].sum()
+    return (far, last) if sizes is None else (far, last, rows)
 
 
 def places_of(projections: np.ndarray, width: float, wanted: np.ndarray) -> np.ndarray:
@@ -223,17 +236,29 @@ class ProbeIndex:
         return int(places[math.ceil(recall * pairs.num_rows) - 1])
 
     def placed(self, queries: DataFrame) -> DataFrame:
-        """Queries with their projections and the last cell they visit, at its squared distance."""
+        """Queries with their projections, the last cell they visit, at its squared distance, and the ``_rows`` of the
+        cells up to there; as they are, if they have been placed. The distances of all cells are made for each query,
+        so that tasks are of few queries, and what is found is written."""
+        if {*ProbeReach.columns, "_rows"} <= set(queries.columns):
+            return queries
         planes, width, probes = self.planes, self.width, self.probes
+        # not more cells than a query has distances
+        found = self.rows.groupBy("cell").agg(F.count(F.lit(1)).alias("rows")).toArrow()
+        sizes = np.zeros(LEVELS ** len(planes))
+        sizes[found.column("cell").to_numpy()] = found.column("rows").to_numpy()
+        sent = queries.sparkSession.sparkContext.broadcast(sizes)
 
         def place(m: np.ndarray) -> list:
             at = m @ planes.T
             offsets = pa.array(np.arange(len(at) + 1, dtype=np.int32) * at.shape[1])
-            far, last = last_visits(at, width, probes)
-            return [pa.ListArray.from_arrays(offsets, pa.array(at.ravel())), pa.array(far), pa.array(last)]
+            far, last, rows = last_visits(at, width, probes, sent.value)
+            return [pa.ListArray.from_arrays(offsets, pa.array(at.ravel())), pa.array(far), pa.array(last), pa.array(rows)]
 
+        n, cores = queries.count(), queries.sparkSession.sparkContext.defaultParallelism
+        tasks = max(1, math.ceil(n / QUERY_BLOCK), min(3 * cores, math.ceil(n / TILE[0])))
         fields = [StructField("_at", ArrayType(DoubleType())), StructField("_far", DoubleType()), StructField("_last", LongType())]
-        return with_columns(queries, fields, place)
+        placed = with_columns(queries.repartition(tasks, "query_id"), [*fields, StructField("_rows", LongType())], place)
+        return materialize(placed, "placed")
 
     def probe(self, queries: DataFrame) -> DataFrame:
         """The cells each query visits, as ``(query_id, cell)``."""
@@ -256,29 +281,8 @@ class ProbeIndex:
         )
 
     def candidate_fraction(self, queries: DataFrame) -> DataFrame:
-        """One row: scored pairs as a share of all pairs. Blocks of queries meet the cells, whose rows are counted
-        before; no row per query and cell is made."""
+        """One row: scored pairs as a share of all pairs. The rows of its cells are counted where a query is placed; no
+        row per query and cell is made."""
         every = queries.agg(F.countDistinct("query_id")).scalar() * self.rows.agg(F.countDistinct("id")).scalar()
-        sizes = materialize(self.rows.groupBy("cell").agg(F.count(F.lit(1)).alias("rows")), "cell-sizes")
-        asked = materialize(self.placed(queries).select(*ProbeReach.columns), "probing")
-        n_q, n_c = (max(1, math.ceil(df.count() / QUERY_BLOCK)) for df in (asked, sizes))
-        reach = ProbeReach(self.width)
-
-        def copies(df: DataFrame, own: str, n_own: int, other: str, n_other: int, *key: str) -> DataFrame:
-            spread = F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))).alias(other)
-            return df.select("*", F.pmod(F.xxhash64(*key), F.lit(n_own)).cast("int").alias(own), spread)
-
-        def count(left: pa.Table, right: pa.Table) -> pa.Table:
-            scored, step = 0, TILE[0]
-            for q0 in range(0, left.num_rows, step):
-                asking = reach.asking(left.slice(q0, step))
-                for c0 in range(0, right.num_rows, TILE[1]):
-                    cells, rows = (right.slice(c0, TILE[1]).column(n).to_numpy() for n in ("cell", "rows"))
-                    met = asking.meets(np.arange(len(asking.far))[:, None], cells[None, :])
-                    scored += int(met.sum(axis=0) @ rows)
-            return pa.table({"scored": pa.array([scored], pa.int64())})
-
-        left = copies(asked, "_q", n_q, "_c", n_c, "_far", "_last", "_at").groupBy("_q", "_c")
-        right = copies(sizes, "_c", n_c, "_q", n_q, "cell").groupBy("_q", "_c")
-        scored = left.cogroup(right).applyInArrow(count, "scored long").agg(F.sum("scored").alias("scored"))
+        scored = self.placed(queries).agg(F.sum("_rows").alias("scored"))
         return scored.select((F.col("scored") / every).alias("candidate_fraction"))

@@ -21,18 +21,23 @@ from pyspark.sql.types import (
     StructType,
 )
 
-from basketry.session import materialize
+from basketry.session import materialize, spread
 
 SCORE_DIGITS = 6
 # Queries are sent to every task up to this many rows and bytes, which are counted before.
 MAX_BROADCAST_QUERIES = 4096
 MAX_BROADCAST_BYTES = 64 << 20
-# A grid cell holds up to so many rows of each side. The index block is large, as each cell sends on its
-# best k per query, and smaller only where there would be too few cells for the cores.
-QUERY_BLOCK = 4096
-INDEX_BLOCK = 50_000
+# A grid cell holds up to so many rows of each side, and bytes. Blocks are large, as each side is copied once for
+# every block of the other and each cell sends on its best k per query, and smaller only where there would be too few
+# cells for the cores.
+QUERY_BLOCK = 16_384
+INDEX_BLOCK = 65_536
+BLOCK_BYTES = 64 << 20
+SMALL_QUERY_BLOCK = 4096
 SMALL_INDEX_BLOCK = 2048
 TILE = (512, 2048)  # queries x index rows scored at once inside a task
+PAIRS = 4096  # pairs scored one by one at a time
+MARGIN = 10.0**-SCORE_DIGITS  # what rounding may bring level
 
 
 @dataclass(frozen=True)
@@ -56,6 +61,44 @@ class DenseScore:
         return flat.reshape(len(vectors), -1) / np.where(norm == 0, 1.0, norm)[:, None]
 
 
+class _Vectors:
+    """Normalised vectors in double and in single precision, which is twice as fast and tells which pairs are looked
+    at. All scores that leave are of double precision."""
+
+    def __init__(self, exact: np.ndarray, single: np.ndarray | None = None, longest: float | None = None):
+        self.exact = exact
+        with np.errstate(over="ignore", invalid="ignore"):
+            self.single = exact.astype(np.float32) if single is None else single
+            lengths = np.sqrt(np.einsum("ij,ij->i", exact, exact)) if longest is None else longest
+        self.longest = float(np.max(lengths, initial=0.0))
+
+    def __getitem__(self, rows) -> _Vectors:
+        return _Vectors(self.exact[rows], self.single[rows], self.longest)
+
+    def scores(self, others: _Vectors) -> tuple[np.ndarray, float]:
+        """Scores of all pairs, and by how much they may be wrong."""
+        slack = (self.exact.shape[1] + 4) * float(np.finfo(np.float32).eps) * self.longest * others.longest
+        if slack < 0.01:
+            return self.single @ others.single.T, slack
+        return self.exact @ others.exact.T, 0.0  # long vectors, or numbers that are none
+
+    def pairs(self, others: _Vectors, qi: np.ndarray, di: np.ndarray) -> np.ndarray:
+        """Scores of the pairs of rows ``qi`` of these and ``di`` of the others."""
+        if len(qi) * 16 > len(self.exact) * len(others.exact):
+            return (self.exact @ others.exact.T)[qi, di]
+        out = np.empty(len(qi))
+        for i in range(0, len(qi), PAIRS):
+            part = slice(i, i + PAIRS)
+            out[part] = np.einsum("ij,ij->i", self.exact[qi[part]], others.exact[di[part]])
+        return out
+
+
+def _at_least(scores: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places (row, column) of the scores from the row's ``least`` on; none of minus infinity."""
+    least = np.maximum(least.astype(scores.dtype), np.finfo(scores.dtype).min)
+    return np.divmod(np.flatnonzero(scores >= least[:, None]), scores.shape[1])
+
+
 def _order_key(column: pa.ChunkedArray) -> np.ndarray:
     """Numbers that sort like the ids."""
     if pa.types.is_integer(column.type) or pa.types.is_floating(column.type):
@@ -74,26 +117,28 @@ def _keep_best(hits: pa.Table, query_id: str, index_id: str, k: int) -> pa.Table
     return hits.take(pa.array(order[_rank_in_runs(q) < k]))
 
 
-def _best_in_tile(scores: np.ndarray, ids: np.ndarray, floor: np.ndarray | None, k: int):
+def _best_in_tile(queries: _Vectors, index: _Vectors, ids: np.ndarray, floor: np.ndarray | None, k: int):
     """Positions (query, index row) and rounded scores of the best ``k`` per query, ties by id.
 
     ``floor`` is a score per query that ``k`` rows of earlier tiles reach. Rows clearly below it are
     not looked at; the margin keeps those that rounding may bring level.
     """
-    margin = 10.0**-SCORE_DIGITS
+    scores, slack = queries.scores(index)
     if floor is None:
         if scores.shape[1] > k:
-            floor = np.partition(scores, -k, axis=1)[:, -k]
+            floor = np.partition(scores, -k, axis=1)[:, -k].astype(np.float64) - slack
         else:
             floor = np.full(len(scores), -np.inf)
-    qi, di = np.nonzero((scores >= floor[:, None] - margin) & (scores > -np.inf))
-    rounded = np.round(scores[qi, di], SCORE_DIGITS)
+    qi, di = _at_least(scores, floor - MARGIN - slack)
+    exact = queries.pairs(index, qi, di)
+    good = (exact >= floor[qi] - MARGIN) & (exact > -np.inf)
+    qi, di, rounded = qi[good], di[good], np.round(exact[good], SCORE_DIGITS)
     order = np.lexsort((ids[di], -rounded, qi))
     qi, di, rounded = qi[order], di[order], rounded[order]
     rank = _rank_in_runs(qi)
     last = rank == k - 1
     floor = floor.copy()
-    floor[qi[last]] = np.maximum(floor[qi[last]], rounded[last] - margin)
+    floor[qi[last]] = np.maximum(floor[qi[last]], rounded[last] - MARGIN)
     keep = rank < k
     return qi[keep], di[keep], rounded[keep], floor
 
@@ -106,21 +151,26 @@ def _rank_in_runs(values: np.ndarray) -> np.ndarray:
     return np.arange(len(values)) - np.repeat(start, np.diff(np.r_[start, len(values)]))
 
 
-def _score_block(scorer, queries: pa.Table, index: pa.Table, query_id, index_id, payload, k) -> pa.Table:
-    found = []
-    for q0 in range(0, queries.num_rows, TILE[0]):
-        q, floor = queries.slice(q0, TILE[0]), None
-        for d0 in range(0, index.num_rows, TILE[1]):
-            d = index.slice(d0, TILE[1])
-            ids = _order_key(d.column(index_id))
-            qi, di, score, floor = _best_in_tile(scorer.scores(q, d), ids, floor, k)
-            chosen = d.select([index_id, *payload]).take(pa.array(di))
-            found.append(
-                pa.table(
-                    [q.column(query_id).take(pa.array(qi)), *chosen.columns, pa.array(score)],
-                    names=[query_id, index_id, *payload, "score"],
-                )
-            )
+def _score_block(
+    scorer, queries: pa.Table, index: pa.Table, query_id, index_id, payload, k, asked: _Vectors | None = None
+) -> pa.Table:
+    """The best ``k`` of all pairs; ``asked`` are the vectors of the queries, if they are made already."""
+    asked = _Vectors(scorer._matrix(queries)) if asked is None else asked
+    names = [query_id, index_id, *payload, "score"]
+    starts = range(0, queries.num_rows, TILE[0])
+    floors, found = [None] * len(starts), []
+    held = 0
+    for d0 in range(0, index.num_rows, TILE[1]):
+        d = index.slice(d0, TILE[1])
+        ids, rows, carried = _order_key(d.column(index_id)), _Vectors(scorer._matrix(d)), d.select([index_id, *payload])
+        for i, q0 in enumerate(starts):
+            qi, di, score, floors[i] = _best_in_tile(asked[q0 : q0 + TILE[0]], rows, ids, floors[i], k)
+            chosen = carried.take(pa.array(di))
+            found.append(pa.table([queries.column(query_id).take(pa.array(q0 + qi)), *chosen.columns, pa.array(score)], names=names))
+            held += len(qi)
+        if held > 16 * k * queries.num_rows:
+            found = [_keep_best(pa.concat_tables(found), query_id, index_id, k)]
+            held = found[0].num_rows
     return _keep_best(pa.concat_tables(found), query_id, index_id, k)
 
 
@@ -132,40 +182,42 @@ def _score_reached(scorer, reach, queries: pa.Table, index: pa.Table, query_id,
     index, cells = index.take(pa.array(order)), cells[order]
     ids = _order_key(index.column(index_id))
     # an id that comes more than once takes as many places
-    places, margin = k * int(np.unique(ids, return_counts=True)[1].max()), 10.0**-SCORE_DIGITS
-    found = [pa.table([queries.column(query_id).slice(0, 0), *index.select([index_id, *payload]).slice(0, 0).columns, pa.array([], pa.float64())],
-                      names=[query_id, index_id, *payload, "score"])]
+    places = k * int(np.unique(ids, return_counts=True)[1].max())
+    carried, names = index.select([index_id, *payload]), [query_id, index_id, *payload, "score"]
+    found = [pa.table([queries.column(query_id).slice(0, 0), *carried.slice(0, 0).columns, pa.array([], pa.float64())], names=names)]
     borders = reach.borders(cells)
+    tiles = [(d0, d1, *np.unique(cells[d0:d1], return_inverse=True)) for d0, d1 in zip(borders, borders[1:])]
+    vectors = _Vectors(scorer._matrix(index))
     for q0 in range(0, queries.num_rows, TILE[0]):
         q = queries.slice(q0, TILE[0])
-        asking, vectors, best = reach.asking(q), scorer._matrix(q), []
-        floor = asking.floor - margin
-        for d0, d1 in zip(borders, borders[1:]):
-            own, place = np.unique(cells[d0:d1], return_inverse=True)
+        asking, asked, best = reach.asking(q), _Vectors(scorer._matrix(q)), []
+        floor = asking.floor - MARGIN
+        for d0, d1, own, place in tiles:
             rows = asking.near_any(own)
             if not len(rows):
                 continue
-            d = index.slice(d0, d1 - d0)
-            scores = vectors[rows] @ scorer._matrix(d).T
+            near, part = asked[rows], vectors[d0:d1]
+            scores, slack = near.scores(part)
             least = floor[rows]
             blank = np.flatnonzero(least == -np.inf)
             if len(blank):
                 met = asking.meets(rows[blank][:, None], own[None, :])
                 scores[blank] = np.where(met[:, place], scores[blank], -np.inf)
                 if scores.shape[1] > places:
-                    least[blank] = np.partition(scores[blank], -places, axis=1)[:, -places]
-            qi, di = np.nonzero((scores >= least[:, None] - margin) & (scores > -np.inf))
+                    least[blank] = np.partition(scores[blank], -places, axis=1)[:, -places].astype(np.float64) - slack
+            qi, di = _at_least(scores, least - MARGIN - slack)
             met = asking.meets(rows[qi], cells[d0:d1][di])
             qi, di = qi[met], di[met]
-            rounded = np.round(scores[qi, di], SCORE_DIGITS)
+            exact = near.pairs(part, qi, di)
+            good = (exact >= least[qi] - MARGIN) & (exact > -np.inf)
+            qi, di, rounded = qi[good], di[good], np.round(exact[good], SCORE_DIGITS)
             by_score = np.lexsort((ids[d0:d1][di], -rounded, qi))
             qi, di, rounded = qi[by_score], di[by_score], rounded[by_score]
             rank = _rank_in_runs(qi)
             last = rank == places - 1
-            floor[rows[qi[last]]] = np.maximum(floor[rows[qi[last]]], rounded[last] - margin)
+            floor[rows[qi[last]]] = np.maximum(floor[rows[qi[last]]], rounded[last] - MARGIN)
             qi, di, rounded = (x[rank < places] for x in (qi, di, rounded))
-            chosen = d.select([index_id, *payload]).take(pa.array(di))
-            names = [query_id, index_id, *payload, "score"]
+            chosen = carried.take(pa.array(d0 + di))
             best.append(pa.table([q.column(query_id).take(pa.array(rows[qi])), *chosen.columns, pa.array(rounded)], names=names))
             if sum(b.num_rows for b in best) > 16 * k * q.num_rows:
                 best = [_keep_best(pa.concat_tables(best), query_id, index_id, k)]
@@ -217,10 +269,11 @@ def top_k_join(
         F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(row_bytes), F.lit(0)).alias("bytes")
     ).first()
     few, n_bytes = size["rows"] <= max_broadcast, size["bytes"]
+    wide = max(SMALL_INDEX_BLOCK, BLOCK_BYTES * size["rows"] // max(1, n_bytes))
+    blocks = min(query_block, wide), min(index_block, wide)
     if group and (few or not reach):
         visits = materialize(visits.select(query_id, group), "visits")
         n_bytes += 16 * visits.count() if few else 0
-    blocks = query_block, index_block
     if few and n_bytes <= MAX_BROADCAST_BYTES:
         sent = queries.select(query_id, *scorer.columns).toArrow(), visits.toArrow() if group else None
         hits = _against_all(*sent, index, k, scorer, query_id, index_id, payload, group, schema)
@@ -256,6 +309,7 @@ def _against_all(
         if not few.num_rows:
             return
         meet = _Visits(few, where, scorer, query_id, group) if group else None
+        asked = None if group else _Vectors(scorer._matrix(few))
         best = None
         for batch in batches:
             rows = pa.Table.from_batches([batch])
@@ -264,7 +318,7 @@ def _against_all(
                 if meet:
                     hits = meet.hits(part, index_id, payload, k)
                 else:
-                    hits = _score_block(scorer, few, part, query_id, index_id, payload, k)
+                    hits = _score_block(scorer, few, part, query_id, index_id, payload, k, asked)
                 best = hits if best is None else pa.concat_tables([best, hits])
                 if best.num_rows > 4 * k * few.num_rows:
                     best = _keep_best(best, query_id, index_id, k)
@@ -329,15 +383,18 @@ def _over_grid(queries, index, k, scorer, query_id, index_id, payload, group, sc
     as many cells as its rows need.
     """
     spark = index.sparkSession
-    # counted, then paired: what made it, a model perhaps, runs once
-    index = materialize(index, "index")
+    # counted, then paired: what made it, a model perhaps, runs once. Both are copied many times, by all cores
+    index = spread(materialize(index, "index"), index_id)
+    queries = spread(queries, query_id)
     query_block, index_block = blocks
     cores = spark.sparkContext.defaultParallelism
 
     def block_counts(query_rows: Column, index_rows: Column) -> tuple[Column, Column]:
         n_q = F.ceil(query_rows / query_block)
         enough = F.least(F.ceil(index_rows / SMALL_INDEX_BLOCK), F.ceil(F.lit(3 * cores) / n_q))
-        return n_q.cast("long"), F.greatest(F.ceil(index_rows / index_block), enough).cast("long")
+        n_i = F.greatest(F.ceil(index_rows / index_block), enough)
+        enough = F.least(F.ceil(query_rows / SMALL_QUERY_BLOCK), F.ceil(F.lit(3 * cores) / n_i))
+        return F.greatest(n_q, enough).cast("long"), n_i.cast("long")
 
     if group:
         # one row per group; written, as both sides and all retries must see the same numbers

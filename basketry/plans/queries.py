@@ -625,6 +625,7 @@ def probe_recall(spark, base):
     """Recall of the probing index over all queries, with what it was fitted to and what it scores."""
     rows, asked = _vectors(spark, base)
     built = _probe_index(rows, asked)
+    asked = built.placed(asked)
     recall = ann.recall_at_k(built.search(asked, 5), index.search_vectors(asked, rows, 5))
     return recall.select(
         F.lit(len(built.planes)).alias("planes"),

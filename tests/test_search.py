@@ -508,6 +508,49 @@ def test_probing_in_blocks_makes_no_row_per_query_and_cell(spark, monkeypatch, c
     assert built.candidate_fraction(asked).first()[0] == pytest.approx(pairs / (90 * 700))
 
 
+def test_queries_are_placed_once_by_many_tasks(spark):
+    """A table of one part is dealt to tasks; the placed queries carry the rows they meet and are not placed again."""
+    from basketry.operators import probing
+
+    d = vectors(1300, 21)
+    rows, asked = frame(spark, d).coalesce(1), frame(spark, d, "query_id").coalesce(1)
+    built = probing.ProbeIndex.build(rows, asked, 5, dimensions=8)
+    placed = built.placed(asked)
+    assert len(placed.inputFiles()) >= 3 and built.placed(placed) is placed
+    of_row = {r.id: r.cell for r in built.rows.collect()}
+    seen = {}
+    for r in built.probe(asked).collect():
+        seen.setdefault(r.query_id, set()).add(r.cell)
+    assert {r.query_id: r._rows for r in placed.collect()} == {q: sum(c in seen[q] for c in of_row.values()) for q in seen}
+    assert built.candidate_fraction(placed).first() == built.candidate_fraction(asked).first()
+
+
+def test_rows_of_visited_cells_where_distances_are_equal():
+    from basketry.operators import probing
+
+    x, width = np.round(np.random.default_rng(6).normal(size=(20, 4))), 0.9
+    sizes = np.random.default_rng(7).integers(0, 9, 81).astype(float)
+    order = probing.probe_order(x, width, 81)[0]
+    for probes in (1, 5, 40, 81):
+        assert (probing.last_visits(x, width, probes, sizes)[2] == sizes[order[:, :probes]].sum(axis=1)).all()
+
+
+@pytest.mark.parametrize("max_broadcast", [1000, 0])
+@pytest.mark.parametrize("scale", [1.0, 1e30])
+def test_scores_that_single_precision_cannot_tell_apart(spark, max_broadcast, scale):
+    """Rows of which the cosines differ in the sixth digit, copies, and vectors that single precision cannot hold."""
+    rng = np.random.default_rng(13)
+    one = rng.normal(size=16)
+    d = scale * (one + 3e-4 * rng.normal(size=(2500, 16)))
+    d[100:400] = d[100]
+    q = scale * (one + 1e-2 * rng.normal(size=(40, 16)))
+    schema = "id long, embedding array<double>"
+    rows = index.with_norm(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(d)], schema))
+    asked = index.with_norm(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(q)], schema)).withColumnRenamed("id", "query_id")
+    hits = top_k_join(asked, rows, 5, DenseScore(), max_broadcast=max_broadcast, query_block=16)
+    close(collected(hits), brute(q, d, 5))
+
+
 def test_probing_without_rows(spark):
     from basketry.operators import probing
 
