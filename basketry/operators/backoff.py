@@ -22,6 +22,7 @@ from basketry.operators.transitions import most_bought_next
 from basketry.session import materialize
 
 LENGTH = 3
+HASHED = 100_000  # runs from which on counts are looked up by hash; fewer may be sent to every task, as the planner sees fit
 
 
 def follower_counts(
@@ -42,10 +43,13 @@ def follower_counts(
     for before, name in zip(names, names[1:]):
         # the rows are the same, so large users are looked for once
         rows = OrderedGroups(rows, [user], order, buckets, hot=groups.hot).neighbour(before, name, -1).result()
-    runs = [F.array(*[F.col(n) for n in reversed(names[: m + 1])]) for m in range(length)]
-    known = F.array_compact(F.array(*[F.when(F.col(n).isNotNull(), run) for n, run in zip(names, runs)]))
-    pairs = rows.filter(F.col("next_product").isNotNull()).select(F.explode(known).alias("context"), "next_product")
-    return pairs.groupBy("context", "next_product").agg(F.count(F.lit(1)).alias("n"))
+    # runs are counted as columns, which are shorter than lists and faster to group
+    lengths = F.array_compact(F.array(*[F.when(F.col(n).isNotNull(), F.lit(m)) for m, n in enumerate(names, 1)]))
+    ended = rows.filter(F.col("next_product").isNotNull()).select("next_product", *names, F.explode(lengths).alias("_m"))
+    items = [F.when(F.col("_m") >= m, F.col(n)).alias(n) for m, n in enumerate(names, 1)]
+    pairs = ended.select("_m", *items, "next_product").groupBy("_m", *names, "next_product").agg(F.count(F.lit(1)).alias("n"))
+    run = F.slice(F.array(*reversed(names)), length + 1 - F.col("_m"), F.col("_m"))
+    return pairs.select(run.alias("context"), "next_product", "n")
 
 
 @dataclass
@@ -99,6 +103,14 @@ class BackoffGenerator:
         runs = coded.select("state", "_items", lengths.alias("_m"))
         return runs.select("state", "_m", F.slice("_items", -F.col("_m"), F.col("_m")).alias("context"))
 
+    def _asked(self, runs: DataFrame) -> DataFrame:
+        """The counts of the runs that are asked for. Counts, which are many, are moved once and not sorted: the runs,
+        each once, are looked up by hash."""
+        asked = runs.select("context").distinct()
+        if runs.count() > HASHED:
+            asked = asked.hint("shuffle_hash")
+        return self.counts.join(asked, "context", "left_semi")
+
     def _named(self, rows: DataFrame, code: str) -> DataFrame:
         """``rows`` with names in place of the column of codes."""
         if self.names is None:
@@ -110,15 +122,11 @@ class BackoffGenerator:
     def generate(self, states: DataFrame) -> DataFrame:
         """Add ``generated`` to distinct ``states``."""
         runs = materialize(self._runs(states), "runs")
-        # the counts are moved once, and only those that some state asks for are kept
-        asked = self.counts.join(runs.select("context").distinct(), "context", "left_semi")
-        counts = materialize(asked, "asked-followers")
-        first = F.min_by("next_product", F.struct(-F.col("n"), F.col("next_product")))
-        seen = runs.join(counts.groupBy("context").agg(first.alias("best")), "context")
-        longest = seen.groupBy("state").agg(F.max_by(F.struct("context", "best"), "_m").alias("_c"))
-        longest = longest.select("state", "_c.context", "_c.best")
+        counts = materialize(self._asked(runs), "asked-followers")
         if self.temperature > 0:
-            longest = materialize(longest.select("state", "context"), "longest-runs")
+            seen = runs.join(counts.select("context").distinct(), "context")
+            longest = seen.groupBy("state").agg(F.max_by("context", "_m").alias("context"))
+            longest = materialize(longest, "longest-runs")
             followers = counts.join(longest.select("context").distinct(), "context", "left_semi")
             followers = longest.join(self._named(followers, "next_product"), "context")
             words = F.array_join(F.col("state").cast("array<string>"), "|")
@@ -127,7 +135,9 @@ class BackoffGenerator:
             drawn = F.min_by("next_product", F.struct(-score, F.col("next_product")))
             answers = followers.groupBy("state").agg(drawn.alias("best"))
         else:
-            answers = self._named(longest, "best")
+            first = F.min_by("next_product", F.struct(-F.col("n"), F.col("next_product")))
+            seen = runs.join(counts.groupBy("context").agg(first.alias("best")), "context")
+            answers = self._named(seen.groupBy("state").agg(F.max_by("best", "_m").alias("best")), "best")
         answers = answers.select(F.col("state").alias("_s"), F.col("best").alias("generated"))
         found = states.join(answers, F.col("state").eqNullSafe(F.col("_s")), "left").drop("_s")
         return found.withColumn("generated", F.coalesce("generated", self.fallback.scalar()))
