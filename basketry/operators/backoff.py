@@ -90,18 +90,18 @@ class BackoffGenerator:
         return last_items(append_item(state, item), self.length)
 
     def _runs(self, states: DataFrame) -> DataFrame:
-        """``(state, _m, context)``: the runs of last items, as they stand in the counts."""
-        states = states.filter(F.size("state") > 0).select("state").distinct()
+        """``(_id, _m, context)``: the runs of last items, as they stand in the counts."""
+        states = states.filter(F.size("state") > 0).select("_id", "state")
         if self.names is None:
-            coded = states.withColumn("_items", F.col("state"))
+            coded = states.withColumnRenamed("state", "_items")
         else:
-            items = states.select("state", F.posexplode("state").alias("_at", "name")).join(self.names, "name", "left")
+            items = states.select("_id", F.posexplode("state").alias("_at", "name")).join(self.names, "name", "left")
             code = F.coalesce("code", F.when(F.col("name").isNotNull(), F.lit(-1)))  # a name that was never bought
             listed = F.array_sort(F.collect_list(F.struct("_at", code.alias("code"))))
-            coded = items.groupBy("state").agg(listed.alias("_l")).select("state", F.col("_l.code").alias("_items"))
+            coded = items.groupBy("_id").agg(listed.alias("_l")).select("_id", F.col("_l.code").alias("_items"))
         lengths = F.explode(F.sequence(F.lit(1), F.least(F.size("_items"), F.lit(self.length))))
-        runs = coded.select("state", "_items", lengths.alias("_m"))
-        return runs.select("state", "_m", F.slice("_items", -F.col("_m"), F.col("_m")).alias("context"))
+        runs = coded.select("_id", "_items", lengths.alias("_m"))
+        return runs.select("_id", "_m", F.slice("_items", -F.col("_m"), F.col("_m")).alias("context"))
 
     def _asked(self, runs: DataFrame) -> DataFrame:
         """The counts of the runs that are asked for. Counts, which are many, are moved once and not sorted: the runs,
@@ -121,23 +121,24 @@ class BackoffGenerator:
 
     def generate(self, states: DataFrame) -> DataFrame:
         """Add ``generated`` to distinct ``states``."""
+        # states are lists of names: what is grouped and joined by state is by a number that is written with it
+        states = materialize(states.withColumn("_id", F.monotonically_increasing_id()), "states")
         runs = materialize(self._runs(states), "runs")
         counts = materialize(self._asked(runs), "asked-followers")
         if self.temperature > 0:
             seen = runs.join(counts.select("context").distinct(), "context")
-            longest = seen.groupBy("state").agg(F.max_by("context", "_m").alias("context"))
-            longest = materialize(longest, "longest-runs")
+            longest = seen.groupBy("_id").agg(F.max_by("context", "_m").alias("context"))
+            words = states.select("_id", F.array_join(F.col("state").cast("array<string>"), "|").alias("_words"))
+            longest = materialize(longest.join(words, "_id"), "longest-runs")
             followers = counts.join(longest.select("context").distinct(), "context", "left_semi")
             followers = longest.join(self._named(followers, "next_product"), "context")
-            words = F.array_join(F.col("state").cast("array<string>"), "|")
-            uniform = (hash_bucket(F.lit(self.seed), words, F.col("next_product"), buckets=1 << 32) + 0.5) / float(1 << 32)
+            uniform = (hash_bucket(F.lit(self.seed), "_words", F.col("next_product"), buckets=1 << 32) + 0.5) / float(1 << 32)
             score = F.log("n") / self.temperature - F.log(-F.log(uniform))
             drawn = F.min_by("next_product", F.struct(-score, F.col("next_product")))
-            answers = followers.groupBy("state").agg(drawn.alias("best"))
+            answers = followers.groupBy("_id").agg(drawn.alias("generated"))
         else:
             first = F.min_by("next_product", F.struct(-F.col("n"), F.col("next_product")))
             seen = runs.join(counts.groupBy("context").agg(first.alias("best")), "context")
-            answers = self._named(seen.groupBy("state").agg(F.max_by("best", "_m").alias("best")), "best")
-        answers = answers.select(F.col("state").alias("_s"), F.col("best").alias("generated"))
-        found = states.join(answers, F.col("state").eqNullSafe(F.col("_s")), "left").drop("_s")
+            answers = self._named(seen.groupBy("_id").agg(F.max_by("best", "_m").alias("generated")), "generated")
+        found = states.join(answers, "_id", "left").drop("_id")
         return found.withColumn("generated", F.coalesce("generated", self.fallback.scalar()))
